@@ -3,17 +3,39 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe import decode, encode
 from .common import table
+from .mixing import mix
 from .ngram_join import ngram_join
+from .token_counts import token_counts
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = decode(encode(table(spark, sf_dir, "documents")))
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_bpe": op2_bpe,
+    "op5_token_counts": op5_token_counts,
+    "op10_mixing": op10_mixing,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -25,7 +47,7 @@ WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM documents),
 s AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> array_to_string(w[i:i+2], ' '))) END AS sh FROM w),
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) END AS sh FROM w),
 u AS (SELECT doc_id, unnest(sh) AS s, len(sh) AS n FROM s),
 p AS (
   SELECT a.doc_id AS x, b.doc_id AS y FROM u a JOIN u b ON a.s = b.s AND a.doc_id <> b.doc_id
@@ -35,4 +57,21 @@ SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles,
   least(s.doc_id, coalesce((SELECT min(other) FROM r WHERE r.doc_id = s.doc_id), s.doc_id)) AS component_id,
   CAST((SELECT count(*) FROM p WHERE p.x = s.doc_id) AS BIGINT) AS n_links
 FROM s""",
+    "op10_mixing": rf"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size,
+    substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), md5(text), '')), 1, 15) AS k FROM documents),
+z AS (SELECT source, CAST(sum(size) AS DOUBLE) AS source_size FROM d GROUP BY source),
+n AS (SELECT *, 3.0::DOUBLE * source_size AS cap, (CAST([5.0, 2.0, 1.0] AS DOUBLE[]))[(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1] AS weight FROM z),
+l AS (SELECT *, cap / weight AS ratio, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+  FROM n WINDOW b AS (ORDER BY cap / weight, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h AS (SELECT *, min(CASE WHEN ratio > level THEN level END) OVER () AS held FROM l),
+t AS (SELECT source, source_size, CASE WHEN held IS NULL OR ratio <= held THEN cap ELSE weight * held END AS target FROM h),
+q AS (SELECT d.*, t.source_size, t.target, sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+f AS (SELECT *, CASE WHEN target > 0 THEN (upto + turn * source_size) / target ELSE 0 END AS finish FROM q, (SELECT unnest([0, 1, 2]) AS turn)),
+g AS (SELECT *, sum(size) OVER (ORDER BY finish, encode(source) NULLS LAST, turn, k, coalesce(doc_id, 0), upto ROWS UNBOUNDED PRECEDING) <= sum(size) OVER () / 3 AS took FROM f)
+SELECT doc_id, CAST(any_value(size) AS BIGINT) AS size, CAST(any_value(source_size) AS BIGINT) AS source_size, any_value(target) AS target,
+  CAST(sum(CASE WHEN took THEN size ELSE 0 END) AS BIGINT) AS taken
+FROM g GROUP BY doc_id, source, k, upto, size""",
 }
