@@ -12,6 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges that one task of a round over a graph takes.
+EDGES_A_TASK = 200_000
 #: Entries that a worker keeps in a cache of words before it starts afresh.
 CACHE_ENTRIES = 400_000
 
@@ -92,7 +94,7 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
     No edges give an empty result.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, parts: int) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         if not large:
             both = both.where("v <= u")
@@ -102,7 +104,7 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
         out = moved.select(F.col("v").alias("a"), F.col("m").alias("b"))
         if not large:
             out = out.union(least.select(F.col("lu").alias("a"), F.col("m").alias("b")))
-        return out.where("a <> b").distinct()
+        return out.where("a <> b").distinct().coalesce(parts)
 
     def digest(e: DataFrame) -> tuple:
         r = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first()
@@ -111,7 +113,8 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
     seen = digest(e)
     while seen[0]:
-        e = stored(star(star(e, True), False), label)
+        parts = 1 + seen[0] // EDGES_A_TASK
+        e = stored(star(star(e, True, parts), False, parts), label)
         now = digest(e)
         if now == seen:
             break

@@ -2,13 +2,15 @@
 
 Every document is the set of its distinct k-word shingles, as 64-bit hashes. Sizes fall into bands. For the pairs whose
 larger set is in a band, the symmetric difference is at most H, a number of that band. The hash universe is cut into
-H + 1 segments: two linked sets differ in fewer segments than there are, so at least one segment is equal in both. Each
-set is indexed by one signature for each segment (and, for a segment allocated one deletion, by the signatures of the
-segment less any one element, which then stands for two of the H + 1 units). Which segments are left out, taken whole or
-taken with one deletion follows from costs counted over all documents.
-
-Documents with equal sets form a class; only classes are compared. Classes that share signatures form clusters, a cluster
-is cut into blocks of bounded weight, and each pair of blocks is one task that verifies all its pairs exactly by
+segments that carry units: one for a segment indexed whole (its signature), two for one indexed with its one-deletion
+neighbourhood (the signatures of the segment, and of the segment less any one element). With H + 1 + q units, segments
+worth q + 1 units agree in any two linked sets. A set whose segments of very few elements are worth at most q leaves
+those out, as they would agree by chance; so some segment that both index agrees. How many segments take a deletion
+follows from the cost of the signatures and of chance agreements.
+
+Documents with equal sets form a class; only classes are compared. Classes that share a signature, and whose 512-bit
+parity sketches differ by no more bits than linked sets can, are candidates; connected candidates form a cluster. A
+cluster is cut into blocks of bounded weight, and each pair of blocks is one task, which verifies all its pairs exactly by
 intersection sizes and returns a spanning forest and link counts, never the pairs.
 
 Defined cases: null or empty text and text without words have no shingles and no links; a null id takes no part and has
@@ -18,8 +20,9 @@ Hashes have 64 bits for shingles (a false agreement inside one pair has odds of
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import pairwise
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +33,15 @@ from pyspark.sql.window import Window
 
 from .common import CACHE_ENTRIES, WordHashes, connected_components, mix64, shingle_set, stored
 
-#: Sizes of a band grow by this factor: it makes the fewest signatures for similarities of 0.8 to 0.9.
-BAND_GROWTH = 1.4
-#: Documents whose signatures are combined before they leave a task.
+#: Sizes of a band grow by this factor: wider bands need fewer indexes for each set, but more segments in each.
+BAND_GROWTH = 1.25
+#: Documents among which copies are told before their signatures leave a task.
 COMBINE_DOCS = 2000
-#: What one colliding signature costs later, in units of one signature written.
-COLLISION_COST = 4.0
+#: What a segment of at most two elements costs later by chance agreements, in units of one signature written.
+CHANCE_COST = 100.0
+#: Classes of one signature that are compared at a time.
+BUCKET_BLOCK = 4096
+SKETCH_BITS = 512
 #: Shingles in a block of a cluster.
 BLOCK_SHINGLES = 400_000
 
@@ -62,62 +68,89 @@ def bands_of(n: int, percent: int) -> range:
     return range(int(lo), int(hi) + 1)
 
 
-def allocate(units: int, exact: np.ndarray, deletion: np.ndarray) -> np.ndarray:
-    """-1 (left out), 0 (whole) or 1 (one deletion) for each of `units` segments, at the least cost.
+def _at_most(few: int, mean: float) -> float:
+    """Chance that a segment has at most `few` elements, when it has `mean` of them on average (Poisson)."""
+    return math.exp(-mean) * sum(mean**i / math.factorial(i) for i in range(few + 1))
 
-    The sum of (e + 1) stays `units`, which keeps the pigeonhole guarantee: the dearest whole segment is left out and the
-    segment that is cheapest to index with deletions takes its unit, as long as that saves cost.
-    """
-    e = np.zeros(units, np.int8)
-    drop = list(np.argsort(-exact, kind="stable"))
-    add = list(np.argsort(deletion - exact, kind="stable"))
-    while drop and add:
-        d, a = drop[0], add[0]
-        if e[d]:
-            drop.pop(0)
-        elif e[a] or a == d:
-            add.pop(0)
-        elif exact[d] > deletion[a] - exact[a]:
-            e[d], e[a] = -1, 1
-        else:
-            break
-    return e
-
-
-def signatures(h: np.ndarray, percent: int, alloc: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures of a sorted set with the band and segment of each."""
-    sigs, bands, segs = [], [], []
+
+@dataclass(frozen=True)
+class Allocation:
+    """How a band is indexed: segments in all, how many (the first ones) take one deletion, spare units, light sizes."""
+
+    segments: int
+    deletions: int
+    spare: int
+    light: int
+
+
+def allocate(band: int, percent: int, deletions: int | None = None) -> Allocation | None:
+    """The cheapest allocation of the units of a band; None where linked sets are equal. deletions fixes their number."""
+    difference = band_difference(band, percent)
+    if not difference:
+        return None
+    size, best = float(_STARTS[band]), None
+    limit = (difference + 1) // 2
+    for d in range(min(limit, 24) + 1) if deletions is None else [min(deletions, limit)]:
+        light = 1 if size / (difference + 1 - d) >= 7 else 0
+        spare = 0
+        for _ in range(4 if difference >= 8 else 0):  # spare units make segments smaller, and so need a few more
+            segments = difference + 1 + spare - d
+            expected = (segments + d) * _at_most(light, size / segments)
+            spare = math.ceil(expected + 2 * math.sqrt(expected))
+        segments = difference + 1 + spare - d
+        mean = size / segments
+        chance = (segments - d) * _at_most(2, mean) + d * _at_most(3, mean)
+        cost = segments + d * mean + CHANCE_COST * chance
+        if best is None or cost < best[0]:
+            best = (cost, Allocation(segments, d, spare, light))
+    return best[1]
+
+
+class Bands(dict):
+    """band -> its allocation, worked out once."""
+
+    def __init__(self, percent: int, deletions: int | None = None):
+        super().__init__()
+        self.percent, self.deletions = percent, deletions
+
+    def __missing__(self, band: int) -> Allocation | None:
+        self[band] = allocate(band, self.percent, self.deletions)
+        return self[band]
+
+
+def signatures(h: np.ndarray, bands: Bands) -> np.ndarray:
+    """Signatures of a sorted set under all bands in which it may have partners."""
+    out = []
     with np.errstate(over="ignore"):
         g = mix64(h ^ np.uint64(0x5851F42D4C957F2D))
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(g, dtype=np.uint64)))
-        for band in bands_of(len(h), percent):
-            m = band_difference(band, percent) + 1
-            if m == 1:
+        for band in bands_of(len(h), bands.percent):
+            a = bands[band]
+            if a is None:
                 continue  # linked sets are equal here, and equal sets are one class
-            seg = ((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-            cut = np.searchsorted(seg, np.arange(m + 1, dtype=np.uint64))
-            tag = mix64(np.arange(m, dtype=np.uint64) + np.uint64(band << 40) + np.uint64(1))
+            m = a.segments
+            seg = (((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
+            cut = np.searchsorted(seg, np.arange(m + 1))
+            size = cut[1:] - cut[:-1]
+            units = np.where(np.arange(m) < a.deletions, 2, 1)
+            # a partner's segment can have one element less where a deletion is allowed
+            light_units = int(units[size <= a.light + (units == 2)].sum())
+            took = size > a.light if light_units <= a.spare else np.ones(m, bool)
+            tag = mix64(np.arange(m, dtype=np.uint64) + np.uint64((band + 1) << 40))
             whole = sums[cut[1:]] - sums[cut[:-1]]
-            e = alloc.get(band)
-            took = np.arange(m) if e is None else np.flatnonzero(e >= 0)
-            sigs.append(mix64(whole[took] ^ tag[took]))
-            segs.append(took)
-            if e is not None and (e == 1).any():
-                at = seg.astype(np.int64)
-                with_one = np.flatnonzero(e[at] == 1)
-                sigs.append(mix64((whole[at[with_one]] - g[with_one]) ^ tag[at[with_one]]))
-                segs.append(at[with_one])
-            bands.append(np.full(sum(map(len, segs)) - sum(map(len, bands)), band))
-    if not sigs:
-        none = np.empty(0, np.int64)
-        return none.astype(np.uint64), none, none
-    return np.concatenate(sigs), np.concatenate(bands), np.concatenate(segs)
-
-
-INDEX_SCHEMA = "doc_id long, n long, fp1 long, fp2 long, sigs array<long>, joined array<long>, band int, seg int, written long, collided long"
-_INDEX_ARROW = pa.schema(
-    [("doc_id", pa.int64()), ("n", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("sigs", pa.list_(pa.int64())), ("joined", pa.list_(pa.int64())), ("band", pa.int32()), ("seg", pa.int32()), ("written", pa.int64()), ("collided", pa.int64())]
-)
+            out.append(mix64(whole[took] ^ tag[took]))
+            if a.deletions:
+                one = np.flatnonzero((seg < a.deletions) & took[seg])
+                out.append(mix64((whole[seg[one]] - g[one]) ^ tag[seg[one]]))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def sketch(h: np.ndarray) -> bytes:
+    """Parities of the elements by 512 hash values: two sketches differ in at most as many bits as the sets in elements."""
+    return np.packbits(np.bincount((h & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes()
+
+
+INDEX_SCHEMA = "doc_id long, n long, fp1 long, fp2 long, sigs array<long>, sketch binary"
 
 
 def _fingerprint(h: np.ndarray) -> tuple[int, int]:
@@ -125,84 +158,100 @@ def _fingerprint(h: np.ndarray) -> tuple[int, int]:
     return int(a), int(b)
 
 
-def _lists(counts: np.ndarray, values: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(values.view(np.int64)))
-
-
-def _index(k: int, percent: int, alloc: dict[int, np.ndarray]):
-    """A row for each document with its class and signatures, and rows of counted costs by band and segment."""
+def _index(k: int, percent: int, deletions: int | None):
+    """A row for each document with its class, signatures and sketch; copies of one batch carry signatures once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache, bands = WordHashes(), Bands(percent, deletions)
         for whole in batches:
             for at in range(0, whole.num_rows, COMBINE_DOCS):
                 batch = whole.slice(at, COMBINE_DOCS)
                 if len(cache) >= CACHE_ENTRIES:
                     cache.clear()
-                yield from one(batch, cache)
-
-    def one(batch: pa.RecordBatch, cache: WordHashes) -> Iterator[pa.RecordBatch]:
-        rows = batch.num_rows
-        n, fp1, fp2 = (np.zeros(rows, np.int64) for _ in range(3))
-        seen: set[tuple[int, int]] = set()
-        parts, owners = [], []
-        for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-            h = shingle_set(text, k, cache)
-            n[i] = len(h)
-            if len(h):
-                fp = fp1[i], fp2[i] = _fingerprint(h)
-                if fp not in seen:  # copies have the signatures of the first
-                    seen.add(fp)
-                    parts.append(signatures(h, percent, alloc))
-                    owners.append(np.full(len(parts[-1][0]), i))
-        if parts:
-            sig, band, seg = (np.concatenate(x) for x in zip(*parts, strict=True))
-            owner = np.concatenate(owners)
-            order = np.lexsort((owner, sig))
-            sig, band, seg, owner = sig[order], band[order], seg[order], owner[order]
-            first = np.concatenate(([True], sig[1:] != sig[:-1])) if len(sig) else np.empty(0, bool)
-            lead = owner[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))] if len(sig) else owner
-            extra = ~first & (lead != owner)
-            by = np.argsort(owner[first], kind="stable")
-            sigs = _lists(np.bincount(owner[first], minlength=rows), sig[first][by])
-            pairs = np.unique(np.stack((owner[extra], lead[extra])), axis=1) if extra.any() else np.empty((2, 0), np.int64)
-            joined = _lists(np.bincount(pairs[0].astype(np.int64), minlength=rows), fp1[pairs[1].astype(np.int64)])
-            key = band * (1 << 32) + seg
-            keys, inverse = np.unique(key, return_inverse=True)
-            written, collided = np.bincount(inverse), np.bincount(inverse, weights=extra)
-        else:
-            sigs = joined = _lists(np.zeros(rows, np.int64), np.empty(0, np.uint64))
-            keys, written, collided = (np.empty(0, np.int64),) * 3
-        null = lambda t, c: pa.nulls(c, t)
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n), pa.array(fp1), pa.array(fp2), sigs, joined, null(pa.int32(), rows), null(pa.int32(), rows), null(pa.int64(), rows), null(pa.int64(), rows)], schema=_INDEX_ARROW)
-        hot = np.flatnonzero(collided > 0)
-        c = len(hot)
-        yield pa.RecordBatch.from_arrays(
-            [null(pa.int64(), c)] * 4 + [null(pa.list_(pa.int64()), c)] * 2 + [pa.array((keys[hot] >> 32).astype(np.int32)), pa.array((keys[hot] & 0xFFFFFFFF).astype(np.int32)), pa.array(written[hot].astype(np.int64)), pa.array(collided[hot].astype(np.int64))], schema=_INDEX_ARROW
-        )
+                rows = batch.num_rows
+                n, fp1, fp2 = (np.zeros(rows, np.int64) for _ in range(3))
+                seen: set[tuple[int, int]] = set()
+                sigs, sketches, none = [], [None] * rows, np.empty(0, np.uint64)
+                for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+                    h = shingle_set(text, k, cache)
+                    n[i] = len(h)
+                    sigs.append(none)
+                    if len(h):
+                        fp = fp1[i], fp2[i] = _fingerprint(h)
+                        if fp not in seen:
+                            seen.add(fp)
+                            sigs[-1] = signatures(h, bands)
+                            sketches[i] = sketch(h)
+                ends = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in sigs]))), pa.int32())
+                flat = np.concatenate(sigs).view(np.int64) if sigs else none.view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(n), pa.array(fp1), pa.array(fp2), pa.ListArray.from_arrays(ends, pa.array(flat)), pa.array(sketches, pa.binary())], names=["doc_id", "n", "fp1", "fp2", "sigs", "sketch"]
+                )
 
     return run
 
 
-def plan_allocation(index: DataFrame, percent: int) -> dict[int, np.ndarray]:
-    """Bands in which leaving a costly segment out pays, with their allocations. Bands times segments bound what is gathered."""
-    alloc: dict[int, np.ndarray] = {}
-    costs = index.where("band is not null").groupBy("band", "seg").agg(F.sum("written").alias("written"), F.sum("collided").alias("collided")).where(F.col("collided") > F.col("written") / 2)
-    by_band: dict[int, list] = {}
-    for r in costs.toLocalIterator():
-        by_band.setdefault(r["band"], []).append(r)
-    for band, rows in by_band.items():
-        m = band_difference(band, percent) + 1
-        written = max(r["written"] for r in rows)
-        exact = np.full(m, float(written))
-        for r in rows:
-            exact[r["seg"]] = r["written"] + COLLISION_COST * r["collided"]
-        mean_size = float(_STARTS[band]) / m
-        deletion = exact * (1 + mean_size)
-        e = allocate(m, exact, deletion)
-        if e.any():
-            alloc[band] = e
-    return alloc
+def _near_in_bucket(n: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
+    """For each member the first of those it is connected to by pairs that sizes and sketches leave possible."""
+    c = len(n)
+    lead, left = np.arange(c), np.ones(c, bool)
+    for x in range(c):
+        if not left[x]:
+            continue
+        left[x] = False
+        todo = [x]
+        while todo:
+            y = todo.pop()
+            rest = np.flatnonzero(left)
+            if not len(rest):
+                break
+            both = n[rest] + n[y]
+            near = 100 * np.minimum(n[rest], n[y]) >= percent * np.maximum(n[rest], n[y])
+            near &= np.bitwise_count(bits[rest] ^ bits[y]).sum(1, dtype=np.int64) <= (100 - percent) * both // (100 + percent)
+            found = rest[near]
+            lead[found], left[found] = x, False
+            todo += found.tolist()
+    return lead
+
+
+def _candidates(percent: int):
+    """Rows sorted by bucket -> a spanning forest of the possible pairs of each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def edges(t: pa.Table, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+            fp, n = t.column("fp1").to_numpy(), t.column("n").to_numpy()
+            bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
+            a, b = [], []
+            two = ends - starts == 2
+            x, y = starts[two], starts[two] + 1
+            near = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+            near &= np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= (100 - percent) * (n[x] + n[y]) // (100 + percent)
+            a.append(fp[x[near]])
+            b.append(fp[y[near]])
+            for i, j in zip(starts[~two], ends[~two], strict=True):
+                if j - i > 1:
+                    lead = _near_in_bucket(n[i:j], bits[i:j], percent)
+                    own = np.flatnonzero(lead != np.arange(j - i))
+                    a.append(fp[i:j][own])
+                    b.append(fp[i:j][lead[own]])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([held, t]) if held is not None and held.num_rows else t
+            if not t.num_rows:
+                continue
+            keys = np.stack([t.column(c).to_numpy() for c in ("bucket", "left", "right")])
+            cut = np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1))
+            held = t.slice(cut[-1]).combine_chunks()
+            if len(cut) > 1:
+                yield edges(t, cut[:-1], cut[1:])
+        if held is not None and held.num_rows:
+            yield edges(held, np.array([0]), np.array([held.num_rows]))
+
+    return run
 
 
 def _verify(k: int, percent: int):
@@ -262,23 +311,34 @@ def _verify(k: int, percent: int):
     return run
 
 
-def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 3, percent: int = 90, alloc: dict[int, np.ndarray] | None = None) -> DataFrame:
+def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 3, percent: int = 90, deletions: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for each row: links are pairs with Jaccard similarity >= percent / 100.
 
     component_id is the smallest id reachable by links, the row's own included; n_links counts the other rows linked
-    directly. alloc fixes the allocation of segments by band (tests); by default costs decide.
+    directly. deletions fixes the number of segments with a deletion in each band (tests); by default costs decide.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    index = stored(docs.mapInArrow(_index(k, percent, alloc or {}), INDEX_SCHEMA), "ngram-index")
-    if alloc is None and (better := plan_allocation(index, percent)):
-        index = stored(docs.mapInArrow(_index(k, percent, better), INDEX_SCHEMA), "ngram-index")
-    rows = index.where("n is not null").select("doc_id", "n", "fp1", "fp2")
+    index = stored(docs.mapInArrow(_index(k, percent, deletions), INDEX_SCHEMA), "ngram-index")
+    rows = index.select("doc_id", "n", "fp1", "fp2")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
 
-    near = index.where(F.size("joined") > 0).select(F.col("fp1").alias("a"), F.explode("joined").alias("b"))
-    sig = index.where(F.size("sigs") > 0).select("fp1", F.explode("sigs").alias("sig"))
-    same = sig.select(F.col("fp1").alias("a"), F.first("fp1").over(Window.partitionBy("sig").orderBy("fp1")).alias("b"))
-    clusters = stored(connected_components(near.union(same), "ngram-candidates").withColumnsRenamed({"node": "cfp", "component": "cluster"}), "ngram-clusters")
+    # signatures that classes share; buckets with the same members count once
+    signed = index.where(F.size("sigs") > 0).select("fp1", F.explode("sigs").alias("sig"))
+    same = Window.partitionBy("sig")
+    shared = signed.select(
+        "fp1", F.min("fp1").over(same).alias("least"), F.max("fp1").over(same).alias("most"), F.count("*").over(same).alias("members"), F.try_sum(F.pmod(F.xxhash64("fp1"), F.lit(1 << 44))).over(same).alias("digest")
+    ).where("least <> most")
+    buckets = shared.select(F.xxhash64("least", "most", "members", "digest").alias("bucket"), "members", "fp1").distinct()
+    sketches = index.where("sketch is not null").select(F.col("fp1").alias("sf"), "n", "sketch").dropDuplicates(["sf"])
+    blocks = F.ceil(F.col("members") / BUCKET_BLOCK).cast("int")
+    compared = (
+        buckets.join(sketches, buckets.fp1 == sketches.sf)
+        .withColumn("block", F.pmod(F.xxhash64("fp1"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("bucket", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "fp1", "n", "sketch")
+    )
+    near = compared.repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right").mapInArrow(_candidates(percent), "a long, b long")
+    clusters = connected_components(near, "ngram-candidates").withColumnsRenamed({"node": "cfp", "component": "cluster"})
 
     members = stored(classes.join(clusters, classes.fp1 == clusters.cfp).select("cluster", "rep", "fp1", "fp2", "n", "copies"), "ngram-members")
     weights = members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")).withColumnRenamed("cluster", "wc")
@@ -288,8 +348,9 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("cluster", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "rep", "fp1", "fp2", "copies")
     )
+    # a merge at every size: the list of candidates grows with the corpus
     found = (
-        docs.join(dealt, docs.doc_id == dealt.rep)
+        docs.join(dealt.hint("merge"), docs.doc_id == dealt.rep)
         .select("cluster", "left", "right", "block", "doc_id", "fp1", "fp2", "copies", "text")
         .groupBy("cluster", "left", "right")
         .applyInArrow(_verify(k, percent), "doc_id long, root long, links long")
