@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest_neighbours
 from .bpe import decode, encode
 from .common import table
+from .hmm import hmm_scores
+from .lang_id import language_id
 from .mixing import mix
+from .near_dedup import near_duplicates
 from .ngram_join import ngram_join
+from .quality import quality_select
 from .token_counts import token_counts
+from .warc import read_archive, write_archive
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,10 +29,35 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = read_archive(spark, write_archive(table(spark, sf_dir, "pages")))
+    return records.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", "refers_to")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -34,7 +65,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_bpe": op2_bpe,
+    "op3_near_dedup": op3_near_dedup,
+    "op4_ann": op4_ann,
     "op5_token_counts": op5_token_counts,
+    "op6_language_id": op6_language_id,
+    "op7_warc": op7_warc,
+    "op8_quality": op8_quality,
+    "op9_hmm": op9_hmm,
     "op10_mixing": op10_mixing,
 }
 
@@ -57,6 +94,13 @@ SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles,
   least(s.doc_id, coalesce((SELECT min(other) FROM r WHERE r.doc_id = s.doc_id), s.doc_id)) AS component_id,
   CAST((SELECT count(*) FROM p WHERE p.x = s.doc_id) AS BIGINT) AS n_links
 FROM s""",
+    "op7_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha256(coalesce(html, '')) AS d FROM pages),
+q AS (SELECT *, octet_length(b) AS n, min(page_id) OVER (PARTITION BY d) AS owner FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 100 AND page_id <> owner THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> owner THEN owner END AS refers_to
+FROM q""",
     "op10_mixing": rf"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size,
