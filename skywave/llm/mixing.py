@@ -48,8 +48,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_repea
         .withColumn("all_weight", F.sum("weight").over(everything))
         .withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.col("all_weight") - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
     )
-    # the level that holds is that of the first source whose cap is not reached
-    held = level.withColumn("held", F.min(F.when(F.col("ratio") > F.col("level"), F.col("level"))).over(everything))
+    # levels rise while sources reach their caps and fall after that: the largest is that of the first that does not
+    held = level.withColumn("held", F.max(F.when(F.col("ratio") > F.col("level"), F.col("level"))).over(everything))
     return held.select("source", "source_size", F.when(F.col("held").isNull() | (F.col("ratio") <= F.col("held")), F.col("cap")).otherwise(F.col("weight") * F.col("held")).alias("target"))
 
 

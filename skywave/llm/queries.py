@@ -109,7 +109,7 @@ z AS (SELECT source, CAST(sum(size) AS DOUBLE) AS source_size FROM d GROUP BY so
 n AS (SELECT *, 3.0::DOUBLE * source_size AS cap, (CAST([5.0, 2.0, 1.0] AS DOUBLE[]))[(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1] AS weight FROM z),
 l AS (SELECT *, cap / weight AS ratio, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
   FROM n WINDOW b AS (ORDER BY cap / weight, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-h AS (SELECT *, min(CASE WHEN ratio > level THEN level END) OVER () AS held FROM l),
+h AS (SELECT *, max(CASE WHEN ratio > level THEN level END) OVER () AS held FROM l),
 t AS (SELECT source, source_size, CASE WHEN held IS NULL OR ratio <= held THEN cap ELSE weight * held END AS target FROM h),
 q AS (SELECT d.*, t.source_size, t.target, sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
