@@ -57,7 +57,7 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tunes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0")
+    o = table(spark, sf_dir, "orders")
     return o.selectExpr("o_orderstatus AS capture_id", "CAST(o_custkey*1000 % 200000 AS BIGINT) AS sample_start").distinct().withColumn("frequency", F.expr("1e6D + (sample_start div 1000) % 5 * 100"))
 
 
@@ -91,7 +91,7 @@ SQL = {
     "fx_annotations": """fx_annotations AS (SELECT o_orderstatus AS capture_id, o_orderkey AS ann_id, o_orderkey*97 % 200000 AS sample_start,
   CAST(50 + floor(o_totalprice) % 900 AS BIGINT) AS sample_count, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE -32.0 + o_custkey % 60 END AS freq_lower_edge,
   CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE -31.0 + o_custkey % 60 + o_orderkey % 4 END AS freq_upper_edge, o_orderpriority AS label FROM orders)""",
-    "fx_tunes": "fx_tunes AS (SELECT *, 1e6 + (sample_start // 1000) % 5 * 100 AS frequency FROM (SELECT DISTINCT o_orderstatus AS capture_id, o_custkey*1000 % 200000 AS sample_start FROM orders WHERE o_orderkey % 50 = 0))",
+    "fx_tunes": "fx_tunes AS (SELECT *, 1e6 + (sample_start // 1000) % 5 * 100 AS frequency FROM (SELECT DISTINCT o_orderstatus AS capture_id, o_custkey*1000 % 200000 AS sample_start FROM orders))",
     "fx_frames": "fx_frames AS (SELECT user_id % 5 AS channel, date_diff('day', TIMESTAMP '2024-01-01', ts) AS frame_id, event_id % 16 AS patch, avg(least(value/200.0, 1.0)) AS p FROM events GROUP BY ALL)",
     "fx_pred": "fx_pred AS (SELECT doc_id AS item, doc_id % 8 * 10 - 40 AS snr_db, (length(lang) + doc_id) % 3 = 0 AS pred, quality = 1 AS gt, toxic = 1 AS texture FROM labels JOIN documents USING (doc_id))",
 }

@@ -29,7 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None):  # noqa: D401
     def register(f):
         QUERIES[f.__name__] = f
         if sql:
@@ -298,7 +298,7 @@ r AS (SELECT capture_id, power_db AS v, row_number() OVER (PARTITION BY capture_
 c AS (SELECT capture_id, sum(v * greatest(0, 1 - abs(r - (n - 1) * q))) AS c FROM r JOIN m USING (capture_id) GROUP BY 1)
 SELECT capture_id, round(c, 6) AS threshold, sum(CASE WHEN power_db >= c THEN 1 ELSE 0 END)::BIGINT AS hits FROM fx_cells JOIN c USING (capture_id) GROUP BY ALL""")
 def q6_threshold_like(spark: SparkSession, sf: str) -> DataFrame:
-    d = q.threshold_like(fx.cells(spark, sf), "power_db", F.col("power_db") > 75, "hit")
+    d = q.threshold_like(fx.cells(spark, sf), "power_db", F.col("power_db") > 50, "hit")
     return rounded(d.groupBy("capture_id", "threshold").agg(F.count_if("hit").alias("hits")), "threshold")
 
 
@@ -328,3 +328,453 @@ r AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY ok DESC, sco
 def q10_select_components(spark: SparkSession, sf: str) -> DataFrame:
     d = fx.boxes(spark, sf).select("capture_id", F.col("box_id").alias("component"), F.col("score_peak").alias("score"), (F.col("filled_area") / 100).alias("share"))
     return q.select_components(d, group=("capture_id",)).select("capture_id", "component")
+
+# ---------------------------------------------------------------- windows
+
+_BOX = C + """, o AS (SELECT unnest(range(-{a}, {a} + 1)) AS df), p AS (SELECT unnest(range(-{b}, {b} + 1)) AS dt),
+m1 AS (SELECT c.capture_id, c.f, c.t, avg(s.{x}) AS v FROM {src} c, o, {src} s WHERE s.capture_id = c.capture_id AND s.t = c.t AND s.f = least(greatest(c.f + df, 0), 63) GROUP BY ALL),
+m2 AS (SELECT c.capture_id, c.f, c.t, avg(s.v) AS v FROM m1 c, p, m1 s WHERE s.capture_id = c.capture_id AND s.f = c.f AND s.t = least(greatest(c.t + dt, 0), 47) GROUP BY ALL)"""
+
+
+def _box(a: int, b: int, x: str = "power_db", src: str = "fx_cells", before: str = "") -> str:
+    return _BOX.replace("{a}", str(a)).replace("{b}", str(b)).replace("{x}", x).replace("{src}", src).replace(", o AS", f"{before}, o AS", 1)
+
+
+@query(_box(2, 4) + " SELECT capture_id, f, t, round(v, 6) AS v FROM m2")
+def n2_box_mean(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(wn.box_mean(_long(fx.cells(spark, sf), "f", "t"), "power_db", "v", 5, 9).select(*KEY, "v"), "v")
+
+
+_VOTES = C + """, m0 AS (SELECT capture_id, f, t, CASE WHEN power_db > 50 THEN 1 ELSE 0 END AS m FROM fx_cells), o AS (SELECT unnest([-1, 0, 1]) AS df), p AS (SELECT unnest([-1, 0, 1]) AS dt),
+v1 AS (SELECT c.capture_id, c.f, c.t, CASE WHEN sum(s.m) >= 5 THEN 1 ELSE 0 END AS m FROM m0 c, o, p, m0 s WHERE s.capture_id = c.capture_id AND s.f = least(greatest(c.f + df, 0), 63) AND s.t = least(greatest(c.t + dt, 0), 47) GROUP BY ALL),
+v2 AS (SELECT c.capture_id, c.f, c.t, sum(s.m) >= 5 AS m FROM v1 c, o, p, v1 s WHERE s.capture_id = c.capture_id AND s.f = least(greatest(c.f + df, 0), 63) AND s.t = least(greatest(c.t + dt, 0), 47) GROUP BY ALL)"""
+
+
+@query(_VOTES + " SELECT capture_id, f, t, m FROM v2")
+def n1_majority_votes(spark: SparkSession, sf: str) -> DataFrame:
+    d = _long(fx.cells(spark, sf), "f", "t").withColumn("m0", F.col("power_db") > 50)
+    return wn.majority_votes(d, "m0", "m", 2).select(*KEY, "m")
+
+
+_REL = ", fl AS (SELECT capture_id, quantile_cont(pow(10, power_db/10), 0.3) AS fl FROM fx_cells WHERE f >= 6 GROUP BY 1), rel AS (SELECT c.capture_id, f, t, least(greatest(10*log10(greatest(pow(10, power_db/10), 1e-20) / greatest(fl, 1e-20)), -5), 25) AS r FROM fx_cells c JOIN fl ON fl.capture_id = c.capture_id)"
+
+
+@query(_box(4, 16, "r", "rel", _REL) + " SELECT m2.capture_id, m2.f, m2.t, CASE WHEN m2.f >= 6 THEN round(greatest(r - v, 0), 6) ELSE 0.0 END AS support FROM m2 JOIN rel USING (capture_id, f, t)")
+def n3_local_relative_power(spark: SparkSession, sf: str) -> DataFrame:
+    d = wn.local_relative_power(_long(fx.cells(spark, sf), "f", "t"), out="support", valid=F.col("f") >= 6)
+    return rounded(d.select(*KEY, "support"), "support")
+
+
+@query(_box(4, 4) + """, r AS (SELECT m2.capture_id, m2.f, m2.t, greatest(power_db - v, 0) AS r FROM m2 JOIN fx_cells c ON c.capture_id = m2.capture_id AND c.f = m2.f AND c.t = m2.t),
+b AS (SELECT capture_id, quantile_cont(r, 0.05) AS lo, quantile_cont(r, 0.99) AS hi FROM r GROUP BY 1) SELECT capture_id, f, t, round(least(greatest((r - lo) / (hi - lo), 0), 1), 6) AS residual FROM r JOIN b USING (capture_id)""")
+def n4_residual_background(spark: SparkSession, sf: str) -> DataFrame:
+    d = wn.residual_background(_long(fx.cells(spark, sf), "f", "t"), wn.background_width(fx.ROWS), wn.background_width(fx.COLS))
+    return rounded(d.select(*KEY, "residual"), "residual")
+
+
+@query(C + """, kf AS (SELECT d, exp(-0.5 * (d / 2.0) ** 2) AS w FROM (SELECT unnest(range(-8, 9)) AS d)), kt AS (SELECT d, exp(-0.5 * (d / 1.5) ** 2) AS w FROM (SELECT unnest(range(-6, 7)) AS d)),
+rf AS (SELECT capture_id, f, avg(power_db) AS m FROM fx_cells GROUP BY 1, 2), ct AS (SELECT capture_id, t, avg(power_db) AS m FROM fx_cells GROUP BY 1, 2),
+sf AS (SELECT a.capture_id, a.f, sum(w * b.m) / sum(w) AS s FROM rf a, kf, rf b WHERE a.capture_id = b.capture_id AND b.f = least(greatest(a.f + d, 0), 63) GROUP BY 1, 2),
+st AS (SELECT a.capture_id, a.t, sum(w * b.m) / sum(w) AS s FROM ct a, kt, ct b WHERE a.capture_id = b.capture_id AND b.t = least(greatest(a.t + d, 0), 47) GROUP BY 1, 2), g AS (SELECT capture_id, avg(power_db) AS g FROM fx_cells GROUP BY 1)
+SELECT c.capture_id, c.f, c.t, round(sf.s + st.s - g, 6) AS trend FROM fx_cells c JOIN sf ON sf.capture_id = c.capture_id AND sf.f = c.f JOIN st ON st.capture_id = c.capture_id AND st.t = c.t JOIN g ON g.capture_id = c.capture_id""")
+def n6_trend_map(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(wn.trend_map(_long(fx.cells(spark, sf), "f", "t"), fx.ROWS, fx.COLS).select(*KEY, "trend"), "trend")
+
+
+@query(C + """, m AS (SELECT capture_id, f, t, power_db > 50 AS m FROM fx_cells), d AS (SELECT capture_id, f, t, bool_or(m) OVER (PARTITION BY capture_id, t ORDER BY f ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS m FROM m),
+e AS (SELECT capture_id, f, t, bool_and(m) OVER w AND count(*) OVER w = 7 AS m FROM d WINDOW w AS (PARTITION BY capture_id, t ORDER BY f ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)) SELECT * FROM e""")
+def n10_closing(spark: SparkSession, sf: str) -> DataFrame:
+    d = _long(fx.cells(spark, sf), "f", "t").withColumn("m0", F.col("power_db") > 50)
+    return wn.closing(d, "m0", "m", 7, 1).select(*KEY, "m")
+
+
+_RUNS = C + """, m AS (SELECT capture_id, f, t, power_db > 50 AS m FROM fx_cells), i AS (SELECT capture_id, f, t, t - row_number() OVER (PARTITION BY capture_id, f ORDER BY t) AS k FROM m WHERE m),
+r AS (SELECT capture_id, f, min(t) AS a, max(t) + 1 AS b FROM i GROUP BY capture_id, f, k)"""
+
+
+@query(_RUNS + " SELECT capture_id, f, a AS start, b AS stop FROM r")
+def n13_true_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return _long(wn.true_runs(fx.cells(spark, sf).withColumn("m", F.col("power_db") > 50), "m").drop("frame_id"), "f", "start", "stop")
+
+
+@query(_RUNS + """, x AS (SELECT *, lead(a) OVER w AS na, lead(b) OVER w AS nb FROM r WINDOW w AS (PARTITION BY capture_id, f ORDER BY a)),
+g AS (SELECT * FROM x WHERE na - b <= 3 AND (b - a + nb - na) / CAST(nb - a AS DOUBLE) >= 0.6)
+SELECT m.capture_id, m.f, m.t, m.m OR EXISTS (SELECT 1 FROM g WHERE g.capture_id = m.capture_id AND g.f = m.f AND m.t >= g.b AND m.t < g.na) AS filled FROM m""")
+def n12_fill_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    d = _long(fx.cells(spark, sf), "f", "t").withColumn("m", F.col("power_db") > 50)
+    return wn.fill_gaps(d, "m", "filled", 3, 0.6).select(*KEY, "filled")
+
+
+@query(C + """, n AS (SELECT c.capture_id, c.f, c.t, sum(s.power_db * df * (2 - abs(dt))) AS gf, sum(s.power_db * dt * (2 - abs(df))) AS gt FROM fx_cells c, (SELECT unnest([-1, 0, 1]) AS df), (SELECT unnest([-1, 0, 1]) AS dt), fx_cells s
+  WHERE s.capture_id = c.capture_id AND s.f = least(greatest(c.f + df, 0), 63) AND s.t = least(greatest(c.t + dt, 0), 47) GROUP BY ALL) SELECT capture_id, f, t, round(sqrt(gf*gf + gt*gt), 5) AS grad FROM n""")
+def n14_sobel(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(wn.sobel_magnitude(_long(fx.cells(spark, sf), "f", "t"), "power_db", "grad").select(*KEY, "grad"), "grad", digits=5)
+
+
+@query(C + """, n AS (SELECT c.capture_id, c.f, c.t, avg(abs(c.power_db - s.power_db)) AS v FROM fx_cells c, (SELECT unnest([0, 0, 1, -1, 1, -1]) AS df, unnest([1, -1, 0, 0, 1, -1]) AS dt), fx_cells s
+  WHERE s.capture_id = c.capture_id AND s.f = (c.f + df + 64) % 64 AND s.t = (c.t + dt + 48) % 48 GROUP BY ALL) SELECT capture_id, f, t, round(v, 6) AS v FROM n""")
+def n15_incoherence(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(wn.incoherence(_long(fx.cells(spark, sf), "f", "t"), "power_db", "v", fx.ROWS, fx.COLS).select(*KEY, "v"), "v")
+
+
+@query(_box(1, 1).replace("range(-1, 1 + 1)) AS df", "range(0, 1)) AS df").replace("range(-1, 1 + 1)) AS dt", "range(-3, 4)) AS dt") + """,
+b AS (SELECT capture_id, quantile_cont(v, 0.05) AS lo, quantile_cont(v, 0.95) AS hi FROM m2 GROUP BY 1) SELECT capture_id, f, t, round(least(greatest((v - lo) / (hi - lo), 0), 1), 6) AS u FROM m2 JOIN b USING (capture_id)""")
+def n8_time_mean(spark: SparkSession, sf: str) -> DataFrame:
+    d = wn.box_mean(_long(fx.cells(spark, sf), "f", "t"), "power_db", "m", 1, 7)
+    return rounded(q.normalize_local(d, "m", "u").select(*KEY, "u"), "u")
+
+
+@query()
+def n7_signal_agnostic_map(spark: SparkSession, sf: str) -> DataFrame:
+    return wn.signal_agnostic_map(fx.cells(spark, sf), fx.ROWS, fx.COLS).select(*KEY, "grey")
+
+
+@query()
+def n8_seed_map(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(wn.seed_map(fx.cells(spark, sf), "power_db").select(*KEY, "seed"), "seed")
+
+
+@query()
+def n9_burst_companion(spark: SparkSession, sf: str) -> DataFrame:
+    d = fx.cells(spark, sf).withColumn("gate", F.col("power_db")).withColumn("residual", F.abs(F.col("power_db") - 50))
+    return rounded(wn.burst_companion(d, fx.COLS, "gate", "residual").select(*KEY, "companion"), "companion")
+
+
+# ---------------------------------------------------------------- components and boxes
+
+_COMP = _RUNS.replace("WITH ", "WITH RECURSIVE ", 1).replace("power_db > 50", "power_db > 52") + """,
+n AS (SELECT capture_id, f, a, b, f * 1000 + a AS id FROM r), e AS (SELECT x.capture_id, x.id AS p, y.id AS q FROM n x JOIN n y ON x.capture_id = y.capture_id AND abs(x.f - y.f) = 1 AND x.a < y.b AND y.a < x.b),
+w AS (SELECT capture_id, id, id AS o FROM n UNION SELECT w.capture_id, w.id, e.q FROM w JOIN e ON e.capture_id = w.capture_id AND e.p = w.o),
+l AS (SELECT capture_id, id, min(o) AS root FROM w GROUP BY 1, 2), k AS (SELECT n.*, dense_rank() OVER (PARTITION BY n.capture_id ORDER BY root) AS component FROM n JOIN l ON l.capture_id = n.capture_id AND l.id = n.id)"""
+
+
+def _components(spark: SparkSession, sf: str) -> DataFrame:
+    return cp.connected_components(fx.cells(spark, sf).withColumn("m", F.col("power_db") > 52), "m")
+
+
+@query(_COMP + " SELECT capture_id, f, a AS start, b AS stop, component FROM k")
+def g1_components(spark: SparkSession, sf: str) -> DataFrame:
+    return _long(_components(spark, sf).drop("frame_id"), "f", "start", "stop", "component")
+
+
+@query(_COMP + """ SELECT k.capture_id, component, min(k.f) AS freq_start, max(k.f) + 1 AS freq_stop, min(c.t) AS time_start, max(c.t) + 1 AS time_stop, count(*) AS filled_area, round(avg(power_db), 6) AS score_mean, round(max(power_db), 6) AS score_peak
+FROM k JOIN fx_cells c ON c.capture_id = k.capture_id AND c.f = k.f AND c.t >= k.a AND c.t < k.b GROUP BY 1, 2""")
+def g2_component_table(spark: SparkSession, sf: str) -> DataFrame:
+    cells = cp.component_cells(_components(spark, sf))
+    d = cp.component_table(cells, fx.cells(spark, sf), "power_db").drop("frame_id", "freq_span", "time_span", "bbox_density")
+    return rounded(_long(d, "component", "freq_start", "freq_stop", "time_start", "time_stop"), "score_mean", "score_peak")
+
+
+@query(_COMP + """, s AS (SELECT k.capture_id, component, c.t, max(k.f) - min(k.f) + 1 AS span FROM k JOIN fx_cells c ON c.capture_id = k.capture_id AND c.f = k.f AND c.t >= k.a AND c.t < k.b GROUP BY 1, 2, 3)
+SELECT capture_id, component, CAST(sum(span) AS BIGINT) AS envelope_area FROM s GROUP BY 1, 2""")
+def g3_envelope_area(spark: SparkSession, sf: str) -> DataFrame:
+    return _long(cp.envelope_area(cp.component_cells(_components(spark, sf))).drop("frame_id"), "component")
+
+
+@query(_COMP + """, z AS (SELECT capture_id, component FROM k GROUP BY 1, 2 HAVING sum(b - a) >= 6)
+SELECT c.capture_id, c.f, c.t, EXISTS (SELECT 1 FROM k JOIN z USING (capture_id, component) WHERE k.capture_id = c.capture_id AND k.f = c.f AND c.t >= k.a AND c.t < k.b) AS m FROM fx_cells c""")
+def g14_remove_small(spark: SparkSession, sf: str) -> DataFrame:
+    d = _long(fx.cells(spark, sf), "f", "t").withColumn("m0", F.col("power_db") > 52)
+    return cp.remove_small(d, "m0", "m", 6).select(*KEY, "m")
+
+
+@query()
+def g4_split_components(spark: SparkSession, sf: str) -> DataFrame:
+    d = cp.split_components(cp.component_cells(_components(spark, sf)))
+    return d.groupBy("capture_id", "component", "split_role").agg(F.count("*").alias("n"))
+
+
+@query()
+def g5_group_regions(spark: SparkSession, sf: str) -> DataFrame:
+    d = fx.cells(spark, sf).withColumn("m", F.col("power_db") > 52)
+    return cp.group_regions(d, "m", "power_db", Grouping()).drop("frame_id")
+
+
+_PAIRS = with_views("fx_boxes", recursive=True) + """, p AS (SELECT a.capture_id, a.box_id AS a, b.box_id AS b, a.split_role AS ra, b.split_role AS rb FROM fx_boxes a JOIN fx_boxes b ON a.capture_id = b.capture_id AND a.box_id < b.box_id
+  AND a.freq_start < b.freq_stop AND b.freq_start < a.freq_stop AND a.time_start < b.time_stop AND b.time_start < a.time_stop)"""
+
+
+@query(_PAIRS + " SELECT capture_id, count(*) AS pairs, CAST(sum(a % 1000 + b % 1000) AS BIGINT) AS digest FROM p GROUP BY 1")
+def g9_overlapping_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return bx.overlapping_pairs(fx.boxes(spark, sf)).groupBy("capture_id").agg(F.count("*").alias("pairs"), F.sum(F.col("a") % 1000 + F.col("b") % 1000).alias("digest"))
+
+
+@query(_PAIRS + """, e AS (SELECT a, b FROM p WHERE NOT (ra <> rb AND ra <> 'unsplit' AND rb <> 'unsplit') UNION ALL SELECT b, a FROM p WHERE NOT (ra <> rb AND ra <> 'unsplit' AND rb <> 'unsplit')),
+w AS (SELECT box_id AS a, box_id AS o FROM fx_boxes UNION SELECT w.a, e.b FROM w JOIN e ON e.a = w.o), l AS (SELECT a, min(o) AS cluster_id FROM w GROUP BY 1)
+SELECT capture_id, cluster_id, CAST(count(*) AS BIGINT) AS n_boxes, min(freq_start) AS freq_start, max(freq_stop) AS freq_stop, CAST(sum(filled_area) AS BIGINT) AS filled_area,
+  round(sum(score_mean * greatest(filled_area, 1)) / sum(greatest(filled_area, 1)), 6) AS score_mean, CASE WHEN min(split_role) = max(split_role) THEN min(split_role) ELSE 'mixed' END AS split_role
+FROM l JOIN fx_boxes ON box_id = a GROUP BY 1, 2""")
+def g11_box_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    d = bx.cluster_boxes(fx.boxes(spark, sf))
+    return rounded(d.select("capture_id", "cluster_id", "n_boxes", "freq_start", "freq_stop", "filled_area", "score_mean", "split_role"), "score_mean")
+
+
+@query(with_views("fx_boxes") + """, b AS (SELECT *, box_id % 3 AS chunk_index FROM fx_boxes)
+SELECT capture_id, box_id, greatest(0, least(600, freq_start + chunk_index * 200)) AS freq_start, greatest(0, least(600, freq_stop + chunk_index * 200)) AS freq_stop, least(time_start, 4000) AS time_start, least(time_stop, 4000) AS time_stop
+FROM b WHERE least(600, freq_stop + chunk_index * 200) > least(600, freq_start + chunk_index * 200) AND least(time_stop, 4000) > least(time_start, 4000)""")
+def g8_project_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    b = fx.boxes(spark, sf).withColumn("chunk_index", F.col("box_id") % 3)
+    chunks = b.select("capture_id", "chunk_index").distinct().withColumn("row_start", F.col("chunk_index") * 200)
+    return bx.project_boxes(b, chunks, 600, 4000).select("capture_id", "box_id", "freq_start", "freq_stop", "time_start", "time_stop")
+
+
+@query(C + """, b AS (SELECT capture_id, 5 AS fa, 12 AS fb, 3 AS ta, 9 AS tb FROM (SELECT DISTINCT capture_id FROM fx_cells) UNION ALL SELECT capture_id, 10, 30, 8, 20 FROM (SELECT DISTINCT capture_id FROM fx_cells WHERE capture_id <> 'A'))
+SELECT capture_id, f, t, EXISTS (SELECT 1 FROM b WHERE b.capture_id = c.capture_id AND f >= fa AND f < fb AND t >= ta AND t < tb) AS mask FROM fx_cells c""")
+def g10_boxes_to_mask(spark: SparkSession, sf: str) -> DataFrame:
+    cells = _long(fx.cells(spark, sf), "f", "t")
+    cap = cells.select("capture_id").distinct()
+    one = cap.selectExpr("capture_id", "5L AS freq_start", "12L AS freq_stop", "3L AS time_start", "9L AS time_stop")
+    two = cap.where("capture_id <> 'A'").selectExpr("capture_id", "10L AS freq_start", "30L AS freq_stop", "8L AS time_start", "20L AS time_stop")
+    return bx.boxes_to_mask(cells, one.union(two)).select(*KEY, "mask")
+
+
+# ---------------------------------------------------------------- merge
+
+
+@query(C + """, k AS (SELECT unnest([0, 15, 30]) AS a, unnest([20, 35, 64]) AS b, unnest([0, 1, 2]) AS i), x AS (SELECT capture_id, f, t, power_db, 0.2 + 0.8 * (0.5 - 0.5 * cos(2 * pi() * (f - a) / (b - a - 1))) / (0.5 - 0.5 * cos(2 * pi() * floor((b - a - 1) / 2) / (b - a - 1))) AS w FROM fx_cells JOIN k ON f >= a AND f < b)
+SELECT capture_id, f, t, round(sum(w * power_db) / sum(w), 6) AS power_db FROM x GROUP BY 1, 2, 3""")
+def d3_blend(spark: SparkSession, sf: str) -> DataFrame:
+    captures = fx.axis(spark, sf).select("capture_id").distinct()
+    chunks = captures.withColumn("c", F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("chunk_index"), F.lit(a).alias("row_start"), F.lit(b).alias("row_stop")) for i, (a, b) in enumerate([(0, 20), (15, 35), (30, 64)])]))).select("capture_id", "c.*")
+    cells = fe.assign_chunks(_long(fx.cells(spark, sf), "f", "t"), chunks).drop("row_start", "row_stop").withColumn("valid", F.lit(True))
+    return rounded(mg.blend_chunks(cells, chunks, ["power_db"]).select(*KEY, "power_db"), "power_db")
+
+
+@query(C + """, a AS (SELECT capture_id, quantile_cont(power_db, 0.05) AS lo, quantile_cont(power_db, 0.95) AS hi, quantile_cont(abs(f - 20.0), 0.05) AS glo, quantile_cont(abs(f - 20.0), 0.95) AS ghi FROM fx_cells GROUP BY 1),
+x AS (SELECT capture_id, f, t, least(greatest((power_db - lo) / (hi - lo), 0), 1) * (0.25 + 0.75 * least(greatest((abs(f - 20.0) - glo) / (ghi - glo), 0), 1)) AS x FROM fx_cells JOIN a USING (capture_id)),
+b AS (SELECT capture_id, quantile_cont(x, 0.05) AS lo, quantile_cont(x, 0.95) AS hi FROM x GROUP BY 1) SELECT capture_id, f, t, round(least(greatest((x - lo) / (hi - lo), 0), 1), 6) AS gated FROM x JOIN b USING (capture_id)""")
+def d7_soft_gate(spark: SparkSession, sf: str) -> DataFrame:
+    d = _long(fx.cells(spark, sf), "f", "t").withColumn("gate", F.abs(F.col("f") - 20.0))
+    return rounded(mg.soft_gate(d, "power_db", "gate", "gated").select(*KEY, "gated"), "gated")
+
+
+@query()
+def w1_floor_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(detect.floor_boxes(fx.cells(spark, sf), fx.axis(spark, sf)), "score_mean", "score_peak", "density")
+
+
+@query()
+def w1_coherent_power_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    plan = Chunking(bandwidth_hz=2.0e6, overlap_hz=0.5e6, min_rows=8)
+    return rounded(detect.coherent_power_boxes(fx.cells(spark, sf), fx.axis(spark, sf), chunking=plan), "score_mean", "score_peak", "density")
+
+
+# ---------------------------------------------------------------- patch graph
+
+_P = with_views("fx_patches")
+_KNN = _P + """, u AS (SELECT node, pr, pc, list_transform(x, lambda v: v / sqrt(list_sum(list_transform(x, lambda z: z * z)))) AS x FROM fx_patches),
+d AS (SELECT a.node AS src, b.node AS dst, 1 - list_inner_product(a.x, b.x) AS d FROM u a JOIN u b ON a.node <> b.node),
+r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(d, 9), dst) AS r FROM d), k AS (SELECT src, dst, d FROM r WHERE r <= 8)"""
+
+
+def _knn(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    p = fx.patches(spark, sf).drop("label")
+    return p, stored(gr.knn(p, ["capture_id"], 8), "knn")
+
+
+@query(_P + """, m AS (SELECT i, avg(x[i]) AS m, stddev_pop(x[i]) AS s FROM fx_patches, (SELECT unnest(range(1, 9)) AS i) GROUP BY 1)
+SELECT node, round(sum((x[i] - m) / (s + 1e-8)), 6) AS total FROM fx_patches JOIN m ON true GROUP BY 1""")
+def i1_standardize(spark: SparkSession, sf: str) -> DataFrame:
+    d = gr.standardize(fx.patches(spark, sf), ["capture_id"], dims=8)
+    return rounded(d.select("node", F.aggregate("x", F.lit(0.0), lambda s, v: s + v).alias("total")), "total")
+
+
+@query(_P + """, m AS (SELECT i, avg(x[i]) AS m FROM fx_patches, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1), c AS (SELECT node, i, x[i] - m AS v FROM fx_patches JOIN m ON true), n AS (SELECT node, greatest(sqrt(sum(v * v)), 1e-6) AS n FROM c GROUP BY 1)
+SELECT node, round(max(v / n), 6) AS largest, round(sum(v / n), 5) AS total FROM c JOIN n USING (node) GROUP BY 1""")
+def i5_centre_normalize(spark: SparkSession, sf: str) -> DataFrame:
+    d = gr.centre_and_normalize(fx.patches(spark, sf), ["capture_id"]).select("node", F.array_max("x").alias("largest"), F.aggregate("x", F.lit(0.0), lambda s, v: s + v).alias("total"))
+    return rounded(rounded(d, "largest"), "total", digits=5)
+
+
+@query(_KNN + " SELECT src, dst, round(d, 6) AS distance FROM k")
+def i6_knn(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_knn(spark, sf)[1].drop("capture_id"), "distance")
+
+
+_AFF = _KNN + ", s AS (SELECT greatest(quantile_cont(d, 0.5), 1e-3) AS s FROM k WHERE d > 0), w AS (SELECT src, dst, exp(-d*d / (2*s*s)) AS w FROM k, s), a AS (SELECT src, dst, max(w) AS w FROM (SELECT * FROM w UNION ALL SELECT dst, src, w FROM w) GROUP BY 1, 2)"
+
+
+@query(_AFF + " SELECT src, dst, round(w, 6) AS weight FROM a")
+def i7_affinity(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(gr.affinity(_knn(spark, sf)[1], ["capture_id"]).drop("capture_id"), "weight")
+
+
+@query(_AFF + """, r8 AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst DESC) AS r FROM a), t AS (SELECT src, dst, w FROM r8 WHERE r <= 8), m AS (SELECT t.* FROM t JOIN t u ON t.src = u.dst AND t.dst = u.src)
+SELECT src, dst, round(w, 6) AS weight FROM m WHERE w >= (SELECT quantile_cont(w, 0.4) FROM m)""")
+def i8_mutual_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(gr.mutual_edges(gr.affinity(_knn(spark, sf)[1], ["capture_id"]), ["capture_id"]).drop("capture_id"), "weight")
+
+
+@query(_AFF + """, g AS (SELECT x.node AS src, y.node AS dst FROM u x JOIN u y ON x.node <> y.node AND abs(x.pr - y.pr) <= 1 AND abs(x.pc - y.pc) <= 1)
+SELECT src, dst, round(max(w), 6) AS weight FROM (SELECT src, dst, w FROM a WHERE w > 0.5 UNION ALL SELECT a.src, a.dst, 0.2 * w FROM a JOIN g ON g.src = a.src AND g.dst = a.dst) GROUP BY 1, 2""")
+def i9_shortcuts(spark: SparkSession, sf: str) -> DataFrame:
+    p, knn = _knn(spark, sf)
+    a = stored(gr.affinity(knn, ["capture_id"]), "affinity")
+    return rounded(gr.with_shortcuts(a.where("weight > 0.5"), a, gr.grid_pairs(p, ["capture_id"]), ["capture_id"]).drop("capture_id"), "weight")
+
+
+@query(_AFF + """, e AS (SELECT src, dst, w FROM a UNION ALL SELECT node, node, 1.0 FROM u), z AS (SELECT src, sum(w) AS z FROM e GROUP BY 1), t AS (SELECT e.src, e.dst, w / z AS p FROM e JOIN z USING (src)),
+d2 AS (SELECT x.src AS node, sum(x.p * y.p) AS v FROM t x JOIN t y ON x.dst = y.src AND y.dst = x.src GROUP BY 1), d3 AS (SELECT x.src AS node, sum(x.p * y.p * q.p) AS v FROM t x JOIN t y ON x.dst = y.src JOIN t q ON y.dst = q.src AND q.dst = x.src GROUP BY 1), dg AS (SELECT src AS node, sum(w) AS v FROM a GROUP BY 1)
+SELECT d2.node, round(dg.v, 6) AS degree, round(d2.v, 6) AS two_step, round(d3.v, 6) AS three_step FROM d2 JOIN d3 USING (node) JOIN dg USING (node)""")
+def i10_return_probabilities(spark: SparkSession, sf: str) -> DataFrame:
+    p, knn = _knn(spark, sf)
+    return rounded(gr.return_probabilities(gr.affinity(knn, ["capture_id"]), p, ["capture_id"]).drop("capture_id"), "degree", "two_step", "three_step")
+
+
+@query()
+def i11_grow_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    p, knn = _knn(spark, sf)
+    a = stored(gr.affinity(knn, ["capture_id"]), "affinity")
+    return gr.grow_seeds(gr.affinity_scores(a, p, ["capture_id"]), a, gr.grid_pairs(p, ["capture_id"]), ["capture_id"])
+
+
+@query(_P + """, c AS (SELECT node, x, label + x[1] AS cue FROM fx_patches), b AS (SELECT quantile_cont(cue, 0.2) AS a, quantile_cont(cue, 0.92) AS z FROM c),
+s AS (SELECT CASE WHEN cue <= a THEN 'noise' ELSE 'signal' END AS side, x FROM c, b WHERE cue <= a OR cue >= z) SELECT side, i - 1 AS ch, round(avg(x[i]), 6) AS mean, round(var_pop(x[i]) + 1e-3, 6) AS var FROM s, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2""")
+def i22_prototypes(spark: SparkSession, sf: str) -> DataFrame:
+    d = fx.patches(spark, sf).withColumn("cue", F.col("label") + F.col("x")[0])
+    return rounded(_long(gr.prototypes(d, "cue", ["capture_id"]).drop("capture_id"), "ch"), "mean", "var")
+
+
+@query()
+def i23_prototype_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    d = fx.patches(spark, sf).withColumn("cue", F.col("label") + F.col("x")[0])
+    return rounded(gr.prototype_ratio(d, gr.prototypes(d, "cue", ["capture_id"]), ["capture_id"]), "ratio")
+
+
+@query(_KNN + """, s AS (SELECT greatest(quantile_cont(d, 0.5), 1e-6) AS s FROM k WHERE d > 0), w0 AS (SELECT src, dst, exp(-d*d / (2*s*s)) AS w FROM k, s), w AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS w FROM w0),
+p0 AS (SELECT node, (node % 10) / 9.0::DOUBLE AS p FROM u), p1 AS (SELECT p0.node, 0.82 * sum(w * y.p) + 0.18 * any_value(p0.p) AS p FROM p0 JOIN w ON w.src = p0.node JOIN p0 y ON y.node = w.dst GROUP BY 1),
+p2 AS (SELECT p0.node, 0.82 * sum(w * y.p) + 0.18 * any_value(p0.p) AS p FROM p0 JOIN w ON w.src = p0.node JOIN p1 y ON y.node = w.dst GROUP BY 1) SELECT node, round(p, 6) AS p FROM p2""")
+def i27_propagate(spark: SparkSession, sf: str) -> DataFrame:
+    p, knn = _knn(spark, sf)
+    return rounded(gr.propagate(p.select("capture_id", "node", ((F.col("node") % 10) / 9.0).alias("p")), knn, ["capture_id"]).drop("capture_id"), "p")
+
+
+# ---------------------------------------------------------------- truth
+
+_A = with_views("fx_annotations", "fx_tunes")
+
+
+@query(_A + """, w AS (SELECT unnest(range(0, 200000, 4096)) AS s)
+SELECT capture_id, s AS win_start, ann_id, greatest(sample_start, s) AS start, least(sample_start + sample_count, s + 4096) AS stop, label FROM fx_annotations JOIN w ON sample_start < s + 4096 AND sample_start + sample_count > s""")
+def j1_window_annotations(spark: SparkSession, sf: str) -> DataFrame:
+    windows = spark.range(0, 200000, 4096).withColumnRenamed("id", "win_start")
+    return tr.window_annotations(fx.annotations(spark, sf), windows, 4096).drop("freq_lower_edge", "freq_upper_edge")
+
+
+@query(_A + """ SELECT a.capture_id, ann_id, a.sample_start, coalesce((SELECT max_by(frequency, t.sample_start) FROM fx_tunes t WHERE t.capture_id = a.capture_id AND t.sample_start <= a.sample_start),
+  (SELECT min_by(frequency, t.sample_start) FROM fx_tunes t WHERE t.capture_id = a.capture_id)) AS centre_hz FROM fx_annotations a""")
+def j2_centre_in_force(spark: SparkSession, sf: str) -> DataFrame:
+    return tr.centre_in_force(fx.annotations(spark, sf), fx.tunes(spark, sf))
+
+
+@query("SELECT o_orderkey, round(CASE WHEN abs(o_totalprice) > 2 * 50000.0 THEN o_totalprice - 75000.0 ELSE o_totalprice END, 4) AS offset_hz FROM (SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM orders)")
+def j3_offset_frequency(spark: SparkSession, sf: str) -> DataFrame:
+    d = fx.table(spark, sf, "orders").select("o_orderkey", sc.offset_frequency(F.col("o_totalprice").cast("double"), F.lit(75000.0), F.lit(50000.0)).alias("offset_hz"))
+    return rounded(d, "offset_hz", digits=4)
+
+
+@query(with_views("fx_axis") + """, x AS (SELECT capture_id, f, freq_hz, lag(freq_hz) OVER w AS p, lead(freq_hz) OVER w AS n FROM fx_axis WINDOW w AS (PARTITION BY capture_id ORDER BY f))
+SELECT capture_id, f, round(coalesce((p + freq_hz) / 2, freq_hz - (n - freq_hz) / 2), 3) AS lo, round(coalesce((n + freq_hz) / 2, freq_hz + (freq_hz - p) / 2), 3) AS hi FROM x""")
+def j5_cell_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_long(tr.cell_edges(fx.axis(spark, sf), "freq_hz", "f").drop("freq_hz"), "f"), "lo", "hi", digits=3)
+
+
+@query(_A + """, b AS (SELECT capture_id, (sample_start % 48) AS t0, (sample_start % 48) + sample_count / 100.0 AS t1, freq_lower_edge + 32 AS f0, freq_upper_edge + 32 AS f1 FROM fx_annotations)
+SELECT DISTINCT capture_id, f, t FROM b, (SELECT unnest(range(64)) AS f), (SELECT unnest(range(48)) AS t) WHERE (f0 IS NULL OR (f + 0.5 > least(f0, f1) AND f - 0.5 < greatest(f0, f1))) AND t + 0.5 > t0 AND t - 0.5 < t1""")
+def j6_annotation_mask(spark: SparkSession, sf: str) -> DataFrame:
+    a = fx.annotations(spark, sf)
+    b = a.selectExpr("capture_id", "ann_id AS box_id", "CAST(sample_start % 48 AS DOUBLE) AS t0", "sample_start % 48 + sample_count / 100.0D AS t1", "freq_lower_edge + 32 AS f0", "freq_upper_edge + 32 AS f1")
+    cap = a.select("capture_id").distinct()
+    rows = tr.cell_edges(cap.withColumn("f", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")))).withColumn("x", F.col("f").cast("double")), "x", "f")
+    cols = tr.cell_edges(cap.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(47).cast("long")))).withColumn("x", F.col("t").cast("double")), "x", "t")
+    return tr.annotation_mask(b, rows, cols)
+
+
+@query(_A + """, m AS (SELECT DISTINCT capture_id FROM fx_annotations WHERE sample_start < 64)
+SELECT capture_id, greatest(0, min(sample_start) - 16) AS start FROM fx_annotations GROUP BY 1 HAVING capture_id NOT IN (SELECT capture_id FROM m)""")
+def j8_default_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return tr.default_windows(fx.annotations(spark, sf), spark.range(1).withColumnRenamed("id", "win_start"), 64)
+
+
+# ---------------------------------------------------------------- metrics
+
+_M = with_views("fx_pred") + ", c AS (SELECT snr_db, CAST(count(*) FILTER (pred AND gt) AS DOUBLE) AS tp, count(*) FILTER (pred AND NOT gt) AS fp, count(*) FILTER (NOT pred AND gt) AS fn, count(*) FILTER (NOT pred AND NOT gt) AS tn FROM fx_pred GROUP BY 1)"
+
+
+@query(_M + """ SELECT snr_db, round(tp / greatest(tp + fp + fn, 1), 6) AS iou, round(tp / greatest(tp + fp, 1), 6) AS precision, round(tp / greatest(tp + fn, 1), 6) AS recall,
+  CASE WHEN tp > 0 THEN round(2 * (tp / greatest(tp + fp, 1)) * (tp / greatest(tp + fn, 1)) / (tp / greatest(tp + fp, 1) + tp / greatest(tp + fn, 1)), 6) ELSE 0.0 END AS f1 FROM c""")
+def a1_confusion(spark: SparkSession, sf: str) -> DataFrame:
+    d = me.confusion(fx.predictions(spark, sf), F.col("pred"), F.col("gt"), ["snr_db"])
+    return rounded(d.select("snr_db", "iou", "precision", "recall", "f1"), "iou", "precision", "recall", "f1")
+
+
+@query(_M + " SELECT snr_db, round(tp / (tp + fp + fn + 1e-8), 6) AS iou, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2*tp / nullif(2*tp + fp + fn, 0), 0), 6) AS f1 FROM c")
+def a2_segmentation(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(me.segmentation_metrics(fx.predictions(spark, sf), F.col("pred"), F.col("gt"), ["snr_db"]), "iou", "precision", "recall", "f1")
+
+
+@query(with_views("fx_pred") + " SELECT snr_db, round(count(*) FILTER (pred AND gt AND NOT texture) / CAST(nullif(count(*) FILTER (gt AND NOT texture), 0) AS DOUBLE), 6) AS gap_recall FROM fx_pred GROUP BY 1")
+def a3_gap_recall(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(me.gap_recall(fx.predictions(spark, sf), F.col("pred"), F.col("gt"), F.col("texture"), ["snr_db"]), "gap_recall")
+
+
+@query(C + """, m AS (SELECT capture_id, f, t, power_db > 50 AS m FROM fx_cells), d AS (SELECT capture_id, CAST(m <> lead(m) OVER (PARTITION BY capture_id, t ORDER BY f) AS INT) AS a, CAST(m <> lead(m) OVER (PARTITION BY capture_id, f ORDER BY t) AS INT) AS b FROM m)
+SELECT capture_id, round((avg(a) + avg(b)) / 2, 6) AS disagreement FROM d GROUP BY 1""")
+def a4_spatial_disagreement(spark: SparkSession, sf: str) -> DataFrame:
+    d = fx.cells(spark, sf).withColumn("m", F.col("power_db") > 50)
+    return rounded(me.spatial_disagreement(d, "m", ["capture_id"]), "disagreement")
+
+
+@query(with_views("fx_pred") + " SELECT snr_db, round(avg(CAST(pred AS INT)), 6) AS pred, round(avg(CAST(gt AS INT)), 6) AS gt, count(*) AS runs FROM fx_pred GROUP BY 1")
+def a5_sweep_summary(spark: SparkSession, sf: str) -> DataFrame:
+    d = fx.predictions(spark, sf).withColumns({c: F.col(c).cast("int") for c in ("pred", "gt")})
+    return rounded(me.sweep_summary(d, ["pred", "gt"]), "pred", "gt")
+
+
+@query(with_views("fx_pred") + ", r AS (SELECT snr_db, item, row_number() OVER (PARTITION BY snr_db ORDER BY CAST(pred = gt AS INT) DESC, item) AS r FROM fx_pred) SELECT snr_db, item FROM r WHERE r = 1")
+def a6_best_examples(spark: SparkSession, sf: str) -> DataFrame:
+    d = fx.predictions(spark, sf).withColumn("score", (F.col("pred") == F.col("gt")).cast("int"))
+    return me.best_examples(d, "score", ["item"]).select("snr_db", "item")
+
+
+@query(with_views("fx_pred") + " SELECT snr_db, s AS stage, round(avg(CAST(CASE s WHEN 'pred' THEN pred WHEN 'gt' THEN gt ELSE texture END AS INT)), 6) AS fraction FROM fx_pred, (SELECT unnest(['pred', 'gt', 'texture']) AS s) GROUP BY 1, 2")
+def a7_stage_fractions(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(me.stage_fractions(fx.predictions(spark, sf), ["pred", "gt", "texture"], ["snr_db"]), "fraction")
+
+
+@query(with_views("fx_frames") + " SELECT channel, round(avg(CASE WHEN p > 0.4 THEN 1.0 ELSE 0.0 END), 6) AS signal_fraction, round(coalesce(avg(1 - p) FILTER (p > 0.4), 0), 6) AS confidence FROM fx_frames GROUP BY 1")
+def a8_unlabelled(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(me.unlabelled_statistics(fx.frames(spark, sf), F.col("p") > 0.4, F.col("p"), ["channel"]), "signal_fraction", "confidence")
+
+
+@query(with_views("fx_frames") + " SELECT CAST(k / 20.0 AS DOUBLE) AS threshold, round(avg(CASE WHEN p >= CAST(k / 20.0 AS DOUBLE) THEN 1.0 ELSE 0.0 END), 6) AS fpr FROM fx_frames, (SELECT unnest(range(2, 20)) AS k) WHERE patch % 2 = 0 GROUP BY 1")
+def a9_false_alarms(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(me.false_alarm_curve(fx.frames(spark, sf), F.col("p"), F.col("patch") % 2 == 0, [k / 20 for k in range(2, 20)])[0], "fpr")
+
+
+@query(C + " SELECT capture_id, round(corr(power_db, f), 6) AS correlation FROM fx_cells GROUP BY 1")
+def a10_correlation(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(me.safe_correlation(fx.cells(spark, sf), "power_db", "f", ["capture_id"]), "correlation")
+
+
+@query(C + ", s AS (SELECT capture_id, f, abs(power_db - lag(power_db) OVER (PARTITION BY capture_id, t ORDER BY f)) AS s FROM fx_cells) SELECT capture_id, round(avg(s) FILTER (f IN (15, 20, 30, 35)), 6) AS at_boundary, round(avg(s) FILTER (f NOT IN (15, 20, 30, 35)), 6) AS elsewhere FROM s GROUP BY 1")
+def a11_boundary_energy(spark: SparkSession, sf: str) -> DataFrame:
+    captures = fx.axis(spark, sf).select("capture_id").distinct()
+    chunks = captures.withColumn("c", F.explode(F.array(F.struct(F.lit(15).alias("row_start"), F.lit(30).alias("row_stop")), F.struct(F.lit(20).alias("row_start"), F.lit(35).alias("row_stop"))))).select("capture_id", "c.*")
+    return rounded(me.boundary_energy(fx.cells(spark, sf), chunks, "power_db", ["capture_id"]), "at_boundary", "elsewhere")
+
+
+@query(C + ", s AS (SELECT capture_id, power_db, abs(power_db - lag(power_db) OVER (PARTITION BY capture_id, f ORDER BY t)) AS s FROM fx_cells) SELECT capture_id, round(avg(s) / stddev_pop(power_db), 6) AS roughness FROM s GROUP BY 1")
+def a12_roughness(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(me.roughness(fx.cells(spark, sf), "power_db", "t", ["capture_id"]), "roughness")
+
+
+@query(C + " SELECT capture_id, round(corr(power_db, f), 6) AS row_correlation, round(corr(power_db, t), 6) AS column_correlation FROM fx_cells GROUP BY 1")
+def a15_positional_correlation(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(me.positional_correlation(fx.cells(spark, sf), "power_db", ["capture_id"]), "row_correlation", "column_correlation")
+
+
+@query(with_views("fx_frames") + " SELECT channel, frame_id, patch, round(abs(p - lag(p) OVER (PARTITION BY channel, patch ORDER BY frame_id)), 9) AS change FROM fx_frames")
+def t1_temporal_change(spark: SparkSession, sf: str) -> DataFrame:
+    d = fx.frames(spark, sf)
+    return rounded(_long(d.withColumn("change", F.abs(F.col("p") - F.lag("p").over(Window.partitionBy("channel", "patch").orderBy("frame_id")))).drop("p"), "frame_id"), "change", digits=9)
