@@ -3,8 +3,8 @@
 Two generative models over hashed n-grams (runs of letters and digits and runs of signs, single and in pairs) are counted: the target's, on
 labelled rows of good quality, and the raw one, on all rows. A document's importance is the log-ratio of the two, summed
 over its n-grams. Gumbel noise, drawn from a hash of the id, is added, and the top k documents are taken. k is the number
-of documents that reach the score which all but a small share of the labelled good rows reach, so the choice follows the
-labels and clean documents stay.
+of documents that reach the score which all but a small share of labelled good rows reach (rows that the target was not
+fitted on), so the choice follows the labels and clean documents stay.
 
 The labels are a bounded sample (train_docs of them, by a hash of the id), so they can be broadcast; raw counts and the
 k-th score cover all rows. The k-th score is found by narrowing a histogram of counts, not by sorting.
@@ -74,17 +74,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def good_labels(labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """(label_id, good) of a bounded sample of the labelled rows (doc_id, quality), one row for each id."""
+    """(label_id, good, fitted) of a bounded sample of the labelled rows (doc_id, quality), one row for each id.
+
+    The model is fitted on the rows marked so; the others set the score to reach.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
     share = min(1.0, train_docs / max(1, known.count()))
     picked = known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(11)), F.lit(1 << 30)) < F.lit(share * (1 << 30)))
-    return picked.groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min(F.col("quality") == 1).alias("good"))
+    one = picked.groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min(F.col("quality") == 1).alias("good"))
+    return one.withColumn("fitted", F.pmod(F.xxhash64("label_id", F.lit(12)), F.lit(10)) < 7)
 
 
 def importance_model(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
-    """log(target / raw) for each bucket, from (doc_id, text) and (label_id, good); None without a good label."""
+    """log(target / raw) for each bucket, from (doc_id, text) and (label_id, good, fitted); None without a good label."""
     # the labels are a sample of bounded size
-    marked = docs.join(F.broadcast(labels), docs.doc_id == labels.label_id, "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    marked = docs.join(F.broadcast(labels), docs.doc_id == labels.label_id, "left").select("text", F.coalesce(F.col("good") & F.col("fitted"), F.lit(False)).alias("good"))
     counts = marked.mapInArrow(_count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.full(BUCKETS, PRIOR), np.full(BUCKETS, PRIOR)
     raw[counts["bucket"]] += counts["raw"]
@@ -144,7 +148,7 @@ def quality_select(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         return docs.select("doc_id", F.lit(0.0).alias("log_ratio"), gumbel("doc_id", seed).alias("score"), F.lit(True).alias("kept"))
     scores = docs.mapInArrow(_score(model), "doc_id long, log_ratio double")
     scores = stored(scores.withColumn("score", F.col("log_ratio") + gumbel("doc_id", seed)), "quality-scores")
-    labelled = scores.join(F.broadcast(good.where("good")), scores.doc_id == good.label_id, "left_semi")
+    labelled = scores.join(F.broadcast(good.where("good and not fitted")), scores.doc_id == good.label_id, "left_semi")
     least = labelled.agg(F.percentile("score", F.lit(loss))).first()[0]
     k = scores.where(F.col("score") >= F.lit(least)).count() if least is not None else scores.count()
     cut = kth_largest(scores, "score", k)
