@@ -19,11 +19,14 @@ from skywave.operators import frontend as fe
 from skywave.operators import graph as gr
 from skywave.operators import merge as mg
 from skywave.operators import metrics as me
+from skywave.operators import patches as pt
+from skywave.operators import segment as sg
 from skywave.operators import spectra as sp
 from skywave.operators import truth as tr
 from skywave.operators import windows as wn
 from skywave.plans import detect
 from skywave.sources.tables import stored
+from skywave.streaming import frames as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -177,11 +180,11 @@ def p12_normalisers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(C + " SELECT capture_id, f // 6 AS pr, t // 5 AS pc, round(avg(power_db), 6) AS mean_db FROM fx_cells WHERE f < 60 AND t < 45 GROUP BY ALL")
 def p14_patch_mean(spark: SparkSession, sf: str) -> DataFrame:
-    d = wn_patch_mean(fx.cells(spark, sf), "power_db", 10, 9)
+    d = _patch_mean(fx.cells(spark, sf), "power_db", 10, 9)
     return rounded(_long(d.drop("frame_id").withColumnRenamed("value", "mean_db"), "pr", "pc"), "mean_db")
 
 
-def wn_patch_mean(df: DataFrame, column: str, ph: int, pw: int) -> DataFrame:
+def _patch_mean(df: DataFrame, column: str, ph: int, pw: int) -> DataFrame:
     from skywave.operators.patches import patch_mean
 
     return patch_mean(df, column, fx.ROWS, fx.COLS, ph, pw)
@@ -778,3 +781,94 @@ def a15_positional_correlation(spark: SparkSession, sf: str) -> DataFrame:
 def t1_temporal_change(spark: SparkSession, sf: str) -> DataFrame:
     d = fx.frames(spark, sf)
     return rounded(_long(d.withColumn("change", F.abs(F.col("p") - F.lag("p").over(Window.partitionBy("channel", "patch").orderBy("frame_id")))).drop("p"), "frame_id"), "change", digits=9)
+
+
+@query(with_views("fx_frames") + """, m AS (SELECT channel, frame_id, avg(p) AS m FROM fx_frames GROUP BY 1, 2)
+SELECT channel, frame_id, round(m, 9) AS mean_p, round(abs(m - coalesce(lag(m) OVER w, m)), 9) AS change, round(first(m) OVER w, 9) AS profile FROM m WINDOW w AS (PARTITION BY channel ORDER BY frame_id)""")
+def t1_carried_state(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(st.carry_batch(st.frame_means(fx.frames(spark, sf))), "mean_p", "change", "profile", digits=9)
+
+
+@query("SELECT kind, n, CASE WHEN kind = 'tensor_npy' THEN greatest(least(n, 1024), least(32, n)) * 1000.0 END AS bandwidth_hz, CASE WHEN kind = 'tensor_npy' THEN least(256, least(n, 1024) - 1) * 1000.0 END AS overlap_hz FROM (SELECT DISTINCT CASE o_custkey % 2 WHEN 0 THEN 'tensor_npy' ELSE 'pgm' END AS kind, o_custkey AS n FROM orders)")
+def f7_adapt_chunking(spark: SparkSession, sf: str) -> DataFrame:
+    d = fx.table(spark, sf, "orders").selectExpr("CASE o_custkey % 2 WHEN 0 THEN 'tensor_npy' ELSE 'pgm' END AS kind", "o_custkey AS rows", "1000.0D AS bin_hz").distinct()
+    return fe.adapt_chunking(d).select("kind", F.col("rows").alias("n"), "bandwidth_hz", "overlap_hz")
+
+
+@query("SELECT c AS capture_id, min(t) FILTER (n - 2*t >= 24 AND (n - 2*t - 24) % 16 = 0) AS trim FROM (SELECT o_custkey AS c, max(CAST(100 + o_custkey % 97 AS BIGINT)) AS n FROM orders GROUP BY 1), (SELECT unnest(range(0, 21)) AS t) GROUP BY 1")
+def f6_uniform_trim(spark: SparkSession, sf: str) -> DataFrame:
+    d = fx.table(spark, sf, "orders").selectExpr("o_custkey AS capture_id", "CAST(100 + o_custkey % 97 AS BIGINT) AS n").distinct()
+    return fe.uniform_trim(d, F.lit(24), F.lit(16), F.lit(20))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN o_custkey % 2 > 0 ELSE false END AS calibrated FROM orders")
+def f1_calibrated(spark: SparkSession, sf: str) -> DataFrame:
+    d = fx.table(spark, sf, "orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 3 = 0 THEN true END AS flag", "CASE WHEN o_orderkey % 3 = 1 THEN CAST(o_custkey % 2 AS DOUBLE) END AS rate")
+    return d.select("o_orderkey", sc.calibrated(F.col("flag"), F.col("rate")).alias("calibrated"))
+
+
+@query(C + """, i AS (SELECT p AS pr, CAST(round_even(p * 63 / 15.0, 0) AS INT) AS f FROM (SELECT unnest(range(16)) AS p)), j AS (SELECT p AS pc, CAST(round_even(p * 47 / 11.0, 0) AS INT) AS t FROM (SELECT unnest(range(12)) AS p))
+SELECT capture_id, pr, pc, round(power_db, 6) AS value FROM fx_cells JOIN i USING (f) JOIN j USING (t)""")
+def p16_nearest_resize(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_long(pt.nearest_resize(fx.cells(spark, sf), "power_db", fx.ROWS, fx.COLS, 16, 12).drop("frame_id"), "pr", "pc"), "value")
+
+
+@query()
+def p13_bilinear_patches(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(sp.bilinear_patches(fx.cells(spark, sf), "power_db", 20, 15).drop("frame_id"), "value")
+
+
+@query()
+def p10_noisy_samples(spark: SparkSession, sf: str) -> DataFrame:
+    d = sp.add_noise(fx.iq(spark, sf), sp.noise_plan(_power(spark, sf), [20.0, 0.0, -20.0]), seed=1)
+    return d.groupBy("capture_id", "target_snr_db").agg(F.avg(F.col("i") * F.col("i") + F.col("q") * F.col("q")).alias("power"), F.count("*").alias("n"))
+
+
+@query()
+def n5_structure_coherence(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(sp.tile_coherence(fx.cells(spark, sf), group=("capture_id", "frame_id")).drop("frame_id"), "coherence")
+
+
+@query()
+def n11_fill_holes(spark: SparkSession, sf: str) -> DataFrame:
+    d = fx.cells(spark, sf).withColumn("m0", F.col("power_db") > 48)
+    return cp.fill_holes(d, "m0", "m").select(*KEY, "m")
+
+
+@query(C + """, k AS (SELECT unnest([0, 15, 30]) AS a, unnest([20, 35, 64]) AS b), x AS (SELECT capture_id, f, t, power_db * (0.2 + 0.8 * (0.5 - 0.5 * cos(2 * pi() * (f - a) / (b - a - 1))) / (0.5 - 0.5 * cos(2 * pi() * floor((b - a - 1) / 2) / (b - a - 1)))) AS v FROM fx_cells JOIN k ON f >= a AND f < b)
+SELECT capture_id, f, t, round(max(v), 6) AS power_db FROM x GROUP BY 1, 2, 3""")
+def d4_blend_largest(spark: SparkSession, sf: str) -> DataFrame:
+    captures = fx.axis(spark, sf).select("capture_id").distinct()
+    chunks = captures.withColumn("c", F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("chunk_index"), F.lit(a).alias("row_start"), F.lit(b).alias("row_stop")) for i, (a, b) in enumerate([(0, 20), (15, 35), (30, 64)])]))).select("capture_id", "c.*")
+    cells = fe.assign_chunks(_long(fx.cells(spark, sf), "f", "t"), chunks).drop("row_start", "row_stop").withColumn("valid", F.lit(True))
+    return rounded(mg.blend_chunks(cells, chunks, ["power_db"], largest=True).select(*KEY, "power_db"), "power_db")
+
+
+@query()
+def i28_mixture_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(sg.mixture_thresholds(fx.frames(spark, sf), ("channel",)), "threshold", "gap", "spread", "separation")
+
+
+@query(C + """, x AS (SELECT capture_id, f, t, least(greatest(1 - power_db / 70, 0), 1) AS p FROM fx_cells), z AS (SELECT capture_id, quantile_cont(p, 0.25) AS q25, quantile_cont(p, 0.45) AS q45 FROM x GROUP BY 1),
+c AS (SELECT x.*, p <= least(0.99, least(0.4 + 0.015, q45)) AS weak, p <= greatest(0.01, least(0.4 - 0.04, q25)) AS m FROM x JOIN z USING (capture_id)),
+d1 AS (SELECT c.capture_id, c.f, c.t, c.weak, c.m OR (c.weak AND EXISTS (SELECT 1 FROM c n WHERE n.m AND n.capture_id = c.capture_id AND abs(n.f - c.f) + abs(n.t - c.t) = 1)) AS m FROM c)
+SELECT d.capture_id, d.f, d.t, d.m OR (d.weak AND EXISTS (SELECT 1 FROM d1 n WHERE n.m AND n.capture_id = d.capture_id AND abs(n.f - d.f) + abs(n.t - d.t) = 1)) AS signal FROM d1 d""")
+def i30_hysteresis(spark: SparkSession, sf: str) -> DataFrame:
+    d = _long(fx.cells(spark, sf), "f", "t").withColumn("p", F.least(F.greatest(1 - F.col("power_db") / 70, F.lit(0.0)), F.lit(1.0))).withColumn("tau", F.lit(0.4))
+    return sg.hysteresis(d, "p", "tau", "signal").select(*KEY, "signal")
+
+
+@query(_KNN.replace("u AS (SELECT node,", "u AS (SELECT node, label,", 1) + ", m AS (SELECT src AS node, avg(d) AS m FROM k GROUP BY 1) SELECT node, round(1 / (1 + exp(-(m - avg(m) OVER ()) / (stddev_pop(m) OVER () + 1e-8))), 6) AS p FROM m")
+def i24_manifold_head(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(sg.manifold_head(_knn(spark, sf)[1], ("capture_id",)).drop("capture_id"), "p")
+
+
+@query(with_views("fx_frames") + ", a AS (SELECT channel, patch, avg(p) AS m FROM fx_frames GROUP BY 1, 2), h AS (SELECT *, -(greatest(m, 1e-6) * log2(greatest(m, 1e-6)) + greatest(1 - m, 1e-6) * log2(greatest(1 - m, 1e-6))) AS e FROM a) SELECT channel, patch, round((e - min(e) OVER w) / (max(e) OVER w - min(e) OVER w + 1e-8), 6) AS uncertainty FROM h WINDOW w AS (PARTITION BY channel)")
+def i26_uncertainty(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(sg.uncertainty(fx.frames(spark, sf), "p", ("channel",), "patch"), "uncertainty")
+
+
+@query(with_views("fx_pred") + " SELECT true AS no_nan, true AS in_range, avg(CAST(gt AS INT) - CAST(pred AS INT)) > -0.08 AS gain_ok FROM fx_pred")
+def a16_sweep_checks(spark: SparkSession, sf: str) -> DataFrame:
+    d = fx.predictions(spark, sf).withColumns({c: F.col(c).cast("double") for c in ("pred", "gt")})
+    return me.sweep_checks(d, ["pred", "gt"], "gt", "pred")
