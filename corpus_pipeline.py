@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages that follow one another over the documents.
 
-Each stage works on all rows its predecessor kept. Rows with a null id pass the filters like others, but take no part in
-the near-duplicate stage. Several rows of one id are told apart only by their text.
+Each stage works on all rows its predecessor kept. Decisions are by id: rows that share an id stay or go together (copies of
+one id and text become one row), and rows with a null id pass the filters and the near-duplicate stage.
 """
 
 from __future__ import annotations
@@ -21,35 +21,41 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_LANGUAGE_SCORE = 0.5
 
 
-def _keep(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The documents whose id is in chosen(chosen_id); a merge at every size, as the list grows with the corpus."""
-    return docs.join(chosen.hint("merge"), docs.doc_id.eqNullSafe(chosen.chosen_id), "left_semi").select(*COLUMNS)
+def _chosen(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The documents with an id in chosen(chosen_id); a merge at every size, as the list grows with the corpus."""
+    return docs.join(chosen.hint("merge"), docs.doc_id == chosen.chosen_id, "left_semi").select(*COLUMNS)
+
+
+def _nameless(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is null").select(*COLUMNS)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling against the labelled good ones keeps."""
     picked = quality_select(docs, table(spark, sf_dir, "labels"))
-    return _keep(docs, picked.where("kept").select(F.col("doc_id").alias("chosen_id")).distinct())
+    return _chosen(docs, picked.where("kept").select(F.col("doc_id").alias("chosen_id")).distinct()).union(_nameless(docs))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model recognises."""
     labelled = docs.where("lang is not null and doc_id is not null").select(F.col("doc_id").alias("id"), "lang", "text")
     told = predict_language(docs, fit_language_model(labelled)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > LEAST_LANGUAGE_SCORE))
-    return _keep(docs, told.select(F.col("doc_id").alias("chosen_id")).distinct())
+    return _chosen(docs, told.select(F.col("doc_id").alias("chosen_id")).distinct()).union(_nameless(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the one with the smallest id."""
     groups = ngram_join(docs, k=5, percent=80)
-    kept = _keep(docs, groups.where(F.col("doc_id") == F.coalesce("component_id", "doc_id")).select(F.col("doc_id").alias("chosen_id")).distinct())
-    return kept.dropDuplicates(["doc_id", "text"])
+    first = _chosen(docs, groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("chosen_id")).distinct())
+    rest = F.struct(*[c for c in COLUMNS if c not in ("doc_id", "text")])
+    single = first.groupBy("doc_id", "text").agg(F.min(rest).alias("rest")).select("doc_id", "text", "rest.*")
+    return single.select(*COLUMNS).union(_nameless(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: a document stands as many times as the mix takes it."""
     taken = mix(docs).where("taken > 0").select(F.col("doc_id").alias("chosen_id"), (F.col("taken") / F.col("size")).cast("int").alias("times")).groupBy("chosen_id").agg(F.max("times").alias("times"))
-    chosen = docs.join(taken.hint("merge"), docs.doc_id == taken.chosen_id)
+    chosen = docs.join(taken.hint("merge"), docs.doc_id.eqNullSafe(taken.chosen_id))
     return chosen.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 
