@@ -107,3 +107,42 @@ def ridge_detrend(x: np.ndarray, pr: np.ndarray, pc: np.ndarray, rows: int, cols
     r, c = 2 * pr / max(rows - 1, 1) - 1, 2 * pc / max(cols - 1, 1) - 1
     b = np.stack([np.ones_like(r), r, c, r * c, r**2, c**2, r**2 * c, r * c**2, r**3, c**3, np.sin(np.pi * r), np.cos(np.pi * r), np.sin(np.pi * c), np.cos(np.pi * c), np.sin(np.pi * (r + c)), np.cos(np.pi * (r - c))], 1)
     return x - b @ np.linalg.solve(b.T @ b + ridge * np.eye(16), b.T @ x)
+
+
+def box(x: np.ndarray, rows: int, cols: int) -> np.ndarray:
+    """Mean over an odd box, edge values repeated."""
+    return convolve(convolve(x, np.full(rows, 1 / rows), 0), np.full(cols, 1 / cols), 1)
+
+
+def majority(mask: np.ndarray, rounds: int = 2) -> np.ndarray:
+    """A mask after rounds of 3 x 3 majority votes."""
+    for _ in range(rounds):
+        votes = convolve(convolve(mask.astype(float), np.ones(3), 0), np.ones(3), 1)
+        mask = votes > 4.5
+    return mask
+
+
+def robust_quantile(x: np.ndarray, q: float, saturation: float = 0.9995) -> float:
+    """A high quantile; where it saturates, that of the values below saturation; 1 for none."""
+    x = x[np.isfinite(x)]
+    if not x.size:
+        return 1.0
+    q = min(max(q, 0.50), 0.99)
+    value = float(np.quantile(x, q))
+    if value < saturation:
+        return value
+    under = x[x < saturation]
+    return float(np.quantile(under, min(q, 0.90))) if under.size else saturation
+
+
+def coherent_power_tile(x: np.ndarray, valid: np.ndarray, scales: tuple[float, ...], weights: tuple[float, float], floor_q: float, size: tuple[int, int], support_q: float, mask_q: float) -> dict[str, np.ndarray]:
+    """Coherence, power, score, support and mask of one tile."""
+    linear = 10 ** (x / 10)
+    floor = max(np.quantile(linear[valid] if valid.any() else linear, floor_q), 1e-20)
+    relative = np.clip(10 * np.log10(np.maximum(linear, 1e-20) / floor), -5, 25)
+    relative = np.where(valid, np.maximum(relative - box(relative, *size), 0), 0)
+    coherence, power = unit_range(structure_coherence(x, scales), 0.05, 0.99), unit_range(relative, 0.05, 0.95)
+    score = unit_range(weights[0] * coherence + weights[1] * power, 0.05, 0.95)
+    support = majority((score >= robust_quantile(score[valid], support_q)) & valid)
+    mask = (score >= robust_quantile(score[valid & support], mask_q)) & support & valid
+    return {"coherence": coherence, "power": power, "score": score, "support": support, "mask": majority(mask) & valid & support}

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,23 +35,55 @@ def label_nodes(edges: DataFrame, label: str = "labels") -> DataFrame:
         labels = new.select("node", "component")
 
 
+def _label_runs(eight: bool):
+    """Numbers connected runs of one frame in the order of their first runs."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        f, start, stop = (t.column(c).to_numpy() for c in ("f", "start", "stop"))
+        order = np.lexsort((start, f))
+        f, start, stop = f[order], start[order], stop[order]
+        root = np.arange(len(f))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        reach = 1 if eight else 0
+        rows, first = np.unique(f, return_index=True)
+        last = np.append(first[1:], len(f))
+        for k in range(1, len(rows)):
+            if rows[k] != rows[k - 1] + 1:
+                continue
+            i, j = first[k - 1], first[k]  # both rows' runs in order of time: one pass meets all that touch
+            while i < last[k - 1] and j < last[k]:
+                if start[i] < stop[j] + reach and start[j] < stop[i] + reach:
+                    a, b = find(i), find(j)
+                    root[max(a, b)] = min(a, b)
+                if stop[i] < stop[j]:
+                    i += 1
+                else:
+                    j += 1
+        tops = np.array([find(x) for x in range(len(f))], np.int64)
+        number = np.unique(tops, return_inverse=True)[1] + 1
+        cols = {f"_k{i}": pa.array([v.as_py()] * len(f), v.type) for i, v in enumerate(key)}
+        return pa.table(cols | {"f": pa.array(f), "start": pa.array(start), "stop": pa.array(stop), "component": pa.array(number.astype(np.int32))})
+
+    return run
+
+
 def connected_components(df: DataFrame, mask: str, eight: bool = False, group: Sequence[str] = GROUP) -> DataFrame:
     """(group, f, start, stop, component) of the runs of a mask; component is the group's number for connected runs.
 
-    Runs of neighbouring rows touch where they overlap (with eight neighbours: where they meet at a corner as well).
+    Runs of neighbouring rows touch where they overlap (with eight neighbours: where they meet at a corner as well). The
+    runs of one frame, far fewer than its cells, are labelled in one task; frames bound the groups.
     """
     runs = true_runs(df, mask, "t", group)
-    key = F.xxhash64(*group)
-    runs = stored(runs.withColumn("node", F.pmod(key, F.lit(1 << 22)) * F.lit(1 << 40) + F.col("f").cast("long") * F.lit(1 << 20) + F.col("start")), "runs")
-    below = runs.select(*[F.col(g).alias(f"_{g}") for g in group], (F.col("f") - 1).alias("_f"), F.col("start").alias("_a"), F.col("stop").alias("_b"), F.col("node").alias("_node"))
-    reach = 1 if eight else 0
-    on = (runs.f == F.col("_f")) & (runs.start < F.col("_b") + reach) & (F.col("_a") < runs.stop + reach)
-    for g in group:
-        on = on & runs[g].eqNullSafe(F.col(f"_{g}"))
-    touching = runs.join(below, on).select(F.col("node").alias("a"), F.col("_node").alias("b"))
-    labels = label_nodes(touching.union(runs.select(F.col("node").alias("a"), F.col("node").alias("b"))), "components")
-    named = runs.join(labels.withColumnRenamed("node", "ln"), runs.node == F.col("ln"))
-    return named.select(*group, "f", "start", "stop", (F.dense_rank().over(Window.partitionBy(*group).orderBy("component"))).alias("component"))
+    types = {x.name: x.dataType.simpleString() for x in runs.schema}
+    schema = ", ".join(f"_k{i} {types[g]}" for i, g in enumerate(group)) + f", f {types['f']}, start {types['start']}, stop {types['stop']}, component int"
+    named = runs.groupBy(*group).applyInArrow(_label_runs(eight), schema)
+    return named.select(*[F.col(f"_k{i}").alias(g) for i, g in enumerate(group)], "f", "start", "stop", "component")
 
 
 def component_cells(components: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
@@ -103,7 +136,6 @@ def mark(df: DataFrame, cells: DataFrame, out: str, group: Sequence[str] = GROUP
 
 def fill_holes(df: DataFrame, mask: str, out: str, group: Sequence[str] = GROUP) -> DataFrame:
     """Background that is not connected to the grid's border becomes foreground."""
-    w = Window.partitionBy(*group)
     d = df.withColumn("_bg", ~F.col(mask))
     runs = connected_components(d, "_bg", False, group)
     edges = df.groupBy(*group).agg(F.min("f").alias("f0"), F.max("f").alias("f1"), F.min("t").alias("t0"), (F.max("t") + 1).alias("t1")).select(*[F.col(g).alias(f"_{g}") for g in group], "f0", "f1", "t0", "t1")
@@ -112,7 +144,6 @@ def fill_holes(df: DataFrame, mask: str, out: str, group: Sequence[str] = GROUP)
         on = on & (runs[g] == F.col(f"_{g}"))
     touched = runs.join(edges, on).withColumn("border", (F.col("f") == F.col("f0")) | (F.col("f") == F.col("f1")) | (F.col("start") == F.col("t0")) | (F.col("stop") == F.col("t1")))
     holes = touched.withColumn("_open", F.max("border").over(Window.partitionBy(*group, "component"))).where("not _open").select(*group, "f", "start", "stop", "component")
-    del w
     return mark(d, component_cells(holes, group), "_hole", group).withColumn(out, F.col(mask) | F.col("_hole")).drop("_bg", "_hole")
 
 
@@ -202,7 +233,3 @@ def group_regions(df: DataFrame, mask: str, score: str = "score", settings: Grou
     tests = [("size", F.col("filled_area") >= settings.min_size), ("freq_span", F.col("freq_span") >= settings.min_f), ("time_span", F.col("time_span") >= settings.min_t), ("density", F.col("density") >= settings.min_density), ("peak", F.col("score_peak") >= F.col("peak_floor"))]
     reasons = F.filter(F.array(*[F.when(~ok, F.lit(name)) for name, ok in tests]), lambda x: x.isNotNull())
     return table.withColumn("failed_reasons", reasons).withColumn("keep", F.size("failed_reasons") == 0).withColumn("failed_reason", F.when(~F.col("keep"), F.col("failed_reasons")[0]))
-
-
-def run_id() -> str:
-    return uuid.uuid4().hex

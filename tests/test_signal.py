@@ -223,3 +223,16 @@ def test_runs_are_replaced_by_capture(spark, tmp_path):
     write_run({"boxes": a}, str(tmp_path / "out"))
     write_run({"boxes": spark.createDataFrame([("y", 3)], "capture_id string, v int")}, str(tmp_path / "out"))
     assert sorted((r.capture_id, r.v) for r in spark.read.parquet(str(tmp_path / "out/boxes")).collect()) == [("x", 1), ("y", 3)]
+
+
+def test_tile_detector_equals_its_window_form(spark):
+    from skywave.operators.merge import chunk_scores, chunk_scores_by_windows
+
+    x = np.random.default_rng(8).normal(0, 1, (24, 40))
+    x[8:12] += 8
+    d = grid(spark, x).withColumn("chunk_index", F.lit(0)).withColumn("valid", F.col("f") >= 2)
+    a = chunk_scores(d).toPandas().sort_values(["f", "t"])
+    b = chunk_scores_by_windows(d).toPandas().sort_values(["f", "t"])
+    for c in ("coherence", "power", "score"):
+        assert np.allclose(a[c], b[c])
+    assert (a["support"].to_numpy() == b["support"].to_numpy()).all() and (a["mask"].to_numpy() == b["mask"].to_numpy()).all()
