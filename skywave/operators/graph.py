@@ -205,3 +205,8 @@ def prototype_ratio(patches: DataFrame, protos: DataFrame, group: Sequence[str])
     w = Window.partitionBy(*group)
     z = (F.col("r") - F.avg("r").over(w)) / (F.stddev_pop("r").over(w) + 1e-8)
     return r.withColumn("ratio", 1 / (1 + F.exp(-z))).select(*group, "node", "ratio")
+
+
+def unit_vectors(patches: DataFrame) -> DataFrame:
+    """Patches with vectors of length 1."""
+    return patches.withColumn("_n", F.greatest(F.sqrt(dot(F.col("x"), F.col("x"))), F.lit(1e-12))).withColumn("x", F.transform("x", lambda v: v / F.col("_n"))).drop("_n")

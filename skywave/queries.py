@@ -16,6 +16,7 @@ from skywave.functions import scalars as sc
 from skywave.operators import boxes as bx
 from skywave.operators import components as cp
 from skywave.operators import frontend as fe
+from skywave.operators import fusion as fu
 from skywave.operators import graph as gr
 from skywave.operators import merge as mg
 from skywave.operators import metrics as me
@@ -872,3 +873,90 @@ def i26_uncertainty(spark: SparkSession, sf: str) -> DataFrame:
 def a16_sweep_checks(spark: SparkSession, sf: str) -> DataFrame:
     d = fx.predictions(spark, sf).withColumns({c: F.col(c).cast("double") for c in ("pred", "gt")})
     return me.sweep_checks(d, ["pred", "gt"], "gt", "pred")
+
+
+_MAG = ORACLE_SQL["p1_spectrogram"].replace("round(10*log10((re*re + im*im) / (1000.0 * (SELECT sum(w*w) FROM w)) + 1e-10), 4)", "round(20*log10(sqrt((re*re + im*im) / (1000.0 * (SELECT sum(w*w) FROM w))) + 1e-10), 4)")
+
+
+@query(_MAG)
+def p2_magnitude_spectrogram(spark: SparkSession, sf: str) -> DataFrame:
+    d = sp.spectrogram(fx.iq(spark, sf), 1000.0, nfft=16, overlap=8, magnitude=True)
+    return rounded(rounded(_long(d, "f"), "power_db", digits=4), "time_s")
+
+
+@query(C + """, b AS (SELECT capture_id, min(power_db) AS lo, max(power_db) AS hi FROM fx_cells GROUP BY 1)
+SELECT capture_id, CAST(l AS DOUBLE) AS snr_db, round(sqrt(avg(pow((power_db - lo) / (hi - lo + 1e-8), 2))) / pow(10, l / 20.0), 6) AS sigma FROM fx_cells JOIN b USING (capture_id), (SELECT unnest([10, 0, -10]) AS l) GROUP BY capture_id, l""")
+def p11_normalised_noise(spark: SparkSession, sf: str) -> DataFrame:
+    d = q.minmax(fx.cells(spark, sf), "power_db", "u").groupBy("capture_id").agg(F.sqrt(F.avg(F.col("u") * F.col("u"))).alias("rms"))
+    d = d.withColumn("snr_db", F.explode(F.array(F.lit(10.0), F.lit(0.0), F.lit(-10.0))))
+    return rounded(d.select("capture_id", "snr_db", (F.col("rms") / F.pow(F.lit(10.0), F.col("snr_db") / 20)).alias("sigma")), "sigma")
+
+
+@query(C + """, x AS (SELECT capture_id, f, t, power_db AS a, abs(f - 20.0) AS b, abs(t - 9.0) AS c FROM fx_cells),
+s AS (SELECT capture_id, quantile_cont(a, 0.05) AS a0, quantile_cont(a, 0.95) AS a1, quantile_cont(b, 0.05) AS b0, quantile_cont(b, 0.95) AS b1, quantile_cont(c, 0.05) AS c0, quantile_cont(c, 0.95) AS c1 FROM x GROUP BY 1)
+SELECT capture_id, f, t, round(0.5 * least(greatest((a-a0)/(a1-a0), 0), 1) + 0.25 * least(greatest((b-b0)/(b1-b0), 0), 1) + 0.25 * least(greatest((c-c0)/(c1-c0), 0), 1), 6) AS hybrid FROM x JOIN s USING (capture_id)""")
+def i19_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    d = _long(fx.cells(spark, sf), "f", "t").withColumn("b", F.abs(F.col("f") - 20.0)).withColumn("c", F.abs(F.col("t") - 9.0))
+    return rounded(fu.hybrid(d, {"power_db": 0.5, "b": 0.25, "c": 0.25}, "hybrid").select(*KEY, "hybrid"), "hybrid")
+
+
+@query(_P + """, c AS (SELECT node, -list_inner_product(x[1:32], x[33:64]) / (sqrt(list_inner_product(x[1:32], x[1:32])) * sqrt(list_inner_product(x[33:64], x[33:64]))) AS c FROM fx_patches)
+SELECT node, round(1 / (1 + exp(-(c - avg(c) OVER ()) / (stddev_pop(c) OVER () + 1e-8))), 6) AS agreement FROM c""")
+def i25_multiscale_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    d = fx.patches(spark, sf).withColumn("a", F.slice("x", 1, 32)).withColumn("b", F.slice("x", 33, 32))
+    return rounded(fu.multiscale_agreement(d, "a", "b", "agreement", ["capture_id"]).select("node", "agreement"), "agreement")
+
+
+@query()
+def i3_detrend_position(spark: SparkSession, sf: str) -> DataFrame:
+    d = fu.detrend_position(fx.patches(spark, sf).drop("label"), ["capture_id"])
+    return rounded(d.select("node", F.aggregate("x", F.lit(0.0), lambda s, v: s + v).alias("total")), "total")
+
+
+@query()
+def g15_clean_mask(spark: SparkSession, sf: str) -> DataFrame:
+    d = fx.cells(spark, sf).withColumn("m0", F.col("power_db") > 50)
+    return fu.clean_mask(d, "m0", "m", fx.ROWS * fx.COLS).select(*KEY, "m")
+
+
+@query()
+def g6_group_rectangles(spark: SparkSession, sf: str) -> DataFrame:
+    d = fx.cells(spark, sf).withColumn("m0", F.col("power_db") > 52)
+    return fu.group_rectangles(d, "m0", "power_db", "m").select(*KEY, "m")
+
+
+@query(ORACLE_SQL["f4_chunk_plan"].replace("SELECT capture_id, row_number()", "SELECT * FROM (SELECT capture_id, round((100e6 + (row_start - 32) * 1e5) / 1e6, 6) AS start_mhz, round((100e6 + (row_stop - 1 - 32) * 1e5) / 1e6, 6) AS stop_mhz, row_number()").replace("- 1 AS chunk_index, row_start, row_stop FROM j", "- 1 AS chunk_index FROM j)"))
+def a13_chunk_policy(spark: SparkSession, sf: str) -> DataFrame:
+    d = fe.plan_chunks(fx.axis(spark, sf).withColumn("valid", F.col("f").between(4, 59)), _PLAN)
+    d = d.select("capture_id", "chunk_index", (F.col("freq_start_hz") / 1e6).alias("start_mhz"), (F.col("freq_stop_hz") / 1e6).alias("stop_mhz"))
+    return rounded(_long(d, "chunk_index"), "start_mhz", "stop_mhz")
+
+
+@query(C + " SELECT capture_id, round(count(*) FILTER (power_db > 52) / (count(*) FILTER (power_db > 50) + 1e-8), 6) AS iou_vs_clean, round(count(*) FILTER (power_db > 52) / CAST(count(*) AS DOUBLE), 6) AS fg_frac FROM fx_cells GROUP BY 1")
+def a14_agreement_with_clean(spark: SparkSession, sf: str) -> DataFrame:
+    d = fx.cells(spark, sf)
+    a = me.segmentation_metrics(d, F.col("power_db") > 52, F.col("power_db") > 50, ["capture_id"]).select("capture_id", F.col("iou").alias("iou_vs_clean"))
+    b = me.unlabelled_statistics(d, F.col("power_db") > 52, F.lit(0.0), ["capture_id"]).select("capture_id", F.col("signal_fraction").alias("fg_frac"))
+    return rounded(a.join(b, "capture_id"), "iou_vs_clean", "fg_frac")
+
+
+@query(_P + """, g AS (SELECT max(pr) + 1 AS n FROM fx_patches), u AS (SELECT node, pr, pc, x, sqrt(list_inner_product(x, x)) AS l FROM fx_patches),
+c AS (SELECT a.node, avg(list_inner_product(a.x, b.x) / (a.l * b.l)) AS c FROM u a, g, (SELECT unnest([0, 0, 1, -1]) AS dr, unnest([1, -1, 0, 0]) AS dc), u b WHERE b.pr = (a.pr + dr + n) % n AND b.pc = (a.pc + dc + 20) % 20 GROUP BY 1)
+SELECT node, round((c - min(c) OVER ()) / (max(c) OVER () - min(c) OVER () + 1e-8), 6) AS coherence FROM c""")
+def n16_neighbour_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    p = gr.unit_vectors(fx.patches(spark, sf).drop("label"))
+    rows = p.agg(F.max("pr")).first()[0] + 1
+    near = wn.wrapped_neighbours(p, "x", rows, 20, [(0, 1), (0, -1), (1, 0), (-1, 0)], ["capture_id"], "pr", "pc")
+    d = near.groupBy("capture_id", "node").agg(F.avg(gr.dot(F.col("x"), F.col("neighbour"))).alias("c"))
+    return rounded(q.minmax(d, "c", "coherence", ["capture_id"]).select("node", "coherence"), "coherence")
+
+
+@query(ORACLE_SQL["n3_local_relative_power"].replace("SELECT m2.capture_id, m2.f, m2.t, CASE WHEN m2.f >= 6 THEN round(greatest(r - v, 0), 6) ELSE 0.0 END AS support FROM", "SELECT m2.capture_id, m2.f // 8 AS pr, m2.t // 8 AS pc, round(avg(CASE WHEN m2.f >= 6 THEN greatest(r - v, 0) ELSE 0.0 END), 6) AS prior FROM") + " GROUP BY 1, 2, 3")
+def i20_power_prior(spark: SparkSession, sf: str) -> DataFrame:
+    d = wn.local_relative_power(fx.cells(spark, sf), out="support", valid=F.col("f") >= 6)
+    return rounded(_long(pt.patch_mean(d, "support", fx.ROWS, fx.COLS, 8, 6).drop("frame_id").withColumnRenamed("value", "prior"), "pr", "pc"), "prior")
+
+
+@query(ORACLE_SQL["j6_annotation_mask"].replace("SELECT DISTINCT capture_id, f, t FROM b", "SELECT DISTINCT capture_id, f * 10 // 64 AS pr, t * 9 // 48 AS pc FROM b").replace("f * 10 // 64", "CAST(floor((f + 0.5) * 10 / 64) AS BIGINT)").replace("t * 9 // 48", "CAST(floor((t + 0.5) * 9 / 48) AS BIGINT)"))
+def j7_annotation_patches(spark: SparkSession, sf: str) -> DataFrame:
+    return _long(tr.patch_mask(j6_annotation_mask(spark, sf), fx.ROWS, fx.COLS, 10, 9).drop("coverage"), "pr", "pc")
