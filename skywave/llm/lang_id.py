@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,22 +88,24 @@ def fit_language_model(labelled: DataFrame, *, train_docs: int = TRAIN_DOCS, max
     top = {}
     for kind, limit in (("word", max_words), ("gram", max_grams)):
         best = counts.where(F.col(kind).isNotNull()).groupBy(kind).agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))
-        top[kind] = best.orderBy(F.col("all").desc(), kind).limit(limit).select(kind, "by").collect()
-    languages = sorted({r["lang"] for rows in top.values() for x in rows for r in x["by"]})
-    column = {c: i for i, c in enumerate(languages)}
-    scores = {}
-    for kind, rows in top.items():
-        n = np.zeros((len(rows), len(languages)))
-        for i, x in enumerate(rows):
-            for r in x["by"]:
-                n[i, column[r["lang"]]] += r["n"]
+        best = best.orderBy(F.col("all").desc(), kind).limit(limit).select(F.col(kind).alias("key"), F.explode("by").alias("r"))
+        top[kind] = best.select("key", "r.lang", "r.n").toArrow()  # in columns: rows of objects would fill the driver
+    languages = sorted({x for t in top.values() for x in pc.unique(t.column("lang")).to_pylist()})
+    column = pa.array(languages, pa.string())
+    scores, entries = {}, {}
+    for kind, t in top.items():
+        coded = t.column("key").combine_chunks().dictionary_encode()
+        entries[kind] = coded.dictionary
+        n = np.zeros((len(coded.dictionary), len(languages)))
+        if t.num_rows:
+            np.add.at(n, (coded.indices.to_numpy(), pc.index_in(t.column("lang"), column).to_numpy()), t.column("n").to_numpy())
         with np.errstate(divide="ignore"):
-            s = -np.log10(n / np.maximum(n.sum(0), 1)) if len(rows) else n
+            s = -np.log10(n / np.maximum(n.sum(0), 1)) if len(n) else n
         worst = np.where(np.isfinite(s), s, 0).max(initial=0) + PENALTY
         scores[kind] = (np.where(np.isfinite(s), s, worst).astype(np.float32), worst)
-    keys = np.array([x["gram"] for x in top["gram"]], np.int64).view(np.uint64)
+    keys = entries["gram"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    return LanguageModel(languages, [x["word"] for x in top["word"]], scores["word"][0], keys[order], scores["gram"][0][order], np.full(len(languages), max(scores["word"][1], scores["gram"][1]), np.float32))
+    return LanguageModel(languages, entries["word"].to_pylist(), scores["word"][0], keys[order], scores["gram"][0][order], np.full(len(languages), max(scores["word"][1], scores["gram"][1]), np.float32))
 
 
 def score_words(words: list[str], model: LanguageModel, known: dict[str, int]) -> np.ndarray:
