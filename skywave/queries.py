@@ -506,11 +506,11 @@ def g9_overlapping_pairs(spark: SparkSession, sf: str) -> DataFrame:
 @query(_PAIRS + """, e AS (SELECT a, b FROM p WHERE NOT (ra <> rb AND ra <> 'unsplit' AND rb <> 'unsplit') UNION ALL SELECT b, a FROM p WHERE NOT (ra <> rb AND ra <> 'unsplit' AND rb <> 'unsplit')),
 w AS (SELECT box_id AS a, box_id AS o FROM fx_boxes UNION SELECT w.a, e.b FROM w JOIN e ON e.a = w.o), l AS (SELECT a, min(o) AS cluster_id FROM w GROUP BY 1)
 SELECT capture_id, cluster_id, CAST(count(*) AS BIGINT) AS n_boxes, min(freq_start) AS freq_start, max(freq_stop) AS freq_stop, CAST(sum(filled_area) AS BIGINT) AS filled_area,
-  round(sum(score_mean * greatest(filled_area, 1)) / sum(greatest(filled_area, 1)), 6) AS score_mean, CASE WHEN min(split_role) = max(split_role) THEN min(split_role) ELSE 'mixed' END AS split_role
+  round(sum(score_mean * greatest(filled_area, 1)) / sum(greatest(filled_area, 1)), 9) AS score_mean, CASE WHEN min(split_role) = max(split_role) THEN min(split_role) ELSE 'mixed' END AS split_role
 FROM l JOIN fx_boxes ON box_id = a GROUP BY 1, 2""")
 def g11_box_clusters(spark: SparkSession, sf: str) -> DataFrame:
     d = bx.cluster_boxes(fx.boxes(spark, sf))
-    return rounded(d.select("capture_id", "cluster_id", "n_boxes", "freq_start", "freq_stop", "filled_area", "score_mean", "split_role"), "score_mean")
+    return rounded(d.select("capture_id", "cluster_id", "n_boxes", "freq_start", "freq_stop", "filled_area", "score_mean", "split_role"), "score_mean", digits=9)
 
 
 @query(with_views("fx_boxes") + """, b AS (SELECT *, box_id % 3 AS chunk_index FROM fx_boxes)
