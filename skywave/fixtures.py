@@ -30,8 +30,11 @@ def axis(spark: SparkSession, sf_dir: str, rows: int = ROWS) -> DataFrame:
 
 
 def iq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.selectExpr("event_type AS capture_id", "CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS BIGINT) AS n", "value AS i", "CAST(get_json_object(props, '$.k') AS DOUBLE) - 50 AS q")
+    e = table(spark, sf_dir, "events").withColumn("b", F.expr("event_id div 10000"))
+    # samples are numbered inside ranges of ids, which start where the ranges before them end
+    ahead = e.groupBy(F.col("event_type").alias("at"), F.col("b").alias("ab")).agg(F.count("*").alias("n")).selectExpr("at", "ab", "coalesce(sum(n) OVER (PARTITION BY at ORDER BY ab ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead")
+    e = e.join(ahead, e.event_type.eqNullSafe(F.col("at")) & e.b.eqNullSafe(F.col("ab")))
+    return e.selectExpr("event_type AS capture_id", "CAST(ahead + row_number() OVER (PARTITION BY event_type, b ORDER BY event_id) - 1 AS BIGINT) AS n", "value AS i", "CAST(get_json_object(props, '$.k') AS DOUBLE) - 50 AS q")
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:

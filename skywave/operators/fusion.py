@@ -8,10 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from skywave.config import Grouping
-from skywave.functions.quantiles import GROUP, above_quantile, normalize_local
+from skywave.functions.quantiles import GROUP, above_quantile, normalize_local, with_scalars
 from skywave.kernels.arrays import ridge_detrend
 from skywave.operators.components import component_cells, component_table, connected_components, fill_holes, mark, remove_small
 from skywave.operators.graph import dot
@@ -32,9 +31,8 @@ def hybrid(df: DataFrame, weights: dict[str, float], out: str, q: float = 0.90,
 def multiscale_agreement(df: DataFrame, a: str, b: str, out: str, group: Sequence[str]) -> DataFrame:
     """Sigmoid of the standardised negative cosine of two embeddings of a patch."""
     cos = dot(F.col(a), F.col(b)) / F.greatest(F.sqrt(dot(F.col(a), F.col(a))) * F.sqrt(dot(F.col(b), F.col(b))), F.lit(1e-12))
-    w = Window.partitionBy(*group)
-    d = df.withColumn("_c", -cos)
-    return d.withColumn(out, 1 / (1 + F.exp(-(F.col("_c") - F.avg("_c").over(w)) / (F.stddev_pop("_c").over(w) + 1e-8)))).drop("_c")
+    d = with_scalars(df.withColumn("_c", -cos), group, _mean=F.avg("_c"), _spread=F.stddev_pop("_c"))
+    return d.withColumn(out, 1 / (1 + F.exp(-(F.col("_c") - F.col("_mean")) / (F.col("_spread") + 1e-8)))).drop("_c", "_mean", "_spread")
 
 
 def detrend_position(patches: DataFrame, group: Sequence[str]) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 
 from skywave.functions.quantiles import normalize_local, with_scalars
 
+#: Patches in a block of a group, about.
+BLOCK = 2048
 SIDES = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
 
 
@@ -44,40 +46,58 @@ def centre_and_normalize(patches: DataFrame, group: Sequence[str]) -> DataFrame:
     return d.withColumn("x", F.transform("x", lambda v: v / F.greatest(F.sqrt(dot(F.col("x"), F.col("x"))), F.lit(1e-6))))
 
 
-def _nearest(k: int, metric: str, block: int = 2048):
+def _nearest(k: int, metric: str, rows: int = 512):
+    def between(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        d = x @ y.T
+        return 1 - d if metric == "cosine" else np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * d, 0))
+
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        node = t.column("node").to_numpy()
+        node, block = t.column("node").to_numpy(), t.column("_block").to_numpy()
         x = np.asarray(t.column("x").combine_chunks().flatten(), float).reshape(len(node), -1)
         order = np.argsort(node, kind="stable")
-        node, x = node[order], x[order]
+        node, block, x = node[order], block[order], x[order]
         if metric == "cosine":
             x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        src, dst, dist = [], [], []
-        take = min(k, len(node) - 1)
-        for a in range(0, len(node) if take > 0 else 0, block):
-            d = x[a : a + block] @ x.T
-            d = 1 - d if metric == "cosine" else np.sqrt(np.maximum((x[a : a + block] ** 2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * d, 0))
-            d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf  # a node is not its own neighbour
-            near = np.argsort(np.round(d, 9), axis=1, kind="stable")[:, :take]
-            src.append(np.repeat(node[a : a + block], take))
-            dst.append(node[near].ravel())
-            dist.append(np.take_along_axis(d, near, 1).ravel())
+        *group, low, high = key
+        low, high = (np.flatnonzero(block == b.as_py()) for b in (low, high))
+        src, dst, dist, place = [], [], [], []
+        for of, to in [(low, high)] if key[-2] == key[-1] else [(low, high), (high, low)]:
+            take = min(k, len(to))
+            for a in range(0, len(of) if take else 0, rows):
+                q = of[a : a + rows]
+                d = between(x[q], x[to])
+                d[node[q][:, None] == node[to][None]] = np.inf  # a node is not its own neighbour
+                r = np.round(d, 9)
+                i, j = np.nonzero((r <= np.partition(r, take - 1, axis=1)[:, take - 1 : take]) & (r < np.inf))
+                near = np.lexsort((j, r[i, j], i))
+                i, j = i[near], j[near]
+                first = np.arange(len(i)) - np.searchsorted(i, i) < k
+                i, j = i[first], j[first]
+                src.append(node[q[i]])
+                dst.append(node[to[j]])
+                dist.append(d[i, j])
+                place.append(r[i, j])
         cat = lambda c, kind: pa.array(np.concatenate(c) if c else [], kind)
         n = sum(map(len, src))
-        cols = {f"_k{i}": pa.array([v.as_py()] * n, v.type) for i, v in enumerate(key)}
-        return pa.table(cols | {"src": cat(src, pa.int64()), "dst": cat(dst, pa.int64()), "distance": cat(dist, pa.float64())})
+        cols = {f"_k{i}": pa.array([v.as_py()] * n, v.type) for i, v in enumerate(group)}
+        return pa.table(cols | {"src": cat(src, pa.int64()), "dst": cat(dst, pa.int64()), "distance": cat(dist, pa.float64()), "_place": cat(place, pa.float64())})
 
     return run
 
 
-def knn(patches: DataFrame, group: Sequence[str], k: int = 8, metric: str = "cosine") -> DataFrame:
+def knn(patches: DataFrame, group: Sequence[str], k: int = 8, metric: str = "cosine", block: int = BLOCK) -> DataFrame:
     """(group, src, dst, distance) of each patch's k nearest in its group; ties go to the smaller node.
 
-    A group is one frame's grid, so one task holds it; its distances are made block by block.
+    A group of any size is cut into blocks by the node's hash, and a task measures one pair of blocks; each patch keeps the
+    best k of its pairs. The distances of a group are all made, so work grows with the square of its size.
     """
     d = patches.select(*group, F.col("node").cast("long").alias("node"), F.col("x").cast("array<double>").alias("x"))
-    schema = ", ".join([f"_k{i} {d.schema[g].dataType.simpleString()}" for i, g in enumerate(group)]) + ", src long, dst long, distance double"
-    found = d.groupBy(*group).applyInArrow(_nearest(k, metric), schema)
+    d = with_scalars(d, group, _blocks=F.ceil(F.count("*") / block).cast("int")).withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    d = d.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("_low", F.least("_block", "_other")).withColumn("_high", F.greatest("_block", "_other"))
+    schema = ", ".join([f"_k{i} {d.schema[g].dataType.simpleString()}" for i, g in enumerate(group)]) + ", src long, dst long, distance double, _place double"
+    found = d.select(*group, "node", "x", "_block", "_low", "_high").groupBy(*group, "_low", "_high").applyInArrow(_nearest(k, metric), schema)
+    best = Window.partitionBy(*[f"_k{i}" for i in range(len(group))], "src").orderBy("_place", "dst")
+    found = found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
     return found.select(*[F.col(f"_k{i}").alias(g) for i, g in enumerate(group)], "src", "dst", "distance")
 
 
@@ -148,8 +168,9 @@ def affinity_scores(edges: DataFrame, patches: DataFrame, group: Sequence[str])
     pairs = grid_pairs(patches, group).join(edges.select(*group, "src", "dst", "weight"), [*group, "src", "dst"], "left")
     near = pairs.groupBy(*group, "src").agg(F.avg(F.coalesce("weight", F.lit(0.0))).alias("near")).withColumnRenamed("src", "node")
     d = r.join(near, [*group, "node"], "left").withColumn("near", F.coalesce("near", F.lit(0.0)))
-    w = Window.partitionBy(*group)
-    scaled = lambda c: (F.col(c) - F.min(c).over(w)) / F.greatest(F.max(c).over(w) - F.min(c).over(w), F.lit(1e-8))
+    parts = ("degree", "two_step", "three_step", "near")
+    d = with_scalars(d, group, **{f"_{m}_{c}": f(c) for c in parts for m, f in (("low", F.min), ("high", F.max))})
+    scaled = lambda c: (F.col(c) - F.col(f"_low_{c}")) / F.greatest(F.col(f"_high_{c}") - F.col(f"_low_{c}"), F.lit(1e-8))
     d = d.withColumn("_mix", 0.35 * scaled("degree") + 0.30 * scaled("two_step") + 0.20 * scaled("three_step") + 0.15 * scaled("near"))
     return normalize_local(d, "_mix", "score", group=group).select(*group, "node", "score")
 
@@ -202,8 +223,8 @@ def prototype_ratio(patches: DataFrame, protos: DataFrame, group: Sequence[str])
     long = patches.select(*group, "node", F.posexplode("x").alias("ch", "v")).join(protos, [*group, "ch"])
     dist = long.groupBy(*group, "node", "side").agg(F.sum((F.col("v") - F.col("mean")) * (F.col("v") - F.col("mean")) / F.col("var")).alias("d"))
     r = dist.groupBy(*group, "node").agg((F.log(F.max(F.when(F.col("side") == "noise", F.col("d"))) + 1e-8) - F.log(F.max(F.when(F.col("side") == "signal", F.col("d"))) + 1e-8)).alias("r"))
-    w = Window.partitionBy(*group)
-    z = (F.col("r") - F.avg("r").over(w)) / (F.stddev_pop("r").over(w) + 1e-8)
+    r = with_scalars(r, group, _mean=F.avg("r"), _spread=F.stddev_pop("r"))
+    z = (F.col("r") - F.col("_mean")) / (F.col("_spread") + 1e-8)
     return r.withColumn("ratio", 1 / (1 + F.exp(-z))).select(*group, "node", "ratio")
 
 

@@ -42,8 +42,8 @@ def hysteresis(df: DataFrame, column: str, tau: str, out: str, rounds: int = 2,
 def manifold_head(edges: DataFrame, group: Sequence[str]) -> DataFrame:
     """(group, node, p): sigmoid of the standardised mean distance to the nearest neighbours."""
     m = edges.groupBy(*group, F.col("src").alias("node")).agg(F.avg("distance").alias("m"))
-    w = Window.partitionBy(*group)
-    return m.select(*group, "node", (1 / (1 + F.exp(-(F.col("m") - F.avg("m").over(w)) / (F.stddev_pop("m").over(w) + 1e-8)))).alias("p"))
+    m = with_scalars(m, group, _mean=F.avg("m"), _spread=F.stddev_pop("m"))
+    return m.select(*group, "node", (1 / (1 + F.exp(-(F.col("m") - F.col("_mean")) / (F.col("_spread") + 1e-8)))).alias("p"))
 
 
 def uncertainty(df: DataFrame, column: str, group: Sequence[str], key: str) -> DataFrame:

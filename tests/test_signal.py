@@ -170,6 +170,22 @@ def test_mutual_edges_are_symmetric(spark):
     assert pairs and pairs == {(b, a) for a, b in pairs}
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_knn_of_one_group_in_blocks(spark, metric):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(330, 5))
+    x[7] = x[9] = x[200]
+    rows = [("a", i, [float(v) for v in x[i]]) for i in range(300)] + [("b", i, [float(v) for v in x[i]]) for i in range(300, 330)] + [("c", 400, [1.0] * 5)]
+    got = gr.knn(spark.createDataFrame(rows, "capture_id string, node long, x array<double>"), ["capture_id"], 8, metric, block=40).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = set()
+    for name, ids in (("a", range(300)), ("b", range(300, 330))):
+        for i in ids:
+            d = {j: round(float(1 - u[i] @ u[j] if metric == "cosine" else np.linalg.norm(x[i] - x[j])), 9) for j in ids if j != i}
+            want |= {(name, i, j) for j in sorted(d, key=lambda j: (d[j], j))[:8]}
+    assert len(got) == len(want) and {(r.capture_id, r.src, r.dst) for r in got} == want
+
+
 @pytest.mark.parametrize("datatype,scale", [("ci16_le", None), ("cf32_be", None), ("ri8", None)])
 def test_sigmf_round_trip(spark, tmp_path, datatype, scale):
     rng = np.random.default_rng(7)
