@@ -4,7 +4,9 @@ Vectors get 64-bit codes: signs after a learned rotation (principal axes, then i
 bounded sample. A code splits into substrings, each indexed by its value. Two codes within Hamming radius
 substrings * (radius + 1) - 1 agree in some substring up to `radius` bits, so probing all values of each substring within
 that radius meets every such code. The radius is set on the sample, so that the wanted share of true neighbours lies
-within the Hamming radius. What probes meet is reranked by cosine on the original vectors, in double precision.
+within the Hamming radius. What probes meet is reranked by cosine on the original vectors, in double precision. Queries
+that met fewer than k vectors are probed again at the next radius, up to SCAN_FROM; those that are still short are held
+against all vectors.
 
 Every vector is indexed. Buckets that hold many rows are split by salts, and each keeps its own best k for each query.
 
@@ -29,6 +31,8 @@ BITS = 8  # of a substring
 #: Vectors that the rotation and the radius are learned on, about (bound of the sample).
 SAMPLE = 4000
 RECALL = 0.97
+#: From this radius on, probing all substrings meets more rows than there are.
+SCAN_FROM = 3
 #: Rows of a bucket in one task.
 SALT_ROWS = 5000
 
@@ -61,9 +65,9 @@ def radius_for(x: np.ndarray, rotation: np.ndarray, k: int, recall: float, queri
     n = len(x)
     if n < 2:
         return BITS
-    q = np.arange(min(queries, n))
+    q = np.sort(np.random.default_rng(5).permutation(n)[:queries])  # ids may follow clusters
     sims = x[q] @ x.T
-    sims[q, q] = -2
+    sims[np.arange(len(q)), q] = -2
     top = np.argsort(-sims, axis=1, kind="stable")[:, : min(k, n - 1)]
     code = codes_of(x, rotation)
     far = np.bitwise_count(code[q][:, None, :] ^ code[top]).sum(2)
@@ -129,10 +133,32 @@ def nearest_neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str =
     # a count for each value of each substring: SUBSTRINGS * 2**BITS rows at most
     salts = indexed.groupBy("part", "value").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts")).withColumnsRenamed({"part": "sp", "value": "sv"})
     index = indexed.join(F.broadcast(salts), (F.col("part") == F.col("sp")) & (F.col("value") == F.col("sv"))).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("salts")).cast("int"))
-    probes = coded.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("x").alias("qx"), F.col("code").alias("qcode"), F.posexplode("code").alias("qpart", "at"))
-    probes = probes.join(F.broadcast(salts), (F.col("qpart") == F.col("sp")) & (F.bit_count(F.col("at").cast("int").bitwiseXOR(F.col("sv").cast("int"))) <= radius))
-    probes = probes.withColumn("qsalt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("query_id", "qx", "qcode", "qpart", F.col("sv").alias("qvalue"), "qsalt")
-    met = index.select("part", "value", "salt", "vec_id", "x", "code").groupBy("part", "value", "salt").cogroup(probes.groupBy("qpart", "qvalue", "qsalt")).applyInArrow(_search(k, radius), "query_id long, vec_id long, score double")
-    best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    blocks = 1 + coded.count() // SALT_ROWS
+    everything = coded.select(F.lit(0).alias("part"), F.lit(0).alias("value"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("salt"), "vec_id", "x", "code")
+
+    def nearest(asking: DataFrame, within: int) -> DataFrame:
+        if within < BITS:
+            probes = asking.select("query_id", "qx", "qcode", F.posexplode("qcode").alias("qpart", "at"))
+            probes = probes.join(F.broadcast(salts), (F.col("qpart") == F.col("sp")) & (F.bit_count(F.col("at").cast("int").bitwiseXOR(F.col("sv").cast("int"))) <= within)).withColumnRenamed("sv", "qvalue")
+            rows = index.select("part", "value", "salt", "vec_id", "x", "code")
+        else:
+            probes, rows = asking.select("query_id", "qx", "qcode", F.lit(0).alias("qpart"), F.lit(0).alias("qvalue"), F.lit(blocks).alias("salts")), everything
+        probes = probes.withColumn("qsalt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("query_id", "qx", "qcode", "qpart", "qvalue", "qsalt")
+        met = rows.groupBy("part", "value", "salt").cogroup(probes.groupBy("qpart", "qvalue", "qsalt")).applyInArrow(_search(k, within), "query_id long, vec_id long, score double")
+        best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
+        return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    asking = coded.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("x").alias("qx"), F.col("code").alias("qcode"))
+    wanted = min(k, coded.select("vec_id").distinct().limit(k + 1).count() - 1)
+    out = None
+    for within in [radius, *range(radius + 1, SCAN_FROM), *[BITS][radius >= BITS :]]:
+        found = stored(nearest(asking, within), "ann-found")
+        full = stored(found.groupBy(F.col("query_id").alias("full_id")).agg(F.count("*").alias("n")).where(F.col("n") >= wanted).select("full_id"), "ann-full")
+        done = found.join(full, F.col("query_id") == F.col("full_id"), "left_semi") if within < BITS else found
+        out = done if out is None else out.union(done)
+        if within < BITS:
+            asking = stored(asking.join(full, F.col("query_id") == F.col("full_id"), "left_anti"), "ann-asking")
+            if asking.isEmpty():
+                break
+    return out

@@ -63,6 +63,22 @@ def test_nearest_neighbours_recall(spark):
     assert nearest_neighbours(table(spark, x, lab).where("1 = 0")).count() == 0
 
 
+def test_outlier_and_ordered_clusters_have_all_neighbours(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 64))
+    x = np.concatenate([c + rng.normal(size=(40, 64)) * 0.01 for c in centres])  # ids follow clusters
+    x = np.concatenate((x, -x.mean(0, keepdims=True) * 50 + rng.normal(size=(1, 64))))  # 1200, far from all
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest_neighbours(df, every=40, k=5).collect():
+        got.setdefault(r.query_id, []).append(r)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert set(got) == set(range(0, 1201, 40)) and {len(v) for v in got.values()} == {5}
+    s = u @ u[1200]
+    s[1200] = -2
+    assert [r.vec_id for r in sorted(got[1200], key=lambda r: r["rank"])] == np.lexsort((np.arange(1201), -s))[:5].tolist()
+
+
 def test_few_vectors_give_all_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = nearest_neighbours(df, radius=8).orderBy("rank").collect()
