@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages that follow one another over the documents.
 
 Each stage works on all rows its predecessor kept. Decisions are by id: rows that share an id stay or go together (copies of
-one id and text become one row), and rows with a null id pass the filters and the near-duplicate stage.
+one id and text become one row), and rows with a null id pass the filters and the near-duplicate stage. The mix decides by row.
 """
 
 from __future__ import annotations
@@ -53,9 +53,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: a document stands as many times as the mix takes it."""
-    taken = mix(docs).where("taken > 0").select(F.col("doc_id").alias("chosen_id"), (F.col("taken") / F.col("size")).cast("int").alias("times")).groupBy("chosen_id").agg(F.max("times").alias("times"))
-    chosen = docs.join(taken.hint("merge"), docs.doc_id.eqNullSafe(taken.chosen_id))
+    """The mix of sources: a row stands as many times as the mix takes it, whatever id it has."""
+    keyed = stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_key")), "mix-rows")
+    taken = mix(keyed, key_col="row_key").where("taken > 0").select(F.col("row_key").alias("chosen_key"), (F.col("taken") / F.col("size")).cast("int").alias("times"))
+    chosen = keyed.join(taken.hint("merge"), keyed.row_key == taken.chosen_key)
     return chosen.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 

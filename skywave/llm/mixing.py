@@ -53,20 +53,25 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_repea
     return held.select("source", "source_size", F.when(F.col("held").isNull() | (F.col("ratio") <= F.col("held")), F.col("cap")).otherwise(F.col("weight") * F.col("held")).alias("target"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = "mix") -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for each row; taken: words the mix takes, repeats counted."""
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = "mix", key_col: str | None = None) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) for each row; taken: words the mix takes, repeats counted.
+
+    With key_col, a column that names each row, that column comes first.
+    """
     sizes = df.select(
+        *([key_col] if key_col else []),
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(_WORD)), F.lit(0)).cast("long").alias("size"),
         # a null id is told apart by its text
         F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.md5(F.col(text_col).cast("string"))))), 1, 15), 16, 10).cast("long").alias("shuffled"),
     )
-    return mix_sizes(stored(sizes, "mix-sizes"), weights=weights, max_repeats=max_repeats)
+    return mix_sizes(stored(sizes, "mix-sizes"), weights=weights, max_repeats=max_repeats, key_col=key_col)
 
 
-def mix_sizes(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+def mix_sizes(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS, key_col: str | None = None) -> DataFrame:
     """mix() for stored rows of (doc_id, source, size, shuffled), shuffled being a whole number from 0 to 2**60."""
+    key = [key_col] if key_col else []
     # the queues: ranges of the shuffle key, a power of two of them for each source, hold about BUCKET_ROWS rows each
     rows = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     targets = source_targets(rows.select("source", "source_size"), weights, max_repeats).withColumnsRenamed({"source": "ts", "source_size": "tz"})
@@ -78,7 +83,7 @@ def mix_sizes(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, max_repeats:
     sums = sums.select(F.col("source").alias("bs"), F.col("bucket").alias("bb"), F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("source", "bucket").orderBy("shuffled", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     queued = placed.join(sums, placed.source.eqNullSafe(sums.bs) & (placed.bucket == sums.bb))
-    queued = stored(queued.select("doc_id", "source", "size", "source_size", "target", "shuffled", (F.col("offset") + F.sum("size").over(inside)).alias("upto")), "mix-queued")
+    queued = stored(queued.select(*key, "doc_id", "source", "size", "source_size", "target", "shuffled", (F.col("offset") + F.sum("size").over(inside)).alias("upto")), "mix-queued")
 
     # the global order: ranges of the finish time; only in the range where the budget ends are rows put in order
     ranges = max(1, min(1 << 20, docs.count() // BUCKET_ROWS))
@@ -112,4 +117,4 @@ def mix_sizes(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, max_repeats:
             return under | ((in_range(turn) == edge["range"]) & (place(turn) <= last))
 
     times = sum((took(F.lit(r)).cast("long") for r in range(max_repeats)), F.lit(0))
-    return queued.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times).alias("taken"))
+    return queued.select(*key, "doc_id", "source", "size", "source_size", "target", (F.col("size") * times).alias("taken"))

@@ -75,3 +75,20 @@ def test_stages_against_plain_versions(spark, tmp_path):
         want[r.doc_id, len(x), hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest(), hashlib.sha256(lib.decode(x, skip_special_tokens=False).encode()).hexdigest()] += 1
     assert Counter(tuple(r) for r in coded) == want
     assert Counter(tuple(r) for r in cp.run(spark, folder).collect()) == want
+
+
+def test_mixing_takes_rows_not_ids(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(None if i % 2 else i // 8, f"w{i} " + "w " * rng.randint(4, 30), "en", ["a", "b", "c", None][i % 4 if i % 5 else 1], 0) for i in range(400)]
+    rows += [(None, "same words here", "en", "b", 0)] * 3 + [(None, "", "en", "a", 0), (None, None, "en", "c", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.mixing(spark, docs, str(tmp_path)).collect()
+    have, out, size, taken = Counter(rows), Counter(tuple(r) for r in got), Counter(), Counter()
+    for r in rows:
+        size[r[3]] += len((r[1] or "").split())
+    for r in got:
+        taken[r.source] += len((r.text or "").split())
+    target = by_hand(dict(size))
+    assert all(n <= 3 * have[r] for r, n in out.items())
+    assert sum(taken.values()) <= sum(size.values())
+    assert all(abs(taken[s] - target[s]) <= 32 for s in target)
