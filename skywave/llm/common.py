@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Edges that one task of a round over a graph takes.
 EDGES_A_TASK = 200_000
+#: Parts over which the edges of one node are spread in a join.
+HUB_PARTS = 16
 #: Entries that a worker keeps in a cache of words before it starts afresh.
 CACHE_ENTRIES = 400_000
 
@@ -98,8 +100,11 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         if not large:
             both = both.where("v <= u")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("lu"), F.least("m", "u").alias("m"))
-        j = both.join(least, both.u == least.lu)
+        # the edges of a hub are spread over parts; a node's least neighbour has a row for each part that the node uses
+        both = both.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(HUB_PARTS)).cast("int"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.bit_or(F.expr("shiftleft(1L, part)")).alias("parts")).select(F.col("u").alias("lu"), F.least("m", "u").alias("m"), "parts")
+        spread = least.withColumn("lpart", F.explode(F.expr(f"filter(sequence(0, {HUB_PARTS - 1}), i -> getbit(parts, i) = 1)")))
+        j = both.join(spread, (both.u == spread.lu) & (both.part == spread.lpart))
         moved = j.where("v > u") if large else j.where("v <> m")
         out = moved.select(F.col("v").alias("a"), F.col("m").alias("b"))
         if not large:

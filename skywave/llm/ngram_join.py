@@ -29,19 +29,26 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import CACHE_ENTRIES, WordHashes, connected_components, mix64, shingle_set, stored
 
 #: Sizes of a band grow by this factor: wider bands need fewer indexes for each set, but more segments in each.
 BAND_GROWTH = 1.25
-#: Documents among which copies are told before their signatures leave a task.
-COMBINE_DOCS = 2000
+#: Classes that a task remembers, so as not to sign their copies again.
+SEEN_CLASSES = 1 << 20
+#: Signatures that a task packs together.
+PACK_SIGNATURES = 1 << 20
+#: Bytes of text for one range of signatures: ranges grow in number with the corpus.
+SLOT_BYTES = 1 << 20
 #: What a segment of at most two elements costs later by chance agreements, in units of one signature written.
-CHANCE_COST = 100.0
+CHANCE_COST = 1.0
 #: Classes of one signature that are compared at a time.
 BUCKET_BLOCK = 4096
 SKETCH_BITS = 512
+#: Bytes of wide sketches in a block of a cluster.
+BLOCK_SKETCHES = 4 << 20
+#: Parts over which the copies of one text are spread where they are joined to their class.
+COPY_PARTS = 32
 #: Shingles in a block of a cluster.
 BLOCK_SHINGLES = 400_000
 
@@ -145,12 +152,18 @@ def signatures(h: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def sketch(h: np.ndarray) -> bytes:
-    """Parities of the elements by 512 hash values: two sketches differ in at most as many bits as the sets in elements."""
-    return np.packbits(np.bincount((h & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes()
+def sketch(h: np.ndarray, bits: int) -> np.ndarray:
+    """Parities of the elements by `bits` hash values: two sketches differ in at most as many bits as the sets in elements."""
+    return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little")
 
 
-INDEX_SCHEMA = "doc_id long, n long, fp1 long, fp2 long, sigs array<long>, sketch binary"
+def sketch_bits(n: int) -> int:
+    """Bits of a wide sketch: the power of two from n on, so that unrelated sets of any size stay far apart in it."""
+    return max(SKETCH_BITS, 1 << (n - 1).bit_length())
+
+
+#: Rows of documents (slot null) and packed signatures (slot not null: its range; ids holds the classes met in it).
+INDEX_SCHEMA = "doc_id long, n long, fp1 long, fp2 long, narrow binary, wide binary, slot long, count int, packed binary, ids binary"
 
 
 def _fingerprint(h: np.ndarray) -> tuple[int, int]:
@@ -158,43 +171,163 @@ def _fingerprint(h: np.ndarray) -> tuple[int, int]:
     return int(a), int(b)
 
 
-def _index(k: int, percent: int, deletions: int | None):
-    """A row for each document with its class, signatures and sketch; copies of one batch carry signatures once."""
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of x, those of equal place together, so that places that hardly change take no room."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _unplanes(raw: bytes, dtype) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).reshape(-1).view(dtype)
+
+
+def pack(sigs: np.ndarray, owner: np.ndarray, fps: np.ndarray, slots: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """Signatures by range of their upper half: the sorted lower halves as gaps, and which class each is of.
+
+    A signature takes about six bytes so, where a row for each takes sixteen and more. Equal lower halves in one range
+    are taken for one signature; ranges grow in number with the corpus, so that such accidents stay rare.
+    """
+    slot = ((sigs >> np.uint64(32)) * np.uint64(slots)) >> np.uint64(32)
+    low = sigs.astype(np.uint32)
+    order = np.lexsort((low, slot))
+    slot, low, owner = slot[order], low[order], owner[order]
+    cut = np.concatenate(([0], np.flatnonzero(slot[1:] != slot[:-1]) + 1, [len(slot)]))
+    codec = pa.Codec("zstd", compression_level=1)
+    for i, j in zip(cut[:-1], cut[1:], strict=True):
+        own, at = np.unique(owner[i:j], return_inverse=True)
+        gaps = np.diff(low[i:j], prepend=np.uint32(0))
+        yield int(slot[i]), int(j - i), codec.compress(_planes(gaps) + _planes(at.astype(np.uint16)), asbytes=True), fps[own].tobytes()
+
+
+def unpack(count: int, packed: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(lower halves, classes) of a packed range."""
+    raw = pa.Codec("zstd").decompress(packed, decompressed_size=count * 6, asbytes=True)
+    return np.cumsum(_unplanes(raw[: count * 4], np.uint32), dtype=np.uint32), np.frombuffer(ids, np.int64)[_unplanes(raw[count * 4 :], np.uint16)]
+
+
+def _index(k: int, percent: int, deletions: int | None, slots: int):
+    """A row for each document with its class, and packed signatures; copies that a task met before are not signed again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, bands = WordHashes(), Bands(percent, deletions)
-        for whole in batches:
-            for at in range(0, whole.num_rows, COMBINE_DOCS):
-                batch = whole.slice(at, COMBINE_DOCS)
-                if len(cache) >= CACHE_ENTRIES:
-                    cache.clear()
-                rows = batch.num_rows
-                n, fp1, fp2 = (np.zeros(rows, np.int64) for _ in range(3))
-                seen: set[tuple[int, int]] = set()
-                sigs, sketches, none = [], [None] * rows, np.empty(0, np.uint64)
-                for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                    h = shingle_set(text, k, cache)
-                    n[i] = len(h)
-                    sigs.append(none)
-                    if len(h):
-                        fp = fp1[i], fp2[i] = _fingerprint(h)
-                        if fp not in seen:
-                            seen.add(fp)
-                            sigs[-1] = signatures(h, bands)
-                            sketches[i] = sketch(h)
-                ends = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in sigs]))), pa.int32())
-                flat = np.concatenate(sigs).view(np.int64) if sigs else none.view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n), pa.array(fp1), pa.array(fp2), pa.ListArray.from_arrays(ends, pa.array(flat)), pa.array(sketches, pa.binary())], names=["doc_id", "n", "fp1", "fp2", "sigs", "sketch"]
-                )
+        cache, bands, seen = WordHashes(), Bands(percent, deletions), set()
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("narrow", pa.binary()), ("wide", pa.binary()), ("slot", pa.int64()), ("count", pa.int32()), ("packed", pa.binary()), ("ids", pa.binary())])
+        sigs, fps, held = [], [], 0
+
+        def packs() -> pa.RecordBatch:
+            owner = np.repeat(np.arange(len(sigs)), [len(x) for x in sigs])
+            rows = list(pack(np.concatenate(sigs), owner, np.array(fps, np.int64), slots))
+            nulls = [pa.nulls(len(rows), schema.field(c).type) for c in range(6)]
+            return pa.RecordBatch.from_arrays(nulls + [pa.array(c, schema.field(6 + i).type) for i, c in enumerate(zip(*rows, strict=True))], schema=schema)
+
+        for batch in batches:
+            rows = batch.num_rows
+            if len(cache) >= CACHE_ENTRIES:
+                cache.clear()
+            n, fp1, fp2 = (np.zeros(rows, np.int64) for _ in range(3))
+            narrow, wide = [None] * rows, [None] * rows
+            for i, text in enumerate(batch.column(1).cast(pa.binary())):
+                h = shingle_set(text.as_py(), k, cache)
+                n[i] = len(h)
+                if not len(h):
+                    continue
+                fp = fp1[i], fp2[i] = _fingerprint(h)
+                if fp in seen:
+                    continue
+                if len(seen) >= SEEN_CLASSES:
+                    seen.clear()
+                seen.add(fp)
+                own = signatures(h, bands)
+                if not len(own):
+                    continue
+                full = sketch(h, sketch_bits(len(h)))
+                narrow[i] = np.bitwise_xor.reduce(full.reshape(-1, SKETCH_BITS // 8), axis=0).tobytes()
+                wide[i] = full.tobytes()
+                sigs.append(own)
+                fps.append(fp[0])
+                held += len(own)
+                if held >= PACK_SIGNATURES or len(sigs) == 1 << 16:
+                    yield packs()
+                    sigs, fps, held = [], [], 0
+            rest = [pa.nulls(rows, schema.field(c).type) for c in range(6, 10)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(fp1), pa.array(fp2), pa.array(narrow, pa.binary()), pa.array(wide, pa.binary()), *rest], schema=schema)
+        if sigs:
+            yield packs()
 
     return run
 
 
-def _near_in_bucket(n: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
-    """For each member the first of those it is connected to by pairs that sizes and sketches leave possible."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The runs of equal keys of sorted batches, each whole; a run may go over any number of batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(c).to_numpy() for c in keys])
+        cut = np.concatenate(([0], np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1, [batch.num_rows]))
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
+            if held and last != tuple(k[:, i]):
+                yield pa.Table.from_batches(held)
+                held = []
+            last = tuple(k[:, i])
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed ranges sorted by slot -> (bucket, members, fp1) of the signatures that more than one class has."""
+    for t in _groups(batches, ["slot"]):
+        parts = [unpack(*row) for row in zip(*(t.column(c).to_pylist() for c in ("count", "packed", "ids")), strict=True)]
+        low, fp = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        # only lower halves that come up again are looked at closely
+        order = np.argsort(low, kind="stable")
+        low, fp = low[order], fp[order]
+        same = low[1:] == low[:-1]
+        again = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        low, fp = low[again], fp[again]
+        order = np.lexsort((fp, low))
+        low, fp = low[order], fp[order]
+        fresh = np.concatenate(([True], (low[1:] != low[:-1]) | (fp[1:] != fp[:-1])))[: len(low)]
+        low, fp = low[fresh], fp[fresh]
+        if not len(low):
+            continue
+        start = np.concatenate(([0], np.flatnonzero(low[1:] != low[:-1]) + 1))
+        members = np.diff(start, append=len(low))
+        with np.errstate(over="ignore"):
+            code = mix64(fp.view(np.uint64))
+            bucket = mix64(np.add.reduceat(code, start) ^ mix64(np.bitwise_xor.reduceat(code, start) + members.astype(np.uint64)))
+        of = np.repeat(np.arange(len(start)), members)
+        took = members[of] > 1
+        out = pa.table({"bucket": bucket[of][took].view(np.int64), "members": members[of][took].astype(np.int64), "fp1": fp[took]})
+        yield from out.to_batches(max_chunksize=1 << 16)
+
+
+def near_forest(n: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
+    """For each member the first of those it is connected to by pairs that sizes and sketches leave possible.
+
+    Sketches of unlike width are compared in the narrower one's bits: folding a sketch by half keeps its bound.
+    """
     c = len(n)
+    order = np.argsort(n, kind="stable")
+    size = n[order]
+    words = np.array([len(sketches[i]) // 8 for i in order])
+    by_width = {}  # the widths grow with the sizes, so each has one run of members
+    for w in np.unique(words):
+        at = np.flatnonzero(words == w)
+        m = np.frombuffer(b"".join(sketches[order[i]] for i in at), np.uint64).reshape(len(at), w)
+        by_width[int(w)] = (at, {int(w): m})
+
+    def folded(w: int, to: int) -> np.ndarray:
+        forms = by_width[w][1]
+        if to not in forms:
+            forms[to] = np.bitwise_xor.reduce(forms[w].reshape(len(forms[w]), w // to, to), axis=1)
+        return forms[to]
+
     lead, left = np.arange(c), np.ones(c, bool)
+    place = np.zeros(c, np.int64)
+    for at, _ in by_width.values():
+        place[at] = np.arange(len(at))
     for x in range(c):
         if not left[x]:
             continue
@@ -202,58 +335,61 @@ def _near_in_bucket(n: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray
         todo = [x]
         while todo:
             y = todo.pop()
-            rest = np.flatnonzero(left)
-            if not len(rest):
-                break
-            both = n[rest] + n[y]
-            near = 100 * np.minimum(n[rest], n[y]) >= percent * np.maximum(n[rest], n[y])
-            near &= np.bitwise_count(bits[rest] ^ bits[y]).sum(1, dtype=np.int64) <= (100 - percent) * both // (100 + percent)
-            found = rest[near]
-            lead[found], left[found] = x, False
-            todo += found.tolist()
-    return lead
+            wy = int(words[y])
+            lo = np.searchsorted(size, -(-percent * size[y] // 100), side="left")
+            hi = np.searchsorted(size, 100 * size[y] // percent, side="right")
+            for w, (at, _) in by_width.items():
+                i, j = np.searchsorted(at, [lo, hi])
+                rest = np.flatnonzero(left[at[i:j]]) + i
+                if not len(rest):
+                    continue
+                to = min(w, wy)
+                d = np.bitwise_count(folded(w, to)[rest] ^ folded(wy, to)[place[y]]).sum(1, dtype=np.int64)
+                found = at[rest[d <= (100 - percent) * (size[at[rest]] + size[y]) // (100 + percent)]]
+                lead[found], left[found] = x, False
+                todo += found.tolist()
+    out = np.empty(c, np.int64)
+    out[order] = order[lead]
+    return out
 
 
-def _candidates(percent: int):
-    """Rows sorted by bucket -> a spanning forest of the possible pairs of each bucket."""
+def _candidates(keys: list[str], percent: int):
+    """Rows sorted by keys -> a spanning forest of the possible pairs of each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-
-        def edges(t: pa.Table, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
-            fp, n = t.column("fp1").to_numpy(), t.column("n").to_numpy()
-            bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
-            a, b = [], []
-            two = ends - starts == 2
-            x, y = starts[two], starts[two] + 1
-            near = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
-            near &= np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= (100 - percent) * (n[x] + n[y]) // (100 + percent)
-            a.append(fp[x[near]])
-            b.append(fp[y[near]])
-            for i, j in zip(starts[~two], ends[~two], strict=True):
-                if j - i > 1:
-                    lead = _near_in_bucket(n[i:j], bits[i:j], percent)
-                    own = np.flatnonzero(lead != np.arange(j - i))
-                    a.append(fp[i:j][own])
-                    b.append(fp[i:j][lead[own]])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([held, t]) if held is not None and held.num_rows else t
-            if not t.num_rows:
+        a, b, held = [], [], 0
+        for t in _groups(batches, keys):
+            if t.num_rows < 2:
                 continue
-            keys = np.stack([t.column(c).to_numpy() for c in ("bucket", "left", "right")])
-            cut = np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1))
-            held = t.slice(cut[-1]).combine_chunks()
-            if len(cut) > 1:
-                yield edges(t, cut[:-1], cut[1:])
-        if held is not None and held.num_rows:
-            yield edges(held, np.array([0]), np.array([held.num_rows]))
+            fp = t.column("fp1").to_numpy()
+            lead = near_forest(t.column("n").to_numpy(), t.column("sketch").to_pylist(), percent)
+            own = np.flatnonzero(lead != np.arange(len(fp)))
+            a.append(fp[own])
+            b.append(fp[lead[own]])
+            held += len(own)
+            if held >= 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                a, b, held = [], [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     return run
 
 
+def _block_pairs(df: DataFrame, key: str, blocks: str, *cols: str) -> DataFrame:
+    """Each row of a group once for each pair of blocks that its block is in: (key, left, right, cols)."""
+    return (
+        df.withColumn("block", F.pmod(F.xxhash64("fp1"), F.col(blocks)).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), (F.col(blocks) - 1).cast("int"))))
+        .select(key, F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", *cols)
+    )
+
+
+def _forest(df: DataFrame, key: str, percent: int) -> DataFrame:
+    """Possible pairs (a, b) in df(key, left, right, fp1, n, sketch), a pair of blocks at a time."""
+    return df.repartition(key, "left", "right").sortWithinPartitions(key, "left", "right").mapInArrow(_candidates([key, "left", "right"], percent), "a long, b long")
+
+
 def _verify(k: int, percent: int):
     """Exact links among the classes of one pair of blocks: (doc_id, root, links) for each class that has any."""
 
@@ -318,36 +454,25 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     directly. deletions fixes the number of segments with a deletion in each band (tests); by default costs decide.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    index = stored(docs.mapInArrow(_index(k, percent, deletions), INDEX_SCHEMA), "ngram-index")
-    rows = index.select("doc_id", "n", "fp1", "fp2")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    index = stored(docs.mapInArrow(_index(k, percent, deletions, 1 + size // SLOT_BYTES), INDEX_SCHEMA), "ngram-index")
+    rows = index.where("slot is null").select("doc_id", "n", "fp1", "fp2", F.pmod(F.xxhash64("doc_id"), F.lit(COPY_PARTS)).cast("int").alias("part"))
+    classes = rows.where("n > 0 and doc_id is not null").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.bit_or(F.expr("shiftleft(1L, part)")).alias("parts"))
 
     # signatures that classes share; buckets with the same members count once
-    signed = index.where(F.size("sigs") > 0).select("fp1", F.explode("sigs").alias("sig"))
-    same = Window.partitionBy("sig")
-    shared = signed.select(
-        "fp1", F.min("fp1").over(same).alias("least"), F.max("fp1").over(same).alias("most"), F.count("*").over(same).alias("members"), F.try_sum(F.pmod(F.xxhash64("fp1"), F.lit(1 << 44))).over(same).alias("digest")
-    ).where("least <> most")
-    buckets = shared.select(F.xxhash64("least", "most", "members", "digest").alias("bucket"), "members", "fp1").distinct()
-    sketches = index.where("sketch is not null").select(F.col("fp1").alias("sf"), "n", "sketch").dropDuplicates(["sf"])
-    blocks = F.ceil(F.col("members") / BUCKET_BLOCK).cast("int")
-    compared = (
-        buckets.join(sketches, buckets.fp1 == sketches.sf)
-        .withColumn("block", F.pmod(F.xxhash64("fp1"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("bucket", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "fp1", "n", "sketch")
-    )
-    near = compared.repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right").mapInArrow(_candidates(percent), "a long, b long")
-    clusters = connected_components(near, "ngram-candidates").withColumnsRenamed({"node": "cfp", "component": "cluster"})
+    packed = index.where("slot is not null").select("slot", "count", "packed", "ids")
+    buckets = packed.repartition("slot").sortWithinPartitions("slot").mapInArrow(_shared, "bucket long, members long, fp1 long").distinct()
+    sketches = stored(index.where("wide is not null").select(F.col("fp1").alias("sf"), "n", "narrow", "wide").dropDuplicates(["sf"]), "ngram-sketches")
+    met = buckets.join(sketches.select("sf", "n", F.col("narrow").alias("sketch")), buckets.fp1 == sketches.sf).withColumn("blocks", F.ceil(F.col("members") / BUCKET_BLOCK))
+    near = connected_components(_forest(_block_pairs(met, "bucket", "blocks", "fp1", "n", "sketch"), "bucket", percent), "ngram-candidates").withColumnsRenamed({"node": "cfp", "component": "near"})
+    # the same again inside what is connected so far, by sketches as wide as the sets are large
+    wide = near.join(sketches.select("sf", "n", F.col("wide").alias("sketch")), near.cfp == sketches.sf).select("near", F.col("cfp").alias("fp1"), "n", "sketch")
+    parts = wide.groupBy(F.col("near").alias("wn")).agg(F.ceil(F.sum(F.octet_length("sketch")) / BLOCK_SKETCHES).alias("blocks"))
+    clusters = connected_components(_forest(_block_pairs(wide.join(parts, wide.near == parts.wn), "near", "blocks", "fp1", "n", "sketch"), "near", percent), "ngram-near").withColumnsRenamed({"node": "cfp", "component": "cluster"})
 
     members = stored(classes.join(clusters, classes.fp1 == clusters.cfp).select("cluster", "rep", "fp1", "fp2", "n", "copies"), "ngram-members")
-    weights = members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")).withColumnRenamed("cluster", "wc")
-    dealt = (
-        members.join(weights, members.cluster == weights.wc)
-        .withColumn("block", F.pmod(F.xxhash64("fp1", "fp2"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("cluster", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "rep", "fp1", "fp2", "copies")
-    )
+    weights = members.groupBy(F.col("cluster").alias("wc")).agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    dealt = _block_pairs(members.join(weights, members.cluster == weights.wc), "cluster", "blocks", "rep", "fp1", "fp2", "copies")
     # a merge at every size: the list of candidates grows with the corpus
     found = (
         docs.join(dealt.hint("merge"), docs.doc_id == dealt.rep)
@@ -359,8 +484,11 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     components = connected_components(found.select(F.col("doc_id").alias("a"), F.col("root").alias("b")), "ngram-components")
     linked = found.groupBy("doc_id").agg(F.sum("links").alias("links")).join(components, F.col("doc_id") == F.col("node"), "left").select(F.col("doc_id").alias("lrep"), "links", "component")
     named = classes.join(linked, classes.rep == linked.lrep, "left").select(
-        F.col("fp1").alias("c1"), F.col("fp2").alias("c2"), F.col("n").alias("cn"), F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
-    )
-    return rows.join(named, (rows.fp1 == named.c1) & (rows.fp2 == named.c2) & (rows.n == named.cn) & rows.doc_id.isNotNull(), "left").select(
+        F.col("fp1").alias("c1"), F.col("fp2").alias("c2"), F.col("n").alias("cn"), F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "parts"
+    )
+    # copies of one text are spread over parts; a class has a row for each part that any of its copies is in
+    named = named.withColumn("cp", F.explode(F.expr(f"filter(sequence(0, {COPY_PARTS - 1}), i -> getbit(parts, i) = 1)")))
+    same = (rows.fp1 == named.c1) & (rows.fp2 == named.c2) & (rows.n == named.cn) & (rows.part == named.cp) & rows.doc_id.isNotNull()
+    return rows.join(named, same, "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
