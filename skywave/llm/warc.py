@@ -9,8 +9,9 @@ Of records with equal payloads of at least REVISIT_BYTES, that with the smallest
 revisits that name it (their records carry headers and an empty block). Smaller payloads are all responses.
 
 Defined cases: null html is an empty payload; null url gives an empty target; rows that share an id get a record each; a
-null id is written as empty and is never the response that others refer to, unless all have null ids; extra columns are
-ignored; an empty table makes an empty archive.
+null id is written as empty and is never the response that others refer to, unless all have null ids; rows that share the
+smallest id of a payload are all responses; CR and LF are left out of targets (no header field may hold them), other line
+separators stay; extra columns are ignored; an empty table makes an empty archive.
 """
 
 from __future__ import annotations
@@ -74,7 +75,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     payloads = spark.read.schema("digest string, payload binary").parquet(f"{path}/payloads")
     checked = payloads.select(F.col("digest").alias("pd"), F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload does not match digest "), F.col("digest")))).alias("payload"))
     records = headers.join(checked, headers.digest == checked.pd, "left").withColumn("head", F.decode("header", "UTF-8"))
-    field = lambda name: F.regexp_extract("head", rf"(?m)^{name}: (.*?)\r?$", 1)
+    # only CR LF ends a line: a target may hold any other separator
+    field = lambda name: F.regexp_extract("head", rf"(?:^|\r\n){name}: ([^\r\n]*)", 1)
     block = F.when(field("WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
     return records.select(
         F.regexp_extract(field("WARC-Record-ID"), r"^<urn:page:(-?\d*)>$", 1).try_cast("long").alias("page_id"),
