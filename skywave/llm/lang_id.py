@@ -1,8 +1,9 @@
 """Language identification, word first: words known to the model score by their log frequency in each language, other
 words by the longest character n-grams of them that are known, and a text by the mean over its words.
 
-The model is fitted on a bounded sample of labelled rows (train_docs of them, chosen by a hash of the id) and keeps at
-most max_words words and max_grams n-grams, so what goes to the driver and the workers is bounded.
+The model is fitted on a bounded sample of labelled rows (train_docs of them, the same number for each language as far as
+it has rows, chosen by a hash of the id) and keeps at most max_words words and max_grams n-grams, each language its most
+frequent ones, so what goes to the driver and the workers is bounded.
 
 Defined cases: null text, or text without letters, is `und` with score 0; rows with a null language or id are not learned
 from; without any labelled row everything is `und`; a text that shares nothing with the model gets the first language by
@@ -11,7 +12,6 @@ code point; rows with equal ids stay apart; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,8 +19,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import CACHE_ENTRIES, mix64
 
@@ -32,7 +34,8 @@ MAX_N = 5
 #: -log10 of the probability of what a language does not have, beyond its rarest entry.
 PENALTY = 1.0
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: A word is letters with the marks that belong to them; digits and numbers of other kinds are no letters.
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 @dataclass
@@ -79,21 +82,36 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(distinct), pa.string()), pa.array(distinct.view(np.int64)), pa.nulls(len(distinct), pa.string()), pa.array(total)], names=["lang", "gram", "word", "n"])
 
 
+def shares(rows: dict[str, int], train_docs: int) -> dict[str, float]:
+    """The share of each language's rows that is learned from: equal numbers, and all rows of languages with fewer."""
+    out, left = {}, train_docs
+    for i, (lang, n) in enumerate(sorted(rows.items(), key=lambda r: (r[1], r[0]))):
+        took = min(n, left // (len(rows) - i))
+        out[lang], left = took / n, left - took
+    return out
+
+
 def fit_language_model(labelled: DataFrame, *, train_docs: int = TRAIN_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> LanguageModel:
-    """Fit on (id, lang, text) rows without null id or lang: on about train_docs of them, chosen by a hash of the id."""
-    number = labelled.select("lang").count()
-    share = min(1.0, train_docs / max(1, number))
-    sample = labelled.where(F.pmod(F.xxhash64(F.col("id"), F.lit(7)), F.lit(1 << 30)) < F.lit(share * (1 << 30))).select("lang", "text")
+    """Fit on (id, lang, text) rows without null id or lang: on about train_docs of them, dealt over the languages.
+
+    Each language has the same room for its most frequent words and n-grams, so a rare one keeps its own.
+    """
+    rows = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    take = labelled.sparkSession.createDataFrame(list(shares(rows, train_docs).items()), "tl string, share double")
+    sample = labelled.join(F.broadcast(take), labelled.lang == take.tl).where(F.pmod(F.xxhash64(F.col("id"), F.lit(7)), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", "text")
     counts = sample.mapInArrow(_count, "lang string, gram long, word string, n long").groupBy("lang", "gram", "word").agg(F.sum("n").alias("n"))
     top = {}
     for kind, limit in (("word", max_words), ("gram", max_grams)):
-        best = counts.where(F.col(kind).isNotNull()).groupBy(kind).agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))
-        best = best.orderBy(F.col("all").desc(), kind).limit(limit).select(F.col(kind).alias("key"), F.explode("by").alias("r"))
-        top[kind] = best.select("key", "r.lang", "r.n").toArrow()  # in columns: rows of objects would fill the driver
+        by = counts.where(F.col(kind).isNotNull()).select("lang", F.col(kind).alias("key"), "n")
+        # bounded: the counts are those of the sample
+        ranked = by.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "key")))
+        kept = ranked.withColumn("best", F.min("nth").over(Window.partitionBy("key"))).where(F.col("best") <= limit // max(1, len(rows)))
+        top[kind] = kept.select("key", "lang", "n").toArrow()  # in columns: rows of objects would fill the driver
     languages = sorted({x for t in top.values() for x in pc.unique(t.column("lang")).to_pylist()})
     column = pa.array(languages, pa.string())
     scores, entries = {}, {}
     for kind, t in top.items():
+        t = t.sort_by([("key", "ascending"), ("lang", "ascending")])
         coded = t.column("key").combine_chunks().dictionary_encode()
         entries[kind] = coded.dictionary
         n = np.zeros((len(coded.dictionary), len(languages)))
