@@ -36,7 +36,9 @@ TOP_WORDS = 4000
 SUFFIX_CLASSES = 2000
 PASSES = 2
 START_DOCS = 600
+#: A block closes at so many words of its dictionary, or so many tokens of its documents.
 BLOCK_ENTRIES = 400_000
+BLOCK_TOKENS = 16_000_000
 #: Tokens whose forward probabilities a worker holds at a time.
 CHUNK_TOKENS = 300_000
 #: Added to every expected emission and transition count.
@@ -59,6 +61,7 @@ def _blocks(docs_only: bool, block_entries: int):
         block = (task.partitionId() if task else 0) << 24
         numbers: dict[bytes, int] = {END.encode(): 0}
         counts = np.zeros(1 << 16, np.int64)
+        held = 0
 
         def dictionary() -> pa.RecordBatch:
             n = len(numbers)
@@ -82,10 +85,12 @@ def _blocks(docs_only: bool, block_entries: int):
                         found = np.bincount(np.concatenate(learned), minlength=1)
                         counts[: len(found)] += found
                         counts[0] += len(learned)
-                if len(numbers) >= block_entries:
+                held += sum(tokens)
+                if len(numbers) >= block_entries or held >= BLOCK_TOKENS:
                     if not docs_only:
                         yield dictionary()
                     block += 1
+                    held = 0
                     numbers = {END.encode(): 0}
                     counts = np.zeros(1 << 16, np.int64)
         if not docs_only:
@@ -174,10 +179,57 @@ def forward_backward(docs: list[np.ndarray], model: Hmm, learn: bool) -> tuple[n
     return out, starts, moves, emits
 
 
+def long_forward_backward(doc: np.ndarray, model: Hmm, learn: bool, piece: int | None = None) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """The same for one sequence, a piece at a time: what is kept of a piece is the state at its start."""
+    k, c = model.emit.shape
+    piece = piece or CHUNK_TOKENS
+    emit = np.ascontiguousarray(model.emit.T)
+
+    def forward(at: int, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        seen = emit[doc[at : at + piece]]
+        alphas, scales = np.empty_like(seen), np.empty(len(seen))
+        alpha = before
+        for t in range(len(seen)):
+            alpha = seen[t] * (model.start if alpha is None else alpha @ model.move)
+            scales[t] = alpha.sum()
+            alpha = alphas[t] = alpha / scales[t]
+        return alphas, scales
+
+    states: list[np.ndarray | None] = [None]
+    likelihood = 0.0
+    for at in range(0, len(doc), piece):
+        alphas, scales = forward(at, states[-1])
+        likelihood += float(np.log10(scales).sum())
+        states.append(alphas[-1].copy())
+    starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((k, c))
+    if learn and len(doc):
+        beta = None  # of the token after, with its emission and scale
+        for i in range(len(states) - 2, -1, -1):
+            at = i * piece
+            now = doc[at : at + piece]
+            alphas, scales = forward(at, states[i])
+            gammas, aheads = np.empty_like(alphas), np.zeros_like(alphas)
+            for t in range(len(now) - 1, -1, -1):
+                if beta is not None:
+                    aheads[t] = beta
+                own = np.ones(k) if beta is None else model.move @ beta
+                gammas[t] = alphas[t] * own
+                beta = emit[now[t]] * own / scales[t]
+            moves += alphas.T @ aheads
+            for s in range(k):
+                emits[s] += np.bincount(now, weights=gammas[:, s], minlength=c)
+            starts = gammas[0]
+        moves *= model.move
+    return likelihood, starts, moves, emits
+
+
 def _in_chunks(docs: list[np.ndarray]) -> Iterator[list[int]]:
-    """Places of documents of like length, so many tokens at a time."""
+    """Places of documents of like length, so many tokens at a time; a document of more tokens is alone."""
     chunk, tokens = [], 0
     for i in np.argsort([len(d) for d in docs], kind="stable"):
+        if chunk and len(docs[i]) > CHUNK_TOKENS:
+            yield chunk
+            chunk, tokens = [], 0
         chunk.append(int(i))
         tokens += len(docs[i])
         if tokens >= CHUNK_TOKENS:
@@ -194,7 +246,8 @@ def _expected_counts(model: Hmm):
             for at in range(0, batch.num_rows, 2000):
                 docs = [read_classes(b) for b in batch.column(0).slice(at, 2000).to_pylist()]
                 for chunk in _in_chunks(docs):
-                    _, s, m, e = forward_backward([docs[i] for i in chunk], model, True)
+                    one = docs[chunk[0]]
+                    _, s, m, e = long_forward_backward(one, model, True) if len(one) > CHUNK_TOKENS else forward_backward([docs[i] for i in chunk], model, True)
                     total += np.concatenate((s, m.ravel(), e.ravel()))
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells])], names=["cell", "value"])
@@ -210,7 +263,8 @@ def _score(model: Hmm):
                 docs = [read_classes(b) for b in batch.column("classes").to_pylist()]
                 score = np.array(batch.column("inside").to_pylist(), float)
                 for chunk in _in_chunks(docs):
-                    score[chunk] += forward_backward([docs[i] for i in chunk], model, False)[0]
+                    one = docs[chunk[0]]
+                    score[chunk] += long_forward_backward(one, model, False)[0] if len(one) > CHUNK_TOKENS else forward_backward([docs[i] for i in chunk], model, False)[0]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "train", "n_tokens", "n_known", "base_score")), pa.array(score)], names=["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
 
     return run
@@ -281,8 +335,8 @@ def hmm_scores(
     back = classed.select(F.col("block").alias("eblock"), "number", "c", "cls")
     coded = stored(numbered.groupBy("block").cogroup(back.groupBy("eblock")).applyInArrow(_class_block(int(total), int(distinct), class_tokens, class_words, singles), _CODED), "hmm-coded")
     training = coded.where("train")
-    share = min(1.0, start_docs / max(1, training.count()))
-    some = training.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < F.lit(share * (1 << 30))).select("classes").limit(2 * start_docs).collect()
+    # the same documents in the same order however the rows are dealt
+    some = training.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "classes").limit(start_docs).select("classes").collect()
     model = starting_model([read_classes(bytes(r["classes"])) for r in some], classes, states)
     for _ in range(passes):
         model = baum_welch_pass(coded, model)
