@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from .bpe import TOKENIZER, WordBpe
 
-#: Entries at which a block closes, which bounds a worker's memory.
+#: Entries of its dictionary, or bytes of its documents, at which a block closes, which bounds a worker's memory.
 BLOCK_ENTRIES = 300_000
+BLOCK_BYTES = 64 << 20
 _BLOCKS = "block long, doc_id long, n_bytes long, extra long, entries binary, freqs binary, number int, pretoken string"
 _ARROW = pa.schema(
     [("block", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("extra", pa.int64()), ("entries", pa.binary()), ("freqs", pa.binary()), ("number", pa.int32()), ("pretoken", pa.string())]
@@ -46,6 +47,7 @@ def _blocks(name: str, docs_only: bool, block_entries: int):
         block = (task.partitionId() if task else 0) << 24
         numbers: dict[str, int] = {}
         words: dict[str, tuple[int, ...]] = {}
+        held = 0
 
         def number(p: str) -> int:
             return numbers.setdefault(p, len(numbers))
@@ -82,10 +84,12 @@ def _blocks(name: str, docs_only: bool, block_entries: int):
                 if docs_only:
                     n = batch.num_rows
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(extra, pa.int64()), pa.array(entries, pa.binary()), pa.array(freqs, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], schema=_ARROW)
-                if len(numbers) >= block_entries:
+                held += sum(n_bytes)
+                if len(numbers) >= block_entries or held >= BLOCK_BYTES:
                     if not docs_only:
                         yield dictionary()
                     block += 1
+                    held = 0
                     numbers.clear()
                     words.clear()
         if not docs_only:
