@@ -7,12 +7,14 @@ searched for: a greedy beam search from the shard's medoid leads to its surround
 through neighbours as long as they lie within the range (with some slack), so all that are near are met. Pairs are
 verified in double precision. A pair that two shards share is counted in the first.
 
-Recall is audited on a bounded sample of vectors against all; if it falls short, the overlap grows and the work is done
-again.
+Recall is audited on a bounded sample of vectors against all, as the mean share of its links over the sampled vectors that
+have any (null: none has); if it falls short, the overlap doubles and the work is done again, in the end with every class in
+every shard.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components, and rows with a null label or id, link
-with nothing (component: their own id; kept); vectors of different lengths never link; rows that share an id are one
-node; extra columns are ignored; an empty table gives an empty result.
+with nothing (component: their own id; kept); vectors of different lengths never link; equal rows of one id are one vector
+and not each other's links, and different vectors of one id are linked as any others are, each with its own n_links, and in
+one component; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,6 +41,9 @@ ALPHA = 1.2
 #: How far under the threshold a vector may lie for its neighbours to be looked at.
 SLACK = 0.06
 AUDIT_VECTORS = 200
+#: Vectors of a shard that are searched for at a time (a multiple of 8), and nodes that are expanded at a time.
+QUERY_BLOCK = 512
+EXPAND_NODES = 50_000
 AUDIT_RECALL = 0.99
 #: Members of a label that one task compares with the centres.
 DEAL_ROWS = 20_000
@@ -93,18 +98,21 @@ def build_graph(x: np.ndarray) -> list[np.ndarray]:
     return np.split(code % n, np.searchsorted(code // n, np.arange(1, n)))
 
 
-def greedy_search(x: np.ndarray, graph: list[np.ndarray], medoid: int, beam: int = BEAM, steps: int = 64) -> np.ndarray:
-    """For every vector of the shard the nodes that a beam search for it from the medoid ends with."""
-    n = len(x)
-    width = max(map(len, graph), default=0)
-    table = np.full((n, max(1, width)), -1)
-    for i, p in enumerate(graph):
-        table[i, : len(p)] = p
+def _rows(graph: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Adjacency as one flat array and where each node's part starts."""
+    start = np.concatenate(([0], np.cumsum([len(g) for g in graph]))).astype(np.int64)
+    return start, (np.concatenate(graph) if graph else np.empty(0)).astype(np.int64)
+
+
+def greedy_search(x: np.ndarray, start: np.ndarray, flat: np.ndarray, medoid: int, queries: np.ndarray, beam: int = BEAM, steps: int = 64, width: int = 4 * DEGREE) -> np.ndarray:
+    """For every query the nodes that a beam search for it from the medoid ends with; a hub shows `width` neighbours."""
+    n = len(queries)
     ids = np.full((n, beam), -1)
     ids[:, 0] = medoid
     sims = np.full((n, beam), -3.0)
-    sims[:, 0] = x @ x[medoid]
+    sims[:, 0] = x[queries] @ x[medoid]
     done = np.zeros((n, beam), bool)
+    size = np.minimum(np.diff(start), width)
     for _ in range(steps):
         best = np.where(done | (ids < 0), -3.0, sims)
         at = best.argmax(1)
@@ -112,8 +120,10 @@ def greedy_search(x: np.ndarray, graph: list[np.ndarray], medoid: int, beam: int
         if not len(go):
             break
         done[go, at[go]] = True
-        near = table[ids[go, at[go]]]
-        s = np.einsum("qrd,qd->qr", x[near], x[go])
+        node = ids[go, at[go]]
+        step = np.arange(max(1, int(size[node].max())))
+        near = np.where(step < size[node][:, None], flat[np.minimum(start[node][:, None] + step, max(0, len(flat) - 1))] if len(flat) else -1, -1)
+        s = np.einsum("qrd,qd->qr", x[near], x[queries[go]])
         s[near < 0] = -3
         s[(near[:, :, None] == ids[go][:, None, :]).any(2)] = -3
         all_ids, all_sims = np.concatenate((ids[go], near), 1), np.concatenate((sims[go], s), 1)
@@ -124,28 +134,55 @@ def greedy_search(x: np.ndarray, graph: list[np.ndarray], medoid: int, beam: int
     return ids
 
 
-def expand_range(x: np.ndarray, graph: list[np.ndarray], seeds: np.ndarray, threshold: float, slack: float = SLACK) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, node) with cosine >= threshold that are met from the seeds through nodes within the range."""
+def expand_range(x: np.ndarray, start: np.ndarray, flat: np.ndarray, queries: np.ndarray, seeds: np.ndarray, threshold: float, slack: float = SLACK) -> np.ndarray:
+    """A row of marks for each query: the nodes with cosine >= threshold met from its seeds through nodes within the range."""
+    n, b = len(x), len(queries)
+    seen, hits, ahead = (np.zeros((b, n), bool) for _ in range(3))
+    q, v = np.nonzero(seeds >= 0)
+    ahead[q, seeds[q, v]] = True
+    ahead[np.arange(b), queries] = True  # a vector is near itself
+    while True:
+        q, v = np.nonzero(ahead & ~seen)
+        if not len(q):
+            break
+        seen[q, v] = True
+        ahead[:] = False
+        for at in range(0, len(q), EXPAND_NODES):
+            qi, vi = q[at : at + EXPAND_NODES], v[at : at + EXPAND_NODES]
+            sims = np.einsum("ij,ij->i", x[queries[qi]], x[vi])
+            hits[qi[sims >= threshold], vi[sims >= threshold]] = True
+            go = sims >= threshold - slack
+            qi, vi = qi[go], vi[go]
+            size = start[vi + 1] - start[vi]
+            lead = np.concatenate(([0], np.cumsum(size)))
+            for first in np.searchsorted(lead, np.arange(0, lead[-1], 16 * EXPAND_NODES), side="right") - 1 if len(vi) else []:
+                last = max(first + 1, int(np.searchsorted(lead, lead[first] + 16 * EXPAND_NODES, side="right")))
+                w = size[first:last]
+                place = np.repeat(start[vi[first:last]] - np.concatenate(([0], np.cumsum(w)[:-1])), w) + np.arange(w.sum())
+                ahead[np.repeat(qi[first:last], w), flat[place]] = True
+    hits[np.arange(b), queries] = False
+    return hits
+
+
+def met_pairs(x: np.ndarray, graph: list[np.ndarray], threshold: float) -> np.ndarray:
+    """The pairs within the range that either side met, as packed rows of marks: n * n / 8 bytes, whatever they number."""
     n = len(x)
-    size = np.fromiter(map(len, graph), np.int64, n)
-    start = np.concatenate(([0], np.cumsum(size)))
-    flat = np.concatenate(graph) if n else np.empty(0, np.int64)
-    q, v = np.repeat(np.arange(n), seeds.shape[1]), seeds.ravel()
-    q, v = np.concatenate((q[v >= 0], np.arange(n))), np.concatenate((v[v >= 0], np.arange(n)))  # a vector is near itself
-    seen = np.empty(0, np.int64)
-    found: list[np.ndarray] = []
-    while len(q):
-        code = np.unique(q * n + v)
-        code = code[~np.isin(code, seen, assume_unique=True)]
-        seen = np.concatenate((seen, code))
-        q, v = code // n, code % n
-        sims = np.concatenate([np.einsum("ij,ij->i", x[q[i : i + 200_000]], x[v[i : i + 200_000]]) for i in range(0, len(q), 200_000)]) if len(q) else np.empty(0)
-        found.append(code[(sims >= threshold) & (q != v)])
-        go = sims >= threshold - slack
-        q, v = q[go], v[go]
-        q, v = np.repeat(q, size[v]), flat[np.repeat(start[v] - np.concatenate(([0], np.cumsum(size[v])[:-1])), size[v]) + np.arange(size[v].sum())] if len(v) else v
-    pairs = np.concatenate(found) if found else np.empty(0, np.int64)
-    return pairs // n, pairs % n
+    start, flat = _rows(graph)
+    medoid = int((x @ x.mean(0)).argmax())
+    marks = np.zeros((n, -(-n // 8)), np.uint8)
+    for a in range(0, n, QUERY_BLOCK):
+        queries = np.arange(a, min(n, a + QUERY_BLOCK))
+        marks[queries] = np.packbits(expand_range(x, start, flat, queries, greedy_search(x, start, flat, medoid, queries), threshold), axis=1)
+    for a in range(0, n, QUERY_BLOCK):  # QUERY_BLOCK is a multiple of 8
+        for b in range(0, a + 1, QUERY_BLOCK):
+            upper = np.unpackbits(marks[b : b + QUERY_BLOCK, a // 8 : (a + QUERY_BLOCK) // 8], axis=1)
+            lower = np.unpackbits(marks[a : a + QUERY_BLOCK, b // 8 : (b + QUERY_BLOCK) // 8], axis=1)
+            rows, cols = min(QUERY_BLOCK, n - a), min(QUERY_BLOCK, n - b)
+            both = lower[:rows, :cols] | upper[:cols, :rows].T
+            lower[:rows, :cols], upper[:cols, :rows] = both, both.T
+            marks[a : a + QUERY_BLOCK, b // 8 : (b + QUERY_BLOCK) // 8] = np.packbits(lower, axis=1)
+            marks[b : b + QUERY_BLOCK, a // 8 : (a + QUERY_BLOCK) // 8] = np.packbits(upper, axis=1)
+    return marks
 
 
 def _shard_graph(key: tuple, group: pa.Table) -> pa.Table:
@@ -163,22 +200,28 @@ def _search_shard(threshold: float):
         n = len(ids)
         place = {int(c): i for i, c in enumerate(ids)}
         graph = [np.array(sorted({place[c] for c in near if c in place and place[c] != i}), np.int64) for i, near in enumerate(group.column("near").to_pylist())]
-        medoid = int((x @ x.mean(0)).argmax())
-        q, v = expand_range(x, graph, greedy_search(x, graph, medoid), threshold)
-        both = np.concatenate((q * n + v, v * n + q))  # what either side met
-        both = np.unique(both)
-        q, v = both // n, both % n
-        shards = [frozenset(s) for s in group.column("shards").to_pylist()]
-        if left != right:
-            keep = block[q] != block[v]
-            q, v = q[keep], v[keep]
-        keep = np.fromiter((min(shards[a] & shards[b]) == shard for a, b in zip(q.tolist(), v.tolist(), strict=True)), bool, len(q))
-        q, v = q[keep], v[keep]
-        links = np.bincount(q, weights=copies[v], minlength=n).astype(np.int64)
+        marks = met_pairs(x, graph, threshold)
+        # a pair is counted in the first shard that holds both: where they share an earlier one it is left out here
+        earlier = [[s for s in own if s < shard] for own in group.column("shards").to_pylist()]
+        number = {s: i for i, s in enumerate(sorted({s for e in earlier for s in e}))}
+        also = np.zeros((n, len(number)), np.float32)
+        for i, e in enumerate(earlier):
+            also[i, [number[s] for s in e]] = 1
+        links = np.zeros(n, np.int64)
+        for a in range(0, n, QUERY_BLOCK):
+            row = np.unpackbits(marks[a : a + QUERY_BLOCK], axis=1, count=n).astype(bool)
+            if left != right:
+                row &= block[a : a + QUERY_BLOCK, None] != block[None]
+            if number:
+                row &= also[a : a + QUERY_BLOCK] @ also.T == 0
+            links[a : a + QUERY_BLOCK] = row @ copies
+            marks[a : a + QUERY_BLOCK] = np.packbits(row, axis=1)
         root = np.arange(n)
         while True:  # smallest place reachable
             new = root.copy()
-            np.minimum.at(new, q, root[v])
+            for a in range(0, n, QUERY_BLOCK):
+                row = np.unpackbits(marks[a : a + QUERY_BLOCK], axis=1, count=n).astype(bool)
+                new[a : a + QUERY_BLOCK] = np.minimum(new[a : a + QUERY_BLOCK], np.where(row, root[None], n).min(1, initial=n))
             new = new[new]
             if (new == root).all():
                 break
@@ -211,23 +254,33 @@ def _audit(sample: list[tuple[int, int, int, list[float]]], threshold: float):
     return run
 
 
-def audit_recall(classes: DataFrame, links: DataFrame, threshold: float, number: int = AUDIT_VECTORS) -> float:
-    """Share of the true links of a bounded sample of classes that were found."""
-    sample = classes.orderBy(F.xxhash64("class_id", F.lit(3))).limit(number).select("class_id", "label", "copies", "x").collect()
+def audit_recall(classes: DataFrame, links: DataFrame, threshold: float, number: int = AUDIT_VECTORS) -> float | None:
+    """Mean share of its true links that a vector of a bounded sample has; None where no sampled vector has a link.
+
+    Half of the sample is any classes, half are classes that links were found for, as links may be rare.
+    """
+    by_hash = F.xxhash64("class_id", F.lit(3))
+    linked = links.select(F.col("class_id").alias("lid")).orderBy(F.xxhash64("lid", F.lit(3)), "lid").limit(number)
+    cols = ["class_id", "label", "copies", "x"]
+    sample = {r[0]: tuple(r) for r in classes.orderBy(by_hash, "class_id").limit(number).select(*cols).collect()}
+    sample |= {r[0]: tuple(r) for r in classes.join(F.broadcast(linked), F.col("class_id") == F.col("lid")).select(*cols).collect()}  # number rows at most
     if not sample:
-        return 1.0
-    true = classes.mapInArrow(_audit([tuple(r) for r in sample], threshold), "class_id long, true_links long").groupBy("class_id").agg(F.sum("true_links").alias("true_links"))
+        return None
+    true = classes.mapInArrow(_audit(list(sample.values()), threshold), "class_id long, true_links long").groupBy("class_id").agg(F.sum("true_links").alias("true_links"))
     # a row for each sampled class
-    seen = links.join(F.broadcast(true), "class_id", "right").agg(F.sum(F.least(F.coalesce("links", F.lit(0)), "true_links")), F.sum("true_links")).first()
-    return float(seen[0]) / seen[1] if seen[1] else 1.0
+    seen = links.join(F.broadcast(true), "class_id", "right").where("true_links > 0")
+    return seen.agg(F.avg(F.least(F.coalesce("links", F.lit(0)), "true_links") / F.col("true_links"))).first()[0]
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", *, threshold: float = THRESHOLD, overlap: int = 3, max_overlap: int = 24) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", *, threshold: float = THRESHOLD, overlap: int = 3) -> DataFrame:
     """(vec_id, n_links, component_id, kept, audited_recall) for each row: links are pairs of one label with cosine >= threshold."""
     valid = vectors(df, id_col, vector_col, F.col(label_col).cast("long").alias("label")).where("label is not null")
     named = stored(valid.withColumn("class_key", F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.array_join(F.col("x").cast("array<string>"), ",")), 256)), "dedup-vectors")
-    classes = named.groupBy("class_key").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("x").alias("x")).withColumn("dim", F.size("x"))
-    classes = stored(classes, "dedup-classes")
+    # an id counts once in a class; classes have numbers of their own, as an id may be in several
+    ids = stored(named.select("class_key", "vec_id").distinct(), "dedup-ids")
+    held = ids.groupBy(F.col("class_key").alias("hk")).agg(F.count("*").alias("copies"), F.min("vec_id").alias("rep"))
+    first = named.groupBy("class_key").agg(F.first("label").alias("label"), F.first("x").alias("x"))
+    classes = stored(first.join(held, F.col("class_key") == F.col("hk")).select(F.monotonically_increasing_id().alias("class_id"), "class_key", "rep", "copies", "label", "x", F.size("x").alias("dim")), "dedup-classes")
 
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("rows"))
     by_hash = Window.partitionBy("label", "dim", "salt").orderBy(F.xxhash64("class_id", F.lit(9)), "class_id")
@@ -256,17 +309,24 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         found = stored(found, "dedup-links")
         links = stored(found.groupBy("class_id").agg(F.sum("links").alias("links")), "dedup-counts")
         recall = audit_recall(classes, links, threshold)
-        if recall >= AUDIT_RECALL or overlap >= max_overlap:
+        if recall is None or recall >= AUDIT_RECALL or overlap >= MAX_CENTRES:  # then every class is in every shard
             break
         overlap *= 2
 
-    components = connected_components(found.select(F.col("class_id").alias("a"), F.col("root").alias("b")), "dedup-components")
-    linked = classes.select("class_key", "class_id", "copies").join(links.withColumnRenamed("class_id", "lid"), F.col("class_id") == F.col("lid"), "left").join(components, F.col("class_id") == F.col("node"), "left")
-    linked = linked.select(F.col("class_key").alias("ck"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "class_id").alias("component"))
+    # classes that one id is in belong together, and a component is named by its least id
+    numbered = classes.select(F.col("class_key").alias("nk"), "class_id")
+    twice = ids.groupBy(F.col("vec_id").alias("tid")).agg(F.count("*").alias("n"), F.min("class_key").alias("first_key")).where("n > 1")
+    bridges = ids.join(twice, ids.vec_id == twice.tid).join(numbered, F.col("class_key") == F.col("nk")).select(F.col("class_id").alias("a"), "first_key")
+    bridges = bridges.join(numbered, F.col("first_key") == F.col("nk")).select("a", F.col("class_id").alias("b"))
+    reached = connected_components(found.select(F.col("class_id").alias("a"), F.col("root").alias("b")).union(bridges), "dedup-components").withColumnRenamed("component", "in_component")
+    least = reached.join(classes.select("class_id", "rep"), F.col("node") == F.col("class_id")).groupBy(F.col("in_component").alias("whole")).agg(F.min("rep").alias("component"))
+    components = reached.join(least, F.col("in_component") == F.col("whole")).select("node", "component")
+    linked = classes.select("class_key", "class_id", "copies", "rep").join(links.withColumnRenamed("class_id", "lid"), F.col("class_id") == F.col("lid"), "left").join(components, F.col("class_id") == F.col("node"), "left")
+    linked = linked.select(F.col("class_key").alias("ck"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     answers = named.select("vec_id", "class_key").join(linked, F.col("class_key") == F.col("ck")).select("vec_id", "n_links", "component")
     id_ = F.col(id_col).cast("long")
     rest = df.where(~F.coalesce(usable_row(vector_col, label_col, id_col), F.lit(False))).select(id_.alias("vec_id"), F.lit(0).cast("long").alias("n_links"), id_.alias("component"))
-    return answers.union(rest).select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component"), F.lit(True)).alias("kept"), F.lit(recall).alias("audited_recall"))
+    return answers.union(rest).select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component"), F.lit(True)).alias("kept"), F.lit(recall).cast("double").alias("audited_recall"))
 
 
 def usable_row(vector_col: str, label_col: str, id_col: str):

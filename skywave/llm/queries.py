@@ -30,7 +30,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "embeddings"))
+    return near_duplicates(table(spark, sf_dir, "embeddings")).drop("audited_recall")
 
 
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +103,7 @@ p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label
   WHERE list_inner_product(a.x, b.x) / (a.n * b.n) >= 0.98),
 r AS (SELECT x AS vec_id, y AS other FROM p UNION SELECT r.vec_id, p.y FROM r JOIN p ON r.other = p.x),
 c AS (SELECT e.vec_id, least(e.vec_id, coalesce((SELECT min(other) FROM r WHERE r.vec_id = e.vec_id), e.vec_id)) AS component_id FROM embeddings e)
-SELECT vec_id, CAST((SELECT count(*) FROM p WHERE p.x = c.vec_id) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept, CAST(1.0 AS DOUBLE) AS audited_recall FROM c""",
+SELECT vec_id, CAST((SELECT count(*) FROM p WHERE p.x = c.vec_id) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM c""",
     "op7_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha256(coalesce(html, '')) AS d FROM pages),
 q AS (SELECT *, octet_length(b) AS n, min(page_id) OVER (PARTITION BY d) AS owner FROM p)

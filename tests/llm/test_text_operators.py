@@ -140,6 +140,58 @@ def test_language_id_on_held_out_rows(spark):
     assert {r.lang_pred for r in lang_id.language_id(df.where("lang is null")).collect()} == {"und"}
 
 
+def test_language_id_matches_a_plain_version(spark):
+    import regex
+
+    rows = corpus(spark, 90) + [(900, "²½ ①", "en"), (901, "क्या है", None), (902, "the थe x1y", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    letters = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+    train = [r for r in rows if r[2] is not None and zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    langs = sorted({r[2] for r in train})
+    words, grams = Counter(), Counter()
+    for _, text, lang in train:
+        for w in letters.findall(text.lower()):
+            words[w, lang] += 1
+            for n in range(1, 6):
+                for j in range(len(w) + 3 - n):
+                    grams[f"\2{w}\3"[j : j + n], lang] += 1
+
+    def table(counts):
+        total = Counter()
+        for (_, lang), n in counts.items():
+            total[lang] += n
+        found = {key: -math.log10(n / total[key[1]]) for key, n in counts.items()}
+        worst = max(found.values()) + lang_id.PENALTY
+        return {e: [found.get((e, lang), worst) for lang in langs] for e in {e for e, _ in counts}}, worst
+
+    known, worst_word = table(words)
+    pieces, worst_gram = table(grams)
+
+    def scores(w):
+        if w in known:
+            return known[w]
+        for n in range(5, 0, -1):
+            hit = [pieces[g] for g in (f"\2{w}\3"[j : j + n] for j in range(len(w) + 3 - n)) if g in pieces]
+            if hit:
+                return np.mean(hit, 0)
+        return [max(worst_word, worst_gram)] * len(langs)
+
+    for r in lang_id.language_id(df).collect():
+        found = letters.findall(next(t for i, t, _ in rows if i == r.doc_id).lower())
+        if not found:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        mean = np.mean([scores(w) for w in found], 0)
+        assert r.lang_pred == langs[int(np.argmin(mean))] and math.isclose(r.score, 1 / sum(10 ** (mean.min() - mean)), rel_tol=1e-3)
+
+
+def test_rare_languages_keep_their_rows_and_words(spark):
+    assert lang_id.shares({"en": 1000, "is": 5, "fr": 40}, 90) == {"is": 1.0, "fr": 1.0, "en": 45 / 1000}
+    rows = [(i, f"common word{i % 50} the of", "en") for i in range(400)] + [(1000 + i, "þetta er íslenska", "is") for i in range(8)]
+    model = lang_id.fit_language_model(spark.createDataFrame(rows, "id long, text string, lang string"), train_docs=100, max_words=20, max_grams=400)
+    assert model.languages == ["en", "is"] and {"þetta", "er", "íslenska"} <= set(model.words) and len(model.words) <= 20
+
+
 def test_quality_keeps_good_and_rejects_most_junk(spark):
     rng = random.Random(2)
     rows, labels = [], []
@@ -193,6 +245,45 @@ def test_forward_recursion_and_counts():
     assert np.allclose(emits.sum(0), np.bincount(np.concatenate(docs), minlength=c))
 
 
+def test_long_sequences_in_pieces():
+    rng = np.random.default_rng(3)
+    m = hmm.Hmm(rng.dirichlet(np.ones(4)), rng.dirichlet(np.ones(4), 4), rng.dirichlet(np.ones(9), 4))
+    for n in (1, 5, 40, 41):
+        d = rng.integers(0, 9, n)
+        for piece in (1, 7, 40, 100):
+            for one, whole in zip(hmm.long_forward_backward(d, m, True, piece), hmm.forward_backward([d], m, True), strict=True):
+                assert np.allclose(one, whole)
+
+
+def test_update_step_by_hand(spark):
+    rng = np.random.default_rng(6)
+    k, c = 2, 4
+    m = hmm.Hmm(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(c), k))
+    docs = [rng.integers(0, c, n) for n in (3, 1, 5, 4)]
+    start, move, emit = np.full(k, hmm.SMOOTHING), np.full((k, k), hmm.SMOOTHING), np.full((k, c), hmm.SMOOTHING)
+    import itertools
+
+    for d in docs:  # expected counts by all paths
+        paths = list(itertools.product(range(k), repeat=len(d)))
+        p = np.array([m.start[s[0]] * math.prod(m.emit[a, o] for a, o in zip(s, d, strict=True)) * math.prod(m.move[a, b] for a, b in zip(s, s[1:], strict=False)) for s in paths])
+        for s, w in zip(paths, p / p.sum(), strict=True):
+            start[s[0]] += w
+            for a, o in zip(s, d, strict=True):
+                emit[a, o] += w
+            for a, b in zip(s, s[1:], strict=False):
+                move[a, b] += w
+    rows = [(True, bytes(np.ascontiguousarray(d.astype("<u2").view(np.uint8).reshape(-1, 2).T).tobytes())) for d in docs]
+    got = hmm.baum_welch_pass(spark.createDataFrame([*rows, (False, rows[0][1])], "train boolean, classes binary").repartition(3), m)
+    for a, b in ((got.start, start / start.sum()), (got.move, move / move.sum(1, keepdims=True)), (got.emit, emit / emit.sum(1, keepdims=True))):
+        assert np.allclose(a, b)
+
+
+def test_scores_do_not_depend_on_the_partitions(spark):
+    df = spark.createDataFrame([(i if i % 9 else None, t) for i, t, _ in corpus(spark, 200)], "doc_id long, text string")
+    a, b = (sorted((r.doc_id or -1, r.n_tokens, round(r.base_score, 9), round(r.score, 6)) for r in hmm.hmm_scores(df.repartition(n), states=4, top_words=50, suffix_classes=30, start_docs=60).collect()) for n in (2, 7))
+    assert a == b
+
+
 def test_hmm_scores_against_counts(spark):
     rows = [(i, t) for i, t, _ in corpus(spark, 150)] + [(900, None), (901, ""), (None, "the The THE")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, score int")

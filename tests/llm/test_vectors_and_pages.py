@@ -104,3 +104,41 @@ def test_archive_round_trip(spark):
     assert {i for i, r in got.items() if r.record_type == "revisit"} == {2, 3, None}
     assert spark.read.parquet(f"{path}/payloads").count() == 4
     assert read_archive(spark, write_archive(df.where("1 = 0"))).count() == 0
+
+
+def test_ids_with_several_vectors(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (7, [1.0, 1.0], 0), (7, [1.0, 1.0], 0), (8, [1.0, 1.0], 0)]
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (7, 1, 7), (7, 1, 7), (8, 1, 7)]
+
+
+def test_recall_is_not_claimed_where_nothing_links(spark):
+    x = np.random.default_rng(2).normal(size=(300, 64))
+    rows = [(i, [float(v) for v in r], 1) for i, r in enumerate(x)]
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.audited_recall for r in got} == {None} and {r.n_links for r in got} == {0}
+
+
+def test_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate((rng.normal(size=64) + rng.normal(size=(2500, 64)) * 0.02, rng.normal(size=(60, 64))))
+    rows = [(i, [float(v) for v in r], 1) for i, r in enumerate(x)]
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {(r.n_links, r.component_id) for r in got if r.vec_id < 2500} == {(2499, 0)}
+    assert all((r.n_links, r.component_id) == (0, r.vec_id) for r in got if r.vec_id >= 2500)
+
+
+def test_targets_cannot_forge_header_fields(spark):
+    html = "<p>" + "x" * 200
+    urls = ["http://a/\u2028WARC-Refers-To: <urn:page:77>", "http://b/\u0085WARC-Payload-Digest: sha256:beef", "http://c/\r\nWARC-Type: revisit", "http://d/ü\u2029?q"]
+    df = spark.createDataFrame([(i, u, html + str(i)) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in read_archive(spark, write_archive(df)).collect()}
+    for i, u in enumerate(urls):
+        assert (got[i].url, got[i].record_type, got[i].refers_to) == (u.replace("\r", "").replace("\n", ""), "response", None)
+        assert got[i].payload_digest == hashlib.sha256((html + str(i)).encode()).hexdigest()
+
+
+def test_rows_that_share_a_page_id(spark):
+    html = "<p>" + "y" * 200
+    got = read_archive(spark, write_archive(spark.createDataFrame([(1, "a", html), (1, "b", html), (2, "c", html), (2, "d", "other")], "page_id long, url string, html string"))).collect()
+    assert sorted((r.page_id, r.url, r.record_type, r.refers_to or 0) for r in got) == [(1, "a", "response", 0), (1, "b", "response", 0), (2, "c", "revisit", 1), (2, "d", "response", 0)]
