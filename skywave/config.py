@@ -1,4 +1,4 @@
-"""Settings of the detectors, with their usual values."""
+"""Settings of the detectors. The defaults are fixed values: results are compared at them."""
 
 from __future__ import annotations
 
@@ -33,6 +33,10 @@ class Grouping:
     continuity: float = 0.85
 
 
+#: Grouping inside sub-bands and over the whole band of the coherent-power detector.
+BAND_GROUPING = Grouping(bridge_f=33, bridge_t=5, min_size=24, min_f=18, min_t=2, min_density=0.06)
+
+
 @dataclass(frozen=True)
 class CoherentPower:
     coherence_weight: float = 0.55
@@ -43,3 +47,5 @@ class CoherentPower:
     box_f: int = 9
     box_t: int = 33
     scales: tuple[float, ...] = (0.8, 1.6, 3.2)
+    min_component: int = 6
+    seed_quantile: float = 0.72

@@ -54,33 +54,41 @@ def unit_range(x: np.ndarray, low: float, high: float, mask: np.ndarray | None =
     return out if mask is None else np.where(mask, out, 0.0)
 
 
-def structure_coherence(x: np.ndarray, scales: tuple[float, ...]) -> np.ndarray:
-    """How strongly a map runs in one direction, the strongest over the scales, weighted by the root of the gradient energy."""
-    best = np.zeros_like(x)
+def background_residual(x: np.ndarray) -> np.ndarray:
+    """What stands over a wide box mean, scaled between its 5 % and 99 % quantiles."""
+    rows, cols = (max(9, 2 * max(1, n // 24) + 1) for n in x.shape)
+    return unit_range(np.maximum(x - box(x, rows, cols), 0), 0.05, 0.99)
+
+
+def structure_gate(x: np.ndarray, scales: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(coherence, gate) of a tile's background residual, each the strongest over the scales.
+
+    Coherence says how strongly the map runs in one direction; the gate weighs it by the root of the gradient energy.
+    """
+    r = background_residual(x)
+    coherence, gate = np.zeros_like(r), np.zeros_like(r)
     for sigma in scales:
-        gf = convolve(convolve(x, gaussian(sigma, 1), 0), gaussian(sigma), 1)
-        gt = convolve(convolve(x, gaussian(sigma, 1), 1), gaussian(sigma), 0)
+        gf = convolve(convolve(r, gaussian(sigma, 1), 0), gaussian(sigma), 1)
+        gt = convolve(convolve(r, gaussian(sigma, 1), 1), gaussian(sigma), 0)
         k = gaussian(max(1.0, 1.8 * sigma))
         ff, tt, ft = (convolve(convolve(a, k, 0), k, 1) for a in (gf * gf, gt * gt, gf * gt))
-        spread = np.sqrt((ff - tt) ** 2 + 4 * ft**2)
-        coherence = spread / np.maximum(ff + tt, 1e-6)
-        energy = unit_range(ff + tt, 0.05, 0.99)
-        best = np.maximum(best, unit_range(coherence * np.sqrt(energy), 0.05, 0.99))
-    return best
+        own = unit_range(np.sqrt((ff - tt) ** 2 + 4 * ft**2) / np.maximum(ff + tt, 1e-6), 0.05, 0.99)
+        coherence = np.maximum(coherence, own)
+        gate = np.maximum(gate, own * np.sqrt(unit_range(ff + tt, 0.05, 0.99)))
+    return coherence, unit_range(gate, 0.05, 0.99)
 
 
 def resize_bilinear(x: np.ndarray, rows: int, cols: int) -> np.ndarray:
-    """Bilinear resize, pixel centres aligned; edges repeat."""
+    """Bilinear resize, pixel centres aligned; where it shrinks, the triangle widens to the cells that one new cell covers."""
 
-    def weights(n: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = np.clip((np.arange(m) + 0.5) * n / m - 0.5, 0, n - 1)
-        a = np.floor(at).astype(int)
-        return a, np.minimum(a + 1, n - 1), at - a
+    def weights(n: int, m: int) -> np.ndarray:
+        scale = n / m
+        reach = max(scale, 1.0)
+        at = (np.arange(m)[:, None] + 0.5) * scale
+        w = np.maximum(0, 1 - np.abs(np.arange(n)[None] + 0.5 - at) / reach)
+        return w / w.sum(1, keepdims=True)
 
-    a, b, w = weights(x.shape[0], rows)
-    y = x[a] * (1 - w)[:, None] + x[b] * w[:, None]
-    a, b, w = weights(x.shape[1], cols)
-    return y[:, a] * (1 - w) + y[:, b] * w
+    return weights(x.shape[0], rows) @ x @ weights(x.shape[1], cols).T
 
 
 def mixture_threshold(p: np.ndarray, rounds: int = 60) -> tuple[float, float, float, float]:
@@ -114,12 +122,46 @@ def box(x: np.ndarray, rows: int, cols: int) -> np.ndarray:
     return convolve(convolve(x, np.full(rows, 1 / rows), 0), np.full(cols, 1 / cols), 1)
 
 
-def majority(mask: np.ndarray, rounds: int = 2) -> np.ndarray:
-    """A mask after rounds of 3 x 3 majority votes."""
+def label_mask(mask: np.ndarray) -> tuple[np.ndarray, int]:
+    """(number of each cell's four-connected part, 0 outside; how many parts), by runs of cells along the rows."""
+    edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    f, start = np.nonzero(edge == 1)
+    stop = np.nonzero(edge == -1)[1]
+    root = list(range(len(f)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    above = 0
+    for i in range(len(f)):
+        while f[above] < f[i] - 1 or (f[above] == f[i] - 1 and stop[above] <= start[i]):
+            above += 1
+        j = above
+        while f[j] == f[i] - 1 and start[j] < stop[i]:
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+            j += 1
+    tops, number = np.unique([find(i) for i in range(len(f))], return_inverse=True) if len(f) else (np.empty(0), np.empty(0, int))
+    out = np.zeros(mask.shape, int)
+    for i in range(len(f)):
+        out[f[i], start[i] : stop[i]] = number[i] + 1
+    return out, len(tops)
+
+
+def smooth_mask(mask: np.ndarray, rounds: int, least: int) -> np.ndarray:
+    """A mask after rounds of 3 x 3 majority votes; parts of fewer than `least` cells are put to the vote once more."""
+
+    def votes(m: np.ndarray) -> np.ndarray:
+        return convolve(convolve(m.astype(float), np.ones(3), 0), np.ones(3), 1) > 4.5
+
     for _ in range(rounds):
-        votes = convolve(convolve(mask.astype(float), np.ones(3), 0), np.ones(3), 1)
-        mask = votes > 4.5
-    return mask
+        mask = votes(mask)
+    parts, n = label_mask(mask)
+    small = (np.bincount(parts.ravel(), minlength=n + 1) < least)[parts] & mask
+    return np.where(small, votes(mask), mask) if small.any() else mask
 
 
 def robust_quantile(x: np.ndarray, q: float, saturation: float = 0.9995) -> float:
@@ -135,14 +177,14 @@ def robust_quantile(x: np.ndarray, q: float, saturation: float = 0.9995) -> floa
     return float(np.quantile(under, min(q, 0.90))) if under.size else saturation
 
 
-def coherent_power_tile(x: np.ndarray, valid: np.ndarray, scales: tuple[float, ...], weights: tuple[float, float], floor_q: float, size: tuple[int, int], support_q: float, mask_q: float) -> dict[str, np.ndarray]:
-    """Coherence, power, score, support and mask of one tile."""
+def coherent_power_tile(x: np.ndarray, valid: np.ndarray, scales: tuple[float, ...], weights: tuple[float, float], floor_q: float, size: tuple[int, int], support_q: float, mask_q: float, least: int) -> dict[str, np.ndarray]:
+    """Coherence, power, score, support and mask of one tile; nothing outside the valid rows."""
     linear = 10 ** (x / 10)
     floor = max(np.quantile(linear[valid] if valid.any() else linear, floor_q), 1e-20)
     relative = np.clip(10 * np.log10(np.maximum(linear, 1e-20) / floor), -5, 25)
     relative = np.where(valid, np.maximum(relative - box(relative, *size), 0), 0)
-    coherence, power = unit_range(structure_coherence(x, scales), 0.05, 0.99), unit_range(relative, 0.05, 0.95)
+    coherence, power = unit_range(structure_gate(x, scales)[0], 0.05, 0.99), unit_range(relative, 0.05, 0.95)
     score = unit_range(weights[0] * coherence + weights[1] * power, 0.05, 0.95)
-    support = majority((score >= robust_quantile(score[valid], support_q)) & valid)
-    mask = (score >= robust_quantile(score[valid & support], mask_q)) & support & valid
-    return {"coherence": coherence, "power": power, "score": score, "support": support, "mask": majority(mask) & valid & support}
+    support = smooth_mask((score >= robust_quantile(score[valid], support_q)) & valid, 1, max(3, least // 2)) & valid
+    mask = smooth_mask((score >= robust_quantile(score[support], mask_q)) & support, 1, least) & valid
+    return {"coherence": coherence * valid, "power": power * valid, "score": score * valid, "support": support, "mask": mask}

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skywave.operators.components import label_nodes
-from skywave.sources.tables import stored
+from skywave.operators.links import connected_components
 
 BOX = ("freq_start", "freq_stop", "time_start", "time_stop")
 #: Roles of which one box of each never merge directly.
@@ -51,11 +50,11 @@ def overlapping_pairs(boxes: DataFrame, group: Sequence[str] = ("capture_id",),
 def cluster_boxes(boxes: DataFrame, group: Sequence[str] = ("capture_id",)) -> DataFrame:
     """Boxes merged along chains of overlaps (box_id is unique): bounds, area, weighted score, roles and sources."""
     pairs = overlapping_pairs(boxes, group, merging=True)
-    own = boxes.select(F.col("box_id").alias("a"), F.col("box_id").alias("b"))
-    labels = label_nodes(pairs.select("a", "b").union(own), "boxes")
-    named = boxes.join(labels, boxes.box_id == labels.node)
+    labels = connected_components(pairs.select("a", "b"), "boxes")  # of the boxes that overlap any
+    labels = labels.withColumnRenamed("component", "_label")
+    named = boxes.join(labels, boxes.box_id == labels.node, "left").withColumn("cluster_id", F.coalesce("_label", "box_id"))
     weight = F.greatest("filled_area", F.lit(1))
-    merged = named.groupBy(*group, F.col("component").alias("cluster_id")).agg(
+    merged = named.groupBy(*group, "cluster_id").agg(
         F.min("freq_start").alias("freq_start"), F.max("freq_stop").alias("freq_stop"), F.min("time_start").alias("time_start"), F.max("time_stop").alias("time_stop"), F.sum("filled_area").alias("filled_area"),
         (F.sum(F.col("score_mean") * weight) / F.greatest(F.sum(weight), F.lit(1))).alias("score_mean"), F.max("score_peak").alias("score_peak"),
         F.when(F.min("split_role") == F.max("split_role"), F.min("split_role")).otherwise("mixed").alias("split_role"), F.count("*").alias("n_boxes"), F.array_sort(F.collect_set("box_id")).alias("sources"),
@@ -78,14 +77,11 @@ def boxes_to_mask(cells: DataFrame, boxes: DataFrame, out: str = "mask", group:
     return cells.join(i, on, "left").withColumn(out, F.coalesce(F.col(out), F.lit(False))).drop("_f", "_t", *[f"_{g}" for g in group])
 
 
-def merge_projected(boxes: DataFrame, regroup, group: Sequence[str] = ("capture_id",)) -> tuple[DataFrame, DataFrame]:
-    """Merged boxes of the captures where some box was split, and the boxes of those that regroup (a function of them) makes.
-
-    Captures with a split box merge along overlaps; the others have their cells grouped again.
-    """
-    flagged = boxes.groupBy(*[F.col(g).alias(f"_{g}") for g in group]).agg(F.max(F.col("split_role") != "unsplit").alias("split"))
-    on = F.lit(True)
+def count_sources(boxes: DataFrame, sources: DataFrame, group: Sequence[str]) -> DataFrame:
+    """boxes (box_id is unique) with n_boxes and chunks: how many source boxes overlap each strictly, and their sub-bands."""
+    s = sources.select(*[F.col(g).alias(f"_{g}") for g in group], *[F.col(c).alias(f"_{c}") for c in BOX], F.col("chunk_index").alias("_chunk"))
+    on = (F.col("freq_start") < F.col("_freq_stop")) & (F.col("_freq_start") < F.col("freq_stop")) & (F.col("time_start") < F.col("_time_stop")) & (F.col("_time_start") < F.col("time_stop"))
     for g in group:
         on = on & (boxes[g] == F.col(f"_{g}"))
-    marked = stored(boxes.join(flagged, on).drop(*[f"_{g}" for g in group]), "projected")
-    return cluster_boxes(marked.where("split").drop("split"), group), regroup(marked.where("not split").drop("split"))
+    met = boxes.join(s, on).groupBy(F.col("box_id").alias("_id")).agg(F.count("*").alias("n_boxes"), F.array_sort(F.collect_set("_chunk")).alias("chunks"))
+    return boxes.join(met, F.col("box_id") == F.col("_id"), "left").drop("_id").withColumn("n_boxes", F.coalesce("n_boxes", F.lit(0)))

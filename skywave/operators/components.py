@@ -12,29 +12,10 @@ from pyspark.sql.window import Window
 
 from skywave.config import Grouping
 from skywave.functions.quantiles import GROUP, with_scalars
-from skywave.operators.windows import closing, fill_gaps, true_runs
+from skywave.operators.windows import closing, fill_gaps, majority_votes, true_runs
 from skywave.sources.tables import stored
 
 
-def label_nodes(edges: DataFrame, label: str = "labels") -> DataFrame:
-    """(node, component): the smallest node reachable over edges (a, b), both long, each node with an edge to itself.
-
-    Rounds of taking the least label of all neighbours, then that label's own label, until nothing changes; every round is
-    written out, and only a count reaches the driver.
-    """
-    e = stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), f"{label}-edges")
-    labels = stored(e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")), label)
-    while True:
-        near = labels.select(F.col("node").alias("n"), F.col("component").alias("c"))
-        best = e.join(near, e.b == near.n).groupBy("a").agg(F.min("c").alias("m"))
-        jump = labels.select(F.col("node").alias("jn"), F.col("component").alias("jc"))
-        new = labels.join(best, labels.node == best.a).select("node", F.least("component", "m").alias("via"), F.col("component").alias("old"))
-        new = stored(new.join(jump, new.via == jump.jn).select("node", F.least("via", "jc").alias("component"), "old"), label)
-        if not new.where("component <> old").limit(1).count():
-            return new.select("node", "component")
-        labels = new.select("node", "component")
-
-
 def _label_runs(eight: bool):
     """Numbers connected runs of one frame in the order of their first runs."""
 
@@ -91,8 +72,8 @@ def component_cells(components: DataFrame, group: Sequence[str] = GROUP) -> Data
     return components.select(*group, "f", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("t"), "component")
 
 
-def component_table(cells: DataFrame, score: DataFrame | None = None, score_col: str = "score", group: Sequence[str] = GROUP) -> DataFrame:
-    """A row for each component: bounds (stops exclusive), filled area, box density, score mean and peak."""
+def component_table(cells: DataFrame, score: DataFrame | None = None, score_col: str = "score", group: Sequence[str] = GROUP, parts: Sequence[str] = ()) -> DataFrame:
+    """A row for each component (and each of its parts, by the columns named): bounds (stops exclusive), filled area, box density, score mean and peak."""
     d = cells
     if score is not None:
         s = score.select(*[F.col(g).alias(f"_{g}") for g in group], F.col("f").alias("_f"), F.col("t").alias("_t"), F.col(score_col).alias("_score"))
@@ -102,17 +83,17 @@ def component_table(cells: DataFrame, score: DataFrame | None = None, score_col:
         d = d.join(s, on)
     else:
         d = d.withColumn("_score", F.lit(0.0))
-    t = d.groupBy(*group, "component").agg(
+    t = d.groupBy(*group, "component", *parts).agg(
         F.min("f").alias("freq_start"), (F.max("f") + 1).alias("freq_stop"), F.min("t").alias("time_start"), (F.max("t") + 1).alias("time_stop"), F.count("*").alias("filled_area"), F.avg("_score").alias("score_mean"), F.max("_score").alias("score_peak")
     )
     t = t.withColumn("freq_span", F.col("freq_stop") - F.col("freq_start")).withColumn("time_span", F.col("time_stop") - F.col("time_start"))
     return t.withColumn("bbox_density", F.col("filled_area") / (F.col("freq_span") * F.col("time_span")))
 
 
-def envelope_area(cells: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
+def envelope_area(cells: DataFrame, group: Sequence[str] = GROUP, parts: Sequence[str] = ()) -> DataFrame:
     """(group, component, envelope_area): over the component's columns, the rows from its first to its last."""
-    columns = cells.groupBy(*group, "component", "t").agg((F.max("f") - F.min("f") + 1).alias("span"))
-    return columns.groupBy(*group, "component").agg(F.sum("span").alias("envelope_area"))
+    columns = cells.groupBy(*group, "component", *parts, "t").agg((F.max("f") - F.min("f") + 1).alias("span"))
+    return columns.groupBy(*group, "component", *parts).agg(F.sum("span").alias("envelope_area"))
 
 
 def remove_small(df: DataFrame, mask: str, out: str, least: int, group: Sequence[str] = GROUP, eight: bool = False) -> DataFrame:
@@ -147,89 +128,103 @@ def fill_holes(df: DataFrame, mask: str, out: str, group: Sequence[str] = GROUP)
     return mark(d, component_cells(holes, group), "_hole", group).withColumn(out, F.col(mask) | F.col("_hole")).drop("_bg", "_hole")
 
 
+def smooth_labels(df: DataFrame, mask: str, out: str, iterations: int = 2, least: int = 6, group: Sequence[str] = GROUP) -> DataFrame:
+    """A mask after rounds of 3 x 3 majority votes; parts of fewer than `least` cells are put to the vote once more."""
+    d = stored(majority_votes(df, mask, "_voted", iterations, group), "voted")
+    d = remove_small(d, "_voted", "_large", least, group)
+    d = majority_votes(d, "_voted", "_again", 1, group)
+    return d.withColumn(out, F.col("_large") | (F.col("_voted") & F.col("_again"))).drop("_voted", "_large", "_again")
+
+
+def _on(d: DataFrame, keys: Sequence[str], also=None):
+    """Equality of d's keys with the same names led by an underscore."""
+    on = F.lit(True) if also is None else also
+    for k in keys:
+        on = on & (d[k] == F.col(f"_{k}"))
+    return on
+
+
+def _keyed(t: DataFrame, keys: Sequence[str], *more: str) -> DataFrame:
+    return t.select(*[F.col(k).alias(f"_{k}") for k in keys], *more)
+
+
 def split_components(cells: DataFrame, min_f: int = 12, min_t: int = 1, group: Sequence[str] = GROUP) -> DataFrame:
-    """(group, component, f, t, split_role): components of a carrier with wideband bursts come apart.
+    """(group, component, part, f, t, split_role): components of a carrier with wideband bursts come apart.
 
     A burst column spans clearly more rows than usual (the 35 % quantile of the spans); runs of burst columns that are
-    short against the component are bursts. The carrier is the longest run of rows that enough of the other columns hold.
-    Components without both stay whole (unsplit). Cells of a burst may belong to the carrier as well.
+    short against the component are bursts, a part each, numbered from 1. The carrier, part 0, is the longest run of rows
+    that enough of the other columns hold. A component stays whole (unsplit, part 0) unless it has at least one burst and a
+    carrier; that it has few columns or quiet ones, that no column can be wider than usual, or that the carrier is thin, as
+    wide as a burst or small, all rule that out. Cells may belong to the carrier and to a burst.
     """
     keys = [*group, "component"]
-    columns = cells.groupBy(*keys, "t").agg((F.max("f") - F.min("f") + 1).alias("span"))
-    d = with_scalars(columns, keys, q35=F.percentile("span", F.lit(0.35)), active=F.count("*"))
+    cells = cells.select(*keys, "f", "t")
+    columns = cells.groupBy(*keys, "t").agg(F.min("f").alias("_lo"), F.max("f").alias("_hi")).withColumn("span", F.col("_hi") - F.col("_lo") + 1)
+    d = with_scalars(columns, keys, q35=F.percentile("span", F.lit(0.35)), active=F.count("*"), rows=F.max("_hi") - F.min("_lo") + 1)
     wide = F.greatest(F.ceil(1.8 * F.col("q35")), F.ceil(F.col("q35") + F.greatest(F.lit(4.0), F.lit(0.5 * min_f))), F.lit(min_f))
-    d = stored(d.withColumn("burst", F.col("span") >= wide), "columns")
+    d = d.withColumn("wide", wide).where((F.col("active") >= max(6, 2 * min_t)) & (F.col("wide") < F.col("rows")))
+    d = stored(d.withColumn("burst", F.col("span") >= F.col("wide")).drop("_lo", "_hi"), "columns")
     w = Window.partitionBy(*keys).orderBy("t")
     burst = d.where("burst").withColumn("_i", F.col("t") - F.row_number().over(w))
     runs = burst.groupBy(*keys, "_i").agg(F.min("t").alias("a"), (F.max("t") + 1).alias("b"), F.first("active").alias("active"))
     length = F.col("b") - F.col("a")
-    runs = runs.where((length >= min_t) & (length < F.greatest(0.7 * F.col("active"), F.lit(min_t + 1))))
-    quiet = d.where("not burst").select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("t").alias("_t"))
-    on = cells.t == F.col("_t")
-    for k in keys:
-        on = on & (cells[k] == F.col(f"_{k}"))
-    calm = cells.join(quiet, on).drop("_t", *[f"_{k}" for k in keys])
+    runs = runs.where((length >= min_t) & (length < F.greatest(F.floor(0.7 * F.col("active")), F.lit(min_t + 1))))
+    runs = runs.withColumn("part", F.row_number().over(Window.partitionBy(*keys).orderBy("a"))).select(*keys, "a", "b", "part")
+
+    quiet = d.where("not burst")
+    calm = cells.join(_keyed(quiet, keys, F.col("t").alias("_t")), _on(cells, keys, cells.t == F.col("_t"))).select(*keys, "f")
     hits = calm.groupBy(*keys, "f").agg(F.count("*").alias("hits"))
-    quiet_n = d.where("not burst").groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count("*").alias("quiet"))
-    on = F.lit(True)
-    for k in keys:
-        on = on & (hits[k] == F.col(f"_{k}"))
-    steady = hits.join(quiet_n, on).where(F.col("hits") >= F.greatest(F.lit(2), F.ceil(0.45 * F.col("quiet")))).drop(*[f"_{k}" for k in keys])
-    rows = steady.withColumn("_i", F.col("f") - F.row_number().over(Window.partitionBy(*keys).orderBy("f"))).groupBy(*keys, "_i").agg(F.min("f").alias("fa"), (F.max("f") + 1).alias("fb"))
-    longest = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy((F.col("fb") - F.col("fa")).desc(), "fa"))).where("_r = 1")
-
-    def keyed(t: DataFrame, *more: str) -> DataFrame:
-        return t.select(*[F.col(k).alias(f"_{k}") for k in keys], *more)
-
-    def match(extra=None):
-        on = F.lit(True) if extra is None else extra
-        for k in keys:
-            on = on & (cells[k] == F.col(f"_{k}"))
-        return on
-
-    parts = keyed(runs).distinct().intersect(keyed(longest).distinct())
-    bursts = cells.join(keyed(runs, "a", "b"), match((cells.t >= F.col("a")) & (cells.t < F.col("b")))).select(*keys, "f", "t")
-    split = parts.withColumnsRenamed({f"_{k}": f"s_{k}" for k in keys})
-
-    def only(t: DataFrame, how: str) -> DataFrame:
-        on = F.lit(True)
-        for k in keys:
-            on = on & (t[k] == F.col(f"s_{k}"))
-        return t.join(split, on, how)
-
-    carrier = cells.join(keyed(longest, "fa", "fb"), match((cells.f >= F.col("fa")) & (cells.f < F.col("fb")))).select(*keys, "f", "t")
+    facts = _keyed(quiet.groupBy(*keys).agg(F.count("*").alias("quiet"), F.first("q35").alias("q35"), F.first("wide").alias("wide")), keys, "quiet", "q35", "wide")
+    steady = hits.join(facts, _on(hits, keys)).where((F.col("quiet") >= max(4, 2 * min_t)) & (F.col("hits") >= F.greatest(F.lit(2), F.ceil(0.45 * F.col("quiet")))))
+    rows = steady.withColumn("_i", F.col("f") - F.row_number().over(Window.partitionBy(*keys).orderBy("f"))).groupBy(*keys, "_i").agg(F.min("f").alias("fa"), (F.max("f") + 1).alias("fb"), F.first("q35").alias("q35"), F.first("wide").alias("wide"))
+    height = F.col("fb") - F.col("fa")
+    longest = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(height.desc(), "fa"))).where("_r = 1")
+    longest = longest.where((height >= F.greatest(F.lit(2), F.floor("q35"))) & (height < F.col("wide")))
+    carrier = cells.join(_keyed(longest, keys, "fa", "fb"), _on(cells, keys, (cells.f >= F.col("fa")) & (cells.f < F.col("fb")))).select(*keys, "f", "t")
+    large = carrier.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= max(2, 2 * min_t))
+
+    split = _keyed(stored(large.select(*keys).intersect(runs.select(*keys)), "split"), keys)
+    bursts = cells.join(_keyed(runs, keys, "a", "b", "part"), _on(cells, keys, (cells.t >= F.col("a")) & (cells.t < F.col("b")))).select(*keys, "part", "f", "t")
     return (
-        only(bursts, "left_semi").withColumn("split_role", F.lit("transient_wideband_burst"))
-        .unionByName(only(carrier, "left_semi").withColumn("split_role", F.lit("persistent_carrier")))
-        .unionByName(only(cells.select(*keys, "f", "t"), "left_anti").withColumn("split_role", F.lit("unsplit")))
+        bursts.join(split, _on(bursts, keys), "left_semi").withColumn("split_role", F.lit("transient_wideband_burst"))
+        .unionByName(carrier.join(split, _on(carrier, keys), "left_semi").withColumn("part", F.lit(0)).withColumn("split_role", F.lit("persistent_carrier")))
+        .unionByName(cells.join(split, _on(cells, keys), "left_anti").withColumn("part", F.lit(0)).withColumn("split_role", F.lit("unsplit")))
     )
 
 
-def group_regions(df: DataFrame, mask: str, score: str = "score", settings: Grouping = Grouping(), group: Sequence[str] = GROUP, bridged: bool = True) -> DataFrame:
-    """Components of a bridged mask with the tests they pass: bounds, areas, densities, scores, keep, failed_reasons.
-
-    Bridging closes gaps of rows, then short gaps in time. A component is kept when it passes all five tests: size, rows,
-    columns, envelope density and peak (at least the median score of the mask's cells).
-    """
-    d = with_scalars(df, group, peak_floor=F.coalesce(F.percentile(F.when(F.col(mask), F.col(score)), F.lit(0.5)), F.lit(0.0)))
+def regions(df: DataFrame, mask: str, score: str = "score", settings: Grouping = Grouping(), group: Sequence[str] = GROUP, bridged: bool = True, valid: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """What group_regions returns, and the cells (group, component, part, f, t) of the parts that are kept."""
+    d = df.withColumn("_seed", F.col(mask) if valid is None else F.col(mask) & F.col(valid))
+    d = with_scalars(d, group, peak_floor=F.coalesce(F.percentile(F.when(F.col("_seed"), F.col(score)), F.lit(0.5)), F.lit(0.0)))
     if bridged:
-        d = closing(d, mask, "_closed", settings.bridge_f, 1, group)
+        d = closing(d, "_seed", "_closed", settings.bridge_f, 1, group)
         d = fill_gaps(d, "_closed", "_bridged", settings.bridge_t, settings.continuity, group)
     else:
-        d = d.withColumn("_bridged", F.col(mask))
+        d = d.withColumn("_bridged", F.col("_seed"))
     d = stored(d, "bridged")
-    cells = stored(component_cells(connected_components(d, "_bridged", False, group), group), "cells")
-    table = component_table(cells, d, score, group)
-    env = envelope_area(cells, group).select(*[F.col(g).alias(f"_{g}") for g in group], F.col("component").alias("_component"), "envelope_area")
-    on = table.component == F.col("_component")
-    for g in group:
-        on = on & (table[g] == F.col(f"_{g}"))
-    table = table.join(env, on).drop("_component", *[f"_{g}" for g in group])
-    floors = d.select(*[F.col(g).alias(f"_{g}") for g in group], "peak_floor").distinct()
-    on = F.lit(True)
-    for g in group:
-        on = on & (table[g] == F.col(f"_{g}"))
-    table = table.join(floors, on).drop(*[f"_{g}" for g in group]).withColumn("density", F.col("filled_area") / F.col("envelope_area"))
+    keys = [*group, "component", "part"]
+    cells = stored(split_components(stored(component_cells(connected_components(d, "_bridged", False, group), group), "cells"), settings.min_f, settings.min_t, group), "parts")
+    table = component_table(cells, d, score, group, ("part", "split_role"))
+    env = _keyed(envelope_area(cells, group, ("part",)), keys, "envelope_area")
+    table = table.join(env, _on(table, keys)).drop(*[f"_{k}" for k in keys])
+    floors = _keyed(d.select(*group, "peak_floor").distinct(), group, "peak_floor")
+    table = table.join(floors, _on(table, group)).drop(*[f"_{g}" for g in group]).withColumn("density", F.col("filled_area") / F.col("envelope_area"))
     tests = [("size", F.col("filled_area") >= settings.min_size), ("freq_span", F.col("freq_span") >= settings.min_f), ("time_span", F.col("time_span") >= settings.min_t), ("density", F.col("density") >= settings.min_density), ("peak", F.col("score_peak") >= F.col("peak_floor"))]
     reasons = F.filter(F.array(*[F.when(~ok, F.lit(name)) for name, ok in tests]), lambda x: x.isNotNull())
-    return table.withColumn("failed_reasons", reasons).withColumn("keep", F.size("failed_reasons") == 0).withColumn("failed_reason", F.when(~F.col("keep"), F.col("failed_reasons")[0]))
+    table = table.withColumn("failed_reasons", reasons).withColumn("keep", F.size("failed_reasons") == 0).withColumn("failed_reason", F.when(~F.col("keep"), F.col("failed_reasons")[0]))
+    table = stored(table, "regions")
+    kept = cells.join(_keyed(table.where("keep"), keys), _on(cells, keys), "left_semi").select(*keys, "f", "t")
+    if valid is not None:
+        rows = df.where(F.col(valid)).select(*[F.col(g).alias(f"_{g}") for g in group], F.col("f").alias("_f")).distinct()
+        kept = kept.join(rows, _on(kept, group, kept.f == F.col("_f")), "left_semi")
+    return table, kept
+
+
+def group_regions(df: DataFrame, mask: str, score: str = "score", settings: Grouping = Grouping(), group: Sequence[str] = GROUP, bridged: bool = True, valid: str | None = None) -> DataFrame:
+    """Components of a bridged mask with the tests they pass: bounds, areas, densities, scores, role, keep, failed_reasons.
+
+    Bridging closes gaps of rows, then short gaps in time. Components with bursts come apart (split_components), and each
+    part is a row. A part is kept when it passes all five tests: size, rows, columns, envelope density and peak (at least
+    the median score of the mask's cells). Where a column names the valid rows, others hold no mask.
+    """
+    return regions(df, mask, score, settings, group, bridged, valid)[0]

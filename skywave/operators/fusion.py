@@ -49,23 +49,30 @@ def detrend_position(patches: DataFrame, group: Sequence[str]) -> DataFrame:
 
 
 def clean_mask(df: DataFrame, mask: str, out: str, cells: int, conservative: bool = False, group: Sequence[str] = GROUP) -> DataFrame:
-    """Opened by 2 x 2, closed by 3 x 3, holes filled and small parts gone; conservative: closed by 2 x 2 only, small parts gone."""
+    """Opened by 2 x 2, closed by 3 x 3, holes filled and small parts gone; conservative: opened and closed by 2 x 2, small parts gone."""
     if conservative:
-        d = closing(df, mask, "_c", 2, 2, group)
+        d = closing(opening(df, mask, "_c", 2, 2, group), "_c", "_c", 2, 2, group)
         return remove_small(d, "_c", out, max(4, int(0.0025 * cells)), group).drop("_c")
     d = closing(opening(df, mask, "_c", 2, 2, group), "_c", "_c", 3, 3, group)
     d = fill_holes(stored(d, "clean"), "_c", "_d", group)
     return remove_small(d, "_d", out, max(4, int(0.003 * cells)), group).drop("_c", "_d")
 
 
-def group_rectangles(df: DataFrame, mask: str, score: str, out: str, settings: Grouping = Grouping(), min_peak: float = 0.5, group: Sequence[str] = GROUP) -> DataFrame:
+def group_rectangles(df: DataFrame, mask: str, score: str, out: str, settings: Grouping = Grouping(), group: Sequence[str] = GROUP) -> DataFrame:
     """Cells in the bounding boxes of the components of a mask closed on both axes with its holes filled.
 
-    A component counts when it has the size and the spans, and either the box density or the peak.
+    A component counts when it has the size and the spans, and either the box density or a peak that reaches the median
+    score of the mask's cells.
     """
+    floor = F.coalesce(F.percentile(F.when(F.col(mask), F.col(score)), F.lit(0.5)), F.lit(0.0))
+    floors = df.groupBy(*[F.col(g).alias(f"_{g}") for g in group]).agg(floor.alias("_floor"))
     d = fill_holes(stored(closing(df, mask, "_c", settings.bridge_f, settings.bridge_t, group), "rectangles"), "_c", "_d", group)
     d = stored(d, "filled")
     table = component_table(component_cells(connected_components(d, "_d", False, group), group), d, score, group)
-    keep = (F.col("filled_area") >= settings.min_size) & (F.col("freq_span") >= settings.min_f) & (F.col("time_span") >= settings.min_t) & ((F.col("bbox_density") >= settings.min_density) | (F.col("score_peak") >= min_peak))
+    on = F.lit(True)
+    for g in group:
+        on = on & (table[g] == F.col(f"_{g}"))
+    table = table.join(floors, on)
+    keep = (F.col("filled_area") >= settings.min_size) & (F.col("freq_span") >= settings.min_f) & (F.col("time_span") >= settings.min_t) & ((F.col("bbox_density") >= settings.min_density) | (F.col("score_peak") >= F.col("_floor")))
     cells = table.where(keep).withColumn("f", F.explode(F.sequence(F.col("freq_start"), F.col("freq_stop") - 1))).withColumn("t", F.explode(F.sequence(F.col("time_start"), F.col("time_stop") - 1)))
     return mark(d, cells.select(*group, "f", "t"), out, group).drop("_c", "_d")

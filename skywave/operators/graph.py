@@ -204,13 +204,12 @@ def propagate(p: DataFrame, edges: DataFrame, group: Sequence[str], alpha: float
 def prototypes(patches: DataFrame, cue: str, group: Sequence[str]) -> DataFrame:
     """(group, side, ch, mean, var): channel statistics of the patches of low (noise) and high (signal) cue.
 
-    The lowest 20 % and the highest 8 %; where one side has fewer than ten, the lowest 30 % and the highest 15 %.
+    The lowest 20 % and the highest 8 %; a side of fewer than ten takes the lowest 30 %, or the highest 15 %.
     """
     d = with_scalars(patches, group, _q=F.percentile(cue, F.array(F.lit(0.20), F.lit(0.92), F.lit(0.30), F.lit(0.85))))
     x = F.col(cue)
     d = with_scalars(d, group, _lo=F.count_if(x <= F.col("_q")[0]), _hi=F.count_if(x >= F.col("_q")[1]))
-    few = (F.col("_lo") < 10) | (F.col("_hi") < 10)
-    low, high = F.when(few, F.col("_q")[2]).otherwise(F.col("_q")[0]), F.when(few, F.col("_q")[3]).otherwise(F.col("_q")[1])
+    low, high = F.when(F.col("_lo") < 10, F.col("_q")[2]).otherwise(F.col("_q")[0]), F.when(F.col("_hi") < 10, F.col("_q")[3]).otherwise(F.col("_q")[1])
     sides = d.withColumn("side", F.explode(F.array(F.when(x <= low, F.lit("noise")), F.when(x >= high, F.lit("signal"))))).where("side is not null").select(*group, "side", F.posexplode("x").alias("ch", "v"))
     return sides.groupBy(*group, "side", "ch").agg(F.avg("v").alias("mean"), (F.var_pop("v") + 1e-3).alias("var"))
 

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from skywave.functions.quantiles import GROUP, with_scalars
 from skywave.kernels.arrays import mixture_threshold
+from skywave.operators.windows import dilate
 
 
 def mixture_thresholds(df: DataFrame, group: Sequence[str] = GROUP, column: str = "p") -> DataFrame:
@@ -26,17 +27,17 @@ def mixture_thresholds(df: DataFrame, group: Sequence[str] = GROUP, column: str
 
 
 def hysteresis(df: DataFrame, column: str, tau: str, out: str, rounds: int = 2, group: Sequence[str] = GROUP) -> DataFrame:
-    """Cells of surely low noise, grown over their sides into cells of rather low noise."""
+    """Cells of surely low noise, grown over the eight neighbours into cells of rather low noise."""
     d = with_scalars(df, group, _q=F.percentile(column, F.array(F.lit(0.25), F.lit(0.45))))
-    low = F.greatest(F.lit(0.01), F.least(F.col(tau) - 0.04, F.col("_q")[0]))
+    d = d.withColumn("_low", F.greatest(F.lit(0.01), F.least(F.col(tau) - 0.04, F.col("_q")[0])))
     high = F.least(F.lit(0.99), F.least(F.col(tau) + 0.015, F.col("_q")[1]))
-    d = d.withColumn("_weak", F.col(column) <= high).withColumn(out, F.col(column) <= low)
-    rows, cols = Window.partitionBy(*group, "t").orderBy("f"), Window.partitionBy(*group, "f").orderBy("t")
+    high = F.when(high <= F.col("_low"), F.least(F.lit(0.99), F.col("_low") + 0.03)).otherwise(high)
+    d = d.withColumn("_weak", F.col(column) < high).withColumn(out, F.col(column) < F.col("_low"))
     for _ in range(rounds):
-        near = F.coalesce(F.lag(out).over(rows), F.lit(False)) | F.coalesce(F.lead(out).over(rows), F.lit(False))
-        near = near | F.coalesce(F.lag(out).over(cols), F.lit(False)) | F.coalesce(F.lead(out).over(cols), F.lit(False))
-        d = d.withColumn("_grown", F.col(out) | (F.col("_weak") & near)).drop(out).withColumnRenamed("_grown", out)
-    return d.drop("_weak", "_q")
+        for axis in ("f", "t"):
+            d = dilate(d, out, out, axis, 3, group)
+        d = d.withColumn(out, F.col(out) & F.col("_weak"))
+    return d.drop("_weak", "_q", "_low")
 
 
 def manifold_head(edges: DataFrame, group: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skywave.config import CoherentPower
-from skywave.kernels.arrays import power_spectra, resize_bilinear, structure_coherence
+from skywave.kernels.arrays import power_spectra, resize_bilinear, structure_gate
 
 
 def segments(samples: DataFrame, nfft: int, overlap: int, group: Sequence[str] = ("capture_id",)) -> DataFrame:
@@ -80,17 +80,18 @@ def add_noise(samples: DataFrame, plan: DataFrame, seed: int = 0, group: str = "
 
 
 def tile_coherence(cells: DataFrame, scales: Sequence[float] = CoherentPower().scales, group: Sequence[str] = ("capture_id", "frame_id", "chunk_index")) -> DataFrame:
-    """(group, f, t, coherence) of each tile: one task holds one sub-band of one frame."""
+    """(group, f, t, coherence, gate) of each tile: one task holds one sub-band of one frame."""
     types = {f.name: f.dataType.simpleString() for f in cells.schema}
 
     def gate(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["f", "t"])
         rows, cols = p["f"].nunique(), p["t"].nunique()
         out = p[[*group, "f", "t"]].copy()
-        out["coherence"] = structure_coherence(p["power_db"].to_numpy().reshape(rows, cols), tuple(scales)).ravel()
+        coherence, strength = structure_gate(p["power_db"].to_numpy().reshape(rows, cols), tuple(scales))
+        out["coherence"], out["gate"] = coherence.ravel(), strength.ravel()
         return out
 
-    schema = ", ".join(f"{c} {types[c]}" for c in [*group, "f", "t"]) + ", coherence double"
+    schema = ", ".join(f"{c} {types[c]}" for c in [*group, "f", "t"]) + ", coherence double, gate double"
     return cells.select(*group, "f", "t", "power_db").groupBy(*group).applyInPandas(gate, schema)
 
 

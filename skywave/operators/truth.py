@@ -26,14 +26,15 @@ def window_annotations(annotations: DataFrame, windows: DataFrame, width: int) -
 def centre_in_force(annotations: DataFrame, tunes: DataFrame) -> DataFrame:
     """Annotations with the centre frequency of the last tune at or before their start, else that of the first tune.
 
-    An as-of join: both kinds of rows in one order, the last frequency seen so far carried on.
+    An as-of join: both kinds of rows in one order, the last frequency seen so far carried on; the first tune of a capture is
+    an aggregate of the tunes alone.
     """
     both = annotations.select("capture_id", "sample_start", F.lit(1).alias("kind"), "ann_id", F.lit(None).cast("double").alias("frequency"))
     both = both.unionByName(tunes.select("capture_id", "sample_start", F.lit(0).alias("kind"), F.lit(None).cast(annotations.schema["ann_id"].dataType).alias("ann_id"), F.col("frequency").cast("double").alias("frequency")))
-    w = Window.partitionBy("capture_id").orderBy("sample_start", "kind")
-    carried = F.last("frequency", ignorenulls=True).over(w)
-    ahead = F.first("frequency", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    return both.withColumn("centre_hz", F.coalesce(carried, ahead)).where("kind = 1").select("capture_id", "ann_id", "sample_start", "centre_hz")
+    carried = F.last("frequency", ignorenulls=True).over(Window.partitionBy("capture_id").orderBy("sample_start", "kind"))
+    told = both.withColumn("carried", carried).where("kind = 1")
+    first = tunes.groupBy(F.col("capture_id").alias("_c")).agg(F.min_by(F.col("frequency").cast("double"), "sample_start").alias("first"))
+    return told.join(first, told.capture_id == first._c, "left").select("capture_id", "ann_id", "sample_start", F.coalesce("carried", "first").alias("centre_hz"))
 
 
 def recentre_edges(boxes: DataFrame, axis: DataFrame) -> DataFrame:

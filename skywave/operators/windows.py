@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from skywave.functions.quantiles import GROUP, normalize_local, signed_to_unit, with_scalars
 from skywave.functions.scalars import from_db, relative_db
+from skywave.sources.tables import stored
 
 
 def _line(axis: str, group: Sequence[str]):
@@ -51,27 +52,28 @@ def gaussian_kernel(sigma: float) -> list[tuple[int, float]]:
 
 def convolve_axis(df: DataFrame, column: str, out: str, axis: str, kernel: Sequence[tuple[int, float]], mode: str = "nearest", group: Sequence[str] = GROUP, line_key: Sequence[str] | None = None) -> DataFrame:
     """Weighted sum along an axis numbered 0..n-1; beyond the ends the value repeats (nearest) or mirrors (mirror: the edge
-    itself is doubled). The kernel is a small table; each row meets one source row for each offset."""
+    itself is doubled). A line of the grid is one array, so a convolution costs one shuffle."""
     keys = [*group, *(line_key if line_key is not None else (["t"] if axis == "f" else ["f"]))]
-    spark = df.sparkSession
-    offsets = spark.createDataFrame([(int(d), float(w)) for d, w in kernel], "d int, w double")
-    d = with_scalars(df, group, _n=F.max(axis) + 1)
-    n, at = F.col("_n"), F.col(axis) + F.col("d")
-    if mode == "nearest":
-        source = F.least(F.greatest(at, F.lit(0)), n - 1)
-    else:
-        turn = F.pmod(at, 2 * n)
-        source = F.when(turn < n, turn).otherwise(2 * n - 1 - turn)
-    spread = d.crossJoin(F.broadcast(offsets)).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(axis).alias("_at"), "w", source.alias("_src"))
-    values = df.select(*[F.col(k).alias(f"s_{k}") for k in keys], F.col(axis).alias("s_at"), F.col(column).cast("double").alias("s_x"))
-    on = (F.col("_src") == F.col("s_at"))
-    for k in keys:
-        on = on & (F.col(f"_{k}") == F.col(f"s_{k}"))
-    summed = spread.join(values, on).groupBy(*[f"_{k}" for k in keys], "_at").agg(F.sum(F.col("w") * F.col("s_x")).alias(out))
-    back = (F.col(axis) == F.col("_at"))
-    for k in keys:
-        back = back & (F.col(k) == F.col(f"_{k}"))
-    return df.drop(out).join(summed, back).drop(*[f"_{k}" for k in keys], "_at")
+    rest = [c for c in df.columns if c not in keys and c not in (out, axis)]
+    source = df if column != out else df.withColumnRenamed(out, "_source")
+    column = "_source" if column == out else column
+    rest = [c if c != out else "_source" for c in rest] + (["_source"] if column == "_source" else [])
+    lines = source.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(axis, *rest))).alias("_line")).withColumn("_n", F.size("_line"))
+    lines = lines.withColumn("_x", F.transform("_line", lambda r: r[column].cast("double")))
+    weights = F.array(*[F.struct(F.lit(int(d)).alias("d"), F.lit(float(w)).alias("w")) for d, w in kernel])
+    n = F.col("_n")
+
+    def at(i):
+        if mode == "nearest":
+            return F.least(F.greatest(i, F.lit(0)), n - 1)
+        turn = F.pmod(i, 2 * n)
+        return F.when(turn < n, turn).otherwise(2 * n - 1 - turn)
+
+    def cell(r, i):
+        value = F.aggregate(weights, F.lit(0.0), lambda total, k: total + k["w"] * F.get(F.col("_x"), at(i + k["d"])))
+        return F.struct(r[axis].alias(axis), *[r[c].alias(c) for c in rest], value.alias(out))
+
+    return lines.select(*keys, F.inline(F.transform("_line", cell))).drop("_source")
 
 
 def majority_votes(df: DataFrame, mask: str, out: str, iterations: int = 2, group: Sequence[str] = GROUP) -> DataFrame:
@@ -120,13 +122,14 @@ def trend_map(df: DataFrame, rows: int, cols: int, column: str = "power_db", out
 
 
 def signal_agnostic_map(df: DataFrame, rows: int, cols: int, column: str = "power_db", out: str = "grey", group: Sequence[str] = GROUP) -> DataFrame:
-    """A grey map 0..255 of local contrast: detrended, less its local mean, over its local spread."""
+    """A grey map 0..255: 0.70 of local contrast (detrended, less its local mean, over its local spread) and 0.30 of the
+    detrended map; where the mix hardly varies, the detrended map alone."""
     d = trend_map(df, rows, cols, column, "_tr", group).withColumn("_flat", F.col(column) - F.col("_tr"))
     d = box_mean(d, "_flat", "_mean", 7, 7, group).withColumn("_dev", F.col("_flat") - F.col("_mean")).withColumn("_sq", F.col("_dev") * F.col("_dev"))
-    d = box_mean(d, "_sq", "_ms", 9, 9, group).withColumn("_z", F.col("_dev") / (F.sqrt(F.greatest(F.col("_ms"), F.lit(0.0))) + 1e-6))
+    d = box_mean(d, "_sq", "_ms", 9, 9, group).withColumn("_z", F.col("_dev") / F.greatest(F.sqrt(F.greatest(F.col("_ms"), F.lit(0.0)) + 1e-6), F.lit(1e-4)))
     d = signed_to_unit(d, "_z", "_signed", group=group)
-    d = normalize_local(d, "_z", "_norm", 0.02, 0.98, group)
-    d = normalize_local(d, "_z", "_wide", 0.01, 0.99, group).withColumn("_mix", 0.70 * F.col("_signed") + 0.30 * F.col("_norm"))
+    d = normalize_local(d, "_flat", "_norm", 0.02, 0.98, group)
+    d = normalize_local(d, "_flat", "_wide", 0.01, 0.99, group).withColumn("_mix", 0.70 * F.col("_signed") + 0.30 * F.col("_norm"))
     d = with_scalars(d, group, _std=F.stddev_pop("_mix"))
     grey = F.when(F.col("_std") < 0.02, F.col("_wide")).otherwise(F.col("_mix"))
     return d.withColumn(out, F.bround(255 * F.least(F.greatest(grey, F.lit(0.0)), F.lit(1.0)), 0)).drop("_tr", "_flat", "_mean", "_dev", "_sq", "_ms", "_z", "_signed", "_norm", "_wide", "_mix", "_std")
@@ -141,12 +144,12 @@ def seed_map(df: DataFrame, column: str, out: str = "seed", group: Sequence[str]
     return d.withColumn(out, 0.65 * F.col("_a") + 0.35 * F.col("_b")).drop("_time", "_box", "_c", "_a", "_b")
 
 
-def burst_companion(df: DataFrame, cols: int, gate: str, residual: str, column: str = "power_db", out: str = "companion", group: Sequence[str] = GROUP) -> DataFrame:
-    """Evidence for short bursts: rise over the local time mean, gate and residual, each normalised, mixed .45/.35/.20."""
-    d = box_mean(df, column, "_m", 1, max(5, 2 * max(1, cols // 32) + 1), group).withColumn("_rise", F.greatest(F.col(column) - F.col("_m"), F.lit(0.0)))
-    for x, y in (("_rise", "_a"), (gate, "_b"), (residual, "_c")):
-        d = normalize_local(d, x, y, 0.05, 0.99, group)
-    d = d.withColumn("_mix", 0.45 * F.col("_a") + 0.35 * F.col("_b") + 0.20 * F.col("_c"))
+def burst_companion(df: DataFrame, cols: int, gate: str, residual: str, out: str = "companion", group: Sequence[str] = GROUP) -> DataFrame:
+    """Evidence for short bursts: residual, its rise over its own time mean, and gate, each normalised, mixed .45/.35/.20."""
+    d = normalize_local(df, residual, "_a", 0.05, 0.99, group)
+    d = box_mean(d, "_a", "_m", 1, max(5, 2 * max(1, cols // 32) + 1), group).withColumn("_rise", F.greatest(F.col("_a") - F.col("_m"), F.lit(0.0)))
+    d = normalize_local(d, "_rise", "_b", 0.05, 0.99, group)
+    d = normalize_local(d, gate, "_c", 0.05, 0.99, group).withColumn("_mix", 0.45 * F.col("_a") + 0.35 * F.col("_b") + 0.20 * F.col("_c"))
     return normalize_local(d, "_mix", out, 0.05, 0.99, group).drop("_m", "_rise", "_a", "_b", "_c", "_mix")
 
 
@@ -228,12 +231,34 @@ def wrapped_neighbours(df: DataFrame, column: str, rows: int, cols: int, offsets
     return at.join(other, on).drop("_r", "_c", "n_r", "n_c", *[f"n_{g}" for g in group])
 
 
-def incoherence(df: DataFrame, column: str, out: str, rows: int, cols: int, group: Sequence[str] = GROUP) -> DataFrame:
-    """Mean difference from four sides and two diagonals, the grid wrapping around."""
-    near = wrapped_neighbours(df, column, rows, cols, [(0, 1), (0, -1), (1, 0), (-1, 0), (1, 1), (-1, -1)], group)
-    d = near.groupBy(*group, "f", "t").agg(F.avg(F.abs(F.col(column) - F.col("neighbour"))).alias(out))
+def gaussian_smooth(df: DataFrame, column: str, out: str, sigma: float, group: Sequence[str] = GROUP) -> DataFrame:
+    """A map smoothed on both axes, mirrored at the edges (the edge cell doubled)."""
+    d = convolve_axis(df, column, out, "f", gaussian_kernel(sigma), "mirror", group)
+    return convolve_axis(d, out, out, "t", gaussian_kernel(sigma), "mirror", group)
+
+
+def min_max(df: DataFrame, column: str, out: str, group: Sequence[str] = GROUP) -> DataFrame:
+    w = Window.partitionBy(*group)
+    return df.withColumn(out, (F.col(column) - F.min(column).over(w)) / (F.max(column).over(w) - F.min(column).over(w) + 1e-8))
+
+
+def incoherence(df: DataFrame, column: str, out: str, rows: int, cols: int, previous: str | None = None, group: Sequence[str] = GROUP) -> DataFrame:
+    """How much each cell disagrees with its neighbours (sides .1875, two diagonals .125 each, the grid wrapping around) and,
+    by .22, with the cell of the frame before (column `previous`, null: none); both parts smoothed and min-max scaled."""
+    weights = {(1, 0): 0.1875, (-1, 0): 0.1875, (0, 1): 0.1875, (0, -1): 0.1875, (-1, -1): 0.125, (-1, 1): 0.125}
+    near = wrapped_neighbours(df, column, rows, cols, list(weights), group)
+    w = F.lit(0.0)
+    for (a, b), value in weights.items():
+        w = F.when((F.col("dr") == a) & (F.col("dc") == b), F.lit(value)).otherwise(w)
+    d = near.groupBy(*group, "f", "t").agg(F.sum(w * F.abs(F.col(column) - F.col("neighbour"))).alias("_spatial"))
     on = (df["f"] == F.col("_f")) & (df["t"] == F.col("_t"))
-    d = d.select(*[F.col(g).alias(f"_{g}") for g in group], F.col("f").alias("_f"), F.col("t").alias("_t"), out)
+    d = d.select(*[F.col(g).alias(f"_{g}") for g in group], F.col("f").alias("_f"), F.col("t").alias("_t"), "_spatial")
     for g in group:
         on = on & (df[g] == F.col(f"_{g}"))
-    return df.join(d, on).drop("_f", "_t", *[f"_{g}" for g in group])
+    d = stored(df.join(d, on).drop("_f", "_t", *[f"_{g}" for g in group]), "incoherence")
+    d = min_max(gaussian_smooth(d, "_spatial", "_spatial", 0.7, group), "_spatial", "_spatial", group)
+    if previous is None:
+        return d.withColumn(out, 0.78 * F.col("_spatial")).drop("_spatial")
+    d = d.withColumn("_change", F.coalesce(F.abs(F.col(column) - F.col(previous)), F.lit(0.0)))
+    d = min_max(gaussian_smooth(d, "_change", "_change", 0.7, group), "_change", "_change", group)
+    return d.withColumn(out, F.least(F.greatest(0.78 * F.col("_spatial") + 0.22 * F.col("_change"), F.lit(0.0)), F.lit(1.0))).drop("_spatial", "_change")
