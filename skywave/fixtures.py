@@ -11,9 +11,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 ROWS, COLS = 64, 48
+#: Orders of a capture, and patches of a frame (20 wide): captures and frames grow in number with the tables.
+CAPTURE_ORDERS = 32768
+FRAME_PATCHES = 400
+_CAPTURE = f"concat(l_returnflag, '-', l_orderkey div {CAPTURE_ORDERS})"
 
 
-def cells(spark: SparkSession, sf_dir: str, rows: int = ROWS, cols: int = COLS, by: str = "l_returnflag") -> DataFrame:
+def cells(spark: SparkSession, sf_dir: str, rows: int = ROWS, cols: int = COLS, by: str = _CAPTURE) -> DataFrame:
     """(capture_id, frame_id, f, t, power_db): a dense grid with a roll-off, one carrier and one wideband burst."""
     li = table(spark, sf_dir, "lineitem").select(F.expr(by).alias("capture_id"), F.expr(f"CAST(l_partkey % {rows} AS INT)").alias("f"), F.expr(f"CAST(datediff(l_shipdate, DATE '1995-01-01') % {cols} AS INT)").alias("t"), "l_extendedprice")
     power = li.groupBy("capture_id", "f", "t").agg(F.sum("l_extendedprice").alias("pw"))
@@ -25,7 +29,7 @@ def cells(spark: SparkSession, sf_dir: str, rows: int = ROWS, cols: int = COLS,
 
 def axis(spark: SparkSession, sf_dir: str, rows: int = ROWS) -> DataFrame:
     """(capture_id, f, freq_hz) for each capture of cells()."""
-    c = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("capture_id")).distinct()
+    c = table(spark, sf_dir, "lineitem").select(F.expr(_CAPTURE).alias("capture_id")).distinct()
     return c.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))).withColumn("freq_hz", F.lit(100e6) + (F.col("f") - rows // 2) * 1e5)
 
 
@@ -48,7 +52,8 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    return e.select(F.lit(0).alias("capture_id"), F.col("vec_id").alias("node"), F.floor(F.col("vec_id") / 20).cast("int").alias("pr"), (F.col("vec_id") % 20).cast("int").alias("pc"), F.col("embedding").cast("array<double>").alias("x"), "label")
+    at = F.col("vec_id") % FRAME_PATCHES
+    return e.select(F.floor(F.col("vec_id") / FRAME_PATCHES).alias("capture_id"), F.col("vec_id").alias("node"), F.floor(at / 20).cast("int").alias("pr"), (at % 20).cast("int").alias("pc"), F.col("embedding").cast("array<double>").alias("x"), "label")
 
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,10 +84,10 @@ SQL = {
     "fx_cells": """fx_cells AS (
   SELECT g.capture_id, 0 AS frame_id, g.f, g.t, 10*log10(greatest(coalesce(pw, 0.0), 1.0)) - abs(g.f - 32)/4.0
     + CASE WHEN g.f BETWEEN 20 AND 27 AND g.t BETWEEN 5 AND 40 THEN 15.0 WHEN g.f BETWEEN 8 AND 55 AND g.t BETWEEN 20 AND 23 THEN 15.0 ELSE 0.0 END AS power_db
-  FROM (SELECT * FROM (SELECT DISTINCT l_returnflag AS capture_id FROM lineitem), (SELECT unnest(range(64)) AS f), (SELECT unnest(range(48)) AS t)) g
-  LEFT JOIN (SELECT l_returnflag AS capture_id, l_partkey % 64 AS f, date_diff('day', TIMESTAMP '1995-01-01', CAST(l_shipdate AS TIMESTAMP)) % 48 AS t, CAST(sum(l_extendedprice) AS DOUBLE) AS pw
+  FROM (SELECT * FROM (SELECT DISTINCT l_returnflag || '-' || l_orderkey // 32768 AS capture_id FROM lineitem), (SELECT unnest(range(64)) AS f), (SELECT unnest(range(48)) AS t)) g
+  LEFT JOIN (SELECT l_returnflag || '-' || l_orderkey // 32768 AS capture_id, l_partkey % 64 AS f, date_diff('day', TIMESTAMP '1995-01-01', CAST(l_shipdate AS TIMESTAMP)) % 48 AS t, CAST(sum(l_extendedprice) AS DOUBLE) AS pw
     FROM lineitem GROUP BY ALL) p ON g.capture_id = p.capture_id AND g.f = p.f AND g.t = p.t)""",
-    "fx_axis": "fx_axis AS (SELECT c AS capture_id, f, 100e6 + (f - 32) * 1e5 AS freq_hz FROM (SELECT DISTINCT l_returnflag AS c FROM lineitem), (SELECT unnest(range(64)) AS f))",
+    "fx_axis": "fx_axis AS (SELECT c AS capture_id, f, 100e6 + (f - 32) * 1e5 AS freq_hz FROM (SELECT DISTINCT l_returnflag || '-' || l_orderkey // 32768 AS c FROM lineitem), (SELECT unnest(range(64)) AS f))",
     "fx_iq": "fx_iq AS (SELECT event_type AS capture_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS n, value AS i, CAST(json_extract_string(props, '$.k') AS DOUBLE) - 50 AS q FROM events)",
     "fx_boxes": """fx_boxes AS (SELECT min(l_suppkey) % 50 AS capture_id, l_orderkey*8 + l_linenumber AS box_id,
   min(l_partkey)*7 % 512 AS freq_start, min(l_partkey)*7 % 512 + 2 + CAST(min(l_quantity) AS INT) % 13 AS freq_stop,
@@ -90,7 +95,7 @@ SQL = {
   CASE min(l_returnflag) WHEN 'A' THEN 'persistent_carrier' WHEN 'R' THEN 'transient_wideband_burst' ELSE 'unsplit' END AS split_role,
   CAST(min(l_quantity) AS INT) AS filled_area, CAST(min(l_discount) AS DOUBLE) AS score_mean, CAST(min(l_discount) AS DOUBLE) + CAST(min(l_tax) AS DOUBLE) AS score_peak
   FROM lineitem GROUP BY l_orderkey, l_linenumber)""",
-    "fx_patches": "fx_patches AS (SELECT 0 AS capture_id, vec_id AS node, vec_id // 20 AS pr, vec_id % 20 AS pc, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings)",
+    "fx_patches": "fx_patches AS (SELECT vec_id // 400 AS capture_id, vec_id AS node, vec_id % 400 // 20 AS pr, vec_id % 20 AS pc, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings)",
     "fx_annotations": """fx_annotations AS (SELECT o_orderstatus AS capture_id, o_orderkey AS ann_id, o_orderkey*97 % 200000 AS sample_start,
   CAST(50 + floor(o_totalprice) % 900 AS BIGINT) AS sample_count, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE -32.0 + o_custkey % 60 END AS freq_lower_edge,
   CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE -31.0 + o_custkey % 60 + o_orderkey % 4 END AS freq_upper_edge, o_orderpriority AS label FROM orders)""",

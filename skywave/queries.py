@@ -415,10 +415,27 @@ def n14_sobel(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(wn.sobel_magnitude(_long(fx.cells(spark, sf), "f", "t"), "power_db", "grad").select(*KEY, "grad"), "grad", digits=5)
 
 
-@query(C + """, n AS (SELECT c.capture_id, c.f, c.t, avg(abs(c.power_db - s.power_db)) AS v FROM fx_cells c, (SELECT unnest([0, 0, 1, -1, 1, -1]) AS df, unnest([1, -1, 0, 0, 1, -1]) AS dt), fx_cells s
-  WHERE s.capture_id = c.capture_id AND s.f = (c.f + df + 64) % 64 AND s.t = (c.t + dt + 48) % 48 GROUP BY ALL) SELECT capture_id, f, t, round(v, 6) AS v FROM n""")
+_G07 = "k AS (SELECT d, exp(-0.5 * (d / 0.7) ** 2) AS w FROM (SELECT unnest(range(-3, 4)) AS d)), kw AS (SELECT d, w / sum(w) OVER () AS w FROM k)"
+
+
+def _mirrored(name: str, src: str) -> str:
+    """CTEs {name}1 and {name} (column v, min-max scaled): src smoothed on both axes, the edge cell doubled."""
+    turn = lambda at, n: f"CASE WHEN {at} < 0 THEN -1 - ({at}) WHEN {at} >= {n} THEN {2 * n - 1} - ({at}) ELSE {at} END"
+    return f"""{name}0 AS (SELECT c.capture_id, c.f, c.t, sum(w * s.v) AS v FROM {src} c, kw, {src} s WHERE s.capture_id = c.capture_id AND s.t = c.t AND s.f = {turn("c.f + d", 64)} GROUP BY ALL),
+{name}1 AS (SELECT c.capture_id, c.f, c.t, sum(w * s.v) AS v FROM {name}0 c, kw, {name}0 s WHERE s.capture_id = c.capture_id AND s.f = c.f AND s.t = {turn("c.t + d", 48)} GROUP BY ALL),
+{name} AS (SELECT capture_id, f, t, (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w + 1e-8) AS v FROM {name}1 WINDOW w AS (PARTITION BY capture_id))"""
+
+
+@query(C + f""", {_G07}, p AS (SELECT capture_id, f, t, least(greatest(power_db / 80, 0), 1) AS p FROM fx_cells),
+o AS (SELECT unnest([1, -1, 0, 0, 1, 1]) AS df, unnest([0, 0, 1, -1, 1, -1]) AS dt, unnest([0.1875, 0.1875, 0.1875, 0.1875, 0.125, 0.125]) AS ow),
+n AS (SELECT c.capture_id, c.f, c.t, sum(ow * abs(c.p - s.p)) AS v FROM p c, o, p s WHERE s.capture_id = c.capture_id AND s.f = (c.f - df + 64) % 64 AND s.t = (c.t - dt + 48) % 48 GROUP BY ALL),
+m AS (SELECT c.capture_id, c.f, c.t, abs(c.p - s.p) AS v FROM p c JOIN p s ON s.capture_id = c.capture_id AND s.f = c.f AND s.t = 47 - c.t), {_mirrored("sp", "n")}, {_mirrored("tp", "m")}
+SELECT capture_id, f, t, round(least(greatest(0.78 * sp.v + 0.22 * tp.v, 0), 1), 6) AS v FROM sp JOIN tp USING (capture_id, f, t)""")
 def n15_incoherence(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(wn.incoherence(_long(fx.cells(spark, sf), "f", "t"), "power_db", "v", fx.ROWS, fx.COLS).select(*KEY, "v"), "v")
+    d = _long(fx.cells(spark, sf), "f", "t").withColumn("p", F.least(F.greatest(F.col("power_db") / 80, F.lit(0.0)), F.lit(1.0)))
+    before = d.select(F.col("capture_id").alias("_c"), F.col("f").alias("_f"), (fx.COLS - 1 - F.col("t")).alias("_t"), F.col("p").alias("before"))
+    d = d.join(before, (d.capture_id == before._c) & (d.f == before._f) & (d.t == before._t)).drop("_c", "_f", "_t")
+    return rounded(wn.incoherence(d, "p", "v", fx.ROWS, fx.COLS, "before").select(*KEY, "v"), "v")
 
 
 @query(_box(1, 1).replace("range(-1, 1 + 1)) AS df", "range(0, 1)) AS df").replace("range(-1, 1 + 1)) AS dt", "range(-3, 4)) AS dt") + """,
@@ -438,10 +455,20 @@ def n8_seed_map(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(wn.seed_map(fx.cells(spark, sf), "power_db").select(*KEY, "seed"), "seed")
 
 
-@query()
+def _scaled(out: str, src: str, column: str = "v", low: float = 0.05, high: float = 0.99) -> str:
+    """CTE {out} (column v): a map between two quantiles of its capture."""
+    return f"""{out}q AS (SELECT capture_id, quantile_cont({column}, {low}) AS lo, quantile_cont({column}, {high}) AS hi FROM {src} GROUP BY 1),
+{out} AS (SELECT x.capture_id, x.f, x.t, least(greatest(({column} - lo) / CASE WHEN hi <= lo THEN 1e-6 ELSE hi - lo END, 0), 1) AS v FROM {src} x JOIN {out}q USING (capture_id))"""
+
+
+@query(C + f""", r0 AS (SELECT capture_id, f, t, abs(power_db - 50) AS v FROM fx_cells), {_scaled("a", "r0")},
+m AS (SELECT c.capture_id, c.f, c.t, avg(s.v) AS v FROM a c, (SELECT unnest(range(-2, 3)) AS d), a s WHERE s.capture_id = c.capture_id AND s.f = c.f AND s.t = least(greatest(c.t + d, 0), 47) GROUP BY ALL),
+r1 AS (SELECT a.capture_id, a.f, a.t, greatest(a.v - m.v, 0) AS v FROM a JOIN m USING (capture_id, f, t)), {_scaled("b", "r1")}, {_scaled("c", "fx_cells", "power_db")},
+x0 AS (SELECT a.capture_id, a.f, a.t, 0.45 * a.v + 0.35 * b.v + 0.20 * c.v AS v FROM a JOIN b USING (capture_id, f, t) JOIN c USING (capture_id, f, t)), {_scaled("z", "x0")}
+SELECT capture_id, f, t, round(v, 6) AS companion FROM z""")
 def n9_burst_companion(spark: SparkSession, sf: str) -> DataFrame:
     d = fx.cells(spark, sf).withColumn("gate", F.col("power_db")).withColumn("residual", F.abs(F.col("power_db") - 50))
-    return rounded(wn.burst_companion(d, fx.COLS, "gate", "residual").select(*KEY, "companion"), "companion")
+    return rounded(_long(wn.burst_companion(d, fx.COLS, "gate", "residual").select(*KEY, "companion"), "f", "t"), "companion")
 
 
 # ---------------------------------------------------------------- components and boxes
@@ -482,10 +509,28 @@ def g14_remove_small(spark: SparkSession, sf: str) -> DataFrame:
     return cp.remove_small(d, "m0", "m", 6).select(*KEY, "m")
 
 
-@query()
+_SPLIT = _COMP + """, g4c AS (SELECT k.capture_id, component, k.f, c.t FROM k JOIN fx_cells c ON c.capture_id = k.capture_id AND c.f = k.f AND c.t >= k.a AND c.t < k.b),
+col AS (SELECT capture_id, component, t, max(f) - min(f) + 1 AS span, min(f) AS lo, max(f) AS hi FROM g4c GROUP BY 1, 2, 3),
+st AS (SELECT capture_id, component, quantile_cont(span, 0.35) AS q35, count(*) AS active, max(hi) - min(lo) + 1 AS rows FROM col GROUP BY 1, 2),
+th AS (SELECT *, greatest(ceil(1.8 * q35), ceil(q35 + greatest(4.0, 0.5 * {f})), {f}) AS wide FROM st WHERE active >= 6),
+el AS (SELECT * FROM th WHERE wide < rows), cl AS (SELECT col.capture_id, component, t, span >= wide AS burst, q35, active, wide FROM col JOIN el USING (capture_id, component)),
+br AS (SELECT capture_id, component, t, active, t - row_number() OVER (PARTITION BY capture_id, component ORDER BY t) AS i FROM cl WHERE burst),
+bu AS (SELECT capture_id, component, min(t) AS a, max(t) + 1 AS b FROM br GROUP BY capture_id, component, i, active HAVING count(*) >= 1 AND count(*) < greatest(floor(active * 0.7), 2)),
+qc AS (SELECT capture_id, component, t, q35, wide, count(*) OVER (PARTITION BY capture_id, component) AS quiet FROM cl WHERE NOT burst),
+rh AS (SELECT g4c.capture_id, g4c.component, g4c.f, any_value(q35) AS q35, any_value(wide) AS wide FROM g4c JOIN qc ON qc.capture_id = g4c.capture_id AND qc.component = g4c.component AND qc.t = g4c.t WHERE quiet >= 4 GROUP BY 1, 2, 3 HAVING count(*) >= greatest(2, ceil(any_value(quiet) * 0.45))),
+ri AS (SELECT *, f - row_number() OVER (PARTITION BY capture_id, component ORDER BY f) AS i FROM rh),
+rr AS (SELECT capture_id, component, min(f) AS fa, max(f) + 1 AS fb, any_value(q35) AS q35, any_value(wide) AS wide FROM ri GROUP BY capture_id, component, i),
+lg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY capture_id, component ORDER BY fb - fa DESC, fa) AS r FROM rr) WHERE r = 1 AND fb - fa >= greatest(2, floor(q35)) AND fb - fa < wide),
+ca AS (SELECT g4c.* FROM g4c JOIN lg ON lg.capture_id = g4c.capture_id AND lg.component = g4c.component AND f >= fa AND f < fb),
+sp AS (SELECT capture_id, component FROM ca GROUP BY 1, 2 HAVING count(*) >= 2 INTERSECT SELECT capture_id, component FROM bu),
+pt AS (SELECT g4c.*, bu.part, 'transient_wideband_burst' AS split_role FROM g4c JOIN (SELECT *, row_number() OVER (PARTITION BY capture_id, component ORDER BY a) AS part FROM bu) bu ON bu.capture_id = g4c.capture_id AND bu.component = g4c.component AND t >= a AND t < b JOIN sp ON sp.capture_id = g4c.capture_id AND sp.component = g4c.component
+  UNION ALL SELECT ca.*, 0, 'persistent_carrier' FROM ca JOIN sp USING (capture_id, component) UNION ALL SELECT g4c.*, 0, 'unsplit' FROM g4c ANTI JOIN sp USING (capture_id, component))"""
+
+
+@query(_SPLIT.replace("{f}", "12") + " SELECT capture_id, component, CAST(part AS BIGINT) AS part, split_role, count(*) AS n, CAST(sum(f * 100 + t) AS BIGINT) AS digest FROM pt GROUP BY 1, 2, 3, 4")
 def g4_split_components(spark: SparkSession, sf: str) -> DataFrame:
     d = cp.split_components(cp.component_cells(_components(spark, sf)))
-    return d.groupBy("capture_id", "component", "split_role").agg(F.count("*").alias("n"))
+    return _long(d.groupBy("capture_id", "component", "part", "split_role").agg(F.count("*").alias("n"), F.sum(F.col("f") * 100 + F.col("t")).alias("digest")), "component", "part")
 
 
 @query()
@@ -522,13 +567,13 @@ def g8_project_boxes(spark: SparkSession, sf: str) -> DataFrame:
     return bx.project_boxes(b, chunks, 600, 4000).select("capture_id", "box_id", "freq_start", "freq_stop", "time_start", "time_stop")
 
 
-@query(C + """, b AS (SELECT capture_id, 5 AS fa, 12 AS fb, 3 AS ta, 9 AS tb FROM (SELECT DISTINCT capture_id FROM fx_cells) UNION ALL SELECT capture_id, 10, 30, 8, 20 FROM (SELECT DISTINCT capture_id FROM fx_cells WHERE capture_id <> 'A'))
+@query(C + """, b AS (SELECT capture_id, 5 AS fa, 12 AS fb, 3 AS ta, 9 AS tb FROM (SELECT DISTINCT capture_id FROM fx_cells) UNION ALL SELECT capture_id, 10, 30, 8, 20 FROM (SELECT DISTINCT capture_id FROM fx_cells WHERE capture_id NOT LIKE 'A%'))
 SELECT capture_id, f, t, EXISTS (SELECT 1 FROM b WHERE b.capture_id = c.capture_id AND f >= fa AND f < fb AND t >= ta AND t < tb) AS mask FROM fx_cells c""")
 def g10_boxes_to_mask(spark: SparkSession, sf: str) -> DataFrame:
     cells = _long(fx.cells(spark, sf), "f", "t")
     cap = cells.select("capture_id").distinct()
     one = cap.selectExpr("capture_id", "5L AS freq_start", "12L AS freq_stop", "3L AS time_start", "9L AS time_stop")
-    two = cap.where("capture_id <> 'A'").selectExpr("capture_id", "10L AS freq_start", "30L AS freq_stop", "8L AS time_start", "20L AS time_stop")
+    two = cap.where("capture_id not like 'A%'").selectExpr("capture_id", "10L AS freq_start", "30L AS freq_stop", "8L AS time_start", "20L AS time_stop")
     return bx.boxes_to_mask(cells, one.union(two)).select(*KEY, "mask")
 
 
@@ -560,15 +605,15 @@ def w1_floor_boxes(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def w1_coherent_power_boxes(spark: SparkSession, sf: str) -> DataFrame:
     plan = Chunking(bandwidth_hz=2.0e6, overlap_hz=0.5e6, min_rows=8)
-    return rounded(detect.coherent_power_boxes(fx.cells(spark, sf), fx.axis(spark, sf), chunking=plan), "score_mean", "score_peak", "density")
+    return rounded(detect.coherent_power_boxes(fx.cells(spark, sf), fx.axis(spark, sf), sideband_hz=3e5, chunking=plan), "score_mean", "score_peak", "density")
 
 
 # ---------------------------------------------------------------- patch graph
 
 _P = with_views("fx_patches")
-_KNN = _P + """, u AS (SELECT node, pr, pc, list_transform(x, lambda v: v / sqrt(list_sum(list_transform(x, lambda z: z * z)))) AS x FROM fx_patches),
-d AS (SELECT a.node AS src, b.node AS dst, 1 - list_inner_product(a.x, b.x) AS d FROM u a JOIN u b ON a.node <> b.node),
-r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(d, 9), dst) AS r FROM d), k AS (SELECT src, dst, d FROM r WHERE r <= 8)"""
+_KNN = _P + """, u AS (SELECT capture_id, node, pr, pc, list_transform(x, lambda v: v / sqrt(list_sum(list_transform(x, lambda z: z * z)))) AS x FROM fx_patches),
+d AS (SELECT a.capture_id, a.node AS src, b.node AS dst, 1 - list_inner_product(a.x, b.x) AS d FROM u a JOIN u b ON a.capture_id = b.capture_id AND a.node <> b.node),
+r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(d, 9), dst) AS r FROM d), k AS (SELECT capture_id, src, dst, d FROM r WHERE r <= 8)"""
 
 
 def _knn(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -576,14 +621,16 @@ def _knn(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return p, stored(gr.knn(p, ["capture_id"], 8), "knn")
 
 
-@query(_P + """, m AS (SELECT i, avg(x[i]) AS m, stddev_pop(x[i]) AS s FROM fx_patches, (SELECT unnest(range(1, 9)) AS i) GROUP BY 1)
-SELECT node, round(sum((x[i] - m) / (s + 1e-8)), 6) AS total FROM fx_patches JOIN m ON true GROUP BY 1""")
+@query(_P + """, m AS (SELECT capture_id, i, avg(x[i]) AS m, stddev_pop(x[i]) AS s FROM fx_patches, (SELECT unnest(range(1, 9)) AS i) GROUP BY 1, 2)
+SELECT node, round(sum((x[i] - m) / (s + 1e-8)), 6) AS total, round(max((x[i] - m) / (s + 1e-8)), 6) AS largest, round(sum(i * (x[i] - m) / (s + 1e-8)), 5) AS weighted FROM fx_patches JOIN m USING (capture_id) GROUP BY 1""")
 def i1_standardize(spark: SparkSession, sf: str) -> DataFrame:
     d = gr.standardize(fx.patches(spark, sf), ["capture_id"], dims=8)
-    return rounded(d.select("node", F.aggregate("x", F.lit(0.0), lambda s, v: s + v).alias("total")), "total")
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
+    d = d.select("node", total("x").alias("total"), F.array_max("x").alias("largest"), total(F.transform("x", lambda v, i: v * (i + 1))).alias("weighted"))
+    return rounded(rounded(d, "total", "largest"), "weighted", digits=5)
 
 
-@query(_P + """, m AS (SELECT i, avg(x[i]) AS m FROM fx_patches, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1), c AS (SELECT node, i, x[i] - m AS v FROM fx_patches JOIN m ON true), n AS (SELECT node, greatest(sqrt(sum(v * v)), 1e-6) AS n FROM c GROUP BY 1)
+@query(_P + """, m AS (SELECT capture_id, i, avg(x[i]) AS m FROM fx_patches, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2), c AS (SELECT node, i, x[i] - m AS v FROM fx_patches JOIN m USING (capture_id)), n AS (SELECT node, greatest(sqrt(sum(v * v)), 1e-6) AS n FROM c GROUP BY 1)
 SELECT node, round(max(v / n), 6) AS largest, round(sum(v / n), 5) AS total FROM c JOIN n USING (node) GROUP BY 1""")
 def i5_centre_normalize(spark: SparkSession, sf: str) -> DataFrame:
     d = gr.centre_and_normalize(fx.patches(spark, sf), ["capture_id"]).select("node", F.array_max("x").alias("largest"), F.aggregate("x", F.lit(0.0), lambda s, v: s + v).alias("total"))
@@ -595,7 +642,7 @@ def i6_knn(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_knn(spark, sf)[1].drop("capture_id"), "distance")
 
 
-_AFF = _KNN + ", s AS (SELECT greatest(quantile_cont(d, 0.5), 1e-3) AS s FROM k WHERE d > 0), w AS (SELECT src, dst, exp(-d*d / (2*s*s)) AS w FROM k, s), a AS (SELECT src, dst, max(w) AS w FROM (SELECT * FROM w UNION ALL SELECT dst, src, w FROM w) GROUP BY 1, 2)"
+_AFF = _KNN + ", s AS (SELECT capture_id, greatest(quantile_cont(d, 0.5), 1e-3) AS s FROM k WHERE d > 0 GROUP BY 1), w AS (SELECT src, dst, exp(-d*d / (2*s*s)) AS w FROM k JOIN s USING (capture_id)), a AS (SELECT src, dst, max(w) AS w FROM (SELECT * FROM w UNION ALL SELECT dst, src, w FROM w) GROUP BY 1, 2)"
 
 
 @query(_AFF + " SELECT src, dst, round(w, 6) AS weight FROM a")
@@ -604,12 +651,12 @@ def i7_affinity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(_AFF + """, r8 AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst DESC) AS r FROM a), t AS (SELECT src, dst, w FROM r8 WHERE r <= 8), m AS (SELECT t.* FROM t JOIN t u ON t.src = u.dst AND t.dst = u.src)
-SELECT src, dst, round(w, 6) AS weight FROM m WHERE w >= (SELECT quantile_cont(w, 0.4) FROM m)""")
+, c AS (SELECT src // 400 AS c, quantile_cont(w, 0.4) AS q FROM m GROUP BY 1) SELECT src, dst, round(w, 6) AS weight FROM m JOIN c ON c = src // 400 WHERE w >= q""")
 def i8_mutual_edges(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(gr.mutual_edges(gr.affinity(_knn(spark, sf)[1], ["capture_id"]), ["capture_id"]).drop("capture_id"), "weight")
 
 
-@query(_AFF + """, g AS (SELECT x.node AS src, y.node AS dst FROM u x JOIN u y ON x.node <> y.node AND abs(x.pr - y.pr) <= 1 AND abs(x.pc - y.pc) <= 1)
+@query(_AFF + """, g AS (SELECT x.node AS src, y.node AS dst FROM u x JOIN u y ON x.capture_id = y.capture_id AND x.node <> y.node AND abs(x.pr - y.pr) <= 1 AND abs(x.pc - y.pc) <= 1)
 SELECT src, dst, round(max(w), 6) AS weight FROM (SELECT src, dst, w FROM a WHERE w > 0.5 UNION ALL SELECT a.src, a.dst, 0.2 * w FROM a JOIN g ON g.src = a.src AND g.dst = a.dst) GROUP BY 1, 2""")
 def i9_shortcuts(spark: SparkSession, sf: str) -> DataFrame:
     p, knn = _knn(spark, sf)
@@ -632,11 +679,12 @@ def i11_grow_seeds(spark: SparkSession, sf: str) -> DataFrame:
     return gr.grow_seeds(gr.affinity_scores(a, p, ["capture_id"]), a, gr.grid_pairs(p, ["capture_id"]), ["capture_id"])
 
 
-@query(_P + """, c AS (SELECT node, x, label + x[1] AS cue FROM fx_patches), b AS (SELECT quantile_cont(cue, 0.2) AS a, quantile_cont(cue, 0.92) AS z FROM c),
-s AS (SELECT CASE WHEN cue <= a THEN 'noise' ELSE 'signal' END AS side, x FROM c, b WHERE cue <= a OR cue >= z) SELECT side, i - 1 AS ch, round(avg(x[i]), 6) AS mean, round(var_pop(x[i]) + 1e-3, 6) AS var FROM s, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2""")
+@query(_P + """, c AS (SELECT capture_id, node, x, label + x[1] AS cue FROM fx_patches), b0 AS (SELECT capture_id, quantile_cont(cue, [0.2, 0.92, 0.3, 0.85]) AS q FROM c GROUP BY 1),
+b AS (SELECT c.capture_id, CASE WHEN count(*) FILTER (cue <= q[1]) < 10 THEN any_value(q[3]) ELSE any_value(q[1]) END AS a, CASE WHEN count(*) FILTER (cue >= q[2]) < 10 THEN any_value(q[4]) ELSE any_value(q[2]) END AS z FROM c JOIN b0 USING (capture_id) GROUP BY 1),
+s AS (SELECT capture_id, 'noise' AS side, x FROM c JOIN b USING (capture_id) WHERE cue <= a UNION ALL SELECT capture_id, 'signal', x FROM c JOIN b USING (capture_id) WHERE cue >= z) SELECT capture_id, side, i - 1 AS ch, round(avg(x[i]), 6) AS mean, round(var_pop(x[i]) + 1e-3, 6) AS var FROM s, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2, 3""")
 def i22_prototypes(spark: SparkSession, sf: str) -> DataFrame:
     d = fx.patches(spark, sf).withColumn("cue", F.col("label") + F.col("x")[0])
-    return rounded(_long(gr.prototypes(d, "cue", ["capture_id"]).drop("capture_id"), "ch"), "mean", "var")
+    return rounded(_long(gr.prototypes(d, "cue", ["capture_id"]), "ch"), "mean", "var")
 
 
 @query()
@@ -645,7 +693,7 @@ def i23_prototype_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(gr.prototype_ratio(d, gr.prototypes(d, "cue", ["capture_id"]), ["capture_id"]), "ratio")
 
 
-@query(_KNN + """, s AS (SELECT greatest(quantile_cont(d, 0.5), 1e-6) AS s FROM k WHERE d > 0), w0 AS (SELECT src, dst, exp(-d*d / (2*s*s)) AS w FROM k, s), w AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS w FROM w0),
+@query(_KNN + """, s AS (SELECT capture_id, greatest(quantile_cont(d, 0.5), 1e-6) AS s FROM k WHERE d > 0 GROUP BY 1), w0 AS (SELECT src, dst, exp(-d*d / (2*s*s)) AS w FROM k JOIN s USING (capture_id)), w AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS w FROM w0),
 p0 AS (SELECT node, (node % 10) / 9.0::DOUBLE AS p FROM u), p1 AS (SELECT p0.node, 0.82 * sum(w * y.p) + 0.18 * any_value(p0.p) AS p FROM p0 JOIN w ON w.src = p0.node JOIN p0 y ON y.node = w.dst GROUP BY 1),
 p2 AS (SELECT p0.node, 0.82 * sum(w * y.p) + 0.18 * any_value(p0.p) AS p FROM p0 JOIN w ON w.src = p0.node JOIN p1 y ON y.node = w.dst GROUP BY 1) SELECT node, round(p, 6) AS p FROM p2""")
 def i27_propagate(spark: SparkSession, sf: str) -> DataFrame:
@@ -827,7 +875,7 @@ def p10_noisy_samples(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def n5_structure_coherence(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(sp.tile_coherence(fx.cells(spark, sf), group=("capture_id", "frame_id")).drop("frame_id"), "coherence")
+    return rounded(sp.tile_coherence(fx.cells(spark, sf), group=("capture_id", "frame_id")).drop("frame_id"), "coherence", "gate")
 
 
 @query()
@@ -851,17 +899,21 @@ def i28_mixture_threshold(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(C + """, x AS (SELECT capture_id, f, t, least(greatest(1 - power_db / 70, 0), 1) AS p FROM fx_cells), z AS (SELECT capture_id, quantile_cont(p, 0.25) AS q25, quantile_cont(p, 0.45) AS q45 FROM x GROUP BY 1),
-c AS (SELECT x.*, p <= least(0.99, least(0.4 + 0.015, q45)) AS weak, p <= greatest(0.01, least(0.4 - 0.04, q25)) AS m FROM x JOIN z USING (capture_id)),
-d1 AS (SELECT c.capture_id, c.f, c.t, c.weak, c.m OR (c.weak AND EXISTS (SELECT 1 FROM c n WHERE n.m AND n.capture_id = c.capture_id AND abs(n.f - c.f) + abs(n.t - c.t) = 1)) AS m FROM c)
-SELECT d.capture_id, d.f, d.t, d.m OR (d.weak AND EXISTS (SELECT 1 FROM d1 n WHERE n.m AND n.capture_id = d.capture_id AND abs(n.f - d.f) + abs(n.t - d.t) = 1)) AS signal FROM d1 d""")
+y AS (SELECT x.*, greatest(0.01, least(0.4 - 0.04, q25)) AS low, least(0.99, least(0.4 + 0.015, q45)) AS h0 FROM x JOIN z USING (capture_id)),
+c AS (SELECT capture_id, f, t, p < CASE WHEN h0 <= low THEN least(0.99, low + 0.03) ELSE h0 END AS weak, p < low AS m FROM y),
+d1 AS (SELECT c.capture_id, c.f, c.t, c.weak, c.weak AND EXISTS (SELECT 1 FROM c n WHERE n.m AND n.capture_id = c.capture_id AND n.f BETWEEN c.f - 1 AND c.f + 1 AND n.t BETWEEN c.t - 1 AND c.t + 1) AS m FROM c)
+SELECT d.capture_id, d.f, d.t, d.weak AND EXISTS (SELECT 1 FROM d1 n WHERE n.m AND n.capture_id = d.capture_id AND n.f BETWEEN d.f - 1 AND d.f + 1 AND n.t BETWEEN d.t - 1 AND d.t + 1) AS signal FROM d1 d""")
 def i30_hysteresis(spark: SparkSession, sf: str) -> DataFrame:
     d = _long(fx.cells(spark, sf), "f", "t").withColumn("p", F.least(F.greatest(1 - F.col("power_db") / 70, F.lit(0.0)), F.lit(1.0))).withColumn("tau", F.lit(0.4))
     return sg.hysteresis(d, "p", "tau", "signal").select(*KEY, "signal")
 
 
-@query(_KNN.replace("u AS (SELECT node,", "u AS (SELECT node, label,", 1) + ", m AS (SELECT src AS node, avg(d) AS m FROM k GROUP BY 1) SELECT node, round(1 / (1 + exp(-(m - avg(m) OVER ()) / (stddev_pop(m) OVER () + 1e-8))), 6) AS p FROM m")
+@query(_P + """, d AS (SELECT a.capture_id, a.node AS src, b.node AS dst, sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM fx_patches a JOIN fx_patches b ON a.capture_id = b.capture_id AND a.node <> b.node),
+r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(d, 9), dst) AS r FROM d), m AS (SELECT capture_id, src AS node, avg(d) AS m FROM r WHERE r <= 12 GROUP BY 1, 2)
+SELECT node, round(1 / (1 + exp(-(m - avg(m) OVER w) / (stddev_pop(m) OVER w + 1e-8))), 6) AS p FROM m WINDOW w AS (PARTITION BY capture_id)""")
 def i24_manifold_head(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(sg.manifold_head(_knn(spark, sf)[1], ("capture_id",)).drop("capture_id"), "p")
+    near = gr.knn(fx.patches(spark, sf), ["capture_id"], 12, "euclidean")
+    return rounded(sg.manifold_head(near, ("capture_id",)).drop("capture_id"), "p")
 
 
 @query(with_views("fx_frames") + ", a AS (SELECT channel, patch, avg(p) AS m FROM fx_frames GROUP BY 1, 2), h AS (SELECT *, -(greatest(m, 1e-6) * log2(greatest(m, 1e-6)) + greatest(1 - m, 1e-6) * log2(greatest(1 - m, 1e-6))) AS e FROM a) SELECT channel, patch, round((e - min(e) OVER w) / (max(e) OVER w - min(e) OVER w + 1e-8), 6) AS uncertainty FROM h WINDOW w AS (PARTITION BY channel)")
@@ -869,7 +921,7 @@ def i26_uncertainty(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(sg.uncertainty(fx.frames(spark, sf), "p", ("channel",), "patch"), "uncertainty")
 
 
-@query(with_views("fx_pred") + " SELECT true AS no_nan, true AS in_range, avg(CAST(gt AS INT) - CAST(pred AS INT)) > -0.08 AS gain_ok FROM fx_pred")
+@query(with_views("fx_pred") + " SELECT count(*) FILTER (pred IS NULL OR gt IS NULL OR isnan(CAST(pred AS DOUBLE))) = 0 AS no_nan, min(CAST(pred AS INT)) >= 0 AND max(CAST(pred AS INT)) <= 1 AND min(CAST(gt AS INT)) >= 0 AND max(CAST(gt AS INT)) <= 1 AS in_range, avg(CAST(gt AS INT) - CAST(pred AS INT)) > -0.08 AS gain_ok FROM fx_pred")
 def a16_sweep_checks(spark: SparkSession, sf: str) -> DataFrame:
     d = fx.predictions(spark, sf).withColumns({c: F.col(c).cast("double") for c in ("pred", "gt")})
     return me.sweep_checks(d, ["pred", "gt"], "gt", "pred")
@@ -900,8 +952,8 @@ def i19_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(fu.hybrid(d, {"power_db": 0.5, "b": 0.25, "c": 0.25}, "hybrid").select(*KEY, "hybrid"), "hybrid")
 
 
-@query(_P + """, c AS (SELECT node, -list_inner_product(x[1:32], x[33:64]) / (sqrt(list_inner_product(x[1:32], x[1:32])) * sqrt(list_inner_product(x[33:64], x[33:64]))) AS c FROM fx_patches)
-SELECT node, round(1 / (1 + exp(-(c - avg(c) OVER ()) / (stddev_pop(c) OVER () + 1e-8))), 6) AS agreement FROM c""")
+@query(_P + """, c AS (SELECT capture_id, node, -list_inner_product(x[1:32], x[33:64]) / (sqrt(list_inner_product(x[1:32], x[1:32])) * sqrt(list_inner_product(x[33:64], x[33:64]))) AS c FROM fx_patches)
+SELECT node, round(1 / (1 + exp(-(c - avg(c) OVER w) / (stddev_pop(c) OVER w + 1e-8))), 6) AS agreement FROM c WINDOW w AS (PARTITION BY capture_id)""")
 def i25_multiscale_agreement(spark: SparkSession, sf: str) -> DataFrame:
     d = fx.patches(spark, sf).withColumn("a", F.slice("x", 1, 32)).withColumn("b", F.slice("x", 33, 32))
     return rounded(fu.multiscale_agreement(d, "a", "b", "agreement", ["capture_id"]).select("node", "agreement"), "agreement")
@@ -940,13 +992,12 @@ def a14_agreement_with_clean(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(a.join(b, "capture_id"), "iou_vs_clean", "fg_frac")
 
 
-@query(_P + """, g AS (SELECT max(pr) + 1 AS n FROM fx_patches), u AS (SELECT node, pr, pc, x, sqrt(list_inner_product(x, x)) AS l FROM fx_patches),
-c AS (SELECT a.node, avg(list_inner_product(a.x, b.x) / (a.l * b.l)) AS c FROM u a, g, (SELECT unnest([0, 0, 1, -1]) AS dr, unnest([1, -1, 0, 0]) AS dc), u b WHERE b.pr = (a.pr + dr + n) % n AND b.pc = (a.pc + dc + 20) % 20 GROUP BY 1)
-SELECT node, round((c - min(c) OVER ()) / (max(c) OVER () - min(c) OVER () + 1e-8), 6) AS coherence FROM c""")
+@query(_P + """, u AS (SELECT capture_id, node, pr, pc, x, sqrt(list_inner_product(x, x)) AS l FROM fx_patches),
+c AS (SELECT a.capture_id, a.node, avg(list_inner_product(a.x, b.x) / (a.l * b.l)) AS c FROM u a, (SELECT unnest([0, 0, 1, -1]) AS dr, unnest([1, -1, 0, 0]) AS dc), u b WHERE b.capture_id = a.capture_id AND b.pr = (a.pr + dr + 20) % 20 AND b.pc = (a.pc + dc + 20) % 20 GROUP BY 1, 2)
+SELECT node, round((c - min(c) OVER w) / (max(c) OVER w - min(c) OVER w + 1e-8), 6) AS coherence FROM c WINDOW w AS (PARTITION BY capture_id)""")
 def n16_neighbour_cosine(spark: SparkSession, sf: str) -> DataFrame:
     p = gr.unit_vectors(fx.patches(spark, sf).drop("label"))
-    rows = p.agg(F.max("pr")).first()[0] + 1
-    near = wn.wrapped_neighbours(p, "x", rows, 20, [(0, 1), (0, -1), (1, 0), (-1, 0)], ["capture_id"], "pr", "pc")
+    near = wn.wrapped_neighbours(p, "x", 20, 20, [(0, 1), (0, -1), (1, 0), (-1, 0)], ["capture_id"], "pr", "pc")
     d = near.groupBy("capture_id", "node").agg(F.avg(gr.dot(F.col("x"), F.col("neighbour"))).alias("c"))
     return rounded(q.minmax(d, "c", "coherence", ["capture_id"]).select("node", "coherence"), "coherence")
 

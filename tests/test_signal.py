@@ -1,5 +1,6 @@
 import itertools
 import json
+import math
 
 import numpy as np
 import pytest
@@ -145,11 +146,133 @@ def test_spectrogram_finds_a_tone(spark):
     assert set(out.loc[out.groupby("seg").power_db.idxmax(), "f"]) == {32 + 8}
 
 
-def test_structure_coherence_prefers_lines():
-    x = np.random.default_rng(5).normal(0, 0.3, (40, 60))
-    x[18:21] += 6
-    c = arrays.structure_coherence(x, (0.8, 1.6, 3.2))
-    assert c[17:22].mean() > 2 * c[:10].mean() and 0 <= c.min() and c.max() <= 1
+def test_structure_gate_against_its_definition():
+    """The tensor of the background residual, stated by direct sums over clipped neighbours."""
+    x = np.random.default_rng(5).normal(0, 0.3, (26, 31))
+    x[11:14] += 6
+
+    def at(z, df, dt):
+        f, t = np.clip(np.arange(z.shape[0]) + df, 0, z.shape[0] - 1), np.clip(np.arange(z.shape[1]) + dt, 0, z.shape[1] - 1)
+        return z[f][:, t]
+
+    def blur(z, sigma, of=0, ot=0):
+        r = int(4 * sigma + 0.5)
+        w = {d: math.exp(-d * d / (2 * sigma * sigma)) for d in range(-r, r + 1)}
+        total = sum(w.values())
+        first = {d: v / total * d / sigma**2 for d, v in w.items()}
+        plain = {d: v / total for d, v in w.items()}
+        z = sum(v * at(z, d, 0) for d, v in (first if of else plain).items())
+        return sum(v * at(z, 0, d) for d, v in (first if ot else plain).items())
+
+    def scaled(z, lo, hi):
+        a, b = np.percentile(z, [lo, hi])
+        return np.clip((z - a) / (b - a if b > a else 1e-6), 0, 1)
+
+    mean = sum(at(x, a, b) for a in range(-4, 5) for b in range(-4, 5)) / 81
+    r = scaled(np.maximum(x - mean, 0), 5, 99)
+    coherences, gates = [], []
+    for sigma in (0.8, 1.6):
+        gf, gt, k = blur(r, sigma, of=1), blur(r, sigma, ot=1), max(1.0, 1.8 * sigma)
+        a, b, c = blur(gf * gf, k), blur(gf * gt, k), blur(gt * gt, k)
+        roots = np.linalg.eigvalsh(np.stack([np.stack([a, b], -1), np.stack([b, c], -1)], -2))
+        coherences.append(scaled((roots[..., 1] - roots[..., 0]) / np.maximum(roots.sum(-1), 1e-6), 5, 99))
+        gates.append(coherences[-1] * np.sqrt(scaled(roots.sum(-1), 5, 99)))
+    got = arrays.structure_gate(x, (0.8, 1.6))
+    assert np.allclose(got[0], np.max(coherences, 0), atol=1e-6) and np.allclose(got[1], scaled(np.max(gates, 0), 5, 99), atol=1e-6)
+
+
+def votes(m):
+    p = np.pad(m.astype(int), 1, mode="edge")
+    return sum(p[a : a + m.shape[0], b : b + m.shape[1]] for a in range(3) for b in range(3)) >= 5
+
+
+def test_smoothing_votes_again_on_small_parts(spark):
+    mask = np.random.default_rng(12).random((20, 22)) < 0.5
+    want = votes(mask)
+    parts, n = label(want)
+    small = np.isin(parts, [i for i in range(1, n + 1) if (parts == i).sum() < 6])
+    assert small.any()
+    want = np.where(small, votes(want), want)
+    assert (arrays.smooth_mask(mask, 1, 6) == want).all()
+    assert (back(cp.smooth_labels(grid(spark, mask, "m"), "m", "k", 1, 6), "k", mask.shape).astype(bool) == want).all()
+    got, count = arrays.label_mask(mask)
+    own, parts = label(mask)
+    assert count == parts and len({(a, b) for a, b in zip(got.ravel(), own.ravel(), strict=True)}) == parts + 1
+
+
+def plain_split(m, min_f, min_t):
+    """[(role, cells)] of one component, one column after the other."""
+    whole = [("unsplit", m)]
+    cols = [t for t in range(m.shape[1]) if m[:, t].any()]
+    span = {t: np.ptp(np.flatnonzero(m[:, t])) + 1 for t in cols}
+    if len(cols) < max(6, 2 * min_t):
+        return whole
+    usual = np.quantile(list(span.values()), 0.35)
+    wide = max(math.ceil(1.8 * usual), math.ceil(usual + max(4, 0.5 * min_f)), min_f)
+    if wide >= np.ptp(np.flatnonzero(m.any(1))) + 1:
+        return whole
+    runs, quiet = [], [t for t in cols if span[t] < wide]
+    for t in cols:
+        if span[t] >= wide:
+            if runs and runs[-1][1] == t:
+                runs[-1][1] = t + 1
+            else:
+                runs.append([t, t + 1])
+    runs = [r for r in runs if min_t <= r[1] - r[0] < max(int(0.7 * len(cols)), min_t + 1)]
+    hits = m[:, quiet].sum(1) >= max(2, math.ceil(0.45 * len(quiet)))
+    rows = [list(g) for k, g in itertools.groupby(range(len(hits)), lambda f: hits[f]) if k]
+    if not runs or len(quiet) < max(4, 2 * min_t) or not rows:
+        return whole
+    best = max(rows, key=len)
+    carrier = np.zeros_like(m)
+    carrier[best] = m[best]
+    if len(best) < max(2, math.floor(usual)) or len(best) >= wide or carrier.sum() < max(2, 2 * min_t):
+        return whole
+    out = [("persistent_carrier", carrier)]
+    for a, b in runs:
+        burst = np.zeros_like(m)
+        burst[:, a:b] = m[:, a:b]
+        out.append(("transient_wideband_burst", burst))
+    return out
+
+
+def test_splits_match_a_plain_version(spark):
+    rng = np.random.default_rng(9)
+    seen = set()
+    for case in range(6):
+        mask = np.zeros((50, 36), bool)
+        mask[20 : 20 + (6, 1, 30, 6, 6, 14)[case], 2 : (34, 34, 34, 34, 7, 34)[case]] = True
+        for a in ((18, 25), (18,), (18,), (10,), (3,), (12, 20, 28))[case]:
+            mask[5:46, a : a + (2, 2, 2, 28, 2, 3)[case]] = True
+        mask &= rng.random(mask.shape) < 0.97
+        parts, n = label(mask)
+        want = sorted((role, int(m.sum()), int((np.argwhere(m) @ [100, 1]).sum())) for i in range(1, n + 1) for role, m in plain_split(parts == i, 12, 1))
+        d = cp.split_components(cp.component_cells(cp.connected_components(grid(spark, mask, "m"), "m")))
+        got = d.groupBy("component", "part", "split_role").agg(F.count("*").alias("n"), F.sum(F.col("f") * 100 + F.col("t")).alias("s")).collect()
+        assert sorted((r.split_role, r.n, r.s) for r in got) == want
+        seen |= {w[0] for w in want}
+    assert len(seen) == 3
+
+
+@pytest.mark.parametrize("scene", ["carrier", "burst", "both"])
+def test_whole_band_boxes_of_made_scenes(spark, scene):
+    from skywave.config import Chunking, Grouping
+    from skywave.plans.detect import coherent_power_boxes
+
+    x = np.random.default_rng(4).normal(0, 1, (64, 60))
+    if scene != "burst":
+        x[28:36] += 25
+    if scene != "carrier":
+        x[8:56, 30:34] += 25
+    axis = spark.createDataFrame([("c", f, 1e8 + f * 1e5) for f in range(64)], "capture_id string, f int, freq_hz double")
+    settings = Grouping(bridge_f=5, bridge_t=3, min_size=24, min_f=4, min_t=2, min_density=0.06)
+    got = coherent_power_boxes(grid(spark, x), axis, sideband_hz=0.0, chunking=Chunking(bandwidth_hz=4.0e6, overlap_hz=1.0e6, min_rows=16), grouping=settings).collect()
+    assert got and {r.origin for r in got} <= {"overlap", "regrouped", "seeds"}
+    assert all(0 <= r.freq_start < r.freq_stop <= 64 and 0 <= r.time_start < r.time_stop <= 60 for r in got)
+    hit = np.zeros((64, 60), bool)
+    for r in got:
+        hit[r.freq_start : r.freq_stop, r.time_start : r.time_stop] = True
+    assert (x > 12)[hit].any()
 
 
 def test_chunk_plan_covers_valid_rows(spark):
