@@ -110,13 +110,48 @@ def mixture_threshold(p: np.ndarray, rounds: int = 60) -> tuple[float, float, fl
     return (float(mean.mean()) if ok else np.nan), float(gap), spread, float(separation)
 
 
+def position_basis(pr: np.ndarray, pc: np.ndarray, rows: int, cols: int) -> np.ndarray:
+    """Sixteen columns of the grid position, each axis scaled to -1..1; the first is constant."""
+    r, c, pi = 2 * pr / max(rows - 1, 1) - 1, 2 * pc / max(cols - 1, 1) - 1, np.pi
+    # fixed values: the basis decides what counts as a trend of the position
+    plain = [np.ones_like(r), r, c, r**2, c**2, r * c]
+    waves = [np.sin(pi * r), np.sin(pi * c), np.cos(pi * r), np.cos(pi * c), np.sin(2 * pi * r), np.sin(2 * pi * c), np.cos(2 * pi * r), np.cos(2 * pi * c)]
+    return np.stack([*plain, *waves, np.sin(pi * r) * np.cos(pi * c), np.cos(pi * r) * np.sin(pi * c)], 1)
+
+
 def ridge_detrend(x: np.ndarray, pr: np.ndarray, pc: np.ndarray, rows: int, cols: int, ridge: float = 1e-3) -> np.ndarray:
-    """Features less their ridge fit on a 16-column polynomial and wave basis of the grid position."""
-    r, c = 2 * pr / max(rows - 1, 1) - 1, 2 * pc / max(cols - 1, 1) - 1
-    b = np.stack([np.ones_like(r), r, c, r * c, r**2, c**2, r**2 * c, r * c**2, r**3, c**3, np.sin(np.pi * r), np.cos(np.pi * r), np.sin(np.pi * c), np.cos(np.pi * c), np.sin(np.pi * (r + c)), np.cos(np.pi * (r - c))], 1)
+    """Features less their ridge fit on the basis of the grid position."""
+    b = position_basis(pr, pc, rows, cols)
     return x - b @ np.linalg.solve(b.T @ b + ridge * np.eye(16), b.T @ x)
 
 
+def principal_scores(x: np.ndarray, most: int = 12) -> np.ndarray:
+    """Scores on the leading principal axes, at most `most`, one fewer than rows, and as many as columns; signs are arbitrary."""
+    d = min(most, x.shape[1], x.shape[0] - 1)
+    if d < 1:
+        return x
+    u, s, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    return (u * s)[:, :d]
+
+
+def drop_position_components(x: np.ndarray, basis: np.ndarray, limit: float = 0.30) -> np.ndarray:
+    """Features rebuilt from the principal components whose correlation with every column of the basis is under the limit;
+    where none is, from the least correlated one. The result is centred."""
+    if min(x.shape) <= 1:
+        return x
+    u, s, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    b = basis - basis.mean(0)
+    norm = np.linalg.norm(b, axis=0)
+    b = b[:, norm >= 1e-8] / norm[norm >= 1e-8]
+    y = u * s - (u * s).mean(0)
+    size = np.linalg.norm(y, axis=0)
+    seen = np.where(size < 1e-8, 0.0, np.abs(b.T @ (y / np.maximum(size, 1e-8))).max(0)) if b.shape[1] else np.zeros(len(s))
+    keep = seen < limit
+    if not keep.any():
+        keep[np.argmin(seen)] = True
+    return (u * s * keep) @ vt
+
+
 def box(x: np.ndarray, rows: int, cols: int) -> np.ndarray:
     """Mean over an odd box, edge values repeated."""
     return convolve(convolve(x, np.full(rows, 1 / rows), 0), np.full(cols, 1 / cols), 1)

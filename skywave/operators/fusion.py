@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skywave.config import Grouping
 from skywave.functions.quantiles import GROUP, above_quantile, normalize_local, with_scalars
-from skywave.kernels.arrays import ridge_detrend
+from skywave.kernels.arrays import drop_position_components, position_basis, principal_scores, ridge_detrend
 from skywave.operators.components import component_cells, component_table, connected_components, fill_holes, mark, remove_small
 from skywave.operators.graph import dot
 from skywave.operators.windows import closing, opening
@@ -35,17 +35,42 @@ def multiscale_agreement(df: DataFrame, a: str, b: str, out: str, group: Sequenc
     return d.withColumn(out, 1 / (1 + F.exp(-(F.col("_c") - F.col("_mean")) / (F.col("_spread") + 1e-8)))).drop("_c", "_mean", "_spread")
 
 
-def detrend_position(patches: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Features less their ridge fit on the grid position; one frame's grid is one group."""
+def _frames(patches: DataFrame, group: Sequence[str], change) -> DataFrame:
+    """The patches with x changed by change(x, pr, pc, rows, cols), a frame's grid at a time."""
     types = {f.name: f.dataType.simpleString() for f in patches.schema}
 
-    def fit(p: pd.DataFrame) -> pd.DataFrame:
+    def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("node")
-        x = ridge_detrend(np.stack(p["x"].to_numpy()), p["pr"].to_numpy(float), p["pc"].to_numpy(float), int(p["pr"].max()) + 1, int(p["pc"].max()) + 1)
+        x = change(np.stack(p["x"].to_numpy()), p["pr"].to_numpy(float), p["pc"].to_numpy(float), int(p["pr"].max()) + 1, int(p["pc"].max()) + 1)
         return p.assign(x=list(x))
 
     cols = [*group, "node", "pr", "pc", "x"]
-    return patches.select(*cols).groupBy(*group).applyInPandas(fit, ", ".join(f"{c} {types[c]}" for c in cols))
+    return patches.select(*cols).where("x is not null").groupBy(*group).applyInPandas(run, ", ".join(f"{c} {types[c]}" for c in cols))
+
+
+def detrend_position(patches: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Features less their ridge fit on the grid position; one frame's grid is one group. Patches without features go."""
+    return _frames(patches, group, ridge_detrend)
+
+
+def principal_features(patches: DataFrame, group: Sequence[str], most: int = 12) -> DataFrame:
+    """Features as scores on the frame's leading principal axes (signs are arbitrary); one frame's grid is one group."""
+    return _frames(patches, group, lambda x, pr, pc, rows, cols: principal_scores(x, most))
+
+
+def drop_position(patches: DataFrame, group: Sequence[str], limit: float = 0.30) -> DataFrame:
+    """Features without the principal components that follow the grid position; one frame's grid is one group."""
+    return _frames(patches, group, lambda x, pr, pc, rows, cols: drop_position_components(x, position_basis(pr, pc, rows, cols)[:, 1:], limit))
+
+
+def content_features(patches: DataFrame, group: Sequence[str], most: int = 12, limit: float = 0.30) -> DataFrame:
+    """principal_features, detrend_position and drop_position in one task for each frame."""
+
+    def change(x: np.ndarray, pr: np.ndarray, pc: np.ndarray, rows: int, cols: int) -> np.ndarray:
+        flat = ridge_detrend(principal_scores(x, most), pr, pc, rows, cols)
+        return drop_position_components(flat, position_basis(pr, pc, rows, cols)[:, 1:], limit)
+
+    return _frames(patches, group, change)
 
 
 def clean_mask(df: DataFrame, mask: str, out: str, cells: int, conservative: bool = False, group: Sequence[str] = GROUP) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -201,6 +202,30 @@ def propagate(p: DataFrame, edges: DataFrame, group: Sequence[str], alpha: float
     return now
 
 
+def propagate_in_frames(p: DataFrame, edges: DataFrame, group: Sequence[str], alpha: float = 0.82, rounds: int = 20) -> DataFrame:
+    """propagate() for many rounds: a frame's patches and edges (k a patch) meet in one task, so the rounds cost one shuffle."""
+
+    def run(now: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        if now.empty:
+            return now
+        start = now["p"].to_numpy(float)
+        if near.empty:
+            return now
+        at = pd.Index(now["node"])
+        i, j, d = at.get_indexer(near["src"]), at.get_indexer(near["dst"]), near["distance"].to_numpy(float)
+        s = np.median(d[d > 0]) if (d > 0).any() else 1.0
+        w = np.exp(-(d**2) / (2 * s * s + 1e-8))
+        w = w / (np.bincount(i, w, len(start))[i] + 1e-8)
+        x = start
+        for _ in range(rounds):
+            x = np.clip(alpha * np.bincount(i, w * x[j], len(start)) + (1 - alpha) * start, 0.0, 1.0)
+        return now.assign(p=x)
+
+    cols = [*group, "node", "p"]
+    types = {f.name: f.dataType.simpleString() for f in p.schema}
+    return p.select(*cols).groupBy(*group).cogroup(edges.groupBy(*group)).applyInPandas(run, ", ".join(f"{c} {types[c]}" for c in cols))
+
+
 def prototypes(patches: DataFrame, cue: str, group: Sequence[str]) -> DataFrame:
     """(group, side, ch, mean, var): channel statistics of the patches of low (noise) and high (signal) cue.
 
@@ -220,8 +245,8 @@ def prototype_ratio(patches: DataFrame, protos: DataFrame, group: Sequence[str])
     It is higher where a patch is nearer to the signal prototype.
     """
     long = patches.select(*group, "node", F.posexplode("x").alias("ch", "v")).join(protos, [*group, "ch"])
-    dist = long.groupBy(*group, "node", "side").agg(F.sum((F.col("v") - F.col("mean")) * (F.col("v") - F.col("mean")) / F.col("var")).alias("d"))
-    r = dist.groupBy(*group, "node").agg((F.log(F.max(F.when(F.col("side") == "noise", F.col("d"))) + 1e-8) - F.log(F.max(F.when(F.col("side") == "signal", F.col("d"))) + 1e-8)).alias("r"))
+    dist = long.groupBy(*group, "node", "side").agg(F.sum((F.col("v") - F.col("mean")) * (F.col("v") - F.col("mean")) / (F.col("var") + 1e-8)).alias("d"))
+    r = dist.groupBy(*group, "node").agg((F.log(F.max(F.when(F.col("side") == "noise", F.col("d"))) + 1e-6) - F.log(F.max(F.when(F.col("side") == "signal", F.col("d"))) + 1e-6)).alias("r"))
     r = with_scalars(r, group, _mean=F.avg("r"), _spread=F.stddev_pop("r"))
     z = (F.col("r") - F.col("_mean")) / (F.col("_spread") + 1e-8)
     return r.withColumn("ratio", 1 / (1 + F.exp(-z))).select(*group, "node", "ratio")

@@ -25,3 +25,35 @@ def nearest_resize(df: DataFrame, column: str, rows: int, cols: int, out_rows: i
 
     r, c = index(rows, out_rows, "pr", "_f"), index(cols, out_cols, "pc", "_t")
     return df.join(F.broadcast(r), F.col("f") == F.col("_f")).join(F.broadcast(c), F.col("t") == F.col("_t")).select(*group, "pr", "pc", F.col(column).alias("value"))
+
+
+def zoom(df: DataFrame, column: str, rows: int, cols: int, out_rows: int, out_cols: int, group: Sequence[str] = ("capture_id", "frame_id")) -> DataFrame:
+    """(group, pr, pc, value): linear between the nearest cells of each axis, grid corners aligned, no averaging."""
+    spark = df.sparkSession
+
+    def parts(n: int, p: int, name: str, source: str, weight: str) -> DataFrame:
+        at = F.col("id") * (n - 1) / max(p - 1, 1)
+        ends = F.array_distinct(F.array(F.floor(at), F.least(F.floor(at) + 1, F.lit(n - 1))))
+        d = spark.range(p).select(F.col("id").cast("int").alias(name), F.explode(ends).alias("_end"), at.alias("_at"))
+        return d.select(name, F.col("_end").cast("int").alias(source), (1 - F.abs(F.col("_at") - F.col("_end"))).alias(weight))
+
+    r, c = parts(rows, out_rows, "pr", "_f", "_wf"), parts(cols, out_cols, "pc", "_t", "_wt")  # at most two rows for each row and column of the result
+    d = df.join(F.broadcast(r), F.col("f") == F.col("_f")).join(F.broadcast(c), F.col("t") == F.col("_t"))
+    return d.groupBy(*group, "pr", "pc").agg(F.sum(F.col("_wf") * F.col("_wt") * F.col(column)).alias("value"))
+
+
+def spread_rows(df: DataFrame, profile: DataFrame, column: str, group: Sequence[str] = ("capture_id",)) -> DataFrame:
+    """The cells with the value that profile(group, f, column) gives their row, numbers and masks alike; null where it gives none."""
+    p = profile.select(*[F.col(g).alias(f"_{g}") for g in group], F.col("f").alias("_f"), F.col(column))
+    on = df["f"] == F.col("_f")
+    for g in group:
+        on = on & (df[g] == F.col(f"_{g}"))
+    return df.join(p, on, "left").drop("_f", *[f"_{g}" for g in group])
+
+
+def patch_pixels(df: DataFrame, column: str, rows: int, cols: int, ph: int, pw: int, group: Sequence[str] = ("capture_id", "frame_id")) -> DataFrame:
+    """(group, node, pr, pc, x): the cells of each patch as one vector, row by row; what is left over at the ends is cut off."""
+    bh, bw = max(1, rows // ph), max(1, cols // pw)
+    d = df.where((F.col("f") < bh * ph) & (F.col("t") < bw * pw)).withColumn("pr", F.floor(F.col("f") / bh).cast("int")).withColumn("pc", F.floor(F.col("t") / bw).cast("int"))
+    d = d.groupBy(*group, "pr", "pc").agg(F.array_sort(F.collect_list(F.struct("f", "t", F.col(column).cast("double").alias("v")))).alias("_cells"))
+    return d.select(*group, (F.col("pr") * pw + F.col("pc")).cast("long").alias("node"), "pr", "pc", F.col("_cells.v").alias("x"))

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skywave.functions.quantiles import GROUP, with_scalars
+from skywave.functions.quantiles import GROUP, minmax, with_scalars
 from skywave.kernels.arrays import mixture_threshold
-from skywave.operators.windows import dilate
+from skywave.operators.components import component_cells, component_table, connected_components
+from skywave.operators.graph import dot, unit_vectors
+from skywave.operators.patches import zoom
+from skywave.operators.windows import convolve_axis, dilate, gaussian_kernel, gaussian_smooth, sobel_magnitude, wrapped_neighbours
 
 
 def mixture_thresholds(df: DataFrame, group: Sequence[str] = GROUP, column: str = "p") -> DataFrame:
@@ -54,3 +57,68 @@ def uncertainty(df: DataFrame, column: str, group: Sequence[str], key: str) -> D
     w = Window.partitionBy(*group)
     m = m.withColumn("e", -(h(F.col("m")) + h(1 - F.col("m"))))
     return m.select(*group, key, ((F.col("e") - F.min("e").over(w)) / (F.max("e").over(w) - F.min("e").over(w) + 1e-8)).alias("uncertainty"))
+
+
+def cell_cues(df: DataFrame, rows: int, cols: int, ph: int, pw: int, column: str = "power_db", group: Sequence[str] = GROUP) -> DataFrame:
+    """(group, pr, pc, residual, gradient): how far power stands over its row's smoothed floor, and how steep it is, on
+    patches, each min-max scaled."""
+    floors = df.groupBy(*group, "f").agg(F.percentile(column, F.lit(0.20)).alias("_q"))
+    floors = convolve_axis(floors, "_q", "_floor", "f", gaussian_kernel(1.0), "mirror", group, line_key=()).select(*[F.col(g).alias(f"_{g}") for g in group], F.col("f").alias("_row"), "_floor")
+    on = df["f"] == F.col("_row")
+    for g in group:
+        on = on & (df[g] == F.col(f"_{g}"))
+    d = df.join(floors, on).select(*group, "f", "t", F.col(column).alias("_power"), (F.col(column) - F.col("_floor")).alias("_over"))
+    over = minmax(zoom(d, "_over", rows, cols, ph, pw, group), "value", "residual", group).drop("value")
+    power = minmax(zoom(d, "_power", rows, cols, ph, pw, group), "value", "_p", group).select(*group, F.col("pr").alias("f"), F.col("pc").alias("t"), "_p")
+    steep = minmax(sobel_magnitude(power, "_p", "_g", group), "_g", "gradient", group).select(*group, F.col("f").alias("pr"), F.col("t").alias("pc"), "gradient")
+    return over.join(steep, [*group, "pr", "pc"])
+
+
+def feature_cues(patches: DataFrame, edges: DataFrame, rows: int, cols: int, group: Sequence[str]) -> DataFrame:
+    """(group, node, density, coherence): how close the nearest features are, and how alike those of the four sides (the
+    grid wraps around), each min-max scaled. A patch without neighbours has density 0."""
+    dense = edges.groupBy(*group, F.col("src").alias("node")).agg((1 / (F.avg("distance") + 1e-8)).alias("_d"))
+    near = wrapped_neighbours(unit_vectors(patches.select(*group, "node", "pr", "pc", "x")), "x", rows, cols, [(0, 1), (0, -1), (1, 0), (-1, 0)], group, "pr", "pc")
+    alike = near.groupBy(*group, "node").agg(F.avg(dot(F.col("x"), F.col("neighbour"))).alias("_c"))
+    d = patches.select(*group, "node").join(dense, [*group, "node"], "left").join(alike, [*group, "node"], "left")
+    d = minmax(minmax(d, "_d", "density", group), "_c", "coherence", group)
+    return d.select(*group, "node", F.coalesce("density", F.lit(0.0)).alias("density"), F.coalesce("coherence", F.lit(0.0)).alias("coherence"))
+
+
+def signal_prior(df: DataFrame, residual: str, coherence: str, incoherent: str, out: str, group: Sequence[str] = GROUP) -> DataFrame:
+    """What speaks for a signal: .50 residual, .30 alike features, .20 steady neighbourhood, scaled to 0..1."""
+    d = minmax(minmax(df, residual, "_r", group), coherence, "_c", group)
+    d = d.withColumn("_mix", 0.50 * F.col("_r") + 0.30 * F.col("_c") + 0.20 * (1 - F.col(incoherent)))
+    return minmax(d, "_mix", out, group).drop("_r", "_c", "_mix")
+
+
+def refine(df: DataFrame, column: str, incoherent: str, prior: str, out: str, group: Sequence[str] = GROUP) -> DataFrame:
+    """A noise probability raised where neighbours disagree and lowered where the prior speaks for a signal, smoothed."""
+    d = df.withColumn("_raised", F.col(column) + 0.11 * F.col(incoherent) - 0.18 * F.col(prior))
+    d = gaussian_smooth(d, "_raised", "_smooth", 0.55, group)
+    return d.withColumn(out, F.least(F.greatest(F.col("_smooth"), F.lit(0.0)), F.lit(1.0))).drop("_raised", "_smooth")
+
+
+def least_spans(sample_rate_hz: float, hop: int, cols: int, ph: int, pw: int, duration_us: float, bandwidth_khz: float) -> tuple[int, int]:
+    """(rows, columns) of patches that a signal of the least bandwidth and duration covers; cols are the frame's columns of hop samples."""
+    seconds, hertz = max(cols * max(hop, 1) / sample_rate_hz / pw, 1e-9), max(sample_rate_hz / ph, 1e-6)
+    return max(1, -int(-bandwidth_khz * 1e3 // hertz)), max(1, -int(-duration_us * 1e-6 // seconds))
+
+
+def persistence_filter(df: DataFrame, mask: str, column: str, min_f: int, min_t: int, boost: float = 0.20, group: Sequence[str] = GROUP) -> DataFrame:
+    """The mask without parts that are too narrow, too short or too small; there the noise probability rises by `boost`."""
+    cells = component_cells(connected_components(df, mask, False, group), group)
+    table = component_table(cells, group=group)
+    small = (F.col("freq_span") < min_f) | (F.col("time_span") < min_t) | (F.col("filled_area") < max(4, int(0.22 * min_f * min_t)))
+    gone = cells.join(table.where(small).select(*group, "component"), [*group, "component"], "left_semi")
+    gone = gone.select(*group, "f", "t", F.lit(True).alias("_gone"))
+    d = df.join(gone, [*group, "f", "t"], "left").withColumn("_gone", F.coalesce("_gone", F.lit(False)))
+    raised = F.least(F.greatest(F.col(column) + boost, F.lit(0.0)), F.lit(1.0))
+    return d.withColumn(column, F.when(F.col("_gone"), raised).otherwise(F.col(column))).withColumn(mask, F.col(mask) & ~F.col("_gone")).drop("_gone")
+
+
+def coverage_guard(df: DataFrame, mask: str, column: str, group: Sequence[str] = GROUP) -> DataFrame:
+    """A mask over more than 55 % of a group whose mean noise probability is over .56 is dropped; `guarded` tells so."""
+    d = with_scalars(df, group, _share=F.avg(F.col(mask).cast("double")), _mean=F.avg(column))
+    d = d.withColumn("guarded", (F.col("_share") > 0.55) & (F.col("_mean") > 0.56))
+    return d.withColumn(mask, F.col(mask) & ~F.col("guarded")).drop("_share", "_mean")

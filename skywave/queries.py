@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,12 +22,14 @@ from skywave.operators import graph as gr
 from skywave.operators import merge as mg
 from skywave.operators import metrics as me
 from skywave.operators import patches as pt
+from skywave.operators import regions as rg
 from skywave.operators import segment as sg
 from skywave.operators import spectra as sp
+from skywave.operators import texture as tx
 from skywave.operators import truth as tr
 from skywave.operators import windows as wn
-from skywave.plans import detect
-from skywave.sources.tables import stored
+from skywave.plans import detect, noise
+from skywave.sources.tables import read_metrics, shared_dir, stored, write_metrics, write_run
 from skywave.streaming import frames as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1011,3 +1014,232 @@ def i20_power_prior(spark: SparkSession, sf: str) -> DataFrame:
 @query(ORACLE_SQL["j6_annotation_mask"].replace("SELECT DISTINCT capture_id, f, t FROM b", "SELECT DISTINCT capture_id, f * 10 // 64 AS pr, t * 9 // 48 AS pc FROM b").replace("f * 10 // 64", "CAST(floor((f + 0.5) * 10 / 64) AS BIGINT)").replace("t * 9 // 48", "CAST(floor((t + 0.5) * 9 / 48) AS BIGINT)"))
 def j7_annotation_patches(spark: SparkSession, sf: str) -> DataFrame:
     return _long(tr.patch_mask(j6_annotation_mask(spark, sf), fx.ROWS, fx.COLS, 10, 9).drop("coverage"), "pr", "pc")
+
+
+# ---------------------------------------------------------------- bands, texture, regions, noise probability
+
+_UNIT = "least(greatest(power_db / 70, 0), 1)"
+
+
+def _unit_cells(spark: SparkSession, sf: str) -> DataFrame:
+    d = _long(fx.cells(spark, sf), "f", "t")
+    return d.withColumn("score", F.least(F.greatest(F.col("power_db") / 70, F.lit(0.0)), F.lit(1.0))).withColumn("reliability", F.length("capture_id") % 5 / 5)
+
+
+@query(C + f""", x AS (SELECT capture_id, f, t, {_UNIT} AS s, length(capture_id) % 5 / 5.0 AS r FROM fx_cells), c AS (SELECT *, 0.44 + 0.12 * r AS a, 0.24 + 0.10 * r AS b, 0.10 + 0.08 * r AS d FROM x)
+SELECT capture_id, f, t, s >= a AS strong, s >= b AND s < least(1, a + least(greatest(0.15 * (a - b), 0.012), 0.035)) AS mid, s >= d AND s < least(1, b + least(greatest(0.15 * (b - d), 0.012), 0.030)) AS low FROM c""")
+def f9_score_bands(spark: SparkSession, sf: str) -> DataFrame:
+    return tx.score_bands(_unit_cells(spark, sf), "score", "reliability").select(*KEY, "strong", "mid", "low")
+
+
+@query(C + ", p AS (SELECT capture_id, f, avg(power_db) AS a FROM fx_cells WHERE f >= 4 GROUP BY 1, 2) SELECT c.capture_id, c.f, c.t, round(a, 6) AS profile FROM fx_cells c LEFT JOIN p ON p.capture_id = c.capture_id AND p.f = c.f")
+def p18_spread_rows(spark: SparkSession, sf: str) -> DataFrame:
+    d = _long(fx.cells(spark, sf), "f", "t")
+    profile = d.where("f >= 4").groupBy("capture_id", "f").agg(F.avg("power_db").alias("profile"))
+    return rounded(pt.spread_rows(d, profile, "profile").select(*KEY, "profile"), "profile")
+
+
+_ZOOM = """zf AS (SELECT p AS pr, i AS f, sum(w) AS wf FROM (SELECT p, unnest([floor(p * 63 / 15.0), floor(p * 63 / 15.0) + 1]) AS i, unnest([1 - (p * 63 / 15.0 - floor(p * 63 / 15.0)), p * 63 / 15.0 - floor(p * 63 / 15.0)]) AS w FROM (SELECT unnest(range(16)) AS p)) GROUP BY 1, 2),
+zt AS (SELECT p AS pc, i AS t, sum(w) AS wt FROM (SELECT p, unnest([floor(p * 47 / 11.0), floor(p * 47 / 11.0) + 1]) AS i, unnest([1 - (p * 47 / 11.0 - floor(p * 47 / 11.0)), p * 47 / 11.0 - floor(p * 47 / 11.0)]) AS w FROM (SELECT unnest(range(12)) AS p)) GROUP BY 1, 2)"""
+
+
+@query(C + ", " + _ZOOM + " SELECT capture_id, pr, pc, round(sum(wf * wt * power_db), 6) AS value FROM fx_cells JOIN zf USING (f) JOIN zt USING (t) GROUP BY 1, 2, 3")
+def p13_zoom(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_long(pt.zoom(fx.cells(spark, sf), "power_db", fx.ROWS, fx.COLS, 16, 12).drop("frame_id"), "pr", "pc"), "value")
+
+
+@query(C + """, v AS (SELECT capture_id, f // 8 * 6 + t // 8 AS node, list(power_db ORDER BY f, t) AS x FROM fx_cells GROUP BY 1, 2), m AS (SELECT *, list_avg(x) AS m FROM v), z AS (SELECT capture_id, node, list_transform(x, lambda e: e - m) AS x FROM m), u AS (SELECT *, sqrt(list_inner_product(x, x)) AS l FROM z),
+d AS (SELECT a.capture_id, a.node, b.node AS other, 1 - CASE WHEN a.l * b.l > 0 THEN list_inner_product(a.x, b.x) / (a.l * b.l) ELSE 0 END AS d FROM u a JOIN u b ON a.capture_id = b.capture_id AND a.node <> b.node), r AS (SELECT *, row_number() OVER (PARTITION BY capture_id, node ORDER BY round(d, 9), other) AS r FROM d)
+SELECT capture_id, node, round(-avg(d), 6) AS recurrence FROM r WHERE r <= 6 GROUP BY 1, 2""")
+def i15_texture_recurrence(spark: SparkSession, sf: str) -> DataFrame:
+    p = pt.patch_pixels(fx.cells(spark, sf), "power_db", fx.ROWS, fx.COLS, 8, 6)
+    return rounded(tx.texture_recurrence(p, ["capture_id", "frame_id"]).drop("frame_id"), "recurrence")
+
+
+@query(_COMP + ", z AS (SELECT capture_id, component, sum(b - a) AS n FROM k GROUP BY 1, 2) SELECT capture_id, round(coalesce(sum(n) FILTER (n >= 6) / CAST(sum(n) AS DOUBLE), 0), 6) AS speckle FROM (SELECT DISTINCT capture_id FROM fx_cells) LEFT JOIN z USING (capture_id) GROUP BY 1")
+def i16_speckle(spark: SparkSession, sf: str) -> DataFrame:
+    d = fx.cells(spark, sf).withColumn("m", F.col("power_db") > 52)
+    return rounded(tx.speckle(d, "m", F.lit(6)).drop("frame_id"), "speckle")
+
+
+def _texture_cells(spark: SparkSession, sf: str) -> DataFrame:
+    d = _unit_cells(spark, sf).withColumn("agreement", F.least(F.col("score") * (0.6 + F.col("t") % 5 / 8), F.lit(1.0)))
+    return stored(d.withColumn("texture", F.least(F.col("score") * (0.5 + F.col("f") % 7 / 10), F.lit(1.0))), "texture")
+
+
+@query()
+def i16_texture_reliability(spark: SparkSession, sf: str) -> DataFrame:
+    d = tx.texture_reliability(_texture_cells(spark, sf), "texture", "agreement").drop("frame_id")
+    return rounded(d, "reliability", "peakiness", "speckle", "support", "overlap")
+
+
+@query()
+def i17_texture_passthrough(spark: SparkSession, sf: str) -> DataFrame:
+    d = tx.texture_passthrough(_texture_cells(spark, sf), "agreement", reliability="reliability").drop("frame_id")
+    return rounded(d, "speckle", "peak", "clean_score", "passthrough")
+
+
+@query()
+def i18_banded_fusion(spark: SparkSession, sf: str) -> DataFrame:
+    d = tx.banded_fusion(_texture_cells(spark, sf), "score", "agreement", "texture", "reliability", "fused")
+    return rounded(d.select(*KEY, "fused"), "fused")
+
+
+@query()
+def i33_rescore_with_texture(spark: SparkSession, sf: str) -> DataFrame:
+    d = _texture_cells(spark, sf).withColumns({"power": F.col("score"), "gate": F.col("agreement"), "support": F.col("agreement"), "strict": F.col("score") * F.col("agreement")})
+    return rounded(tx.rescore_with_texture(d).select(*KEY, "rescored", "rescored_mask"), "rescored")
+
+
+def _seeded_patches(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.patches(spark, sf).drop("label").withColumn("seed", F.col("x")[1])
+
+
+@query(_AFF + """, c AS (SELECT capture_id, node, pr, pc, pr // 5 * 10 + pc // 5 AS c, x[1] AS s, x[2] AS z FROM fx_patches),
+n AS (SELECT capture_id, c, count(*) AS n, avg(s) AS sm, quantile_cont(s, 0.9) AS sp, avg(z) AS zm FROM c GROUP BY 1, 2), g AS (SELECT capture_id, count(*) AS total, max(pr) + 1 AS h, max(pc) + 1 AS v FROM c GROUP BY 1),
+i AS (SELECT x.capture_id, x.c, sum(w) AS w FROM a JOIN c x ON x.node = a.src JOIN c y ON y.node = a.dst WHERE x.c = y.c GROUP BY 1, 2),
+o AS (SELECT x.capture_id, x.c, avg(coalesce(w, 0)) AS b, count(*) FILTER (x.pc = y.pc) AS up, count(*) FILTER (x.pr = y.pr) AS side FROM c x JOIN c y ON y.capture_id = x.capture_id AND abs(x.pr - y.pr) <= 1 AND abs(x.pc - y.pc) <= 1 AND x.c <> y.c LEFT JOIN a ON a.src = x.node AND a.dst = y.node GROUP BY 1, 2),
+st AS (SELECT n.capture_id, n.c, n.n / CAST(total AS DOUBLE) AS share, sm, sp, zm, CASE WHEN n.n > 1 THEN coalesce(i.w, 0) / (n.n * (n.n - 1)) ELSE 0 END AS iw, coalesce(b, 0) AS b,
+  1 - 0.5 * (CASE WHEN h > 1 THEN coalesce(up, 0) / CAST((h - 1) * v AS DOUBLE) ELSE 0 END + CASE WHEN v > 1 THEN coalesce(side, 0) / CAST((v - 1) * h AS DOUBLE) ELSE 0 END) AS smooth FROM n JOIN g USING (capture_id) LEFT JOIN i ON i.capture_id = n.capture_id AND i.c = n.c LEFT JOIN o ON o.capture_id = n.capture_id AND o.c = n.c),
+v AS (SELECT capture_id, c, share, unnest([sm, sp, iw, iw - b, zm, smooth]) AS x, unnest([1, 2, 3, 4, 5, 6]) AS j, unnest([0.35, 0.20, 0.20, 0.15, 0.05, 0.05]) AS weight FROM st),
+y AS (SELECT capture_id, c, share, weight * CASE WHEN max(x) OVER q <= min(x) OVER q + 1e-8 THEN 1 ELSE (x - min(x) OVER q) / (max(x) OVER q - min(x) OVER q) END AS part FROM v WINDOW q AS (PARTITION BY capture_id, j)),
+k2 AS (SELECT capture_id, c, sum(part) - 0.10 * least(greatest((any_value(share) - 0.30) / 0.20, 0), 1) AS score FROM y GROUP BY 1, 2)
+SELECT st.capture_id, st.c AS component, round(share, 6) AS share, round(sm, 6) AS support_mean, round(sp, 6) AS support_peak, round(iw, 6) AS internal, round(b, 6) AS boundary, round(zm, 6) AS seed_mean, round(smooth, 6) AS smoothness, round(score, 6) AS score FROM st JOIN k2 ON k2.capture_id = st.capture_id AND k2.c = st.c""")
+def i12_component_summary(spark: SparkSession, sf: str) -> DataFrame:
+    p = _seeded_patches(spark, sf)
+    parts = p.select("capture_id", "node", F.expr("CAST(pr div 5 * 10 + pc div 5 AS BIGINT)").alias("component"))
+    edges = stored(gr.affinity(_knn(spark, sf)[1], ["capture_id"]), "affinity")
+    d = rg.component_summary(parts, edges, p.select("capture_id", "node", F.col("x")[0].alias("score")), p, ["capture_id"])
+    return rounded(d, "share", "support_mean", "support_peak", "internal", "boundary", "seed_mean", "smoothness", "score")
+
+
+@query()
+def i13_region_mask(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(rg.region_mask(_seeded_patches(spark, sf), ["capture_id"]), "score", digits=5)
+
+
+@query()
+def i14_simple_region_mask(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(rg.simple_region_mask(_seeded_patches(spark, sf), ["capture_id"]), "score", digits=5)
+
+
+@query()
+def i2_principal_features(spark: SparkSession, sf: str) -> DataFrame:
+    d = fu.principal_features(fx.patches(spark, sf).drop("label"), ["capture_id"])
+    return rounded(d.select("node", F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v).alias("length")), "length")
+
+
+@query()
+def i4_drop_position(spark: SparkSession, sf: str) -> DataFrame:
+    d = fu.drop_position(fx.patches(spark, sf).drop("label"), ["capture_id"])
+    return rounded(d.select("node", F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v).alias("length")), "length")
+
+
+_MM = "({0} - min({0}) OVER w) / (max({0}) OVER w - min({0}) OVER w + 1e-8)"
+
+
+@query(C + ", " + _ZOOM + """, r AS (SELECT capture_id, f, quantile_cont(power_db, 0.2) AS q FROM fx_cells GROUP BY 1, 2), k AS (SELECT d, exp(-d * d / 2.0) / sum(exp(-d * d / 2.0)) OVER () AS g FROM (SELECT unnest(range(-4, 5)) AS d)),
+fl AS (SELECT r.capture_id, r.f, sum(g * n.q) AS fl FROM r, k, r n WHERE n.capture_id = r.capture_id AND n.f = CASE WHEN r.f + d < 0 THEN -1 - (r.f + d) WHEN r.f + d > 63 THEN 127 - (r.f + d) ELSE r.f + d END GROUP BY 1, 2),
+z AS (SELECT c.capture_id, pr, pc, sum(wf * wt * (power_db - fl)) AS o, sum(wf * wt * power_db) AS p FROM fx_cells c JOIN fl ON fl.capture_id = c.capture_id AND fl.f = c.f JOIN zf ON zf.f = c.f JOIN zt ON zt.t = c.t GROUP BY 1, 2, 3),
+u AS (SELECT capture_id, pr, pc, """ + _MM.format("o") + " AS residual, " + _MM.format("p") + """ AS p FROM z WINDOW w AS (PARTITION BY capture_id)),
+x AS (SELECT u.capture_id, u.pr, u.pc, any_value(u.residual) AS residual, sum(n.p * k.a * k.b) AS gx, sum(n.p * k.b2 * k.a2) AS gy FROM u, (SELECT i, j, j AS a, 2 - abs(i) AS b, i AS a2, 2 - abs(j) AS b2 FROM (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)) k, u n
+  WHERE n.capture_id = u.capture_id AND n.pr = least(greatest(u.pr + i, 0), 15) AND n.pc = least(greatest(u.pc + j, 0), 11) GROUP BY 1, 2, 3), s AS (SELECT capture_id, pr, pc, residual, sqrt(gx * gx + gy * gy) AS g FROM x)
+SELECT capture_id, pr, pc, round(residual, 6) AS residual, round(""" + _MM.format("g") + ", 6) AS gradient FROM s WINDOW w AS (PARTITION BY capture_id)")
+def i21_cell_cues(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_long(sg.cell_cues(fx.cells(spark, sf), fx.ROWS, fx.COLS, 16, 12).drop("frame_id"), "pr", "pc"), "residual", "gradient")
+
+
+@query(_P + """, d AS (SELECT a.capture_id, a.node AS src, b.node AS dst, sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM fx_patches a JOIN fx_patches b ON a.capture_id = b.capture_id AND a.node <> b.node),
+r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(d, 9), dst) AS r FROM d), m AS (SELECT capture_id, src AS node, 1 / (avg(d) + 1e-8) AS m FROM r WHERE r <= 12 GROUP BY 1, 2), u AS (SELECT capture_id, node, pr, pc, x, sqrt(list_inner_product(x, x)) AS l FROM fx_patches),
+c AS (SELECT a.capture_id, a.node, avg(list_inner_product(a.x, b.x) / (a.l * b.l)) AS c FROM u a, (SELECT unnest([0, 0, 1, -1]) AS dr, unnest([1, -1, 0, 0]) AS dc), u b WHERE b.capture_id = a.capture_id AND b.pr = (a.pr + dr + 20) % 20 AND b.pc = (a.pc + dc + 20) % 20 GROUP BY 1, 2)
+SELECT node, round(""" + _MM.format("m") + ", 6) AS density, round(" + _MM.format("c") + ", 6) AS coherence FROM m JOIN c USING (capture_id, node) WINDOW w AS (PARTITION BY capture_id)")
+def i21_feature_cues(spark: SparkSession, sf: str) -> DataFrame:
+    p = fx.patches(spark, sf).drop("label")
+    return rounded(sg.feature_cues(p, gr.knn(p, ["capture_id"], 12, "euclidean"), 20, 20, ["capture_id"]).drop("capture_id"), "density", "coherence")
+
+
+@query(C + ", x AS (SELECT capture_id, f, t, power_db AS r, -abs(f - 20.0) AS c, t % 7 / 6.0 AS i FROM fx_cells), y AS (SELECT capture_id, f, t, 0.5 * " + _MM.format("r") + " + 0.3 * " + _MM.format("c") + " + 0.2 * (1 - i) AS m FROM x WINDOW w AS (PARTITION BY capture_id)) SELECT capture_id, f, t, round(" + _MM.format("m") + ", 6) AS prior FROM y WINDOW w AS (PARTITION BY capture_id)")
+def i29_signal_prior(spark: SparkSession, sf: str) -> DataFrame:
+    d = _long(fx.cells(spark, sf), "f", "t").withColumn("c", -F.abs(F.col("f") - 20.0)).withColumn("i", F.col("t") % 7 / 6)
+    return rounded(sg.signal_prior(d, "power_db", "c", "i", "prior").select(*KEY, "prior"), "prior")
+
+
+@query(C + f""", x AS (SELECT capture_id, f, t, 1 - {_UNIT} + 0.11 * (t % 7) / 6.0 - 0.18 * (f % 5) / 4.0 AS p FROM fx_cells), k AS (SELECT d, exp(-d * d / (2 * 0.55 * 0.55)) / sum(exp(-d * d / (2 * 0.55 * 0.55))) OVER () AS g FROM (SELECT unnest(range(-2, 3)) AS d)),
+y AS (SELECT x.capture_id, x.f, x.t, sum(g * n.p) AS p FROM x, k, x n WHERE n.capture_id = x.capture_id AND n.t = x.t AND n.f = CASE WHEN x.f + d < 0 THEN -1 - (x.f + d) WHEN x.f + d > 63 THEN 127 - (x.f + d) ELSE x.f + d END GROUP BY 1, 2, 3)
+SELECT y.capture_id, y.f, y.t, round(least(greatest(sum(g * n.p), 0), 1), 6) AS p FROM y, k, y n WHERE n.capture_id = y.capture_id AND n.f = y.f AND n.t = CASE WHEN y.t + d < 0 THEN -1 - (y.t + d) WHEN y.t + d > 47 THEN 95 - (y.t + d) ELSE y.t + d END GROUP BY 1, 2, 3""")
+def i29_refine(spark: SparkSession, sf: str) -> DataFrame:
+    d = _unit_cells(spark, sf).withColumns({"p": 1 - F.col("score"), "i": F.col("t") % 7 / 6, "prior": F.col("f") % 5 / 4})
+    return rounded(sg.refine(d, "p", "i", "prior", "p").select(*KEY, "p"), "p")
+
+
+@query(_COMP + f""", c AS (SELECT k.capture_id, component, max(k.f) - min(k.f) + 1 AS fs, max(b) - min(a) AS ts, sum(b - a) AS n FROM k GROUP BY 1, 2), g AS (SELECT k.capture_id, k.f, k.a, k.b, fs < 3 OR ts < 4 OR n < 4 AS gone FROM k JOIN c ON c.capture_id = k.capture_id AND c.component = k.component),
+x AS (SELECT c.capture_id, c.f, c.t, 1 - {_UNIT} AS p, g.gone FROM fx_cells c LEFT JOIN g ON g.capture_id = c.capture_id AND g.f = c.f AND c.t >= g.a AND c.t < g.b), y AS (SELECT capture_id, f, t, CASE WHEN gone THEN least(p + 0.2, 1) ELSE p END AS p, gone IS NOT NULL AND NOT gone AS m FROM x),
+z AS (SELECT *, avg(CAST(m AS INT)) OVER w > 0.55 AND avg(p) OVER w > 0.56 AS guarded FROM y WINDOW w AS (PARTITION BY capture_id)) SELECT capture_id, f, t, round(p, 6) AS p, m AND NOT guarded AS signal, guarded FROM z""")
+def i31_persistence(spark: SparkSession, sf: str) -> DataFrame:
+    d = _unit_cells(spark, sf).withColumns({"p": 1 - F.col("score"), "signal": F.col("power_db") > 52})
+    d = sg.coverage_guard(sg.persistence_filter(d, "signal", "p", 3, 4), "signal", "p")
+    return rounded(d.select(*KEY, "p", "signal", "guarded"), "p")
+
+
+def _cue_patches(spark: SparkSession, sf: str) -> DataFrame:
+    d = fx.patches(spark, sf).withColumns({"_r": F.col("label") + F.col("x")[0], "_g": F.col("x")[2], "x_smooth": F.transform("x", lambda v, i: v * (1 + 0.1 * F.sin(i)))})
+    return q.minmax(q.minmax(d, "_r", "residual", ["capture_id"]), "_g", "gradient", ["capture_id"]).drop("_r", "_g", "label")
+
+
+@query()
+def i32_detect_baseline(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(noise.detect_baseline(_cue_patches(spark, sf), 20, 20, ["capture_id"]), "p")
+
+
+@query()
+def i32_detect_refined(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(noise.detect_refined(_cue_patches(spark, sf), 20, 20, ["capture_id"], spans=(2, 2)), "p", "tau")
+
+
+# ---------------------------------------------------------------- affinity scores and grown regions; tables of a run
+
+_SCORED = ORACLE_SQL["i10_return_probabilities"].split("SELECT d2.node, round")[0] + """, gp AS (SELECT x.capture_id, x.node AS src, y.node AS dst FROM u x JOIN u y ON x.capture_id = y.capture_id AND x.node <> y.node AND abs(x.pr - y.pr) <= 1 AND abs(x.pc - y.pc) <= 1),
+nr AS (SELECT gp.src AS node, avg(coalesce(w, 0)) AS v FROM gp LEFT JOIN a ON a.src = gp.src AND a.dst = gp.dst GROUP BY 1), al AS (SELECT u.capture_id, u.node, coalesce(dg.v, 0) AS a, d2.v AS b, d3.v AS c, coalesce(nr.v, 0) AS e FROM u LEFT JOIN dg USING (node) JOIN d2 USING (node) JOIN d3 USING (node) LEFT JOIN nr USING (node)),
+mx AS (SELECT capture_id, node, """ + " + ".join(f"{w} * ({c} - min({c}) OVER w) / greatest(max({c}) OVER w - min({c}) OVER w, 1e-8)" for c, w in {"a": 0.35, "b": 0.30, "c": 0.20, "e": 0.15}.items()) + """ AS x FROM al WINDOW w AS (PARTITION BY capture_id)),
+mq AS (SELECT capture_id, quantile_cont(x, 0.05) AS lo, quantile_cont(x, 0.95) AS hi FROM mx GROUP BY 1), sc AS (SELECT capture_id, node, least(greatest((x - lo) / (hi - lo), 0), 1) AS score FROM mx JOIN mq USING (capture_id))"""
+
+
+@query(_SCORED + " SELECT node, round(score, 6) AS score FROM sc")
+def i10_affinity_scores(spark: SparkSession, sf: str) -> DataFrame:
+    p, knn = _knn(spark, sf)
+    return rounded(gr.affinity_scores(stored(gr.affinity(knn, ["capture_id"]), "affinity"), p, ["capture_id"]).select("node", "score"), "score")
+
+
+@query(_AFF.replace("WITH ", "WITH RECURSIVE ", 1) + """, f AS (SELECT capture_id, node, pr, pc, x[1] AS s FROM fx_patches), fq AS (SELECT capture_id, quantile_cont(s, 0.72) AS hi, quantile_cont(s, 0.58) AS lo FROM f GROUP BY 1),
+aq AS (SELECT y.capture_id, quantile_cont(w, 0.55) AS q FROM a JOIN f y ON y.node = a.src WHERE w > 0 GROUP BY 1), gp AS (SELECT x.capture_id, x.node AS src, y.node AS dst FROM f x JOIN f y ON x.capture_id = y.capture_id AND x.node <> y.node AND abs(x.pr - y.pr) <= 1 AND abs(x.pc - y.pc) <= 1),
+sg AS (SELECT gp.* FROM gp JOIN a ON a.src = gp.src AND a.dst = gp.dst JOIN aq ON aq.capture_id = gp.capture_id WHERE w >= q), g0 AS (SELECT f.capture_id, node FROM f JOIN fq USING (capture_id) WHERE s >= hi), el AS (SELECT node FROM f JOIN fq USING (capture_id) WHERE s >= lo),
+g1 AS (SELECT * FROM g0 UNION SELECT sg.capture_id, sg.dst FROM sg JOIN g0 ON g0.node = sg.src WHERE sg.dst IN (SELECT node FROM el)), g2 AS (SELECT * FROM g1 UNION SELECT sg.capture_id, sg.dst FROM sg JOIN g1 ON g1.node = sg.src WHERE sg.dst IN (SELECT node FROM el)),
+ln AS (SELECT gp.src, gp.dst FROM gp WHERE gp.src IN (SELECT node FROM g2) AND gp.dst IN (SELECT node FROM g2)), rw AS (SELECT node, node AS o FROM g2 UNION SELECT rw.node, ln.dst FROM rw JOIN ln ON ln.src = rw.o)
+SELECT node, min(o) AS region FROM rw GROUP BY 1""")
+def i11_region_components(spark: SparkSession, sf: str) -> DataFrame:
+    p, knn = _knn(spark, sf)
+    grown = gr.grow_seeds(p.select("capture_id", "node", F.col("x")[0].alias("score")), stored(gr.affinity(knn, ["capture_id"]), "affinity"), gr.grid_pairs(p, ["capture_id"]), ["capture_id"])
+    parts = rg.region_components(stored(grown, "grown"), p, ["capture_id"])
+    return parts.select("node", F.min("node").over(Window.partitionBy("capture_id", "component")).alias("region"))
+
+
+def _new_folder(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@query(with_views("fx_pred") + " SELECT CASE WHEN snr_db > 20 THEN NULL ELSE CAST(snr_db AS DOUBLE) END AS snr_db, round(avg(CAST(pred = gt AS INT)), 6) AS agreement, CASE WHEN snr_db < 0 THEN CAST('nan' AS DOUBLE) ELSE 0.5 END AS iou, count(*) AS n FROM fx_pred GROUP BY fx_pred.snr_db")
+def s9_metric_tables(spark: SparkSession, sf: str) -> DataFrame:
+    d = fx.predictions(spark, sf).groupBy("snr_db").agg(F.avg((F.col("pred") == F.col("gt")).cast("double")).alias("agreement"), F.count("*").alias("n"))
+    d = d.select(F.expr("CASE WHEN snr_db <= 20 THEN CAST(snr_db AS DOUBLE) END AS snr_db"), F.round("agreement", 6).alias("agreement"), F.expr("CASE WHEN snr_db < 0 THEN double('nan') ELSE 0.5D END AS iou"), "n")
+    path = _new_folder(spark, "metrics")
+    write_metrics(d, path)
+    return read_metrics(spark, path, "snr_db double, agreement double, iou double, n long")
+
+
+@query(with_views("fx_boxes") + " SELECT capture_id, box_id, freq_start, freq_stop, time_start, time_stop, split_role FROM fx_boxes")
+def s10_run_tables(spark: SparkSession, sf: str) -> DataFrame:
+    d = fx.boxes(spark, sf).select("capture_id", "box_id", "freq_start", "freq_stop", "time_start", "time_stop", "split_role")
+    root = _new_folder(spark, "run")
+    write_run({"boxes": d}, root)
+    write_run({"boxes": d.where("capture_id < 10")}, root)  # captures that are written again replace themselves
+    return spark.read.schema(d.schema).parquet(f"{root}/boxes")
