@@ -270,16 +270,24 @@ def _score(model: Hmm):
     return run
 
 
-def starting_model(docs: list[np.ndarray], classes: int, states: int = STATES, rounds: int = 8, seed: int = 1) -> Hmm:
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A document's classes, each once, and how often it holds them: at most a number for each class, however long the text."""
+    for batch in batches:
+        found = [np.unique(read_classes(b), return_counts=True) for b in batch.column("classes").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([c.tolist() for c, _ in found], pa.list_(pa.int32())), pa.array([n.tolist() for _, n in found], pa.list_(pa.int64()))], names=["cls", "times"])
+
+
+def starting_model(docs: list[tuple[np.ndarray, np.ndarray]], classes: int, states: int = STATES, rounds: int = 8, seed: int = 1) -> Hmm:
     """States from a spherical k-means over a few documents' class frequencies, which tend to stay as they are."""
     rng = np.random.default_rng(seed)
     emit = np.full((states, classes), 1.0 / classes)
     share = np.full(states, 1.0 / states)
-    docs = [d for d in docs if len(d) > 1]
+    docs = [(c, n) for c, n in docs if n.sum() > 1]
     if len(docs) >= states:
-        x = np.zeros((len(docs), classes), np.float32)
-        for i, d in enumerate(docs):
-            x[i] = np.sqrt(np.bincount(d, minlength=classes))
+        counts = np.zeros((len(docs), classes), np.float32)
+        for i, (c, n) in enumerate(docs):
+            counts[i, c] = n
+        x = np.sqrt(counts)
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
         centre = unit[rng.integers(len(docs))][None]
         while len(centre) < states:  # the documents least like the centres so far
@@ -292,7 +300,7 @@ def starting_model(docs: list[np.ndarray], classes: int, states: int = STATES, r
                     centre[s] = unit[near == s].mean(0)
                     centre[s] /= np.linalg.norm(centre[s])
         for s in range(states):
-            n = sum((np.bincount(docs[i], minlength=classes) for i in np.flatnonzero(near == s)), np.zeros(classes))
+            n = counts[near == s].sum(0, dtype=float)
             emit[s] = (n + 0.1) / (n.sum() + 0.1 * classes)
             share[s] = (near == s).mean() + 0.01
     move = np.full((states, states), 0.03 / max(1, states - 1))
@@ -322,7 +330,14 @@ def hmm_scores(
 
     vocabulary = counted.where("first and c > 0")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    single = vocabulary.where(F.col("word") != END).orderBy(F.col("c").desc(), "word").limit(top_words).select("word").collect()
+    # words by the eighth of a power of two that their count lies in, so that the sort sees the most frequent ones only
+    step = F.floor(8 * F.log2("c"))
+    level, above = 0, 0
+    for r in vocabulary.where(F.col("word") != END).groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.col("step").desc()).collect():
+        level, above = r["step"], above + r["n"]
+        if above >= top_words:
+            break
+    single = vocabulary.where(F.col("word") != END).where(step >= level).orderBy(F.col("c").desc(), "word").limit(top_words).select("word").collect()
     ranks = df.sparkSession.createDataFrame([(END, 0), *((r["word"], i + 1) for i, r in enumerate(single))], "tw string, rank int")
     singles = len(single) + 1
     # at most top_words rows
@@ -334,10 +349,13 @@ def hmm_scores(
 
     back = classed.select(F.col("block").alias("eblock"), "number", "c", "cls")
     coded = stored(numbered.groupBy("block").cogroup(back.groupBy("eblock")).applyInArrow(_class_block(int(total), int(distinct), class_tokens, class_words, singles), _CODED), "hmm-coded")
-    training = coded.where("train")
-    # the same documents in the same order however the rows are dealt
-    some = training.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "classes").limit(start_docs).select("classes").collect()
-    model = starting_model([read_classes(bytes(r["classes"])) for r in some], classes, states)
+    # The same documents in the same order however the rows are dealt. A limit after a sort sends that many rows of every task,
+    # so a share of the rows, four times what is wanted, is taken first.
+    share = min(1.0, 4 * start_docs / max(1, int(class_tokens[0])))  # every training text has one end
+    mark = F.xxhash64("doc_id", "classes", F.lit(5))
+    some = coded.where("train").where(F.pmod(mark, F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).orderBy(mark, "doc_id", "classes").limit(start_docs)
+    some = some.select("classes").mapInArrow(_frequencies, "cls array<int>, times array<long>").collect()
+    model = starting_model([(np.array(r["cls"], np.int64), np.array(r["times"], np.int64)) for r in some], classes, states)
     for _ in range(passes):
         model = baum_welch_pass(coded, model)
     scored = coded.mapInArrow(_score(model), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
