@@ -49,3 +49,14 @@ class CoherentPower:
     scales: tuple[float, ...] = (0.8, 1.6, 3.2)
     min_component: int = 6
     seed_quantile: float = 0.72
+
+
+@dataclass(frozen=True)
+class PatchFusion:
+    """Patch scores fused with power inside a sub-band."""
+
+    power_gain: float = 0.25
+    companion_floor: float = 0.30
+    support_quantile: float = 0.70
+    score_quantile: float = 0.85
+    min_component: int = 6

@@ -143,12 +143,21 @@ def top_mean(df: DataFrame, column: str, share: float = 0.02, least: int = 4, gr
 
 
 def sparse_evidence(df: DataFrame, strict: str, support: Column, group: Sequence[str] = GROUP) -> DataFrame:
-    """(group, evidence quantiles, top mean) of a score over the supported rows, over all rows where none is supported."""
-    d = with_scalars(df.withColumn("_sup", support), group, _any=F.max("_sup")).where("_sup or not _any")
-    q = d.groupBy(*group).agg(F.percentile(strict, F.array(F.lit(0.50), F.lit(0.85), F.lit(0.97))).alias("q"))
-    top = top_mean(d, strict, group=group).select(*[F.col(g).alias(f"_{g}") for g in group], "top_mean")
-    j = q.join(top, _all([q[g].eqNullSafe(F.col(f"_{g}")) for g in group]))
-    return j.select(*group, F.col("q")[0].alias("q50"), F.col("q")[1].alias("q85"), F.col("q")[2].alias("q97"), "top_mean", F.least(F.greatest(F.col("top_mean") - F.col("q")[0], F.lit(0.05)), F.lit(1.0)).alias("contrast"))
+    """(group, q50, q85, q97, top_mean, support_fraction, weight): how much a few high scores stand out of the supported rows.
+
+    All rows count as supported where none is. The weight is .60 of the 97 % quantile's rise over the 85 % one and .40 of the
+    top mean's, in units of .12, held back where less than 3 % is supported; 0 without finite scores, .05 at the least.
+    """
+    d = df.withColumn("_sup", support).withColumn("_x", finite(F.col(strict)))
+    d = with_scalars(d, group, _any=F.max("_sup"), _share=F.avg(F.col("_sup").cast("double"))).where("_sup or not _any")
+    q = d.groupBy(*group).agg(F.percentile("_x", F.array(F.lit(0.50), F.lit(0.85), F.lit(0.97))).alias("q"), F.max(F.when(F.col("_any"), F.col("_share")).otherwise(F.lit(1.0))).alias("_f"), F.count("_x").alias("_n"))
+    top = top_mean(d.where("_x is not null"), "_x", group=group).select(*[F.col(g).alias(f"_{g}") for g in group], "top_mean")
+    j = q.join(top, _all([q[g].eqNullSafe(F.col(f"_{g}")) for g in group]), "left")
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    j = j.select(*group, *[zero(F.col("q")[i]).alias(n) for i, n in enumerate(("q50", "q85", "q97"))], zero(F.col("top_mean")).alias("top_mean"), F.when(F.col("_n") > 0, F.col("_f")).otherwise(F.lit(0.0)).alias("support_fraction"), "_n")
+    rise = 0.60 * F.greatest(F.col("q97") - F.col("q85"), F.lit(0.0)) + 0.40 * F.greatest(F.col("top_mean") - F.col("q85"), F.lit(0.0))
+    weight = F.least(rise / 0.12, F.lit(1.0)) * (0.25 + 0.75 * F.least(F.sqrt(F.col("support_fraction") / 0.03), F.lit(1.0)))
+    return j.withColumn("weight", F.when(F.col("_n") > 0, F.greatest(weight, F.lit(0.05))).otherwise(F.lit(0.0))).drop("_n")
 
 
 def top_groups(df: DataFrame, column: str, key: str, k: int, group: Sequence[str] = GROUP) -> DataFrame:

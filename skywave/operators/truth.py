@@ -38,11 +38,15 @@ def centre_in_force(annotations: DataFrame, tunes: DataFrame) -> DataFrame:
 
 
 def recentre_edges(boxes: DataFrame, axis: DataFrame) -> DataFrame:
-    """Boxes whose edges lie on another scale than the axis (the 95 % quantile of their size is beyond twice its span) moved by the axis centre."""
+    """Boxes given as offsets moved by the axis centre, captures with an absolute axis only.
+
+    An axis is absolute where its centre lies beyond ten times its span (1 Hz at the least) and ten times the edges' scale
+    (the 95 % quantile of their size), and that scale is below twice the span. Captures without edges or axis stay as they are.
+    """
     edges = boxes.select("capture_id", F.explode(F.array("f0", "f1")).alias("e")).groupBy(F.col("capture_id").alias("_c")).agg(F.percentile(F.abs("e"), F.lit(0.95)).alias("p95"))
-    spans = axis.groupBy(F.col("capture_id").alias("_a")).agg((F.max("freq_hz") - F.min("freq_hz")).alias("span"), ((F.max("freq_hz") + F.min("freq_hz")) / 2).alias("mid"))
+    spans = axis.groupBy(F.col("capture_id").alias("_a")).agg(F.greatest(F.max("freq_hz") - F.min("freq_hz"), F.lit(1.0)).alias("span"), ((F.max("freq_hz") + F.min("freq_hz")) / 2).alias("mid"))
     j = boxes.join(edges, boxes.capture_id == edges._c, "left").join(spans, boxes.capture_id == spans._a, "left")
-    away = F.coalesce((F.col("p95") <= 2 * F.col("span")) & (F.abs(F.col("mid")) > F.col("span")), F.lit(False))
+    away = F.coalesce((F.abs("mid") > 10 * F.greatest("span", "p95")) & F.col("p95").isNotNull() & (F.col("p95") < 2 * F.col("span")), F.lit(False))
     return j.withColumns({e: F.when(away, F.col(e) + F.col("mid")).otherwise(F.col(e)) for e in ("f0", "f1")}).drop("_c", "_a", "p95", "span", "mid")
 
 

@@ -28,7 +28,7 @@ from skywave.operators import spectra as sp
 from skywave.operators import texture as tx
 from skywave.operators import truth as tr
 from skywave.operators import windows as wn
-from skywave.plans import detect, noise
+from skywave.plans import detect, fusion, noise
 from skywave.sources.tables import read_metrics, shared_dir, stored, write_metrics, write_run
 from skywave.streaming import frames as st
 
@@ -1243,3 +1243,70 @@ def s10_run_tables(spark: SparkSession, sf: str) -> DataFrame:
     write_run({"boxes": d}, root)
     write_run({"boxes": d.where("capture_id < 10")}, root)  # captures that are written again replace themselves
     return spark.read.schema(d.schema).parquet(f"{root}/boxes")
+
+
+# ---------------------------------------------------------------- patch maps on cells, fused sub-bands
+
+
+@query(C + """, x AS (SELECT capture_id, power_db / 200 AS v, row_number() OVER (PARTITION BY capture_id ORDER BY power_db DESC) AS r FROM fx_cells WHERE f = 30),
+y AS (SELECT capture_id, quantile_cont(v, 0.85) AS a, quantile_cont(v, 0.97) AS b, avg(v) FILTER (WHERE r <= 4) AS m FROM x GROUP BY 1)
+SELECT capture_id, 0.015625 AS support_fraction, round(greatest(least((0.6 * greatest(b - a, 0) + 0.4 * greatest(m - a, 0)) / 0.12, 1) * (0.25 + 0.75 * sqrt(0.015625 / 0.03)), 0.05), 6) AS weight FROM y""")
+def q8_evidence_weight(spark: SparkSession, sf: str) -> DataFrame:
+    d = q.sparse_evidence(fx.cells(spark, sf).withColumn("s", F.col("power_db") / 200), "s", F.col("f") == 30)
+    return rounded(d.select("capture_id", "support_fraction", "weight"), "weight")
+
+
+def _taps(axis: str, cells: int, patch: str, patches: int) -> str:
+    """CTE w{axis}: the patches that a cell takes its value from, linearly, with their weights."""
+    return f"w{axis} AS (SELECT {axis}, {patch}, w / sum(w) OVER (PARTITION BY {axis}) AS w{axis} FROM (SELECT {axis}, {patch}, greatest(0, 1 - abs({patch} + 0.5 - ({axis} + 0.5) * {patches} / {cells}.0)) AS w FROM (SELECT unnest(range({cells})) AS {axis}), (SELECT unnest(range({patches})) AS {patch})) WHERE w > 0)"
+
+
+@query(C + ", pm AS (SELECT capture_id, f // 6 AS pr, t // 6 AS pc, avg(power_db) AS v FROM fx_cells WHERE f < 60 AND t < 42 GROUP BY ALL), " + _taps("f", 64, "pr", 10) + """,
+c AS (SELECT unnest(range(48)) AS t) SELECT capture_id, f, t, round(sum(wf * v), 6) AS value FROM c JOIN pm ON pc = floor((t + 0.5) * 7 / 48.0) JOIN wf USING (pr) GROUP BY ALL""")
+def p13_time_preserving(spark: SparkSession, sf: str) -> DataFrame:
+    d = fx.cells(spark, sf)
+    maps = pt.patch_mean(d, "power_db", fx.ROWS, fx.COLS, 10, 7)
+    return rounded(_long(pt.spread_patches(d, maps, "value", "value").select(*KEY, "value"), "f", "t"), "value")
+
+
+@query("SELECT o_orderkey, 1024 + (o_orderkey - 1) * 768 AS samples, CAST(least(greatest(round_even(o_custkey * 0.25, 0), 0), o_custkey - 1) AS BIGINT) AS overlap FROM orders")
+def p6_samples_for_frames(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.table(spark, sf, "orders").select("o_orderkey", sc.samples_for_frames(F.col("o_orderkey"), 1024, 256).cast("long").alias("samples"), sc.scaled_overlap(256, 1024, F.col("o_custkey")).cast("long").alias("overlap"))
+
+
+@query(C + f""", x AS (SELECT capture_id, f, t, {_UNIT} AS s, f BETWEEN 10 AND 50 AS sup, f >= 4 AS valid, t % 11 = 0 AS m FROM fx_cells), h AS (SELECT capture_id, quantile_cont(s, 0.72) FILTER (sup AND valid) AS h FROM x GROUP BY 1)
+SELECT capture_id, f, t, valid AND (m OR (sup AND s >= h)) AS seed FROM x JOIN h USING (capture_id)""")
+def g7_seed_mask(spark: SparkSession, sf: str) -> DataFrame:
+    d = _unit_cells(spark, sf).withColumns({"support": F.col("f").between(10, 50), "valid": F.col("f") >= 4, "mask": F.col("t") % 11 == 0})
+    return mg.seed_mask(d).select(*KEY, "seed")
+
+
+@query()
+def d6_fused_band(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = stored(fe.plan_chunks(fe.valid_rows(fx.axis(spark, sf), hz=3e5), Chunking(bandwidth_hz=2.0e6, overlap_hz=0.5e6, min_rows=8)), "chunks")
+    cells = stored(fe.assign_chunks(fx.cells(spark, sf).withColumn("valid", F.col("f").between(3, 60)), chunks), "chunk-cells")
+    unit = F.least(F.greatest(F.col("power_db") / 70, F.lit(0.0)), F.lit(1.0))
+    maps = cells.groupBy(*mg.CHUNK, F.floor((F.col("f") - F.col("row_start")) / 5).cast("int").alias("pr"), F.floor(F.col("t") / 8).cast("int").alias("pc")).agg(F.avg(unit).alias("score"))
+    d = fusion.fused_band(cells.drop("row_start", "row_stop"), maps, chunks, fx.COLS)
+    return rounded(d.select(*KEY, "score", "support", "mask"), "score")
+
+
+@query(ORACLE_SQL["i15_texture_recurrence"].split("SELECT capture_id, node, round(-avg")[0] + ", rc AS (SELECT capture_id, node // 6 AS pr, node % 6 AS pc, -avg(d) AS s FROM r WHERE r <= 6 GROUP BY ALL), pm AS (SELECT capture_id, f // 8 AS pr, t // 8 AS pc, avg(power_db) AS s FROM fx_cells GROUP BY ALL), " + _taps("f", 64, "pr", 8) + ", " + _taps("t", 48, "pc", 6) + """,
+rq AS (SELECT capture_id, quantile_cont(s, 0.90) AS h FROM rc GROUP BY 1), pq AS (SELECT capture_id, quantile_cont(s, 0.60) AS h FROM pm GROUP BY 1),
+both_maps AS (SELECT pm.capture_id, f, t, sum(wf * wt * pm.s) AS region_score, sum(wf * wt * rc.s) AS texture_score FROM pm JOIN rc USING (capture_id, pr, pc) JOIN wf USING (pr) JOIN wt USING (pc) GROUP BY ALL)
+SELECT z.capture_id, z.f, z.t, round(region_score, 6) AS region_score, pm.s >= pq.h AS region_mask, round(texture_score, 6) AS texture_score, rc.s >= rq.h AS texture_mask
+FROM both_maps z JOIN pm ON pm.capture_id = z.capture_id AND pm.pr = f // 8 AND pm.pc = t // 8 JOIN rc ON rc.capture_id = z.capture_id AND rc.pr = f // 8 AND rc.pc = t // 8 JOIN rq ON rq.capture_id = z.capture_id JOIN pq ON pq.capture_id = z.capture_id""")
+def i34_region_and_texture(spark: SparkSession, sf: str) -> DataFrame:
+    d, group = fx.cells(spark, sf), ["capture_id", "frame_id"]
+    regions = q.above_quantile(pt.patch_mean(d, "power_db", fx.ROWS, fx.COLS, 8, 6).withColumnRenamed("value", "score"), "score", "mask", 0.60)
+    out = fusion.compare_with_texture(d, regions, pt.patch_pixels(d, "power_db", fx.ROWS, fx.COLS, 8, 6), group=group)
+    return rounded(_long(out.drop("frame_id"), "f", "t"), "region_score", "texture_score")
+
+
+@query(with_views("fx_annotations") + """, e AS (SELECT capture_id, quantile_cont(abs(x), 0.95) AS p FROM (SELECT capture_id, unnest([freq_lower_edge, freq_upper_edge]) AS x FROM fx_annotations) GROUP BY 1),
+s AS (SELECT o_orderstatus AS capture_id, max(a) - min(a) AS span, (max(a) + min(a)) / 2 AS mid FROM (SELECT o_orderstatus, o_custkey % 50 + CASE WHEN o_orderstatus = 'F' THEN 0.0 ELSE 2400.0e6 END AS a FROM orders) GROUP BY 1)
+SELECT ann_id, round(freq_lower_edge + CASE WHEN abs(mid) > 10 * greatest(span, 1, p) AND p < 2 * greatest(span, 1) THEN mid ELSE 0 END, 3) AS f0, round(freq_upper_edge + CASE WHEN abs(mid) > 10 * greatest(span, 1, p) AND p < 2 * greatest(span, 1) THEN mid ELSE 0 END, 3) AS f1 FROM fx_annotations JOIN e USING (capture_id) JOIN s USING (capture_id)""")
+def j4_recentred_edges(spark: SparkSession, sf: str) -> DataFrame:
+    boxes = fx.annotations(spark, sf).withColumnsRenamed({"freq_lower_edge": "f0", "freq_upper_edge": "f1"}).select("capture_id", "ann_id", "f0", "f1")
+    axis = fx.table(spark, sf, "orders").select(F.col("o_orderstatus").alias("capture_id"), (F.col("o_custkey") % 50 + F.expr("CASE WHEN o_orderstatus = 'F' THEN 0.0D ELSE 2400.0e6D END")).alias("freq_hz"))
+    return rounded(tr.recentre_edges(boxes, axis).select("ann_id", "f0", "f1"), "f0", "f1", digits=3)
