@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
-OUT = "channel long, frame_id long, mean_p double, change double, profile double"
-STATE = "last_frame long, last_mean double, profile double"
+from skywave.streaming.memory import remember_stream
 
 
 def frame_means(frames: DataFrame) -> DataFrame:
@@ -25,21 +20,11 @@ def carry_batch(means: DataFrame) -> DataFrame:
     return means.withColumn("change", F.abs(F.col("mean_p") - F.coalesce(F.lag("mean_p").over(w), F.col("mean_p")))).withColumn("profile", F.first("mean_p").over(w))
 
 
-def _carry(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches)).sort_values("frame_id")
-    last_frame, last, profile = state.get if state.exists else (-1, None, None)
-    out = []
-    for r in rows.itertuples():
-        if r.frame_id <= last_frame:
-            continue  # a frame that comes after its successor is not taken back
-        profile = r.mean_p if profile is None else profile
-        out.append((key[0], r.frame_id, r.mean_p, abs(r.mean_p - last) if last is not None else 0.0, profile))
-        last_frame, last = r.frame_id, r.mean_p
-    if last is not None:
-        state.update((int(last_frame), float(last), float(profile)))
-    yield pd.DataFrame(out, columns=["channel", "frame_id", "mean_p", "change", "profile"])
-
-
-def carry_stream(means: DataFrame) -> DataFrame:
-    """carry_batch for a stream of (channel, frame_id, mean_p): one small state for each channel."""
-    return means.groupBy("channel").applyInPandasWithState(_carry, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+def carry_stream(means: DataFrame, lateness: str = "10 minutes", idle_ms: int | None = None) -> DataFrame:
+    """carry_batch for a stream of (channel, frame_id, at, mean_p) whose frames come at most `lateness` after later ones, with
+    `dropped`, how many frames of the channel came too late so far (see remember_stream)."""
+    one = F.array(F.col("mean_p"))
+    frames = means.select(F.col("channel").cast("long").alias("channel"), F.col("frame_id").cast("long").alias("frame_id"), "at", F.array(F.lit(0)).alias("patch"), one.alias("p"), one.alias("profile"))
+    d = remember_stream(frames, lateness, idle_ms)
+    change = F.coalesce(F.abs(F.col("p")[0] - F.col("before")[0]), F.lit(0.0))
+    return d.select("channel", "frame_id", F.col("p")[0].alias("mean_p"), change.alias("change"), F.col("profile")[0].alias("profile"), "dropped")

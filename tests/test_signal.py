@@ -340,23 +340,6 @@ def test_snapshots(spark, tmp_path):
     assert [tuple(r) for r in spark.sql("select * from snaps").collect()] == [(1, 1000)]
 
 
-def test_stream_equals_batch_in_any_number_of_batches(spark, tmp_path):
-    rows = [(c, f, float((c * 7 + f * f) % 10) / 10) for c in range(3) for f in range(6)]
-    schema = "channel long, frame_id long, mean_p double"
-    want = sorted(map(tuple, st.carry_batch(spark.createDataFrame(rows, schema)).collect()))
-    for parts in (1, 2, 6):
-        source = tmp_path / f"in{parts}"
-        for k in range(parts):
-            chunk = [r for r in rows if r[1] * parts // 6 == k]
-            spark.createDataFrame(chunk, schema).coalesce(1).write.parquet(f"{source}/b{k}")
-        name = f"carried{parts}"
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(source))
-        run = st.carry_stream(stream).writeStream.format("memory").queryName(name).outputMode("append").start()
-        run.processAllAvailable()
-        run.stop()
-        assert sorted(map(tuple, spark.sql(f"select * from {name}").collect())) == want
-
-
 def test_runs_are_replaced_by_capture(spark, tmp_path):
     a = spark.createDataFrame([("x", 1), ("y", 2)], "capture_id string, v int")
     write_run({"boxes": a}, str(tmp_path / "out"))
