@@ -157,17 +157,20 @@ def test_bursts_spills_restarts_and_small_blocks_lose_nothing(monkeypatch, longe
     every = SimpleNamespace(value=np.full(col.BITS // 64, 2**64 - 1, np.uint64))
     rows = [(lang or "und", text) for lang, text in some_rows(6)]
     batches = [pa.RecordBatch.from_pylist([{"lang": a, "text": b} for a, b in rows[i : i + 20]], schema=pa.schema([("lang", pa.string()), ("text", pa.string())])) for i in range(0, len(rows), 20)]
-    got, spilled = Counter(), 0
-    for batch in col._count_phrases(every, every if longer else None, 50)(iter(batches)):
-        spilled += 1
+    got, runs = Counter(), {}
+    for batch in col._count_phrases(every, every if longer else None, 7, 50)(iter(batches)):
         for r in batch.to_pylist():
+            runs.setdefault(r["part"], []).append(r["run"])
+    for part, some in runs.items():
+        for r in col._merge_runs(1)((part,), pa.table({"run": pa.array(some, pa.binary())})).to_pylist():
+            assert (r["lang"], r["phrase"]) not in got
             got[r["lang"], r["phrase"]] += r["times"]
     want = Counter()
     for lang, text in rows:
         for piece in re.split(r"[.,;:!?\x0A-\x0D]", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
             w = [x for x in re.split(r"[\x20\x09]+", piece) if x]
             want.update((lang, " ".join(w[i : i + m])) for m in ((3, 4, 5) if longer else (2,)) for i in range(len(w) - m + 1))
-    assert got == want and spilled > 20
+    assert got == want and len(runs) == 7 and min(map(len, runs.values())) > 3
 
 
 def test_collocations_of_nothing_and_one_long_text(spark):
