@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pytest
 
 from skywave.llm.ann import nearest_neighbours
 from skywave.llm.near_dedup import near_duplicates
@@ -79,6 +80,50 @@ def test_outlier_and_ordered_clusters_have_all_neighbours(spark):
     assert [r.vec_id for r in sorted(got[1200], key=lambda r: r["rank"])] == np.lexsort((np.arange(1201), -s))[:5].tolist()
 
 
+def test_few_usable_vectors_among_many_null_ones(spark):
+    rng = np.random.default_rng(9)
+    rows = [(50 * i, [float(v) for v in rng.normal(size=8)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").union(spark.range(100_000, 160_000).selectExpr("id", "CAST(NULL AS array<double>)"))
+    got = nearest_neighbours(df).collect()
+    assert len(got) == 300 and {r["rank"] for r in got} == {1, 2, 3, 4, 5}
+
+
+def plain_nearest(rows, every, k):
+    """Every query against every row, one dot product at a time; equal to 12 digits is a tie."""
+    unit = [(i, np.array(v) / np.linalg.norm(v)) for i, v in rows]
+    out = []
+    for q, a in {i: v for i, v in unit if i % every == 0}.items():
+        best = {}
+        for i, b in unit:
+            if i != q:
+                best[i] = max(best.get(i, -2.0), float(sum(a * b)))
+        out += [(q, r + 1, i) for r, (i, _) in enumerate(sorted(best.items(), key=lambda x: (-round(x[1], 12), x[0]))[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("wide_from", [1 << 18, 1])
+def test_ties_go_to_the_smaller_id_whatever_the_parts(spark, wide_from):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(700, 64))
+    for i in rng.choice(700, 392, replace=False):
+        x[i] = x[0] + 0.01 * x[3]  # copies of one vector near the first query
+    x[::7] = 3.0 * x[5]  # and parallel ones
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(8, [float(v) for v in x[8]]), (9, [float(v) for v in x[500]])]  # repeated ids
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [sorted((r.query_id, r["rank"], r.vec_id) for r in nearest_neighbours(df.repartition(n), k=5, radius=16, wide_from=wide_from).collect()) for n in (1, 5)]
+    assert got[0] == got[1] == plain_nearest(rows, 50, 5)
+
+
+def test_wide_substrings_reach_the_recall(spark):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([c + rng.normal(size=(20, 64)) * 0.3 for c in rng.normal(size=(60, 64))])
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id) for r in nearest_neighbours(df, wide_from=1).collect()}
+    want = {(q, i) for q, _, i in plain_nearest(rows, 50, 5)}
+    assert len(got) == len(want) and len(got & want) >= 0.95 * len(want)
+
+
 def test_few_vectors_give_all_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = nearest_neighbours(df, radius=8).orderBy("rank").collect()
