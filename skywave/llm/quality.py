@@ -1,17 +1,24 @@
 """Quality selection by importance resampling.
 
 Two generative models over hashed n-grams (runs of letters and digits and runs of signs, single and in pairs) are counted: the target's, on
-labelled rows of good quality, and the raw one, on all rows. A document's importance is the log-ratio of the two, summed
-over its n-grams. Gumbel noise, drawn from a hash of the id, is added, and the top k documents are taken. k is the number
-of documents that reach the score which all but a small share of labelled good rows reach (rows that the target was not
-fitted on), so the choice follows the labels and clean documents stay.
+labelled rows of good quality, and the raw one, on all rows. A document's importance is the log-ratio of the two, averaged
+over its n-grams, times `scale`. Gumbel noise, drawn from a hash of the id, is added, and the top k documents are taken: a
+draw of k documents without replacement, where exp(importance) is a document's weight. So the choice falls with the
+importance, sharply for a large scale; documents near the edge are drawn by their weights, and another seed draws others.
+
+k is a share of the rows if one is given. Otherwise it is the number of documents whose importance reaches what all but a
+small share of the labelled good rows reach (rows that the target was not fitted on): as many as are good by the labels, so
+that clean documents stay. Exactly k rows are taken, ties by smaller id (null last); rows that agree in score and id stay or
+go together.
+
+A piece that follows itself is one class n-gram whatever the piece: a bounded target meets single ones too rarely.
 
 The labels are a bounded sample (train_docs of them, by a hash of the id), so they can be broadcast; raw counts and the
 k-th score cover all rows. The k-th score is found by narrowing a histogram of counts, not by sorting.
 
-Defined cases: null text has no n-grams and importance 0; a null id gets the noise of an empty id; several labels of one
-id count as good only if all are; without any good label every row is kept; rows with equal ids stay apart; extra columns
-are ignored.
+Defined cases: null and empty texts have no n-grams and importance 0; a null id gets the noise of an empty id; several labels
+of one id count as good only if all are; without any good label the importance is 0 and every row is kept, unless a share
+is given; rows with equal ids stay apart; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +41,8 @@ _PIECE = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff]+")
 TRAIN_DOCS = 20_000
 #: Share of the labelled good rows that may fall below the chosen score.
 LOSS = 0.002
+#: What the mean log-ratio of an n-gram is multiplied by, beside noise of standard deviation 1.28.
+SCALE = 200.0
 #: Counts that every bucket of a model has at the start.
 PRIOR = 1.0
 
@@ -104,8 +113,9 @@ def _score(model: np.ndarray):
         for batch in batches:
             if len(cache) >= CACHE_ENTRIES:
                 cache.clear()
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([float(model[ngram_buckets(t, cache)].sum()) for t in texts], pa.float64())], names=["doc_id", "log_ratio"])
+            found = [ngram_buckets(t, cache) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            sums = pa.array([float(model[f].sum()) for f in found], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(f) for f in found], pa.int64()), sums], names=["doc_id", "n_ngrams", "log_ratio"])
 
     return run
 
@@ -139,17 +149,40 @@ def gumbel(id_col: str, seed: int) -> F.col:
     return -F.log(-F.log(u))
 
 
-def quality_select(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, train_docs: int = TRAIN_DOCS, loss: float = LOSS, seed: int = 8) -> DataFrame:
-    """(doc_id, log_ratio, score, kept) for each row; labels has doc_id and quality (1 is good)."""
+def top_k(scores: DataFrame, k: int) -> F.col:
+    """Whether a row of (doc_id, score) is among the k of greatest score, ties by smaller doc_id, null last."""
+    cut = kth_largest(scores, "score", k)
+    if cut is None:
+        return F.lit(k > 0)
+    above = scores.where(F.col("score") > F.lit(cut)).count()
+    # ids as numbers that fall with the id exceed 2^53: the order of the ties is found in two halves
+    tied = scores.where(F.col("score") == F.lit(cut)).select((-F.shiftright("doc_id", 32)).cast("double").alias("high"), (-F.col("doc_id").bitwiseAND(F.lit((1 << 32) - 1))).cast("double").alias("low"))
+    high = kth_largest(tied, "high", k - above)
+    if high is None:  # only null ids are left to take
+        return F.col("score") >= F.lit(cut)
+    over = tied.where(F.col("high") > F.lit(high)).count()
+    low = kth_largest(tied.where(F.col("high") == F.lit(high)), "low", k - above - over)
+    last = -int(high) * (1 << 32) - int(low)
+    return (F.col("score") > F.lit(cut)) | F.coalesce((F.col("score") == F.lit(cut)) & (F.col("doc_id") <= F.lit(last)), F.lit(False))
+
+
+def quality_select(
+    df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, train_docs: int = TRAIN_DOCS, share: float | None = None, loss: float = LOSS, scale: float = SCALE, seed: int = 8
+) -> DataFrame:
+    """(doc_id, n_ngrams, log_ratio, importance, score, kept) for each row; labels has doc_id and quality (1 is good).
+
+    share: part of the rows to draw; None takes as many as are good by the labels, which `loss` of the good ones may miss.
+    """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     good = stored(good_labels(labels, train_docs), "quality-labels")
     model = importance_model(docs, good)
-    if model is None:
-        return docs.select("doc_id", F.lit(0.0).alias("log_ratio"), gumbel("doc_id", seed).alias("score"), F.lit(True).alias("kept"))
-    scores = docs.mapInArrow(_score(model), "doc_id long, log_ratio double")
-    scores = stored(scores.withColumn("score", F.col("log_ratio") + gumbel("doc_id", seed)), "quality-scores")
-    labelled = scores.join(F.broadcast(good.where("good and not fitted")), scores.doc_id == good.label_id, "left_semi")
-    least = labelled.agg(F.percentile("score", F.lit(loss))).first()[0]
-    k = scores.where(F.col("score") >= F.lit(least)).count() if least is not None else scores.count()
-    cut = kth_largest(scores, "score", k)
-    return scores.withColumn("kept", F.col("score") >= F.lit(cut) if cut is not None else F.lit(True))
+    scores = docs.mapInArrow(_score(np.zeros(BUCKETS) if model is None else model), "doc_id long, n_ngrams long, log_ratio double")
+    scores = scores.withColumn("importance", F.lit(scale) * F.col("log_ratio") / F.greatest("n_ngrams", F.lit(1)))
+    scores = stored(scores.withColumn("score", F.col("importance") + gumbel("doc_id", seed)), "quality-scores")
+    if share is not None:
+        k = round(share * scores.count())
+    else:
+        labelled = scores.join(F.broadcast(good.where("good and not fitted")), scores.doc_id == good.label_id, "left_semi")
+        least = labelled.agg(F.percentile("importance", F.lit(loss))).first()[0]
+        k = scores.count() if least is None or model is None else scores.where(F.col("importance") >= F.lit(least)).count()
+    return scores.withColumn("kept", top_k(scores, k))

@@ -1,13 +1,17 @@
 import hashlib
 import math
 import random
+import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from skywave.llm import bpe, hmm, lang_id, quality
+from skywave.llm.common import mix64
 from skywave.llm.ngram_join import allocate, band_difference, ngram_join
 from skywave.llm.token_counts import token_counts
 
@@ -222,6 +226,90 @@ def test_kth_largest(spark):
     assert quality.kth_largest(df, "v", 5000) is None
 
 
+def spark_hash(*values):
+    """The 64-bit hash of longs and ints in a row, signed."""
+    h = 42
+    for v, kind in values:
+        h = xxhash.xxh64_intdigest(struct.pack("<" + kind, v), seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_selection(rows, labels, seed, loss, share=None):
+    """The whole of quality_select in plain Python: n-grams, counts, importance, noise, k and the k greatest."""
+
+    def ngrams(text):
+        pieces = [re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff]+", w) for w in (text or "").encode().split()]
+        h = np.array([xxhash.xxh3_64_intdigest(p) for w in pieces for p in w], np.uint64)
+        with np.errstate(over="ignore"):
+            pairs = [1 if a == b else int(mix64(a * np.uint64(0x9E3779B97F4A7C15) + b)) for a, b in zip(h[:-1], h[1:], strict=True)]
+        return [int(x) % quality.BUCKETS for x in [*h, *pairs]]
+
+    good = {}
+    for i, q in labels:
+        good[i] = min(good.get(i, 1), q)
+    fitted = {i for i, q in good.items() if q and spark_hash((i, "q"), (12, "i")) % 10 < 7}
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        raw.update(ngrams(t))
+        if i in fitted:
+            target.update(ngrams(t))
+    n_raw, n_target = sum(raw.values()) + quality.BUCKETS, sum(target.values()) + quality.BUCKETS
+    out = []
+    for i, t in rows:
+        g = ngrams(t)
+        ratio = sum(math.log((target[b] + 1) / n_target) - math.log((raw[b] + 1) / n_raw) for b in g)
+        importance = quality.SCALE * ratio / max(1, len(g))
+        u = (spark_hash((i or 0, "q"), (seed, "i")) % (1 << 52) + 0.5) / (1 << 52)
+        out.append((i, len(g), ratio, importance, importance - math.log(-math.log(u))))
+    held = sorted(o[3] for o in out if good.get(o[0]) and o[0] not in fitted)
+    k = round(share * len(rows)) if share is not None else sum(o[3] >= np.quantile(held, loss) - 1e-9 for o in out)
+    order = sorted(out, key=lambda o: (-o[4], o[0] is None, o[0] or 0))
+    return out, k, {o[0] for o in order[:k]}
+
+
+def mixed_quality(n=240):
+    rng = random.Random(8)
+    good = [f"w{i}" for i in range(60)]
+    rows, labels = [], []
+    for i in range(n):
+        share = rng.choice([0.0, 0.0, 0.45, 0.5, 0.55, 1.0])  # of junk
+        rows.append((i, " ".join(rng.choice("$$$ @@@ %%% ^^^".split()) if rng.random() < share else rng.choice(good) for _ in range(rng.randint(5, 60)))))
+        if rng.random() < 0.6:
+            labels.append((i, int(share < 0.5)))
+    return rows, labels
+
+
+def test_quality_selection_matches_the_plain_computation(spark):
+    rows, labels = mixed_quality()
+    rows += [(900, None), (901, ""), (None, "w1 w2 $$$"), (902, "w3 w4 " * 20_000)]
+    df = spark.createDataFrame([(i, t, "x", True) for i, t in rows], "doc_id long, text string, score string, kept boolean")
+    lab = spark.createDataFrame(labels + labels[:5], "doc_id long, quality int")
+    chosen = {}
+    for seed, share in ((8, None), (9, None), (8, 0.3)):
+        want, k, kept = plain_selection(rows, labels, seed, 0.2, share)
+        got = quality.quality_select(df, lab, loss=0.2, seed=seed, share=share).collect()
+        by_id = {r.doc_id: r for r in got}
+        assert len(got) == len(rows)
+        for i, n, ratio, importance, score in want:
+            r = by_id[i]
+            assert r.n_ngrams == n and np.allclose([r.log_ratio, r.importance, r.score], [ratio, importance, score], rtol=1e-9, atol=1e-7)
+        assert sum(r.kept for r in got) == k == len(kept) and {r.doc_id for r in got if r.kept} == kept
+        chosen[seed, share] = kept
+    assert chosen[8, None] != chosen[9, None] and len(chosen[8, None]) == len(chosen[9, None])
+    assert quality.quality_select(df.where("1 = 0"), lab).count() == 0
+
+
+def test_draws_follow_the_weights_and_take_exactly_k(spark):
+    df = spark.range(4000).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN ln(3.0D) ELSE 0.0D END AS importance")
+    for seed in (1, 2):
+        d = df.withColumn("score", df.importance + quality.gumbel("doc_id", seed))
+        taken = d.where(quality.top_k(d, 400)).selectExpr("count(*) AS n", "sum(int(doc_id % 2 = 0)) AS heavy").first()
+        assert taken.n == 400 and 0.68 < taken.heavy / 400 < 0.8  # three to one, less what is used up
+    tied = spark.createDataFrame([(i, 1.0) for i in [5, -3, 1 << 40, (1 << 40) + 1, None, 7]] + [(99, 2.0)], "doc_id long, score double")
+    for k, ids in ((1, {99}), (3, {99, -3, 5}), (5, {99, -3, 5, 7, 1 << 40}), (7, {99, -3, 5, 7, 1 << 40, (1 << 40) + 1, None}), (0, set())):
+        assert {r.doc_id for r in tied.where(quality.top_k(tied, k)).collect()} == ids
+
+
 def test_forward_recursion_and_counts():
     import itertools
 
