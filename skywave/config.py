@@ -60,3 +60,21 @@ class PatchFusion:
     support_quantile: float = 0.70
     score_quantile: float = 0.85
     min_component: int = 6
+
+
+@dataclass(frozen=True)
+class LayeredFusion:
+    """Patch score, power and texture layered by bands inside a sub-band; a second value holds where nothing speckles."""
+
+    gate_floor: float = 0.25
+    gap_floor: float = 0.10
+    threshold: float = 0.20
+    threshold_clean: float = 0.10
+    min_component: int = 10
+    min_component_clean: int = 2
+    rescue_floor: float = 0.10
+    rescue_gain: float = 2.0
+    clean_speckle: float = 0.85
+    strong_speckle: float = 0.20
+    support_quantile: float = 0.70
+    vote_component: int = 6

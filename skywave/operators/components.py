@@ -6,12 +6,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skywave.config import Grouping
 from skywave.functions.quantiles import GROUP, with_scalars
+from skywave.operators import links
 from skywave.operators.windows import closing, fill_gaps, majority_votes, true_runs
 from skywave.sources.tables import stored
 
@@ -54,17 +55,62 @@ def _label_runs(eight: bool):
     return run
 
 
-def connected_components(df: DataFrame, mask: str, eight: bool = False, group: Sequence[str] = GROUP) -> DataFrame:
+def _border_links(key: tuple, t: pa.Table) -> pa.Table:
+    """(a, b) of the nodes whose runs meet across a border, a node's runs on its two sides; t has (upper, start, stop, node)."""
+    upper = t.column("upper").to_numpy(zero_copy_only=False)
+    sides = []
+    for side in (upper, ~upper):
+        start, stop, node = (t.column(c).to_numpy()[side] for c in ("start", "stop", "node"))
+        order = np.argsort(start)
+        sides.append((start[order], stop[order], node[order]))
+    (start, stop, node), (start2, stop2, node2) = sides
+    reach = int(t.column("reach")[0].as_py())
+    # runs of a row are apart and in order: those that a run meets follow one another
+    first, last = np.searchsorted(stop2, start - reach, side="right"), np.searchsorted(start2, stop + reach, side="left")
+    many = np.maximum(last - first, 0)
+    at = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return pa.table({"a": np.repeat(node, many), "b": node2[at]})
+
+
+def connected_components(df: DataFrame, mask: str, eight: bool = False, group: Sequence[str] = GROUP, band: int | None = None) -> DataFrame:
     """(group, f, start, stop, component) of the runs of a mask; component is the group's number for connected runs.
 
     Runs of neighbouring rows touch where they overlap (with eight neighbours: where they meet at a corner as well). The
-    runs of one frame, far fewer than its cells, are labelled in one task; frames bound the groups.
+    runs of one frame, far fewer than its cells, are labelled in one task. For frames too large for that, `band` rows are
+    labelled in a task each, and what meets across the bands' borders is joined by connected_components of links; the
+    numbers are the same.
     """
     runs = true_runs(df, mask, "t", group)
+    keys = list(group)
+    if band is not None:
+        keys, runs = [*group, "_band"], stored(runs.withColumn("_band", F.floor(F.col("f") / band).cast("long")), "runs")
     types = {x.name: x.dataType.simpleString() for x in runs.schema}
-    schema = ", ".join(f"_k{i} {types[g]}" for i, g in enumerate(group)) + f", f {types['f']}, start {types['start']}, stop {types['stop']}, component int"
-    named = runs.groupBy(*group).applyInArrow(_label_runs(eight), schema)
-    return named.select(*[F.col(f"_k{i}").alias(g) for i, g in enumerate(group)], "f", "start", "stop", "component")
+    schema = ", ".join(f"_k{i} {types[g]}" for i, g in enumerate(keys)) + f", f {types['f']}, start {types['start']}, stop {types['stop']}, component int"
+    named = runs.groupBy(*keys).applyInArrow(_label_runs(eight), schema)
+    named = named.select(*[F.col(f"_k{i}").alias(g) for i, g in enumerate(keys)], "f", "start", "stop", "component")
+    return named if band is None else _across_bands(named, eight, group, band)
+
+
+def _across_bands(named: DataFrame, eight: bool, group: Sequence[str], band: int) -> DataFrame:
+    """The runs of components labelled in bands with the frames' numbers of what is connected across the bands."""
+    named = stored(named, "band-runs")
+    keys = [*group, "_band", "component"]
+    parts = named.groupBy(*keys).agg(F.min(F.struct("f", "start")).alias("_first"))
+    parts = stored(parts.withColumn("node", F.monotonically_increasing_id()), "band-parts")
+    row = F.pmod(F.col("f"), F.lit(band))
+    rims = named.where((row == 0) | (row == band - 1)).join(parts.drop("_first"), keys)
+    # a band's last row lies above the border to the next one; a band of one row has both
+    sides = F.array(F.when(row == band - 1, F.struct(F.col("_band").alias("border"), F.lit(True).alias("upper"))), F.when(row == 0, F.struct((F.col("_band") - 1).alias("border"), F.lit(False).alias("upper"))))
+    rims = rims.withColumn("_s", F.explode(F.filter(sides, lambda x: x.isNotNull())))
+    rims = rims.select(*group, "_s.border", "_s.upper", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "node", F.lit(1 if eight else 0).alias("reach"))
+    edges = rims.groupBy(*group, "border").applyInArrow(_border_links, "a long, b long")
+    roots = links.connected_components(edges, "band-links")
+    whole = parts.join(roots.select(F.col("node").alias("_node"), F.col("component").alias("_root")), F.col("node") == F.col("_node"), "left")
+    whole = whole.withColumn("_root", F.coalesce("_root", "node"))
+    firsts = whole.groupBy(*group, "_root").agg(F.min("_first").alias("_first"))
+    numbers = firsts.withColumn("_number", F.row_number().over(Window.partitionBy(*group).orderBy("_first"))).select(F.col("_root").alias("_r"), "_number")
+    numbered = whole.join(numbers, F.col("_root") == F.col("_r")).select(*keys, "_number")
+    return named.join(numbered, keys).select(*group, "f", "start", "stop", F.col("_number").cast("int").alias("component"))
 
 
 def component_cells(components: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
@@ -96,13 +142,16 @@ def envelope_area(cells: DataFrame, group: Sequence[str] = GROUP, parts: Sequenc
     return columns.groupBy(*group, "component", *parts).agg(F.sum("span").alias("envelope_area"))
 
 
-def remove_small(df: DataFrame, mask: str, out: str, least: int, group: Sequence[str] = GROUP, eight: bool = False) -> DataFrame:
-    """The mask without components of fewer than `least` cells."""
-    if least <= 1:
+def remove_small(df: DataFrame, mask: str, out: str, least: int | Column, group: Sequence[str] = GROUP, eight: bool = False) -> DataFrame:
+    """The mask without components of fewer than `least` cells; a column gives each group its own minimum."""
+    if isinstance(least, int) and least <= 1:
         return df.withColumn(out, F.col(mask))
     runs = connected_components(df, mask, eight, group)
+    if not isinstance(least, int):
+        minima = df.groupBy(*[F.col(g).alias(f"_{g}") for g in group]).agg(F.max(least).alias("_least"))
+        runs = runs.join(minima, _on(runs, group))
     size = F.sum(F.col("stop") - F.col("start")).over(Window.partitionBy(*group, "component"))
-    cells = component_cells(runs.withColumn("_size", size).where(F.col("_size") >= least), group)
+    cells = component_cells(runs.withColumn("_size", size).where(F.col("_size") >= (F.lit(least) if isinstance(least, int) else F.col("_least"))), group)
     return mark(df, cells, out, group)
 
 
@@ -192,8 +241,9 @@ def split_components(cells: DataFrame, min_f: int = 12, min_t: int = 1, group: S
     )
 
 
-def regions(df: DataFrame, mask: str, score: str = "score", settings: Grouping = Grouping(), group: Sequence[str] = GROUP, bridged: bool = True, valid: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """What group_regions returns, and the cells (group, component, part, f, t) of the parts that are kept."""
+def regions(df: DataFrame, mask: str, score: str = "score", settings: Grouping = Grouping(), group: Sequence[str] = GROUP, bridged: bool = True, valid: str | None = None, band: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """What group_regions returns, and the cells (group, component, part, f, t) of the parts that are kept; `band`: see
+    connected_components."""
     d = df.withColumn("_seed", F.col(mask) if valid is None else F.col(mask) & F.col(valid))
     d = with_scalars(d, group, peak_floor=F.coalesce(F.percentile(F.when(F.col("_seed"), F.col(score)), F.lit(0.5)), F.lit(0.0)))
     if bridged:
@@ -203,7 +253,7 @@ def regions(df: DataFrame, mask: str, score: str = "score", settings: Grouping =
         d = d.withColumn("_bridged", F.col("_seed"))
     d = stored(d, "bridged")
     keys = [*group, "component", "part"]
-    cells = stored(split_components(stored(component_cells(connected_components(d, "_bridged", False, group), group), "cells"), settings.min_f, settings.min_t, group), "parts")
+    cells = stored(split_components(stored(component_cells(connected_components(d, "_bridged", False, group, band), group), "cells"), settings.min_f, settings.min_t, group), "parts")
     table = component_table(cells, d, score, group, ("part", "split_role"))
     env = _keyed(envelope_area(cells, group, ("part",)), keys, "envelope_area")
     table = table.join(env, _on(table, keys)).drop(*[f"_{k}" for k in keys])

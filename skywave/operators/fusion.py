@@ -83,21 +83,28 @@ def clean_mask(df: DataFrame, mask: str, out: str, cells: int, conservative: boo
     return remove_small(d, "_d", out, max(4, int(0.003 * cells)), group).drop("_c", "_d")
 
 
-def group_rectangles(df: DataFrame, mask: str, score: str, out: str, settings: Grouping = Grouping(), group: Sequence[str] = GROUP) -> DataFrame:
-    """Cells in the bounding boxes of the components of a mask closed on both axes with its holes filled.
+def rectangles(df: DataFrame, mask: str, score: str, settings: Grouping = Grouping(), group: Sequence[str] = GROUP, valid: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The components of a mask closed on both axes with its holes filled, with `keep`, and df with that mask as `_d`.
 
     A component counts when it has the size and the spans, and either the box density or a peak that reaches the median
-    score of the mask's cells.
+    score of the mask's cells. Where a column names the valid rows, others hold no mask.
     """
-    floor = F.coalesce(F.percentile(F.when(F.col(mask), F.col(score)), F.lit(0.5)), F.lit(0.0))
-    floors = df.groupBy(*[F.col(g).alias(f"_{g}") for g in group]).agg(floor.alias("_floor"))
-    d = fill_holes(stored(closing(df, mask, "_c", settings.bridge_f, settings.bridge_t, group), "rectangles"), "_c", "_d", group)
+    d = df.withColumn("_seed", F.col(mask) if valid is None else F.col(mask) & F.col(valid))
+    floor = F.coalesce(F.percentile(F.when(F.col("_seed"), F.col(score)), F.lit(0.5)), F.lit(0.0))
+    floors = d.groupBy(*[F.col(g).alias(f"_{g}") for g in group]).agg(floor.alias("_floor"))
+    d = fill_holes(stored(closing(d, "_seed", "_c", settings.bridge_f, settings.bridge_t, group), "rectangles"), "_c", "_d", group)
     d = stored(d, "filled")
     table = component_table(component_cells(connected_components(d, "_d", False, group), group), d, score, group)
     on = F.lit(True)
     for g in group:
         on = on & (table[g] == F.col(f"_{g}"))
-    table = table.join(floors, on)
+    table = table.join(floors, on).drop(*[f"_{g}" for g in group])
     keep = (F.col("filled_area") >= settings.min_size) & (F.col("freq_span") >= settings.min_f) & (F.col("time_span") >= settings.min_t) & ((F.col("bbox_density") >= settings.min_density) | (F.col("score_peak") >= F.col("_floor")))
-    cells = table.where(keep).withColumn("f", F.explode(F.sequence(F.col("freq_start"), F.col("freq_stop") - 1))).withColumn("t", F.explode(F.sequence(F.col("time_start"), F.col("time_stop") - 1)))
-    return mark(d, cells.select(*group, "f", "t"), out, group).drop("_c", "_d")
+    return table.withColumn("keep", keep).drop("_floor"), d
+
+
+def group_rectangles(df: DataFrame, mask: str, score: str, out: str, settings: Grouping = Grouping(), group: Sequence[str] = GROUP) -> DataFrame:
+    """Cells in the bounding boxes of the components that `rectangles` keeps."""
+    table, d = rectangles(df, mask, score, settings, group)
+    cells = table.where("keep").withColumn("f", F.explode(F.sequence(F.col("freq_start"), F.col("freq_stop") - 1))).withColumn("t", F.explode(F.sequence(F.col("time_start"), F.col("time_stop") - 1)))
+    return mark(d, cells.select(*group, "f", "t"), out, group).drop("_c", "_d", "_seed")

@@ -114,10 +114,11 @@ def texture_passthrough(df: DataFrame, structure: str, group: Sequence[str] = GR
     return joined(speckle(d, "_top", need, group), peaks, group).select(*group, "speckle", "peak", clip(0.70 * s + 0.30 * F.col("peak")).alias("clean_score"), ramp.alias("passthrough"))
 
 
-def banded_fusion(df: DataFrame, score: str, structure: str, texture: str, reliability: str, out: str, gap_floor: float = 0.10, clean: float = 0.85, strong: float = 0.20, damped: bool = False, group: Sequence[str] = GROUP) -> DataFrame:
+def banded_fusion(df: DataFrame, score: str, structure: str, texture: str, reliability: str, out: str, gap_floor: float = 0.10, clean: float = 0.85, strong: float = 0.20, damped: bool = False, policy_columns: bool = False, group: Sequence[str] = GROUP) -> DataFrame:
     """A score's bands, each normalised, the lower two weighed by how little speckle the structure has, and texture on top.
 
     `damped` gives texture only the room that the bands leave. `reliability` is a column with one value a group.
+    `policy_columns` keeps the weights of texture and of the lower bands, `texture_weight` and `band_weight`.
     """
     low_cut, high_cut = transition(clean, strong)
     policy = texture_passthrough(df, structure, group, reliability, clean, strong)
@@ -128,6 +129,8 @@ def banded_fusion(df: DataFrame, score: str, structure: str, texture: str, relia
     d = d.withColumn("_bands", clip(F.col("_strong") + F.col("_band") * (F.col("_mid") + F.col("_low"))))
     room = 1 - F.col("_bands") if damped else F.lit(1.0)
     d = d.withColumn("_mix", clip(F.col("_bands") + F.col("_texture") * F.col(texture) * room))
+    if policy_columns:
+        d = d.withColumns({"texture_weight": F.col("_texture"), "band_weight": F.col("_band")})
     return normalize_local(d, "_mix", out, group=group).drop("_texture", "_band", "_s", "_strong", "_mid", "_low", "_bands", "_mix", "strong", "mid", "low")
 
 

@@ -1281,14 +1281,77 @@ def g7_seed_mask(spark: SparkSession, sf: str) -> DataFrame:
     return mg.seed_mask(d).select(*KEY, "seed")
 
 
-@query()
-def d6_fused_band(spark: SparkSession, sf: str) -> DataFrame:
+def _banded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks, their cells with a gate and a residual, and all cells of the frames."""
     chunks = stored(fe.plan_chunks(fe.valid_rows(fx.axis(spark, sf), hz=3e5), Chunking(bandwidth_hz=2.0e6, overlap_hz=0.5e6, min_rows=8)), "chunks")
-    cells = stored(fe.assign_chunks(fx.cells(spark, sf).withColumn("valid", F.col("f").between(3, 60)), chunks), "chunk-cells")
+    frame = fx.cells(spark, sf).withColumn("valid", F.col("f").between(3, 60))
     unit = F.least(F.greatest(F.col("power_db") / 70, F.lit(0.0)), F.lit(1.0))
-    maps = cells.groupBy(*mg.CHUNK, F.floor((F.col("f") - F.col("row_start")) / 5).cast("int").alias("pr"), F.floor(F.col("t") / 8).cast("int").alias("pc")).agg(F.avg(unit).alias("score"))
-    d = fusion.fused_band(cells.drop("row_start", "row_stop"), maps, chunks, fx.COLS)
-    return rounded(d.select(*KEY, "score", "support", "mask"), "score")
+    cells = fe.assign_chunks(frame.withColumns({"unit": unit, "gate": F.abs(F.col("f") - 20) / 44, "residual": unit * unit}), chunks)
+    return chunks, stored(cells, "chunk-cells"), frame
+
+
+def _patch_means(cells: DataFrame) -> DataFrame:
+    patch = [F.floor((F.col("f") - F.col("row_start")) / 5).cast("int").alias("pr"), F.floor(F.col("t") / 8).cast("int").alias("pc")]
+    return cells.groupBy(*mg.CHUNK, *patch).agg(F.avg("unit").alias("score"), F.max("unit").alias("power"), F.avg("gate").alias("gate"), F.max("residual").alias("companion"), F.stddev_pop("unit").alias("texture"))
+
+
+@query()
+def d6_fused_band(spark: SparkSession, sf: str) -> DataFrame:
+    chunks, cells, frame = _banded(spark, sf)
+    d = fusion.fused_band(cells.drop("row_start", "row_stop"), _patch_means(cells), chunks, frame, fx.COLS, gated=True)
+    return rounded(d.select(*KEY, "base", "companion", "score", "support", "mask"), "base", "companion", "score")
+
+
+@query()
+def d6_fused_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    chunks, cells, frame = _banded(spark, sf)
+    d = fusion.fused_band(cells.drop("row_start", "row_stop"), _patch_means(cells), chunks, frame, fx.COLS, gated=True)
+    return rounded(fusion.merged_boxes(d, Grouping(5, 3, 12, 4, 2, 0.06)).drop("frame_id", "component"), "score_mean", "score_peak", "bbox_density")
+
+
+def _placed(patches: DataFrame) -> DataFrame:
+    return patches.withColumnsRenamed({"pr": "f", "pc": "t"})
+
+
+@query()
+def d8_layered_band(spark: SparkSession, sf: str) -> DataFrame:
+    chunks, cells, frame = _banded(spark, sf)
+    d = fusion.layered_band(cells, _placed(_patch_means(cells)), chunks, frame)
+    return rounded(d.select(*KEY, "base", "companion", "score", "support", "mask"), "base", "companion", "score")
+
+
+@query()
+def i33_texture_band(spark: SparkSession, sf: str) -> DataFrame:
+    chunks, cells, frame = _banded(spark, sf)
+    p = _placed(_patch_means(cells)).withColumns({"support": F.col("power"), "strict": F.col("score") * F.col("companion")})
+    d = fusion.texture_band(cells.withColumn("support", F.col("unit") > 0.7), p, chunks, frame)
+    return rounded(d.select(*KEY, "base", "companion", "score", "support", "mask"), "base", "companion", "score")
+
+
+@query(C + """, k AS (SELECT unnest([0, 15, 30]) AS a, unnest([20, 35, 60]) AS b),
+x AS (SELECT capture_id, f, t, power_db, 0.2 + 0.8 * (0.5 - 0.5 * cos(2 * pi() * (f - a) / (b - a - 1))) / (0.5 - 0.5 * cos(2 * pi() * floor((b - a - 1) / 2) / (b - a - 1))) AS w, a FROM fx_cells JOIN k ON f >= a AND f < b),
+m AS (SELECT capture_id, f, t, max(w * least(greatest(power_db / 70, 0), 1)) AS base, sum(w * abs(f - a) / 30.0) / sum(w) AS companion, bool_or(power_db > 48) AS support FROM x GROUP BY 1, 2, 3),
+g AS (SELECT c.capture_id, c.f, c.t, c.f BETWEEN 2 AND 61 AS valid, coalesce(base, 0) AS base, coalesce(companion, 0) AS companion, coalesce(support, false) AS support FROM fx_cells c LEFT JOIN m USING (capture_id, f, t)),
+n AS (SELECT capture_id, quantile_cont(companion, 0.05) AS lo, quantile_cont(companion, 0.95) AS hi FROM g GROUP BY 1),
+y AS (SELECT g.*, base * (0.3 + 0.7 * least(greatest((companion - lo) / (hi - lo), 0), 1)) AS y FROM g JOIN n USING (capture_id)),
+o AS (SELECT capture_id, quantile_cont(y, 0.05) AS lo, quantile_cont(y, 0.95) AS hi FROM y GROUP BY 1),
+s AS (SELECT y.*, least(greatest((y - lo) / (hi - lo), 0), 1) AS s FROM y JOIN o USING (capture_id)),
+q AS (SELECT capture_id, quantile_cont(s, 0.85) AS q, quantile_cont(s, 0.85) FILTER (s < 0.9995) AS u FROM s WHERE valid AND support GROUP BY 1)
+SELECT s.capture_id, f, t, round(base, 6) + 0.0 AS base, round(companion, 6) + 0.0 AS companion, CASE WHEN valid THEN round(s, 6) + 0.0 ELSE 0 END AS score, support AND valid AS support,
+  support AND s >= CASE WHEN q IS NULL THEN 1 WHEN q >= 0.9995 THEN coalesce(u, 0.9995) ELSE q END AS over FROM s LEFT JOIN q USING (capture_id)""")
+def d4_merged_bands(spark: SparkSession, sf: str) -> DataFrame:
+    captures = fx.axis(spark, sf).select("capture_id").distinct()
+    chunks = captures.withColumn("c", F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("chunk_index"), F.lit(a).alias("row_start"), F.lit(b).alias("row_stop")) for i, (a, b) in enumerate([(0, 20), (15, 35), (30, 60)])]))).select("capture_id", "c.*")
+    frame = _long(fx.cells(spark, sf), "f", "t").withColumn("valid", F.col("f").between(2, 61))
+    cells = fe.assign_chunks(frame, chunks).withColumns({"contribution": F.least(F.greatest(F.col("power_db") / 70, F.lit(0.0)), F.lit(1.0)), "companion": F.abs(F.col("f") - F.col("row_start")) / 30.0, "support": F.col("power_db") > 48})
+    d = fusion.merge_contributions(cells.drop("row_start", "row_stop"), chunks, frame)
+    return rounded(d.select(*KEY, "base", "companion", "score", "support", "over"), "base", "companion", "score")
+
+
+@query(_COMP + " SELECT capture_id, f, a AS start, b AS stop, component FROM k")
+def g1_components_in_bands(spark: SparkSession, sf: str) -> DataFrame:
+    d = cp.connected_components(fx.cells(spark, sf).withColumn("m", F.col("power_db") > 52), "m", band=5)
+    return _long(d.drop("frame_id"), "f", "start", "stop", "component")
 
 
 @query(ORACLE_SQL["i15_texture_recurrence"].split("SELECT capture_id, node, round(-avg")[0] + ", rc AS (SELECT capture_id, node // 6 AS pr, node % 6 AS pc, -avg(d) AS s FROM r WHERE r <= 6 GROUP BY ALL), pm AS (SELECT capture_id, f // 8 AS pr, t // 8 AS pc, avg(power_db) AS s FROM fx_cells GROUP BY ALL), " + _taps("f", 64, "pr", 8) + ", " + _taps("t", 48, "pc", 6) + """,

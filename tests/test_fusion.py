@@ -84,33 +84,39 @@ def test_patch_maps_on_cells(spark):
             assert np.allclose([[got[k, i, j] for j in range(m)] for i in range(n)], want)
 
 
+def plain_fused(m, scores, valid, gated, s):
+    """What a sub-band of 20 x 24 cells and 5 x 6 patches gives, step by step."""
+    x = m["power_db"]
+    p = np.clip(resized(resized(scores, 24, 1, "nearest"), 20, 0, "bilinear"), 0, 1)
+    lin = 10 ** (x / 10)
+    rel = np.clip(10 * np.log10(lin / np.quantile(lin[valid], 0.3)), -5, 25)
+    power = scaled(np.where(valid, np.maximum(rel - mean_box(rel, 9, 33), 0), 0))
+    companion = np.zeros(x.shape)
+    if gated:
+        res = scaled(m["residual"], 0.05, 0.99)
+        companion = scaled(0.45 * res + 0.35 * scaled(np.maximum(res - mean_box(res, 1, 5), 0), 0.05, 0.99) + 0.20 * scaled(m["gate"], 0.05, 0.99), 0.05, 0.99)
+    raw = scaled(p * (0.75 + 0.25 * power)) * (0.3 + 0.7 * companion)
+    strict, support = scaled(raw), scaled(0.7 * p + 0.3 * companion)
+    sup, mask = voted(support >= np.quantile(support, s.support_quantile), 3), voted(strict >= np.quantile(strict, s.score_quantile), 6)
+    blocks = lambda y: y.reshape(5, 4, 6, 4).mean((1, 3))
+    w = evidence(blocks(raw), blocks(sup.astype(float)) >= 0.5)
+    calibrated = np.where(valid, scaled(strict, 0.60, 0.99, valid), 0)
+    return {"score": strict, "calibrated": calibrated, "contribution": calibrated * w, "companion": companion * w, "mask": mask, "support": support * w >= 0.5, "weight": w}
+
+
 def test_fused_sub_band_against_a_plain_version(spark):
     scenes, s = [scene(3), scene(4)], PatchFusion()
     cells, maps = tables(spark, scenes, 40)
+    valid = np.zeros((20, 24), bool)
+    valid[2:] = True
     for gated in (False, True):
         got = {(r.chunk_index, r.f - 40, r.t): r for r in fusion.fuse_patch_scores(cells, maps, 24, s, gated, GROUP).collect()}
         for k, (m, scores) in enumerate(scenes):
-            x = m["power_db"]
-            valid = np.zeros(x.shape, bool)
-            valid[2:] = True
-            p = np.clip(resized(resized(scores, 24, 1, "nearest"), 20, 0, "bilinear"), 0, 1)
-            lin = 10 ** (x / 10)
-            rel = np.clip(10 * np.log10(lin / np.quantile(lin[valid], 0.3)), -5, 25)
-            power = scaled(np.where(valid, np.maximum(rel - mean_box(rel, 9, 33), 0), 0))
-            companion = np.zeros(x.shape)
-            if gated:
-                res = scaled(m["residual"], 0.05, 0.99)
-                companion = scaled(0.45 * res + 0.35 * scaled(np.maximum(res - mean_box(res, 1, 5), 0), 0.05, 0.99) + 0.20 * scaled(m["gate"], 0.05, 0.99), 0.05, 0.99)
-            raw = scaled(p * (0.75 + 0.25 * power)) * (0.3 + 0.7 * companion)
-            strict, support = scaled(raw), scaled(0.7 * p + 0.3 * companion)
-            sup, mask = voted(support >= np.quantile(support, 0.70), 3), voted(strict >= np.quantile(strict, 0.85), 6)
-            blocks = lambda y: y.reshape(5, 4, 6, 4).mean((1, 3))
-            w = evidence(blocks(raw), blocks(sup.astype(float)) >= 0.5)
-            calibrated = np.where(valid, scaled(strict, 0.60, 0.99, valid), 0)
-            for (i, j), v in np.ndenumerate(strict):
+            want = plain_fused(m, scores, valid, gated, s)
+            for (i, j), v in np.ndenumerate(want["score"]):
                 r = got[k, i, j]
-                assert np.allclose((r.score, r.calibrated, r.contribution, r.companion, r.weight), (v, calibrated[i, j], calibrated[i, j] * w, companion[i, j] * w, w))
-                assert (r.mask, r.support) == (bool(mask[i, j]), bool(support[i, j] * w >= 0.5))
+                assert np.allclose((r.score, r.weight), (v, want["weight"])) and np.allclose([r[c] for c in ("calibrated", "contribution", "companion")], [want[c][i, j] for c in ("calibrated", "contribution", "companion")])
+                assert (r.mask, r.support) == (bool(want["mask"][i, j]), bool(want["support"][i, j]))
 
 
 def test_evidence_without_support_or_scores(spark):
