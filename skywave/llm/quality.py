@@ -110,12 +110,17 @@ def importance_model(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
 def _score(model: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Pieces()
-        for batch in batches:
-            if len(cache) >= CACHE_ENTRIES:
-                cache.clear()
-            found = [ngram_buckets(t, cache) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            sums = pa.array([float(model[f].sum()) for f in found], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(f) for f in found], pa.int64()), sums], names=["doc_id", "n_ngrams", "log_ratio"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                if len(cache) >= CACHE_ENTRIES:
+                    cache.clear()
+                sizes, sums = [], []
+                for text in batch.column(1).cast(pa.binary()).to_pylist():
+                    found = ngram_buckets(text, cache)  # of one document at a time
+                    sizes.append(len(found))
+                    sums.append(float(model[found].sum()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], names=["doc_id", "n_ngrams", "log_ratio"])
 
     return run
 
