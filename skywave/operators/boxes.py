@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skywave.operators.links import connected_components
+from skywave.sources.tables import stored
 
 BOX = ("freq_start", "freq_stop", "time_start", "time_stop")
 #: Roles of which one box of each never merge directly.
@@ -47,12 +51,51 @@ def overlapping_pairs(boxes: DataFrame, group: Sequence[str] = ("capture_id",),
     return pairs.select(*[F.col(f"a{g}").alias(g) for g in group], F.col("abox_id").alias("a"), F.col("bbox_id").alias("b"))
 
 
+def _tile_clusters(key: tuple, t: pa.Table) -> pa.Table:
+    """(box_id, root, beyond) of a tile's boxes: the least id of what a chain of overlaps inside the tile links them to.
+
+    Boxes come in order of time; each is held against those before it, and their clusters become one.
+    """
+    t = t.sort_by([("time_start", "ascending"), ("box_id", "ascending")])
+    f0, f1, t0, t1, ids = (t.column(c).to_numpy() for c in (*BOX, "box_id"))
+    role = np.array([{CARRIER: 1, BURST: 2}.get(r, 0) for r in t.column("split_role").to_pylist()])
+    label = np.arange(len(ids))
+    for i in range(1, len(ids)):
+        near = (f0[:i] < f1[i]) & (f0[i] < f1[:i]) & (t0[i] < t1[:i]) & (t0[:i] < t1[i])
+        if role[i]:
+            near &= role[:i] + role[i] != 3
+        met = np.unique(label[:i][near])
+        if len(met):
+            label[i] = met[0]
+            if len(met) > 1:
+                label[:i][np.isin(label[:i], met[1:])] = met[0]
+    _, number = np.unique(label, return_inverse=True)
+    root = np.full(number.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(root, number, ids)
+    return pa.table({"box_id": pa.array(ids), "root": pa.array(root[number]), "beyond": t.column("beyond")})
+
+
+def box_labels(boxes: DataFrame, group: Sequence[str] = ("capture_id",), tile_f: int = 128, tile_t: int = 256) -> DataFrame:
+    """(box_id, cluster_id) of boxes linked by chains of overlaps, a carrier and a burst only through others.
+
+    Tiles are linked inside in one task each. Of a cluster that reaches beyond its tile only the boxes that do so become
+    edges, to the cluster's least id; no pairs are written.
+    """
+    tiles = boxes.select(*group, F.col("box_id").cast("long").alias("box_id"), *[F.col(c).cast("long").alias(c) for c in BOX], "split_role")
+    spans = {"_tf": F.sequence(F.floor(F.col("freq_start") / tile_f), F.floor((F.col("freq_stop") - 1) / tile_f)), "_tt": F.sequence(F.floor(F.col("time_start") / tile_t), F.floor((F.col("time_stop") - 1) / tile_t))}
+    tiles = tiles.withColumn("beyond", F.size(spans["_tf"]) * F.size(spans["_tt"]) > 1)
+    for name, of in spans.items():
+        tiles = tiles.withColumn(name, F.explode(of))
+    inside = stored(tiles.groupBy(*group, "_tf", "_tt").applyInArrow(_tile_clusters, "box_id long, root long, beyond boolean"), "tile-clusters")
+    joined = connected_components(inside.where("beyond").select(F.col("root").alias("a"), F.col("box_id").alias("b")), "boxes").withColumnRenamed("component", "_whole")
+    named = inside.join(joined, inside.root == joined.node, "left").select("box_id", F.coalesce("_whole", "root").alias("cluster_id"))
+    return named.groupBy("box_id").agg(F.min("cluster_id").alias("cluster_id"))  # a box has a row for each of its tiles
+
+
 def cluster_boxes(boxes: DataFrame, group: Sequence[str] = ("capture_id",)) -> DataFrame:
     """Boxes merged along chains of overlaps (box_id is unique): bounds, area, weighted score, roles and sources."""
-    pairs = overlapping_pairs(boxes, group, merging=True)
-    labels = connected_components(pairs.select("a", "b"), "boxes")  # of the boxes that overlap any
-    labels = labels.withColumnRenamed("component", "_label")
-    named = boxes.join(labels, boxes.box_id == labels.node, "left").withColumn("cluster_id", F.coalesce("_label", "box_id"))
+    labels = box_labels(boxes, group).withColumnRenamed("box_id", "_id")
+    named = boxes.join(labels, boxes.box_id == F.col("_id")).drop("_id")
     weight = F.greatest("filled_area", F.lit(1))
     merged = named.groupBy(*group, "cluster_id").agg(
         F.min("freq_start").alias("freq_start"), F.max("freq_stop").alias("freq_stop"), F.min("time_start").alias("time_start"), F.max("time_stop").alias("time_stop"), F.sum("filled_area").alias("filled_area"),
@@ -62,19 +105,36 @@ def cluster_boxes(boxes: DataFrame, group: Sequence[str] = ("capture_id",)) -> D
     return merged.withColumn("density", F.col("filled_area") / ((F.col("freq_stop") - F.col("freq_start")) * (F.col("time_stop") - F.col("time_start"))))
 
 
-def boxes_to_mask(cells: DataFrame, boxes: DataFrame, out: str = "mask", group: Sequence[str] = ("capture_id",)) -> DataFrame:
-    """Cells with whether some box holds them (an interval semi-join on tiles)."""
-    span = boxes.select(*group, *BOX).withColumn("_f", F.explode(F.sequence(F.col("freq_start"), F.col("freq_stop") - 1)))
-    span = span.select(*[F.col(g).alias(f"_{g}") for g in group], "_f", F.col("time_start").alias("_a"), F.col("time_stop").alias("_b")).distinct()
-    on = (F.col("f") == F.col("_f")) & (F.col("t") >= F.col("_a")) & (F.col("t") < F.col("_b"))
-    for g in group:
-        on = on & (F.col(g) == F.col(f"_{g}"))
-    inside = cells.join(span, on, "left_semi").select(*group, "f", "t").withColumn(out, F.lit(True))
-    i = inside.select(*[F.col(g).alias(f"_{g}") for g in group], F.col("f").alias("_f"), F.col("t").alias("_t"), out)
-    on = (cells.f == F.col("_f")) & (cells.t == F.col("_t"))
+def covered(cells: DataFrame, ranges: DataFrame, out: str = "mask", group: Sequence[str] = ("capture_id",)) -> DataFrame:
+    """The cells of dense grids with whether some range (group, fa, fb, ta, tb; half open) holds them.
+
+    A range adds one at two of its corners and takes one away at the others; sums along time and then along frequency count
+    the ranges over each cell. So the work is ranges plus cells, however large the ranges are.
+    """
+    ends = cells.groupBy(*[F.col(g).alias(f"_{g}") for g in group]).agg(F.min("f").alias("_f0"), F.max("f").alias("_f1"), F.min("t").alias("_t0"), F.max("t").alias("_t1"))
+    r = ranges.join(ends, _same(ranges, group))
+    r = r.withColumns({"fa": F.greatest("fa", "_f0"), "ta": F.greatest("ta", "_t0"), "fb": F.least(F.col("fb"), F.col("_f1") + 1), "tb": F.least(F.col("tb"), F.col("_t1") + 1)}).where("fa < fb and ta < tb")
+    corner = lambda f, t, d: F.struct(F.col(f).alias("f"), F.col(t).alias("t"), F.lit(d).alias("d"))
+    corners = r.select(*group, F.inline(F.array(corner("fa", "ta", 1), corner("fa", "tb", -1), corner("fb", "ta", -1), corner("fb", "tb", 1))))
+    corners = corners.groupBy(*[F.col(g).alias(f"_{g}") for g in group], F.col("f").alias("_f"), F.col("t").alias("_t")).agg(F.sum("d").alias("_d"))
+    d = cells.join(corners, _same(cells, group) & (cells.f == F.col("_f")) & (cells.t == F.col("_t")), "left").drop("_f", "_t", *[f"_{g}" for g in group])
+    along_t = Window.partitionBy(*group, "f").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    along_f = Window.partitionBy(*group, "t").orderBy("f").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_s", F.sum(F.coalesce("_d", F.lit(0))).over(along_t))
+    return d.withColumn(out, F.sum("_s").over(along_f) > 0).drop("_d", "_s")
+
+
+def _same(d: DataFrame, group: Sequence[str]):
+    on = F.lit(True)
     for g in group:
-        on = on & (cells[g] == F.col(f"_{g}"))
-    return cells.join(i, on, "left").withColumn(out, F.coalesce(F.col(out), F.lit(False))).drop("_f", "_t", *[f"_{g}" for g in group])
+        on = on & (d[g] == F.col(f"_{g}"))
+    return on
+
+
+def boxes_to_mask(cells: DataFrame, boxes: DataFrame, out: str = "mask", group: Sequence[str] = ("capture_id",)) -> DataFrame:
+    """Cells of dense grids with whether some box holds them."""
+    ranges = boxes.select(*group, *[F.col(c).alias(n) for c, n in zip(BOX, ("fa", "fb", "ta", "tb"), strict=True)])
+    return covered(cells, ranges, out, group)
 
 
 def count_sources(boxes: DataFrame, sources: DataFrame, group: Sequence[str]) -> DataFrame:

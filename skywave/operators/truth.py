@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skywave.operators.boxes import covered
+
 
 def window_annotations(annotations: DataFrame, windows: DataFrame, width: int) -> DataFrame:
     """(capture_id, win_start, ann_id, start, stop, ...) of annotations that overlap windows of `width` samples, clipped to them.
@@ -23,18 +25,31 @@ def window_annotations(annotations: DataFrame, windows: DataFrame, width: int) -
     )
 
 
-def centre_in_force(annotations: DataFrame, tunes: DataFrame) -> DataFrame:
+#: Samples of a time bucket in which annotations look for their tune.
+BUCKET = 4096
+
+
+def centre_in_force(annotations: DataFrame, tunes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Annotations with the centre frequency of the last tune at or before their start, else that of the first tune.
 
-    An as-of join: both kinds of rows in one order, the last frequency seen so far carried on; the first tune of a capture is
-    an aggregate of the tunes alone.
+    An as-of join by time buckets: inside a bucket both kinds of rows stand in one order and the last frequency seen so far
+    is carried on; what came before a bucket is the last tune of the buckets before it, carried over one row a bucket. So no
+    sort is longer than a bucket, or than the buckets of a capture.
     """
-    both = annotations.select("capture_id", "sample_start", F.lit(1).alias("kind"), "ann_id", F.lit(None).cast("double").alias("frequency"))
-    both = both.unionByName(tunes.select("capture_id", "sample_start", F.lit(0).alias("kind"), F.lit(None).cast(annotations.schema["ann_id"].dataType).alias("ann_id"), F.col("frequency").cast("double").alias("frequency")))
-    carried = F.last("frequency", ignorenulls=True).over(Window.partitionBy("capture_id").orderBy("sample_start", "kind"))
-    told = both.withColumn("carried", carried).where("kind = 1")
-    first = tunes.groupBy(F.col("capture_id").alias("_c")).agg(F.min_by(F.col("frequency").cast("double"), "sample_start").alias("first"))
-    return told.join(first, told.capture_id == first._c, "left").select("capture_id", "ann_id", "sample_start", F.coalesce("carried", "first").alias("centre_hz"))
+    at = F.floor(F.col("sample_start") / bucket).alias("_b")
+    frequency = F.col("frequency").cast("double")
+    both = annotations.select("capture_id", at, "sample_start", F.lit(1).alias("kind"), "ann_id", F.lit(None).cast("double").alias("frequency"))
+    both = both.unionByName(tunes.select("capture_id", at, "sample_start", F.lit(0).alias("kind"), F.lit(None).cast(annotations.schema["ann_id"].dataType).alias("ann_id"), frequency.alias("frequency")))
+    carried = F.last("frequency", ignorenulls=True).over(Window.partitionBy("capture_id", "_b").orderBy("sample_start", "kind"))
+    told = both.withColumn("_inside", carried).where("kind = 1").drop("frequency")
+    # the row of a bucket: its last tune, null where it has annotations only
+    known = F.when(F.col("kind") == 0, F.struct("sample_start", "frequency"))
+    steps = both.groupBy(F.col("capture_id").alias("_c"), F.col("_b").alias("_at")).agg(F.max(F.when(F.col("frequency").isNotNull(), known)).alias("_last"), F.min(known).alias("_first"))
+    line = Window.partitionBy("_c").orderBy("_at")
+    before = F.last(F.col("_last.frequency"), ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    steps = steps.withColumns({"_before": before, "_start": F.min("_first").over(Window.partitionBy("_c"))["frequency"]})
+    j = told.join(steps, (told.capture_id == steps._c) & (told._b == steps._at), "left")
+    return j.select("capture_id", "ann_id", "sample_start", F.coalesce("_inside", "_before", "_start").alias("centre_hz"))
 
 
 def recentre_edges(boxes: DataFrame, axis: DataFrame) -> DataFrame:
@@ -60,13 +75,26 @@ def cell_edges(axis: DataFrame, column: str, index: str, group: tuple[str, ...]
 
 
 def annotation_mask(boxes: DataFrame, freq_edges: DataFrame, time_edges: DataFrame) -> DataFrame:
-    """Distinct (capture_id, f, t) of cells that boxes (t0, t1, f0, f1) strictly overlap; edges in either order, null frequency edges mean all rows."""
-    b = boxes.select("capture_id", "box_id", F.least("t0", "t1").alias("a"), F.greatest("t0", "t1").alias("z"), F.least("f0", "f1").alias("lo_f"), F.greatest("f0", "f1").alias("hi_f"))
-    fe = freq_edges.select(F.col("capture_id").alias("fc"), "f", F.col("lo").alias("flo"), F.col("hi").alias("fhi"))
-    te = time_edges.select(F.col("capture_id").alias("tc"), "t", F.col("lo").alias("tlo"), F.col("hi").alias("thi"))
-    rows = b.join(fe, (b.capture_id == fe.fc) & (F.col("lo_f").isNull() | ((F.col("fhi") > F.col("lo_f")) & (F.col("flo") < F.col("hi_f")))))
-    cells = rows.join(te, (F.col("capture_id") == te.tc) & (F.col("thi") > F.col("a")) & (F.col("tlo") < F.col("z")))
-    return cells.select("capture_id", "f", "t").distinct()
+    """Distinct (capture_id, f, t) of cells that boxes (t0, t1, f0, f1) strictly overlap; edges in either order, null frequency edges mean all rows.
+
+    lo and hi of the cells rise with their index from 0 on. An axis is one array beside each box, in which the box's first and
+    last cell are counted; what the boxes cover comes from their corners (covered), not from their cells.
+    """
+
+    def line(edges: DataFrame, index: str, name: str) -> DataFrame:
+        cells = F.array_sort(F.collect_list(F.struct(index, "lo", "hi")))
+        d = edges.groupBy(F.col("capture_id").alias(f"_c{name}")).agg(cells.alias(f"_{name}"))
+        return d.select(f"_c{name}", F.col(f"_{name}.lo").alias(f"_lo{name}"), F.col(f"_{name}.hi").alias(f"_hi{name}"))
+
+    rows, cols = line(freq_edges, "f", "f"), line(time_edges, "t", "t")
+    b = boxes.join(rows, boxes.capture_id == rows._cf).join(cols, boxes.capture_id == cols._ct)
+    count = lambda column, test: F.size(F.filter(column, test)).cast("long")
+    span = lambda a, z, name: (count(f"_hi{name}", lambda x: x <= F.least(a, z)), count(f"_lo{name}", lambda x: x < F.greatest(a, z)))
+    (fa, fb), (ta, tb) = span("f0", "f1", "f"), span("t0", "t1", "t")
+    every = F.least("f0", "f1").isNull()
+    ranges = b.select("capture_id", F.when(every, F.lit(0)).otherwise(fa).alias("fa"), F.when(every, F.size("_lof")).otherwise(fb).alias("fb"), ta.alias("ta"), tb.alias("tb"))
+    grid = freq_edges.select("capture_id", "f").join(time_edges.select(F.col("capture_id").alias("_c"), "t"), F.col("capture_id") == F.col("_c")).drop("_c")
+    return covered(grid, ranges).where("mask").select("capture_id", "f", "t")
 
 
 def patch_mask(cells: DataFrame, rows: int, cols: int, ph: int, pw: int, least: float | None = None) -> DataFrame:

@@ -254,27 +254,6 @@ def test_splits_match_a_plain_version(spark):
     assert len(seen) == 3
 
 
-@pytest.mark.parametrize("scene", ["carrier", "burst", "both"])
-def test_whole_band_boxes_of_made_scenes(spark, scene):
-    from skywave.config import Chunking, Grouping
-    from skywave.plans.detect import coherent_power_boxes
-
-    x = np.random.default_rng(4).normal(0, 1, (64, 60))
-    if scene != "burst":
-        x[28:36] += 25
-    if scene != "carrier":
-        x[8:56, 30:34] += 25
-    axis = spark.createDataFrame([("c", f, 1e8 + f * 1e5) for f in range(64)], "capture_id string, f int, freq_hz double")
-    settings = Grouping(bridge_f=5, bridge_t=3, min_size=24, min_f=4, min_t=2, min_density=0.06)
-    got = coherent_power_boxes(grid(spark, x), axis, sideband_hz=0.0, chunking=Chunking(bandwidth_hz=4.0e6, overlap_hz=1.0e6, min_rows=16), grouping=settings).collect()
-    assert got and {r.origin for r in got} <= {"overlap", "regrouped", "seeds"}
-    assert all(0 <= r.freq_start < r.freq_stop <= 64 and 0 <= r.time_start < r.time_stop <= 60 for r in got)
-    hit = np.zeros((64, 60), bool)
-    for r in got:
-        hit[r.freq_start : r.freq_stop, r.time_start : r.time_stop] = True
-    assert (x > 12)[hit].any()
-
-
 def test_chunk_plan_covers_valid_rows(spark):
     axis = spark.createDataFrame([("c", f, 1e8 + f * 1e6) for f in range(100)], "capture_id string, f int, freq_hz double")
     rows = valid_rows(axis, percent=0.05)
