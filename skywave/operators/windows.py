@@ -135,15 +135,27 @@ def signal_agnostic_map(df: DataFrame, rows: int, cols: int, column: str = "powe
     return d.withColumn(out, F.bround(255 * F.least(F.greatest(grey, F.lit(0.0)), F.lit(1.0)), 0)).drop("_tr", "_flat", "_mean", "_dev", "_sq", "_ms", "_z", "_signed", "_norm", "_wide", "_mix", "_std")
 
 
-def seed_map(df: DataFrame, column: str, out: str = "seed", group: Sequence[str] = GROUP) -> DataFrame:
-    """0.65 of the normalised mean over time and 0.35 of the normalised local contrast."""
+def seed_map(df: DataFrame, column: str, out: str = "seed", rising: bool = False, group: Sequence[str] = GROUP) -> DataFrame:
+    """0.65 of the normalised mean over time and 0.35 of the normalised local contrast; `rising` takes contrast above 0 only."""
     d = box_mean(df, column, "_time", 1, 7, group)
     d = box_mean(d, column, "_box", 5, 5, group).withColumn("_c", F.col(column) - F.col("_box"))
+    if rising:
+        d = d.withColumn("_c", F.greatest("_c", F.lit(0.0)))
     d = normalize_local(d, "_time", "_a", group=group)
     d = normalize_local(d, "_c", "_b", group=group)
     return d.withColumn(out, 0.65 * F.col("_a") + 0.35 * F.col("_b")).drop("_time", "_box", "_c", "_a", "_b")
 
 
+def power_seeds(df: DataFrame, column: str = "power_db", out: str = "seed", local: bool = False, valid: Column | None = None, group: Sequence[str] = GROUP) -> DataFrame:
+    """Seeds of power: seed_map of the dB over the 30 % floor, -10 to 25. `local` takes what stands out of its surroundings
+    instead (local_relative_power, valid rows only), and contrast above 0."""
+    if local:
+        return seed_map(local_relative_power(df, column, "_stands", valid, group=group), "_stands", out, True, group).drop("_stands")
+    d = df.withColumn("_lin", from_db(F.col(column)))
+    d = with_scalars(d, group, _floor=F.percentile("_lin", F.lit(0.30))).withColumn("_rel", relative_db(F.col("_lin"), F.col("_floor"), -10.0))
+    return seed_map(d, "_rel", out, False, group).drop("_lin", "_floor", "_rel")
+
+
 def burst_companion(df: DataFrame, cols: int, gate: str, residual: str, out: str = "companion", group: Sequence[str] = GROUP) -> DataFrame:
     """Evidence for short bursts: residual, its rise over its own time mean, and gate, each normalised, mixed .45/.35/.20."""
     d = normalize_local(df, residual, "_a", 0.05, 0.99, group)

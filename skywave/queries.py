@@ -458,12 +458,43 @@ def n8_seed_map(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(wn.seed_map(fx.cells(spark, sf), "power_db").select(*KEY, "seed"), "seed")
 
 
+def _mean_cte(out: str, src: str, size_f: int, size_t: int) -> str:
+    """CTE {out}(v): box means of a 64 x 48 map with edge values repeated, one axis after the other."""
+    line = lambda name, of, axis, size, last: f"""{name} AS (SELECT c.capture_id, c.f, c.t, avg(s.v) AS v FROM {of} c, (SELECT unnest(range(-{size // 2}, {size // 2 + 1})) AS d) JOIN {of} s
+  ON s.capture_id = c.capture_id AND s.{"t" if axis == "f" else "f"} = c.{"t" if axis == "f" else "f"} AND s.{axis} = least(greatest(c.{axis} + d, 0), {last}) GROUP BY ALL)"""
+    return line(f"{out}1", src, "f", size_f, 63) + ", " + line(out, f"{out}1", "t", size_t, 47)
+
+
+_FLOOR = C + """, fl AS (SELECT capture_id, quantile_cont(power(10, power_db / 10), 0.30) AS p FROM fx_cells {where} GROUP BY 1),
+rel AS (SELECT c.capture_id, f, t, least(greatest(10 * log10(power(10, power_db / 10) / p), {low}), 25) AS v FROM fx_cells c JOIN fl USING (capture_id))"""
+
+
+def _seed_sql(base: str, src: str, contrast: str) -> str:
+    return f"""{base}, {_mean_cte("tm", src, 1, 7)}, {_mean_cte("bm", src, 5, 5)}, ct AS (SELECT s.capture_id, s.f, s.t, {contrast} AS v FROM {src} s JOIN bm b USING (capture_id, f, t)), {_scaled("tn", "tm", high=0.95)}, {_scaled("cn", "ct", high=0.95)}
+SELECT a.capture_id, a.f // 8 AS pr, a.t // 8 AS pc, round(avg(0.65 * a.v + 0.35 * b.v), 6) AS seed FROM tn a JOIN cn b USING (capture_id, f, t) GROUP BY ALL"""
+
+
 def _scaled(out: str, src: str, column: str = "v", low: float = 0.05, high: float = 0.99) -> str:
     """CTE {out} (column v): a map between two quantiles of its capture."""
     return f"""{out}q AS (SELECT capture_id, quantile_cont({column}, {low}) AS lo, quantile_cont({column}, {high}) AS hi FROM {src} GROUP BY 1),
 {out} AS (SELECT x.capture_id, x.f, x.t, least(greatest(({column} - lo) / CASE WHEN hi <= lo THEN 1e-6 ELSE hi - lo END, 0), 1) AS v FROM {src} x JOIN {out}q USING (capture_id))"""
 
 
+def _seed_patches(d: DataFrame) -> DataFrame:
+    d = pt.patch_mean(d, "seed", fx.ROWS, fx.COLS, 8, 6).drop("frame_id").withColumnRenamed("value", "seed")
+    return rounded(_long(d, "pr", "pc"), "seed")
+
+
+@query(_seed_sql(_FLOOR.format(where="", low=-10), "rel", "s.v - b.v"))
+def n8_seed_patches(spark: SparkSession, sf: str) -> DataFrame:
+    return _seed_patches(wn.power_seeds(_long(fx.cells(spark, sf), "f", "t")))
+
+
+@query(_seed_sql(_FLOOR.format(where="WHERE f BETWEEN 4 AND 59", low=-5) + f", {_mean_cte('wide', 'rel', 9, 33)}, up AS (SELECT r.capture_id, r.f, r.t, CASE WHEN r.f BETWEEN 4 AND 59 THEN greatest(r.v - w.v, 0) ELSE 0 END AS v FROM rel r JOIN wide w USING (capture_id, f, t))", "up", "greatest(s.v - b.v, 0)"))
+def n8_local_seed_patches(spark: SparkSession, sf: str) -> DataFrame:
+    return _seed_patches(wn.power_seeds(_long(fx.cells(spark, sf), "f", "t"), local=True, valid=F.col("f").between(4, 59)))
+
+
 @query(C + f""", r0 AS (SELECT capture_id, f, t, abs(power_db - 50) AS v FROM fx_cells), {_scaled("a", "r0")},
 m AS (SELECT c.capture_id, c.f, c.t, avg(s.v) AS v FROM a c, (SELECT unnest(range(-2, 3)) AS d), a s WHERE s.capture_id = c.capture_id AND s.f = c.f AND s.t = least(greatest(c.t + d, 0), 47) GROUP BY ALL),
 r1 AS (SELECT a.capture_id, a.f, a.t, greatest(a.v - m.v, 0) AS v FROM a JOIN m USING (capture_id, f, t)), {_scaled("b", "r1")}, {_scaled("c", "fx_cells", "power_db")},
