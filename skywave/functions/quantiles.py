@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skywave.sources.tables import stored
+
 GROUP = ("capture_id", "frame_id")
 
 
@@ -174,3 +176,36 @@ def select_components(df: DataFrame, score: str = "score", share: str = "share",
     order = w.orderBy(F.col("_ok").desc(), F.col(score).desc(), "component")
     d = d.withColumn("_r", F.row_number().over(order))
     return d.where((F.col("_ok") & (F.col("_r") <= max_clusters)) | (F.col("_r") == 1)).drop("_best", "_ok", "_r")
+
+
+def narrowed_quantiles(df: DataFrame, column: str, qs: Sequence[float], group: Sequence[str] = GROUP, bins: int = 1024, few: int = 10_000) -> DataFrame:
+    """(group, quantiles): percentile(column, array(qs)) over finite values, for groups whose values no task can hold.
+
+    The values at the ranks that a quantile lies between are found by counts: the range that holds a rank is cut into bins,
+    the bin that holds it becomes the range, until it holds one value or `few` rows, which are then put in order. A round
+    is one partial aggregation; all groups and ranks go together. Ties and repeated values end a range at once.
+    """
+    keys = list(group)
+    x = df.select(*keys, finite(F.col(column)).cast("double").alias("x")).where("x is not null")
+    named = [F.col(k).alias(f"_{k}") for k in keys]
+    same = lambda a: _all([F.col(k).eqNullSafe(F.col(f"_{k}")) for k in a])
+    ends = x.groupBy(*keys).agg(F.count("*").alias("inside"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), ((F.col("inside") - 1) * F.lit(float(q))).alias("at")) for i, q in enumerate(qs)])
+    asked = stored(ends.withColumn("_q", F.explode(wanted)).select(*keys, "inside", "lo", "hi", "_q.i", "_q.at"), "quantiles-asked")
+    ranks = asked.withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at"))))).select(*keys, "rank", F.col("rank").alias("left"), "inside", "lo", "hi").distinct()
+    open_ = (F.col("hi") > F.col("lo")) & (F.col("inside") > few)
+    ranks = stored(ranks, "quantiles-ranks")
+    while not ranks.where(open_).isEmpty():
+        within = x.join(ranks.where(open_).select(*named, "rank", "left", "lo", "hi"), same(keys) & F.col("x").between(F.col("lo"), F.col("hi")))
+        place = F.least(F.floor((F.col("x") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)), F.lit(bins - 1))
+        counts = within.groupBy(*keys, "rank", "left", place.alias("bin")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        below = F.sum("n").over(Window.partitionBy(*keys, "rank").orderBy("bin")) - F.col("n")
+        hit = counts.withColumn("below", below).where((F.col("below") <= F.col("left")) & (F.col("left") < F.col("below") + F.col("n")))
+        ranks = stored(ranks.where(~open_).unionByName(hit.select(*keys, "rank", (F.col("left") - F.col("below")).alias("left"), F.col("n").alias("inside"), "lo", "hi")), "quantiles-ranks")
+    some = x.join(ranks.where("hi > lo").select(*named, "rank", "left", "lo", "hi"), same(keys) & F.col("x").between(F.col("lo"), F.col("hi")))
+    nth = some.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "rank").orderBy("x")) - 1).where(F.col("_n") == F.col("left")).select(*keys, "rank", F.col("x").alias("value"))
+    values = stored(nth.unionByName(ranks.where("hi = lo").select(*keys, "rank", F.col("lo").alias("value"))), "quantiles-values")
+    found = values.select(*named, F.col("rank").alias("_rank"), "value")
+    j = asked.join(found, same(keys) & (F.col("_rank") >= F.floor("at")) & (F.col("_rank") <= F.ceil("at")))
+    weight = F.when(F.ceil("at") == F.floor("at"), F.lit(1.0)).otherwise(1 - F.abs(F.col("_rank") - F.col("at")))
+    return j.groupBy(*keys, "i").agg(F.sum(F.col("value") * weight).alias("v")).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda r: r["v"]).alias("quantiles"))

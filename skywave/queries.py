@@ -611,6 +611,12 @@ def g10_boxes_to_mask(spark: SparkSession, sf: str) -> DataFrame:
     return bx.boxes_to_mask(cells, one.union(two)).select(*KEY, "mask")
 
 
+@query(C + " SELECT capture_id, round(quantile_cont(power_db, 0.05), 9) AS q05, round(quantile_cont(power_db, 0.3), 9) AS q30, round(quantile_cont(power_db, 0.95), 9) AS q95 FROM fx_cells GROUP BY 1")
+def q1_narrowed_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    d = q.narrowed_quantiles(fx.cells(spark, sf), "power_db", (0.05, 0.3, 0.95), ("capture_id",), bins=64, few=100)
+    return rounded(d.select("capture_id", *[F.col("quantiles")[i].alias(n) for i, n in enumerate(("q05", "q30", "q95"))]), "q05", "q30", "q95", digits=9)
+
+
 # ---------------------------------------------------------------- merge
 
 

@@ -71,3 +71,16 @@ def test_power_seeds_with_valid_rows(spark):
     mean = lambda a, b: filtered(up, np.ones(a) / a, np.ones(b) / b)
     want = 0.65 * norm(mean(1, 7), 5, 95) + 0.35 * norm(np.maximum(up - mean(5, 5), 0), 5, 95)
     assert np.allclose(back(wn.power_seeds(grid(spark, x), local=True, valid=F.col("f") >= 4), "seed", x.shape).astype(float), want)
+
+
+def test_narrowed_quantiles_equal_percentile(spark):
+    from skywave.functions.quantiles import narrowed_quantiles
+
+    d = spark.range(6000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'a' WHEN id % 3 = 1 THEN 'b' END AS g", "CASE WHEN id % 3 = 1 THEN double(id div 900) WHEN id % 50 = 0 THEN CAST('NaN' AS DOUBLE) WHEN id % 51 = 0 THEN NULL ELSE pow(sin(double(id)), 7) * 1e6 END AS v"
+    ).union(spark.sql("SELECT 'one', 3.5D UNION ALL SELECT 'none', NULL UNION ALL SELECT 'two', 1.0D UNION ALL SELECT 'two', 2.0D"))  # ties, nulls, a null group, one value
+    qs = (0.0, 0.05, 0.5, 0.951, 1.0)
+    want = {r.g: r.p for r in d.where("v is not null and not isnan(v)").groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, qs))).alias("p")).collect()}
+    for bins, few in ((1024, 10_000), (7, 5)):
+        got = {r.g: r.quantiles for r in narrowed_quantiles(d, "v", qs, ("g",), bins, few).collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=0, atol=1e-9) for k in want)
