@@ -27,9 +27,9 @@ def cells(spark: SparkSession, sf_dir: str, rows: int = ROWS, cols: int = COLS,
     return grid.join(power, ["capture_id", "f", "t"], "left").select("capture_id", F.lit(0).alias("frame_id"), "f", "t", value.alias("power_db"))
 
 
-def axis(spark: SparkSession, sf_dir: str, rows: int = ROWS) -> DataFrame:
+def axis(spark: SparkSession, sf_dir: str, rows: int = ROWS, by: str = _CAPTURE) -> DataFrame:
     """(capture_id, f, freq_hz) for each capture of cells()."""
-    c = table(spark, sf_dir, "lineitem").select(F.expr(_CAPTURE).alias("capture_id")).distinct()
+    c = table(spark, sf_dir, "lineitem").select(F.expr(by).alias("capture_id")).distinct()
     return c.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))).withColumn("freq_hz", F.lit(100e6) + (F.col("f") - rows // 2) * 1e5)
 
 

@@ -648,6 +648,17 @@ def w1_coherent_power_boxes(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(detect.coherent_power_boxes(fx.cells(spark, sf), fx.axis(spark, sf), sideband_hz=3e5, chunking=plan), "score_mean", "score_peak", "density")
 
 
+#: Frames of real size: 256 x 512 cells, sixteen captures for each 1,048,576 order keys.
+_FULL = "concat(l_suppkey % 16, '-', l_orderkey div 1048576)"
+
+
+@query()
+def w1_full_frames(spark: SparkSession, sf: str) -> DataFrame:
+    cells, axis = fx.cells(spark, sf, 256, 512, _FULL), fx.axis(spark, sf, 256, _FULL)
+    boxes = detect.coherent_power_boxes(cells, axis, sideband_hz=1.2e6, chunking=Chunking(bandwidth_hz=8.0e6, overlap_hz=2.0e6, min_rows=16))
+    return rounded(boxes, "score_mean", "score_peak", "density")
+
+
 # ---------------------------------------------------------------- patch graph
 
 _P = with_views("fx_patches")
