@@ -121,10 +121,10 @@ def layer_patches(patches: DataFrame, settings: LayeredFusion = LayeredFusion())
     `rescued_structure` is the structure raised where raw power is high.
     """
     s, keys = settings, [*CHUNK, "f", "t"]
-    d = soft_gate(soft_gate(patches, "score", "gate", "_dino", s.gate_floor, CHUNK), "power", "gate", "_pow", s.gate_floor, CHUNK)
-    for name, source in (("_dino", "_dino"), ("_pow", "_pow"), ("_tex", "texture"), ("_str", "gate"), ("_raw", "power")):
+    d = soft_gate(soft_gate(patches, "score", "gate", "_own", s.gate_floor, CHUNK), "power", "gate", "_pow", s.gate_floor, CHUNK)
+    for name, source in (("_own", "_own"), ("_pow", "_pow"), ("_tex", "texture"), ("_str", "gate"), ("_raw", "power")):
         d = normalize_local(d, source, name, group=CHUNK)
-    d = d.withColumn("agreement", F.sqrt(F.greatest(F.col("_dino") * F.col("_pow"), F.lit(0.0))))
+    d = d.withColumn("agreement", F.sqrt(F.greatest(F.col("_own") * F.col("_pow"), F.lit(0.0))))
     d = stored(d.select(*keys, "agreement", "_tex", "_str", "_raw", "companion"), "layers")
     d = joined(d, texture_reliability(d, "_tex", "agreement", CHUNK).select(*CHUNK, "reliability"), CHUNK)
     d = stored(banded_fusion(d, "agreement", "_str", "_tex", "reliability", "final", s.gap_floor, s.clean_speckle, s.strong_speckle, False, True, CHUNK), "layered")

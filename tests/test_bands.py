@@ -143,8 +143,8 @@ def top_overlap(a, b):
 
 def plain_layers(m, s):
     gate = lambda x: scaled(scaled(x) * (s.gate_floor + (1 - s.gate_floor) * scaled(m["gate"])))
-    dino, power, tex, structure, raw = (scaled(x) for x in (gate(m["score"]), gate(m["power"]), m["texture"], m["gate"], m["power"]))
-    agree = np.sqrt(np.maximum(dino * power, 0))
+    own, power, tex, structure, raw = (scaled(x) for x in (gate(m["score"]), gate(m["power"]), m["texture"], m["gate"], m["power"]))
+    agree = np.sqrt(np.maximum(own * power, 0))
     q = np.quantile(tex, [0.2, 0.6, 0.85, 0.95])
     top = tex >= q[2]
     peak = np.clip((q[3] - q[1]) / max(q[3] - q[0], 1e-6), 0, 1)
