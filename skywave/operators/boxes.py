@@ -16,6 +16,8 @@ from skywave.sources.tables import stored
 BOX = ("freq_start", "freq_stop", "time_start", "time_stop")
 #: Roles of which one box of each never merge directly.
 CARRIER, BURST = "persistent_carrier", "transient_wideband_burst"
+#: Boxes of a tile up to which all its pairs make one table.
+SMALL_TILE = 1024
 
 
 def project_boxes(boxes: DataFrame, chunks: DataFrame, rows: int, cols: int, group: Sequence[str] = ("capture_id",)) -> DataFrame:
@@ -54,21 +56,31 @@ def overlapping_pairs(boxes: DataFrame, group: Sequence[str] = ("capture_id",),
 def _tile_clusters(key: tuple, t: pa.Table) -> pa.Table:
     """(box_id, root, beyond) of a tile's boxes: the least id of what a chain of overlaps inside the tile links them to.
 
-    Boxes come in order of time; each is held against those before it, and their clusters become one.
+    A small tile is linked by one table of its pairs. In a large one boxes come in order of time; each is held against those
+    before it, and their clusters become one, so memory grows with its boxes only.
     """
     t = t.sort_by([("time_start", "ascending"), ("box_id", "ascending")])
     f0, f1, t0, t1, ids = (t.column(c).to_numpy() for c in (*BOX, "box_id"))
     role = np.array([{CARRIER: 1, BURST: 2}.get(r, 0) for r in t.column("split_role").to_pylist()])
     label = np.arange(len(ids))
-    for i in range(1, len(ids)):
-        near = (f0[:i] < f1[i]) & (f0[i] < f1[:i]) & (t0[i] < t1[:i]) & (t0[:i] < t1[i])
-        if role[i]:
-            near &= role[:i] + role[i] != 3
-        met = np.unique(label[:i][near])
-        if len(met):
-            label[i] = met[0]
-            if len(met) > 1:
-                label[:i][np.isin(label[:i], met[1:])] = met[0]
+    if len(ids) <= SMALL_TILE:
+        over = lambda a, b: a[:, None] < b[None]
+        near = over(f0, f1) & over(f0, f1).T & over(t0, t1) & over(t0, t1).T & (role[:, None] + role[None] != 3)
+        last = None
+        while last is None or (label != last).any():
+            last = label
+            label = np.where(near, label[None], len(ids)).min(1)
+            label = label[label]
+    else:
+        for i in range(1, len(ids)):
+            near = (f0[:i] < f1[i]) & (f0[i] < f1[:i]) & (t0[i] < t1[:i]) & (t0[:i] < t1[i])
+            if role[i]:
+                near &= role[:i] + role[i] != 3
+            met = np.unique(label[:i][near])
+            if len(met):
+                label[i] = met[0]
+                if len(met) > 1:
+                    label[:i][np.isin(label[:i], met[1:])] = met[0]
     _, number = np.unique(label, return_inverse=True)
     root = np.full(number.max() + 1, np.iinfo(np.int64).max)
     np.minimum.at(root, number, ids)
@@ -78,8 +90,8 @@ def _tile_clusters(key: tuple, t: pa.Table) -> pa.Table:
 def box_labels(boxes: DataFrame, group: Sequence[str] = ("capture_id",), tile_f: int = 128, tile_t: int = 256) -> DataFrame:
     """(box_id, cluster_id) of boxes linked by chains of overlaps, a carrier and a burst only through others.
 
-    Tiles are linked inside in one task each. Of a cluster that reaches beyond its tile only the boxes that do so become
-    edges, to the cluster's least id; no pairs are written.
+    Tiles are linked inside in one task each. A box that reaches over tiles links the clusters it belongs to in each of
+    them, by their least ids; no pairs of boxes are written.
     """
     tiles = boxes.select(*group, F.col("box_id").cast("long").alias("box_id"), *[F.col(c).cast("long").alias(c) for c in BOX], "split_role")
     spans = {"_tf": F.sequence(F.floor(F.col("freq_start") / tile_f), F.floor((F.col("freq_stop") - 1) / tile_f)), "_tt": F.sequence(F.floor(F.col("time_start") / tile_t), F.floor((F.col("time_stop") - 1) / tile_t))}
@@ -87,7 +99,8 @@ def box_labels(boxes: DataFrame, group: Sequence[str] = ("capture_id",), tile_f:
     for name, of in spans.items():
         tiles = tiles.withColumn(name, F.explode(of))
     inside = stored(tiles.groupBy(*group, "_tf", "_tt").applyInArrow(_tile_clusters, "box_id long, root long, beyond boolean"), "tile-clusters")
-    joined = connected_components(inside.where("beyond").select(F.col("root").alias("a"), F.col("box_id").alias("b")), "boxes").withColumnRenamed("component", "_whole")
+    met = inside.where("beyond").groupBy("box_id").agg(F.min("root").alias("a"), F.collect_set("root").alias("roots"))  # as many as its tiles
+    joined = connected_components(met.select("a", F.explode("roots").alias("b")).distinct(), "boxes").withColumnRenamed("component", "_whole")
     named = inside.join(joined, inside.root == joined.node, "left").select("box_id", F.coalesce("_whole", "root").alias("cluster_id"))
     return named.groupBy("box_id").agg(F.min("cluster_id").alias("cluster_id"))  # a box has a row for each of its tiles
 

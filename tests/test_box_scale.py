@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +51,16 @@ def test_box_labels_do_not_depend_on_tiles(spark, tile):
     assert bx.box_labels(spark.createDataFrame([], BOXES)).count() == 0
 
 
+def test_small_and_large_tiles_are_linked_alike(monkeypatch):
+    boxes = [b for b in random_boxes(5, 300) if b[0] == "a"]
+    names = ["capture_id", "box_id", *bx.BOX, "split_role"]
+    t = pa.table({n: [b[i] for b in boxes] for i, n in enumerate(names)}).append_column("beyond", pa.array([False] * len(boxes)))
+    small = bx._tile_clusters((), t).to_pydict()
+    monkeypatch.setattr(bx, "SMALL_TILE", 0)
+    assert small == bx._tile_clusters((), t).to_pydict()
+    assert dict(zip(small["box_id"], small["root"], strict=True)) == plain_clusters(boxes)
+
+
 def test_ranges_cover_cells_by_their_corners(spark):
     rng = random.Random(2)
     cells = spark.createDataFrame([(c, f, t) for c in "abc" for f in range(5, 25) for t in range(-3, 30)], "capture_id string, f int, t int")
