@@ -90,7 +90,8 @@ def knn(patches: DataFrame, group: Sequence[str], k: int = 8, metric: str = "cos
     """(group, src, dst, distance) of each patch's k nearest in its group; ties go to the smaller node.
 
     A group of any size is cut into blocks by the node's hash, and a task measures one pair of blocks; each patch keeps the
-    best k of its pairs. The distances of a group are all made, so work grows with the square of its size.
+    best k of its pairs. The distances of a group are all made, so work grows with the square of its size;
+    `pivots.knn_by_pivots` gives the same edges and skips what cannot hold a neighbour.
     """
     d = patches.select(*group, F.col("node").cast("long").alias("node"), F.col("x").cast("array<double>").alias("x"))
     d = with_scalars(d, group, _blocks=F.ceil(F.count("*") / block).cast("int")).withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))

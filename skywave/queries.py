@@ -22,6 +22,7 @@ from skywave.operators import graph as gr
 from skywave.operators import merge as mg
 from skywave.operators import metrics as me
 from skywave.operators import patches as pt
+from skywave.operators import pivots as pv
 from skywave.operators import regions as rg
 from skywave.operators import segment as sg
 from skywave.operators import spectra as sp
@@ -693,6 +694,16 @@ def i6_knn(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_knn(spark, sf)[1].drop("capture_id"), "distance")
 
 
+@query("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL),
+u AS (SELECT vec_id, label, list_transform(x, lambda v: v / greatest(sqrt(list_dot_product(x, x)), 1e-12)) AS x FROM e),
+d AS (SELECT a.label, a.vec_id AS src, b.vec_id AS dst, 1 - list_dot_product(a.x, b.x) AS d FROM u a JOIN u b ON a.label IS NOT DISTINCT FROM b.label AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(d, 9), dst) AS r FROM d)
+SELECT label, src, dst, round(d, 6) AS distance FROM r WHERE r <= 8""")
+def i6_knn_by_pivots(spark: SparkSession, sf: str) -> DataFrame:
+    e = fx.table(spark, sf, "embeddings").select("label", F.col("vec_id").alias("node"), F.col("embedding").alias("x"))
+    return rounded(pv.knn_by_pivots(e, ["label"], 8, block=256), "distance")
+
+
 _AFF = _KNN + ", s AS (SELECT capture_id, greatest(quantile_cont(d, 0.5), 1e-3) AS s FROM k WHERE d > 0 GROUP BY 1), w AS (SELECT src, dst, exp(-d*d / (2*s*s)) AS w FROM k JOIN s USING (capture_id)), a AS (SELECT src, dst, max(w) AS w FROM (SELECT * FROM w UNION ALL SELECT dst, src, w FROM w) GROUP BY 1, 2)"
 
 
