@@ -1,9 +1,10 @@
 """Language identification, word first: words known to the model score by their log frequency in each language, other
 words by the longest character n-grams of them that are known, and a text by the mean over its words.
 
-The model is fitted on a bounded sample of labelled rows (train_docs of them, the same number for each language as far as
-it has rows, chosen by a hash of the id) and keeps at most max_words words and max_grams n-grams, each language its most
-frequent ones, so what goes to the driver and the workers is bounded.
+The model is fitted on a bounded sample of labelled rows (train_docs of them, of the max_languages labels with most rows,
+the same number for each as far as it has rows, chosen by a hash of the id). It keeps about max_words words and max_grams
+n-grams, twice that at most, each language its most frequent ones: as many as its part of the sample gives it, an equal
+part at least. So stray labels take little room, a rare language keeps its own, and what is sent around is bounded.
 
 Defined cases: null text, or text without letters, is `und` with score 0; rows with a null language or id are not learned
 from; without any labelled row everything is `und`; a text that shares nothing with the model gets the first language by
@@ -28,6 +29,8 @@ from .common import CACHE_ENTRIES, mix64
 
 #: Labelled rows that the model is fitted on, about (bound of the sample).
 TRAIN_DOCS = 10_000
+#: Labels that are learned, those with most rows (bound of the sample).
+MAX_LANGUAGES = 256
 MAX_WORDS = 60_000
 MAX_GRAMS = 120_000
 MAX_N = 5
@@ -82,22 +85,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(distinct), pa.string()), pa.array(distinct.view(np.int64)), pa.nulls(len(distinct), pa.string()), pa.array(total)], names=["lang", "gram", "word", "n"])
 
 
-def shares(rows: dict[str, int], train_docs: int) -> dict[str, float]:
-    """The share of each language's rows that is learned from: equal numbers, and all rows of languages with fewer."""
+def sample_sizes(rows: dict[str, int], train_docs: int) -> dict[str, int]:
+    """The rows of each language that are learned from: equal numbers, and all rows of languages with fewer."""
     out, left = {}, train_docs
     for i, (lang, n) in enumerate(sorted(rows.items(), key=lambda r: (r[1], r[0]))):
-        took = min(n, left // (len(rows) - i))
-        out[lang], left = took / n, left - took
+        out[lang] = min(n, left // (len(rows) - i))
+        left -= out[lang]
     return out
 
 
-def fit_language_model(labelled: DataFrame, *, train_docs: int = TRAIN_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> LanguageModel:
-    """Fit on (id, lang, text) rows without null id or lang: on about train_docs of them, dealt over the languages.
-
-    Each language has the same room for its most frequent words and n-grams, so a rare one keeps its own.
-    """
-    rows = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
-    take = labelled.sparkSession.createDataFrame(list(shares(rows, train_docs).items()), "tl string, share double")
+def fit_language_model(labelled: DataFrame, *, train_docs: int = TRAIN_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS, max_languages: int = MAX_LANGUAGES) -> LanguageModel:
+    """Fit on (id, lang, text) rows without null id or lang: on about train_docs of them, dealt over the languages."""
+    rows = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_languages).collect()}
+    sizes = {lang: n for lang, n in sample_sizes(rows, train_docs).items() if n}
+    room = {lang: max(n / sum(sizes.values()), 1 / len(sizes)) for lang, n in sizes.items()}
+    take = labelled.sparkSession.createDataFrame([(lang, n / rows[lang], room[lang]) for lang, n in sizes.items()], "tl string, share double, room double")
     sample = labelled.join(F.broadcast(take), labelled.lang == take.tl).where(F.pmod(F.xxhash64(F.col("id"), F.lit(7)), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", "text")
     counts = sample.mapInArrow(_count, "lang string, gram long, word string, n long").groupBy("lang", "gram", "word").agg(F.sum("n").alias("n"))
     top = {}
@@ -105,7 +107,9 @@ def fit_language_model(labelled: DataFrame, *, train_docs: int = TRAIN_DOCS, max
         by = counts.where(F.col(kind).isNotNull()).select("lang", F.col(kind).alias("key"), "n")
         # bounded: the counts are those of the sample
         ranked = by.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "key")))
-        kept = ranked.withColumn("best", F.min("nth").over(Window.partitionBy("key"))).where(F.col("best") <= limit // max(1, len(rows)))
+        fits = F.col("nth") <= F.floor(F.col("room") * limit)
+        ranked = ranked.join(F.broadcast(take), ranked.lang == take.tl)  # max_languages rows
+        kept = ranked.withColumn("fits", F.max(fits).over(Window.partitionBy("key"))).where("fits")
         top[kind] = kept.select("key", "lang", "n").toArrow()  # in columns: rows of objects would fill the driver
     languages = sorted({x for t in top.values() for x in pc.unique(t.column("lang")).to_pylist()})
     column = pa.array(languages, pa.string())

@@ -190,10 +190,19 @@ def test_language_id_matches_a_plain_version(spark):
 
 
 def test_rare_languages_keep_their_rows_and_words(spark):
-    assert lang_id.shares({"en": 1000, "is": 5, "fr": 40}, 90) == {"is": 1.0, "fr": 1.0, "en": 45 / 1000}
+    assert lang_id.sample_sizes({"en": 1000, "is": 5, "fr": 40}, 90) == {"is": 5, "fr": 40, "en": 45}
     rows = [(i, f"common word{i % 50} the of", "en") for i in range(400)] + [(1000 + i, "þetta er íslenska", "is") for i in range(8)]
     model = lang_id.fit_language_model(spark.createDataFrame(rows, "id long, text string, lang string"), train_docs=100, max_words=20, max_grams=400)
-    assert model.languages == ["en", "is"] and {"þetta", "er", "íslenska"} <= set(model.words) and len(model.words) <= 20
+    assert model.languages == ["en", "is"] and {"þetta", "er", "íslenska"} <= set(model.words) and len(model.words) <= 2 * 20
+
+
+def test_stray_labels_leave_room_for_languages(spark):
+    rows = [(i, f"common word{i % 50} the of", "en") for i in range(400)] + [(1000 + i, "þetta er íslenska", "is") for i in range(400)] + [(5000 + i, f"stray{i}", f"label{i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.fit_language_model(df.withColumnRenamed("doc_id", "id"), train_docs=900, max_words=100, max_grams=2000)
+    assert len(model.languages) <= lang_id.MAX_LANGUAGES and {"the", "of", "þetta", "er", "íslenska"} <= set(model.words) and len(model.words) <= 200
+    got = {r.doc_id: r.lang_pred for r in lang_id.language_id(df).collect()}
+    assert all(got[i] == lang for i, _, lang in rows[:800]) and len(got) == len(rows)
 
 
 def test_quality_keeps_good_and_rejects_most_junk(spark):
