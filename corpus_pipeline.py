@@ -62,7 +62,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the mix's documents, encoded and decoded again."""
-    decoded = decode(encode(docs))
+    # stored in between: chained in one task, each core would keep two Python workers with a tokenizer
+    decoded = decode(stored(encode(docs), "pipeline-ids"))
     return decoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

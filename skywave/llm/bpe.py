@@ -267,8 +267,9 @@ def _decode(name: str):
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
                 ids = batch.column(1)
-                flat, ends = ids.flatten().to_pylist(), np.concatenate(([0], np.cumsum(np.asarray(ids.value_lengths().fill_null(0)))))
-                texts = [" ".join(map(strings.__getitem__, flat[a:b])) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                flat, ends = ids.flatten().to_numpy(), np.concatenate(([0], np.cumsum(np.asarray(ids.value_lengths().fill_null(0)))))
+                # of one document at a time: as Python numbers the ids take ten times their room
+                texts = [" ".join(map(strings.__getitem__, flat[a:b].tolist())) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return run

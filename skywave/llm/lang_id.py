@@ -99,7 +99,9 @@ def fit_language_model(labelled: DataFrame, *, train_docs: int = TRAIN_DOCS, max
     rows = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_languages).collect()}
     sizes = {lang: n for lang, n in sample_sizes(rows, train_docs).items() if n}
     room = {lang: max(n / sum(sizes.values()), 1 / len(sizes)) for lang, n in sizes.items()}
-    take = labelled.sparkSession.createDataFrame([(lang, n / rows[lang], room[lang]) for lang, n in sizes.items()], "tl string, share double, room double")
+    # through Arrow it is a local table; rows of Python would start workers of their own on the executors
+    shares = [pa.array(list(sizes), pa.string()), pa.array([n / rows[lang] for lang, n in sizes.items()], pa.float64()), pa.array(list(room.values()), pa.float64())]
+    take = labelled.sparkSession.createDataFrame(pa.Table.from_arrays(shares, names=["tl", "share", "room"]))
     sample = labelled.join(F.broadcast(take), labelled.lang == take.tl).where(F.pmod(F.xxhash64(F.col("id"), F.lit(7)), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", "text")
     counts = sample.mapInArrow(_count, "lang string, gram long, word string, n long").groupBy("lang", "gram", "word").agg(F.sum("n").alias("n"))
     top = {}
