@@ -186,7 +186,8 @@ def narrowed_quantiles(df: DataFrame, column: str, qs: Sequence[float], group: S
     is one partial aggregation; all groups and ranks go together. Ties and repeated values end a range at once.
     """
     keys = list(group)
-    x = df.select(*keys, finite(F.col(column)).cast("double").alias("x")).where("x is not null")
+    # stored, as every round must meet the same values: a sum of doubles made again can differ in its last bits
+    x = stored(df.select(*keys, finite(F.col(column)).cast("double").alias("x")).where("x is not null"), "quantiles-values")
     named = [F.col(k).alias(f"_{k}") for k in keys]
     same = lambda a: _all([F.col(k).eqNullSafe(F.col(f"_{k}")) for k in a])
     ends = x.groupBy(*keys).agg(F.count("*").alias("inside"), F.min("x").alias("lo"), F.max("x").alias("hi"))
@@ -204,7 +205,7 @@ def narrowed_quantiles(df: DataFrame, column: str, qs: Sequence[float], group: S
         ranks = stored(ranks.where(~open_).unionByName(hit.select(*keys, "rank", (F.col("left") - F.col("below")).alias("left"), F.col("n").alias("inside"), "lo", "hi")), "quantiles-ranks")
     some = x.join(ranks.where("hi > lo").select(*named, "rank", "left", "lo", "hi"), same(keys) & F.col("x").between(F.col("lo"), F.col("hi")))
     nth = some.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "rank").orderBy("x")) - 1).where(F.col("_n") == F.col("left")).select(*keys, "rank", F.col("x").alias("value"))
-    values = stored(nth.unionByName(ranks.where("hi = lo").select(*keys, "rank", F.col("lo").alias("value"))), "quantiles-values")
+    values = stored(nth.unionByName(ranks.where("hi = lo").select(*keys, "rank", F.col("lo").alias("value"))), "quantiles-found")
     found = values.select(*named, F.col("rank").alias("_rank"), "value")
     j = asked.join(found, same(keys) & (F.col("_rank") >= F.floor("at")) & (F.col("_rank") <= F.ceil("at")))
     weight = F.when(F.ceil("at") == F.floor("at"), F.lit(1.0)).otherwise(1 - F.abs(F.col("_rank") - F.col("at")))
