@@ -182,6 +182,31 @@ def test_collocations_of_nothing_and_one_long_text(spark):
     assert sorted(map(tuple, col.collocations(frame).collect())) == plain_collocations(rows, 100, 2000)
 
 
+def test_no_join_puts_a_whole_lang_into_one_task(spark):
+    """At scale few langs meet many candidates; only the last rank, behind a limit, goes by lang."""
+    frame = spark.createDataFrame([(None, t, lang, "r", "p", "k") for lang, t in some_rows()], SCHEMA)
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        plan = col.collocations(frame, least=8, first=25)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(re.findall(r"hashpartitioning\((?:n_)?lang#\d+, \d+\)|hashpartitioning\((?:n_)?lang#\d+, \d+, ", plan)) == 1
+
+
+def test_blocks_go_on_behind_a_blank_and_a_long_word(monkeypatch):
+    monkeypatch.setattr(col, "BLOCK_BYTES", 16)
+    text = b"a b c d e f g h " + b"x" * 40 + b" i\n" + b"y" * 40
+    found = []
+    for k, block in enumerate(col.blocks(iter([text, b"z"]))):
+        found += [w for w in block if w]
+        assert k < 20  # it went round for ever
+    assert found == text.replace(b"\n", b" \n ").split(b" ") + [b"\n", b"z", b"\n"]
+
+
 def test_trie_holds_what_was_added(monkeypatch):
     monkeypatch.setattr(col, "BURST", 6)
     rng = random.Random(4)
