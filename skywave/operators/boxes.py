@@ -53,6 +53,53 @@ def overlapping_pairs(boxes: DataFrame, group: Sequence[str] = ("capture_id",),
     return pairs.select(*[F.col(f"a{g}").alias(g) for g in group], F.col("abox_id").alias("a"), F.col("bbox_id").alias("b"))
 
 
+def overlap_counts(boxes: DataFrame, group: Sequence[str] = ("capture_id",), tile_f: int = 128, tile_t: int = 256) -> DataFrame:
+    """(group, box_id, overlaps): how many boxes of its group overlap each strictly, without making pairs, so the work grows with
+    the boxes however many overlap. A box has a row for each tile in which pairs of it begin; the rows add up.
+
+    In a tile boxes are clipped to it. Counts of their corners, added up along both axes, tell how many overlap each; pairs
+    that an earlier tile holds too are taken away again, so a pair counts in the first tile it shares. Boxes have whole
+    coordinates; an empty one and one of a null group overlap none.
+    """
+    d = boxes.select(*group, F.col("box_id").cast("long").alias("box_id"), *[F.col(c).cast("long").alias(c) for c in BOX]).where("freq_start < freq_stop and time_start < time_stop")
+    d = _clipped(d.dropna(subset=list(group)), tile_f, tile_t)
+
+    def count(key: tuple, t: pa.Table) -> pa.Table:
+        f0, f1, t0, t1 = (t.column(c).to_numpy() for c in BOX)
+        f0, f1, t0, t1 = f0 - f0.min(), f1 - f0.min(), t0 - t0.min(), t1 - t0.min()
+        early = t.column("early_f").to_numpy(zero_copy_only=False), t.column("early_t").to_numpy(zero_copy_only=False)
+        shape = (int(f1.max()) + 1, int(t1.max()) + 1)
+
+        def overlapping(of: np.ndarray) -> np.ndarray:
+            """How many of the chosen boxes overlap each of them."""
+            up_to = lambda x, y: np.bincount(x[of] * shape[1] + y[of], minlength=shape[0] * shape[1]).reshape(shape).cumsum(0).cumsum(1)
+            found = up_to(f0, t0)[f1[of] - 1, t1[of] - 1] - up_to(f1, t0)[f0[of], t1[of] - 1] - up_to(f0, t1)[f1[of] - 1, t0[of]] + up_to(f1, t1)[f0[of], t0[of]]
+            out = np.zeros(len(f0), np.int64)
+            out[of] = found
+            return out
+
+        n = overlapping(np.ones(len(f0), bool)) - overlapping(early[0]) - overlapping(early[1]) + overlapping(early[0] & early[1])
+        n -= ~(early[0] | early[1])  # itself
+        return t.select([*group, "box_id"]).append_column("overlaps", pa.array(n)).filter(pa.array(n > 0))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.select(*group).schema)
+    return d.groupBy(*group, "_tf", "_tt").applyInArrow(count, f"{kinds}, box_id long, overlaps long")
+
+
+def _clipped(d: DataFrame, tile_f: int, tile_t: int) -> DataFrame:
+    """A row for each tile (_tf, _tt) that a box covers, with its part inside the tile: early_f and early_t where it begins before
+    the tile, beyond where it covers others."""
+    spans = {"_tf": F.sequence(F.floor(F.col("freq_start") / tile_f), F.floor((F.col("freq_stop") - 1) / tile_f)), "_tt": F.sequence(F.floor(F.col("time_start") / tile_t), F.floor((F.col("time_stop") - 1) / tile_t))}
+    d = d.withColumn("beyond", F.size(spans["_tf"]) * F.size(spans["_tt"]) > 1)
+    for name, of in spans.items():
+        d = d.withColumn(name, F.explode(of))
+    for at, axis, size in (("_tf", "freq", tile_f), ("_tt", "time", tile_t)):
+        low = F.col(at) * size
+        d = d.withColumn(f"early_{at[-1]}", F.col(f"{axis}_start") < low)
+        d = d.withColumns({f"{axis}_start": F.greatest(F.col(f"{axis}_start"), low), f"{axis}_stop": F.least(F.col(f"{axis}_stop"), low + size)})
+    return d
+
+
 def _tile_clusters(key: tuple, t: pa.Table) -> pa.Table:
     """(box_id, root, beyond) of a tile's boxes: the least id of what a chain of overlaps inside the tile links them to.
 
@@ -94,10 +141,7 @@ def box_labels(boxes: DataFrame, group: Sequence[str] = ("capture_id",), tile_f:
     them, by their least ids; no pairs of boxes are written.
     """
     tiles = boxes.select(*group, F.col("box_id").cast("long").alias("box_id"), *[F.col(c).cast("long").alias(c) for c in BOX], "split_role")
-    spans = {"_tf": F.sequence(F.floor(F.col("freq_start") / tile_f), F.floor((F.col("freq_stop") - 1) / tile_f)), "_tt": F.sequence(F.floor(F.col("time_start") / tile_t), F.floor((F.col("time_stop") - 1) / tile_t))}
-    tiles = tiles.withColumn("beyond", F.size(spans["_tf"]) * F.size(spans["_tt"]) > 1)
-    for name, of in spans.items():
-        tiles = tiles.withColumn(name, F.explode(of))
+    tiles = _clipped(tiles, tile_f, tile_t).drop("early_f", "early_t")
     inside = stored(tiles.groupBy(*group, "_tf", "_tt").applyInArrow(_tile_clusters, "box_id long, root long, beyond boolean"), "tile-clusters")
     met = inside.where("beyond").groupBy("box_id").agg(F.min("root").alias("a"), F.collect_set("root").alias("roots"))  # as many as its tiles
     joined = connected_components(met.select("a", F.explode("roots").alias("b")).distinct(), "boxes").withColumnRenamed("component", "_whole")

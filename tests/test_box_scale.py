@@ -1,6 +1,7 @@
 """Boxes, masks and tunes at scale: the same results by tiles, corners and buckets of any size."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,20 @@ def test_small_and_large_tiles_are_linked_alike(monkeypatch):
     assert dict(zip(small["box_id"], small["root"], strict=True)) == plain_clusters(boxes)
 
 
+@pytest.mark.parametrize("tile", [(128, 256), (10, 16), (3, 5)])
+def test_overlap_counts_equal_the_pairs(spark, tile):
+    boxes = random_boxes(3)
+    want = Counter()
+    for i, x in enumerate(boxes):
+        for y in boxes[:i]:
+            if x[0] == y[0] and x[2] < y[3] and y[2] < x[3] and x[4] < y[5] and y[4] < x[5]:
+                want.update([(x[0], x[1]), (y[0], y[1])])
+    d = spark.createDataFrame([*boxes, (None, 1, 0, 90, 0, 200, ROLES[2]), ("a", 2, 5, 5, 0, 200, ROLES[2])], BOXES)
+    got = bx.overlap_counts(d, tile_f=tile[0], tile_t=tile[1]).groupBy("capture_id", "box_id").agg(F.sum("overlaps").alias("n"))
+    assert {(r.capture_id, r.box_id): r.n for r in got.collect()} == want
+    assert bx.overlap_counts(spark.createDataFrame([], BOXES)).count() == 0
+
+
 def test_ranges_cover_cells_by_their_corners(spark):
     rng = random.Random(2)
     cells = spark.createDataFrame([(c, f, t) for c in "abc" for f in range(5, 25) for t in range(-3, 30)], "capture_id string, f int, t int")
