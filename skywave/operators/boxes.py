@@ -18,6 +18,8 @@ BOX = ("freq_start", "freq_stop", "time_start", "time_stop")
 CARRIER, BURST = "persistent_carrier", "transient_wideband_burst"
 #: Boxes of a tile up to which all its pairs make one table.
 SMALL_TILE = 1024
+#: Cells of a larger tile up to which its boxes are linked by the cells they cover.
+GRID_CELLS = 1 << 20
 
 
 def project_boxes(boxes: DataFrame, chunks: DataFrame, rows: int, cols: int, group: Sequence[str] = ("capture_id",)) -> DataFrame:
@@ -100,11 +102,52 @@ def _clipped(d: DataFrame, tile_f: int, tile_t: int) -> DataFrame:
     return d
 
 
+def _united(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the least that the edges (a, b) link it to."""
+    label = np.arange(n)
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != label[label]).any():
+            label = label[label]
+
+
+def _grid_labels(f0: np.ndarray, f1: np.ndarray, t0: np.ndarray, t1: np.ndarray, role: np.ndarray) -> np.ndarray:
+    """A number for each box, equal where chains of overlaps link two.
+
+    Boxes overlap where they share a cell. Cells come in two layers, one that bursts leave out and one that carriers leave out;
+    boxes of no role lie in both and link them. Neighbouring cells that some box covers are one run or an edge between runs.
+    """
+    f0, f1, t0, t1 = f0 - f0.min(), f1 - f0.min(), t0 - t0.min(), t1 - t0.min()
+    rows, cols = int(f1.max()), int(t1.max())
+
+    def covered_by(of: np.ndarray, less_f: int, less_t: int) -> np.ndarray:
+        """Cells that some chosen box covers, together with the next cell along f or t."""
+        d = np.zeros((rows + 1) * (cols + 1), np.int64)
+        for f, t, sign in ((f0, t0, 1), (f0, t1 - less_t, -1), (f1 - less_f, t0, -1), (f1 - less_f, t1 - less_t, 1)):
+            d += sign * np.bincount(f[of] * (cols + 1) + t[of], minlength=len(d))
+        return d.reshape(rows + 1, cols + 1).cumsum(0).cumsum(1)[:rows, :cols] > 0
+
+    layers = [role != 2, role != 1]
+    along_t = np.concatenate([covered_by(of, 0, 1).ravel() for of in layers])
+    along_f = np.concatenate([covered_by(of, 1, 0).ravel() for of in layers])
+    run = np.concatenate(([0], np.cumsum(~along_t[:-1])))
+    down, through = np.flatnonzero(along_f), np.flatnonzero(covered_by(role == 0, 0, 0))
+    edges = np.unique(np.concatenate((run[down] * len(run) + run[down + cols], run[through] * len(run) + run[through + rows * cols])))
+    label = _united(int(run[-1]) + 1, edges // len(run), edges % len(run))
+    return label[run[(role == 2) * rows * cols + f0 * cols + t0]]
+
+
 def _tile_clusters(key: tuple, t: pa.Table) -> pa.Table:
     """(box_id, root, beyond) of a tile's boxes: the least id of what a chain of overlaps inside the tile links them to.
 
-    A small tile is linked by one table of its pairs. In a large one boxes come in order of time; each is held against those
-    before it, and their clusters become one, so memory grows with its boxes only.
+    A small tile is linked by one table of its pairs, a large one by the cells that its boxes cover, so its work grows with
+    its boxes and cells. Beyond GRID_CELLS boxes come in order of time; each is held against those before it, and their
+    clusters become one.
     """
     t = t.sort_by([("time_start", "ascending"), ("box_id", "ascending")])
     f0, f1, t0, t1, ids = (t.column(c).to_numpy() for c in (*BOX, "box_id"))
@@ -118,7 +161,9 @@ def _tile_clusters(key: tuple, t: pa.Table) -> pa.Table:
             last = label
             label = np.where(near, label[None], len(ids)).min(1)
             label = label[label]
-    else:
+    elif (f1 > f0).all() and (t1 > t0).all() and (f1.max() - f0.min()) * (t1.max() - t0.min()) <= GRID_CELLS:
+        label = _grid_labels(f0, f1, t0, t1, role)
+    else:  # empty boxes, or a tile of any extent
         for i in range(1, len(ids)):
             near = (f0[:i] < f1[i]) & (f0[i] < f1[:i]) & (t0[i] < t1[:i]) & (t0[:i] < t1[i])
             if role[i]:

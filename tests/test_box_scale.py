@@ -1,6 +1,7 @@
 """Boxes, masks and tunes at scale: the same results by tiles, corners and buckets of any size."""
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -62,6 +63,17 @@ def test_small_and_large_tiles_are_linked_alike(monkeypatch):
     assert dict(zip(small["box_id"], small["root"], strict=True)) == plain_clusters(boxes)
 
 
+def test_large_tiles_are_linked_by_cells_in_time():
+    """Held against each other, 100,000 boxes of a tile took minutes."""
+    rng = np.random.default_rng(8)
+    n = 100_000
+    f, t = rng.integers(0, 126, n), rng.integers(0, 250, n)
+    table = {"box_id": np.arange(n), "freq_start": f, "freq_stop": f + 2, "time_start": t, "time_stop": t + 5, "split_role": np.array(ROLES)[rng.integers(0, 3, n)], "beyond": np.zeros(n, bool)}
+    began = time.process_time()
+    got = bx._tile_clusters((), pa.table({k: pa.array(v) for k, v in table.items()}))
+    assert time.process_time() - began < 20 and set(got.column("root").to_pylist()) == {0}
+
+
 @pytest.mark.parametrize("tile", [(128, 256), (10, 16), (3, 5)])
 def test_overlap_counts_equal_the_pairs(spark, tile):
     boxes = random_boxes(3)
