@@ -117,6 +117,19 @@ def test_feed_takes_each_snapshot_once_after_a_failure(spark, tmp_path, monkeypa
     assert got == want and {r[0] for r in got} == {r.capture_id for r in captures}
 
 
+def test_a_long_backlog_goes_in_few_batches(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    assert feed.backlog_files(spark, str(folder), 2) == 2
+    snapshots(spark, folder, range(1, 25))
+    bright = lambda cells, axis: cells.where("power_db > 100").groupBy("capture_id", "f").agg(F.min("t").alias("time_start"))
+    feed.start_detection(spark, str(folder), f"{tmp_path}/run", f"{tmp_path}/state", detector=bright, files_a_trigger=2, until_done=True).awaitTermination()
+    captures = spark.read.parquet(f"{tmp_path}/run/captures").collect()
+    assert len(captures) == 24 and len({r.batch_id for r in captures}) == feed.BACKLOG_BATCHES  # not 12
+    monkeypatch.setattr(feed, "BACKLOG_BYTES", 10)
+    assert feed.backlog_files(spark, str(folder), 2) == 2
+
+
 def test_feed_as_patch_maps(spark, tmp_path):
     snapshots(spark, tmp_path, [1, 3])
     raw = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content", F.lit(1).alias("channel"), F.regexp_extract("path", r"_(\d+)_40x64", 1).cast("long").alias("epoch_ms"))
