@@ -7,7 +7,7 @@ for, and it visits only cells whose ring can hold something as near.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,6 @@ from skywave.sources.tables import stored
 PIVOTS = 4096
 #: Classes that one task holds against the pivots of their group.
 SLICE = 32_768
-#: Visitors that one task holds against a cell.
-VISITORS = 8192
 #: Steps of distance that rings are made of.
 STEPS = 1024
 #: Parts over which the rows of one class, and the classes of one ring, are spread in joins.
@@ -32,7 +30,6 @@ PARTS = 32
 CELL = ("p", "ring", "part")
 ASSIGNED = pa.schema([("_g", pa.string()), ("cls", pa.int64()), ("nodes", pa.list_(pa.int64())), ("x", pa.list_(pa.float64())), ("p", pa.int32()), ("dp", pa.float64())])
 VISITS = pa.schema([("_g", pa.string()), ("cls", pa.int64()), ("p", pa.int32()), ("ring", pa.int32()), ("part", pa.int32())])
-FOUND = pa.schema([("_g", pa.string()), ("cls", pa.int64()), ("dst", pa.int64()), ("distance", pa.float64()), ("place", pa.float64())])
 
 
 def _matrix(t: pa.Table, name: str) -> np.ndarray:
@@ -117,43 +114,122 @@ def _visit(metric: str):
     return run
 
 
-def _measure(k: int, metric: str):
-    def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Distances of pairs one by one, so that equal vectors have equal ones wherever they lie."""
-        return 1 - np.einsum("ij,ij->i", x, y) if metric == "cosine" else np.sqrt(((x - y) ** 2).sum(1))
-
-    def run(key: tuple, rows: pa.Table, cell: pa.Table) -> pa.Table:
-        if not rows.num_rows:  # a slice that no class was dealt to
-            return FOUND.empty_table()
-        x, y = _matrix(rows, "x"), _matrix(cell, "x")
-        copies = np.asarray(pc.list_value_length(cell.column("nodes")))
-        node, owner = cell.column("nodes").combine_chunks().flatten().to_numpy(), np.repeat(np.arange(len(y)), copies)
-        found: list[list[np.ndarray]] = [[], [], [], []]
-        take = min(k + 1, len(node))
-        for a in range(0, len(x), 256):
-            q = x[a : a + 256]
-            d = _between(q, y, metric)
-            wide = d[:, owner]
-            worst = np.partition(wide, take - 1, axis=1)[:, take - 1 : take]
-            i, c = np.nonzero(d <= worst + 2 * _slack(q, metric)[:, None] * (1 + (metric != "cosine") * worst))
-            near = np.concatenate([exact(q[i[s : s + 50_000]], y[c[s : s + 50_000]]) for s in range(0, len(i), 50_000)])
-            n = copies[c]
-            start = np.cumsum(copies) - copies
-            entry = np.repeat(start[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            i, near = np.repeat(i, n), np.repeat(near, n)
-            dst, place = node[entry], np.round(near, 9)
-            order = np.lexsort((dst, place, i))
-            i, near, dst, place = i[order], near[order], dst[order], place[order]
-            kept = np.arange(len(i)) - np.searchsorted(i, i) <= k
-            for f, v in zip(found, (i + a, dst, near, place), strict=True):
-                f.append(v[kept])
-        i, dst, near, place = (np.concatenate(f) for f in found)
-        i = pa.array(i)
-        return pa.table({"_g": rows.column("_g").take(i), "cls": rows.column("cls").take(i), "dst": pa.array(dst), "distance": pa.array(near), "place": pa.array(place)})
+def _exact(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of pairs one by one, so that equal vectors have equal ones wherever they lie."""
+    return 1 - np.einsum("ij,ij->i", x, y) if metric == "cosine" else np.sqrt(((x - y) ** 2).sum(1))
+
+
+class Search:
+    """The k + 1 nearest rows of some classes of one group, as cells come by one after the other."""
+
+    def __init__(self, group: str, cls: np.ndarray, x: np.ndarray, bound: np.ndarray, k: int, metric: str):
+        self.group, self.cls, self.x, self.bound, self.take, self.metric = group, cls, x, bound, k + 1, metric
+        self.slack = _slack(x, metric)
+        self.place, self.near = np.full((len(x), k + 1), np.inf), np.full((len(x), k + 1), np.inf)
+        self.dst = np.full((len(x), k + 1), np.iinfo(np.int64).max)
+
+    def visit(self, pivot: np.ndarray, low: float, high: float, y: np.ndarray, copies: np.ndarray, node: np.ndarray) -> None:
+        """Holds the cell's classes y, each with some copies, the nodes one after the other, against those that its ring can matter to."""
+        start = np.cumsum(copies) - copies
+        for a in range(0, len(self.x), 2048):
+            x, slack = self.x[a : a + 2048], self.slack[a : a + 2048]
+            limit = np.minimum(self.bound[a : a + 2048], self.place[a : a + 2048, -1]) + 2e-9
+            far = np.where(np.isfinite(limit), limit, 0)
+            to_pivot = _length(_between(x, pivot[None], self.metric), self.metric)[:, 0]
+            at = np.flatnonzero(np.maximum(to_pivot - high, low - to_pivot) <= _length(limit, self.metric) + 2 * slack + 1e-7 * far)
+            if not len(at):
+                continue
+            within = limit + 2 * slack * (1 + (self.metric != "cosine") * far)
+            i, c = np.nonzero(_between(x[at], y, self.metric) <= within[at, None])
+            if len(i):
+                i = at[i] + a
+                near = np.concatenate([_exact(self.x[i[s : s + 50_000]], y[c[s : s + 50_000]], self.metric) for s in range(0, len(i), 50_000)])
+                n = copies[c]
+                entry = np.repeat(start[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                self.take_in(np.repeat(i, n), np.repeat(near, n), node[entry])
+
+    def take_in(self, i: np.ndarray, near: np.ndarray, dst: np.ndarray) -> None:
+        met = np.unique(i)
+        i = np.concatenate((np.repeat(met, self.take), i))
+        near, dst = np.concatenate((self.near[met].ravel(), near)), np.concatenate((self.dst[met].ravel(), dst))
+        place = np.round(near, 9)
+        order = np.lexsort((dst, place, i))
+        i = i[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        i, rank, order = i[rank < self.take], rank[rank < self.take], order[rank < self.take]
+        self.place[i, rank], self.near[i, rank], self.dst[i, rank] = place[order], near[order], dst[order]
+
+    def found(self) -> pa.RecordBatch:
+        there = np.isfinite(self.place)
+        ends = pa.array(np.concatenate(([0], np.cumsum(there.sum(1)))), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(v[there])) for v in (self.place, self.dst, self.near)]
+        return pa.RecordBatch.from_arrays([pa.array([self.group] * len(self.cls), pa.string()), pa.array(self.cls), *lists], names=["_g", "cls", "place", "dst", "distance"])
+
+
+def _search(k: int, metric: str):
+    """Rows of a slice in order: its classes (kind 0), then cell by cell its pivot with the ring (1) and its classes (2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, search, cell, asking, held = None, None, None, [], []
+
+        def begin() -> Search | None:
+            t = pa.Table.from_batches(asking) if asking else None
+            return Search(now[0], t.column("cls").to_numpy(), _matrix(t, "x"), t.column("high").to_numpy(), k, metric) if t else None
+
+        def visit() -> None:
+            if search and held:
+                t = pa.Table.from_batches(held)
+                nodes = t.column("nodes").combine_chunks()
+                search.visit(*cell, _matrix(t, "x"), np.asarray(pc.list_value_length(nodes)), nodes.flatten().to_numpy())
+
+        for batch in batches:
+            change = np.ones(batch.num_rows, bool)
+            parts = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("_g", "_slice", "kind", *CELL)]
+            change[1:] = np.any([p[1:] != p[:-1] for p in parts], axis=0)
+            starts = np.flatnonzero(change).tolist()
+            for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                rows, key, kind = batch.slice(a, b - a), (parts[0][a], parts[1][a]), parts[2][a]
+                if key != now or kind == 1:
+                    visit()
+                    held = []
+                if key != now:
+                    if search:
+                        yield search.found()
+                    now, search, asking = key, None, []
+                if kind == 0:
+                    asking.append(rows)
+                elif kind == 1:
+                    search, asking = search or begin(), []
+                    cell = (np.asarray(rows.column("x")[0].as_py(), float), rows.column("low")[0].as_py(), rows.column("high")[0].as_py())
+                else:
+                    held.append(rows)
+        visit()
+        if search:
+            yield search.found()
 
     return run
 
 
+def nearest_in_cells(placed: DataFrame, cells: DataFrame, k: int, metric: str) -> DataFrame:
+    """(_g, cls, place, dst, distance): the k + 1 nearest rows of each class, in order, as arrays.
+
+    A group's classes are dealt to slices of about SLICE, and a group's cells pass by each of its slices in one stream: what is
+    moved grows with classes times slices, and no row is written for a class and a cell.
+    """
+    bound = stored(placed.groupBy("_g", *CELL).applyInArrow(_own_bound(k, metric), "_g string, cls long, x array<double>, bound double"), "bounds")
+    asking, rings = _sliced(bound, cells, SLICE)
+    _, members = _sliced(bound.select("_g", "cls"), placed.select("_g", *CELL, F.col("cls"), "nodes", "x"), SLICE)
+    none = lambda kind: F.lit(None).cast(kind)
+    names = ("_g", "_slice", "kind", *CELL, "cls", "x", "nodes", "low", "high")
+    parts = [
+        asking.select("_g", "_slice", F.lit(0), *[F.lit(-1)] * 3, "cls", "x", none("array<bigint>"), none("double"), "bound"),
+        rings.select("_g", "_slice", F.lit(1), *CELL, F.lit(-1).cast("long"), "px", none("array<bigint>"), "low", "high"),
+        members.select("_g", "_slice", F.lit(2), *CELL, "cls", "x", "nodes", none("double"), none("double")),
+    ]
+    stream = parts[0].toDF(*names).union(parts[1].toDF(*names)).union(parts[2].toDF(*names)).repartition("_g", "_slice").sortWithinPartitions("_g", "_slice", *CELL, "kind", "cls")
+    return stored(stream.mapInArrow(_search(k, metric), "_g string, cls long, place array<double>, dst array<long>, distance array<double>"), "nearest")
+
+
 def _keyed(patches: DataFrame, group: Sequence[str], metric: str) -> DataFrame:
     """Rows with a group key that is never null, vectors of length 1 for cosines, and the hash that tells their class."""
     x = F.transform(F.col("x").cast("array<double>"), lambda v: v + F.lit(0.0))
@@ -216,22 +292,12 @@ def knn_by_pivots(patches: DataFrame, group: Sequence[str], k: int = 8, metric:
     patches: (group..., node, x), nodes unique in a group, vectors of one length without nulls or numbers that are none.
     Rows without a vector take no part, a null group is a group, a lone row has no edge, an empty table gives none; a zero
     vector is at cosine distance 1 from all. Copies of a vector are compared once, however many they are. Vectors spread
-    evenly in many dimensions leave nothing to skip; then every class visits every cell of its group.
+    evenly in many dimensions leave nothing to skip; then every class is held against every cell of its group.
     """
     rows = stored(_keyed(patches, group, metric), "rows")
     classes = stored(vector_classes(rows, k), "classes")
     placed, cells = pivot_cells(classes, metric, block, pivots)
-    v = cell_visits(placed, cells, k, metric)
-    key = ["_g", *CELL]
-    many = v.groupBy(*key).agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("_slices"))
-    sized = many.withColumn("_spread", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))  # a cell can have very many visitors
-    asking = v.withColumn("_spread", F.pmod(F.xxhash64("cls", F.lit(9)), F.lit(PARTS)).cast("int")).join(sized, [*key, "_spread"])
-    asking = asking.withColumn("_slice", F.pmod(F.xxhash64("cls"), F.col("_slices")).cast("int")).select(*key, "_slice", "cls")
-    asking = stored(asking.join(placed.select("_g", "cls", "x"), ["_g", "cls"]), "visitors")
-    asked = placed.select(*key, "nodes", "x").join(many, key).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices")
-    found = asking.groupBy(*key, "_slice").cogroup(asked.groupBy(*key, "_slice")).applyInArrow(_measure(k, metric), "_g string, cls long, dst long, distance double, place double")
-    found = found.withColumn("_r", F.row_number().over(Window.partitionBy("_g", "cls").orderBy("place", "dst"))).where(F.col("_r") <= k + 1)
-    near = found.groupBy("_g", "cls").agg(F.array_sort(F.collect_list(F.struct("place", "dst", "distance"))).alias("_near"))
+    near = nearest_in_cells(placed, cells, k, metric).select("_g", "cls", F.arrays_zip("place", "dst", "distance").alias("_near"))
     near = classes.select("_g", "_ha", "_hb", "cls", "parts").join(near, ["_g", "cls"]).withColumn("_part", F.explode(F.expr(f"filter(sequence(0, {PARTS - 1}), i -> getbit(parts, i) = 1)")))
     out = rows.select(*group, "_g", "_ha", "_hb", "_part", "node").join(near, ["_g", "_ha", "_hb", "_part"])
     out = out.withColumn("_e", F.explode(F.slice(F.filter("_near", lambda e: e["dst"] != F.col("node")), 1, k)))

@@ -66,3 +66,18 @@ def test_cells_are_skipped_where_vectors_cluster(spark):
     sizes = [r["count"] for r in placed.groupBy("_g", *pv.CELL).count().collect()]
     assert max(sizes) <= 3 * 30 and sum(sizes) == 1500
     assert pv.cell_visits(placed, cells, 8, "euclidean").count() < 0.4 * 1500 * len(sizes)
+
+
+def test_no_table_holds_a_row_for_each_class_and_cell(spark, monkeypatch):
+    """Evenly spread vectors, where every class visits every cell: such tables filled the disk."""
+    sizes, real = {}, pv.stored
+
+    def counted(df, label):
+        out = real(df, label)
+        sizes[label] = out.count()
+        return out
+
+    monkeypatch.setattr(pv, "stored", counted)
+    x = np.random.default_rng(6).normal(size=(400, 32))
+    got = edges(pv.knn_by_pivots(table(spark, {"a": (range(400), list(x))}), ["capture_id"], 8, block=10))
+    assert got == plain({"a": (range(400), list(x))}, 8, "cosine") and max(sizes.values()) <= 400
